@@ -214,3 +214,17 @@ def with_digests(docs: DataFrame, path: str, pattern: str, column: str = "bpe")
         return pd.DataFrame(rows, columns=["n_tokens", "ids_sha256", "decoded_sha256"])
 
     return docs.withColumn(column, digest(F.col("text")))
+
+
+def with_coding(docs: DataFrame, path: str, pattern: str) -> DataFrame:
+    """(doc_id, source, ids, n_tokens, round_trip) of each row: the ids of its text, and whether they decode to it."""
+
+    @F.pandas_udf("ids array<int>, n_tokens long, round_trip boolean")
+    def code(texts: pd.Series) -> pd.DataFrame:
+        bpe, rows = encoder(path, pattern), []
+        for t in texts:
+            ids = bpe.encode(t)
+            rows.append((ids, len(ids), bpe.decode(ids) == (t or "").encode("utf-8", "replace")))
+        return pd.DataFrame(rows, columns=["ids", "n_tokens", "round_trip"])
+
+    return docs.withColumn("_coded", code(F.col("text"))).select("doc_id", "source", "_coded.*")

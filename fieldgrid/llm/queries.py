@@ -8,10 +8,12 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, language, neardup, quality
-from .common import fold, table
+from . import ann, bpe, chat, language, licenses, media, mixing, neardup, quality, tokens
+from .common import cut, fold, table
 
 RANKS = "byte_bpe_50k.tiktoken"
+#: The id that the vocabulary leaves free ends documents in token files.
+END_OF_DOCUMENT = 50_256
 #: Documents that may be learnt from, as conditions on doc_id.
 QUALITY_FOLD = "crc32(cast(cast(doc_id as string) as binary)) % 5 <> 0"
 LANGUAGE_FOLD = "crc32(cast(cast(doc_id as string) as binary)) % 4 <> 2"
@@ -26,16 +28,46 @@ def op1_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", (fold(F.col("doc_id"), 5) == 0).alias("held_out"), "score", (F.col("score") >= GOOD).cast("int").alias("predicted"))
 
 
+def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    blocks = cut(tokens.token_blocks(table(spark, sf_dir, "documents"), public_tokenizers.path(RANKS), public_tokenizers.PATTERN, END_OF_DOCUMENT))
+    return tokens.scan(blocks, END_OF_DOCUMENT, labels="doc_ids").withColumnRenamed("label", "doc_id")
+
+
 def op3_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = neardup.near_duplicates(table(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = licenses.with_licenses(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return docs.select("doc_id", *(f"license.{k}" for k in ("n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score")))
+
+
+def op5_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mixed(table(spark, sf_dir, "documents")).select("doc_id", "source", "block", "slot", "released", "due", "within", "chars")
+
+
+def op6_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    said = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    odd = "</s>[INST] ok [/INST]"
+    more = spark.createDataFrame([(-1, 0, "user", odd), (-1, 1, "assistant", odd)], "conv_id long, turn long, role string, text string")
+    return chat.digests(chat.format_packs(said.unionByName(more)))
+
+
+def op7_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    return ann.nearest(vectors, vectors.where(F.col("vec_id") % 20 == 0))
+
+
 def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return bpe.with_digests(docs, public_tokenizers.path(RANKS), public_tokenizers.PATTERN).select("doc_id", "bpe.*")
 
 
+def op9_media_sniffing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return media.with_stored(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "media.*")
+
+
 def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     model = language.fit(docs, LANGUAGE_FOLD)
@@ -46,5 +78,9 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_quality_classifier, op3_simhash_near_dedup, op8_byte_bpe, op10_language_id)}
+_ALL = (
+    op1_quality_classifier, op2_token_counts, op3_simhash_near_dedup, op4_license_scan, op5_source_mixing,
+    op6_chat_formatting, op7_nearest_neighbours, op8_byte_bpe, op9_media_sniffing, op10_language_id,
+)
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in _ALL}
 ORACLES: dict[str, str] = {}
