@@ -67,7 +67,7 @@ def julia_steps(zx: Column, zy: Column, cx: float, cy: float, most: int) -> Colu
 
 def euclidean(a: Column, b: Column) -> Column:
     """Distance of two arrays, summed in their order."""
-    squares = F.zip_with(a, b, lambda x, y: (x - y).cast("double") * (x - y).cast("double"))
+    squares = F.zip_with(a, b, lambda x, y: (x.cast("double") - y.cast("double")) * (x.cast("double") - y.cast("double")))
     return F.sqrt(F.aggregate(squares, F.lit(0.0), lambda s, x: s + x))
 
 

@@ -96,6 +96,6 @@ def idw(cells: DataFrame, stations: DataFrame, cell_key: Sequence[str], k: int,
     """
     d = scalar.haversine_km(F.col("clat"), F.col("clon"), F.col("lat"), F.col("lon")) + 1e-6
     near = cells.join(F.broadcast(stations)).withColumn("_d", d)
-    near = near.withColumn("_r", F.row_number().over(Window.partitionBy(*cell_key).orderBy("_d", "station"))).where(F.col("_r") <= k)
+    near = near.withColumn("_r", F.row_number().over(Window.partitionBy(*cell_key).orderBy(F.round("_d", 6), "station"))).where(F.col("_r") <= k)
     w = 1 / F.pow("_d", F.lit(power))
     return near.groupBy(*cell_key).agg((F.sum(w * F.col("value")) / F.sum(w)).alias("value"))

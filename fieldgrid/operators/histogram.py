@@ -48,10 +48,10 @@ def linear_stretch(value: Column, low: Column, high: Column, to_low: float = 1,
 def otsu(df: DataFrame, value: str) -> DataFrame:
     """One row (threshold): the level of the largest variance between what is at or below it and what is above; ties: the smallest."""
     c = counts(df, value, None).crossJoin(F.broadcast(df.agg(F.count(value).alias("total"), F.sum(value).alias("mass"))))
-    c = c.withColumn("w0", F.sum("n").over(_ordered()) / F.col("total")).withColumn("m0", F.sum(F.col("n") * F.col("level")).over(_ordered()) / F.col("total"))
+    c = c.withColumn("so_far", F.sum("n").over(_ordered())).withColumn("w0", F.sum("n").over(_ordered()) / F.col("total")).withColumn("m0", F.sum(F.col("n") * F.col("level")).over(_ordered()) / F.col("total"))
     w1 = 1 - F.col("w0")
     gap = F.col("m0") / F.col("w0") - F.try_divide(F.col("mass") / F.col("total") - F.col("m0"), w1)
-    ranked = c.where(F.sum("n").over(_ordered()) < F.col("total")).withColumn("between", F.round(F.col("w0") * w1 * gap * gap, 9))
+    ranked = c.where(F.col("so_far") < F.col("total")).withColumn("between", F.round(F.col("w0") * w1 * gap * gap, 9))
     return ranked.agg(F.max(F.struct("between", -F.col("level")))["between"].alias("between"), (-F.max(F.struct("between", (-F.col("level")).alias("m")))["m"]).alias("threshold"))
 
 

@@ -53,7 +53,7 @@ def class_areas(pixels: DataFrame, value: str, dx: float, dy: float, drop: float
 
 def cross_counts(pixels: DataFrame, zone: str, value: str, values: Sequence) -> DataFrame:
     """A row for each zone, a column for the count of each value."""
-    return pixels.groupBy(zone).pivot(value, list(values)).agg(F.count("*")).na.fill(0)
+    return pixels.groupBy(zone).pivot(value, list(values)).agg(F.count(F.lit(1))).na.fill(0)
 
 
 def cloud_fraction(pixels: DataFrame, raster: str, code: str) -> DataFrame:
