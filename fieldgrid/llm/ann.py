@@ -13,7 +13,8 @@ Equal vectors in a shard are one node, with the ids that can be among the neares
 
 Defined cases: null, empty and zero vectors, vectors with a null or non-finite component, and rows without id take no
 part; a table with vectors of several lengths is searched within each length; with k candidates or fewer all of them
-are found, as the entry points then cover the shard; ties go to the smaller id; extra columns are left out.
+are found, as the entry points then cover the shard; ties go to the smaller id; a repeated id is found once, with its
+best score, and asks once, with its least vector; extra columns are left out.
 """
 
 from __future__ import annotations
@@ -144,7 +145,7 @@ class Shard:
         _, first, node = np.unique(np.ascontiguousarray(vectors).view(np.dtype((np.void, vectors.dtype.itemsize * vectors.shape[1]))).ravel(), return_index=True, return_inverse=True)
         self.vectors = vectors[first]
         by_node = np.argsort(node, kind="stable")
-        self.members = [m[: k + 1] for m in np.split(ids[by_node], np.cumsum(np.bincount(node))[:-1])]  # the smaller ids win ties
+        self.members = [np.unique(m)[: k + 1] for m in np.split(ids[by_node], np.cumsum(np.bincount(node))[:-1])]  # the smaller ids win ties
         lift = np.sqrt(np.maximum(max_norm2 - np.einsum("ij,ij->i", self.vectors, self.vectors), 0))
         self.graph = Graph(np.concatenate([self.vectors, lift[:, None]], axis=1))
 
@@ -159,7 +160,10 @@ class Shard:
                 if len(out) > k and scores[i] < out[k][0]:
                     break
                 out += [(float(scores[i]), int(m)) for m in self.members[nodes[i]] if m != q]
-            for s, m in sorted(out, key=lambda x: (-x[0], x[1]))[:k]:
+            best: dict[int, float] = {}
+            for s, m in sorted(out, key=lambda x: (-x[0], x[1])):
+                best.setdefault(m, s)
+            for m, s in list(best.items())[:k]:
                 yield q, m, s
 
 
@@ -187,7 +191,7 @@ def nearest(vectors: DataFrame, queries: DataFrame, *, k: int = K, shard_rows: i
     dim = F.size("v")
     own = (start[dim] + F.pmod(F.xxhash64("vec_id"), by_dim[dim])).cast("int")
     dealt = rows.select(own.alias("shard"), F.lit(False).alias("asks"), "vec_id", "v")
-    asked = queries.where(usable("embedding") & F.col("vec_id").isNotNull()).select("vec_id", as_double(F.col("embedding")).alias("v")).where(by_dim[dim].isNotNull())
+    asked = queries.where(usable("embedding") & F.col("vec_id").isNotNull()).groupBy("vec_id").agg(F.min(as_double(F.col("embedding"))).alias("v")).where(by_dim[dim].isNotNull())
     every = F.explode(F.sequence(start[dim].cast("int"), (start[dim] + by_dim[dim] - 1).cast("int")))
     asked = asked.select(every.alias("shard"), F.lit(True).alias("asks"), "vec_id", "v")
     largest = {d: m for d, (_, m) in plan.items()}

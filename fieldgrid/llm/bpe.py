@@ -227,4 +227,4 @@ def with_coding(docs: DataFrame, path: str, pattern: str) -> DataFrame:
             rows.append((ids, len(ids), bpe.decode(ids) == (t or "").encode("utf-8", "replace")))
         return pd.DataFrame(rows, columns=["ids", "n_tokens", "round_trip"])
 
-    return docs.withColumn("_coded", code(F.col("text"))).select("doc_id", "source", "_coded.*")
+    return docs.select("doc_id", "source", code(F.col("text")).alias("coded")).select("doc_id", "source", "coded.*")

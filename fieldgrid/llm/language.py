@@ -8,7 +8,7 @@ A text's language is the one with most letters in its spans; the score is that s
 
 Defined cases: ``und`` with score 0 and no spans if the text is null, empty or has no letter, or if nothing was learnt;
 ties go to the language first by name; words of an unseen script are no evidence; repeated rows get equal results;
-extra columns stay.
+extra columns stay, but for one of the name of the result.
 """
 
 from __future__ import annotations
@@ -247,12 +247,12 @@ def fit(docs: DataFrame, learn: str, *, max_learnt: int = MAX_LEARNT, penalty: f
     return LanguageModel(languages, logs(three), logs(two), scripts >= np.maximum(1, 0.005 * scripts.sum(axis=0)), penalty)
 
 
-def with_language(docs: DataFrame, model: LanguageModel) -> DataFrame:
-    """``docs`` and a column ``language``: (lang, score, span_langs, span_starts) of each whole text. One pass, no shuffle."""
+def with_language(docs: DataFrame, model: LanguageModel, column: str = "language") -> DataFrame:
+    """``docs`` and a struct: (lang, score, span_langs, span_starts) of each whole text. One pass, no shuffle."""
     shared = docs.sparkSession.sparkContext.broadcast(model)  # (TRIGRAMS + BIGRAMS) x languages numbers
 
     @F.pandas_udf("lang string, score double, span_langs array<string>, span_starts array<int>")
     def label(texts: pd.Series) -> pd.DataFrame:
         return pd.DataFrame(dict(zip(("lang", "score", "span_langs", "span_starts"), shared.value.label(texts.tolist()), strict=True)))
 
-    return docs.withColumn("language", label(F.col("text")))
+    return docs.withColumn(column, label(F.col("text")))

@@ -12,7 +12,7 @@ and texts never move. Base phrases, whose places are counted word by word, come
 
 Defined cases: null and empty texts have no words, no places, empty label strings and score 0; texts shorter than a
 block are one block; a text of any length is scanned whole, in memory in proportion to it; repeated rows get equal
-results; extra columns stay.
+results; extra columns stay, but for one of the name of the result.
 """
 
 from __future__ import annotations

@@ -10,7 +10,7 @@ multiple of 64. ``load`` finds the samples again by sniffing.
 
 Defined cases: a null text is stored like an empty one, as 64 zeros; null and empty values are ``unknown`` with length
 0 and nothing embedded; a truncated value is ``unknown``; overlapping embedded media are carved from the first one on,
-inside each other only at the top level; repeated rows get equal results; extra columns stay.
+inside each other only at the top level; repeated rows get equal results; extra columns stay, but for one of the name of the result.
 """
 
 from __future__ import annotations
