@@ -21,6 +21,7 @@ from __future__ import annotations
 import base64
 import functools
 import hashlib
+import heapq
 import re
 from bisect import bisect_left
 from itertools import accumulate, chain, pairwise
@@ -87,6 +88,27 @@ class BPE:
                 found[at] = ranks.get(joined + parts[at + 1], _NONE)
         return [ranks[p] for p in parts]
 
+    def merge_long(self, raw: bytes) -> list[int]:
+        """The same merges of many bytes: neighbours wait in a heap by rank and place, so the time is n log n."""
+        ranks, n = self.ranks, len(raw)
+        part = [raw[i : i + 1] for i in range(n)]
+        after, before = list(range(1, n + 1)), list(range(-1, n - 1))
+        heap = [(r, i, 2) for i in range(n - 1) if (r := ranks.get(raw[i : i + 2])) is not None]
+        heapq.heapify(heap)
+        while heap:
+            _, i, size = heapq.heappop(heap)
+            j = after[i]
+            if not part[i] or j >= n or len(part[i]) + len(part[j]) != size:
+                continue  # one of the two has been merged since
+            part[i], part[j] = part[i] + part[j], b""
+            after[i] = k = after[j]
+            if k < n:
+                before[k] = i
+            for a, b in ((before[i], i), (i, k)):
+                if a >= 0 and b < n and (r := ranks.get(part[a] + part[b])) is not None:
+                    heapq.heappush(heap, (r, a, len(part[a]) + len(part[b])))
+        return [ranks[p] for p in part if p]
+
     def piece(self, raw: bytes) -> list[int]:
         """Ids of a piece: of its halves, joined."""
         if len(raw) <= LEAF_BYTES:
@@ -98,19 +120,21 @@ class BPE:
         return self.merge(self.bytes_of[a] + self.bytes_of[b]) == [a, b]
 
     def join_ids(self, left: list[int], right: list[int]) -> list[int]:
-        i, j = len(left), 0
         if not left or not right or self.fits(left[-1], right[0]):
             return left + right
+        i, j = len(left) - 1, 1
+        more_left = more_right = 1
         while True:
-            i, j = max(0, i - 1), min(len(right), j + 1)
-            while True:
-                window = self.merge(b"".join(map(self.bytes_of.__getitem__, chain(left[i:], right[:j]))))
-                if i and not self.fits(left[i - 1], window[0]):
-                    i = max(0, i - 2)
-                elif j < len(right) and not self.fits(window[-1], right[j]):
-                    j = min(len(right), j + 2)
-                else:
-                    return left[:i] + window + right[j:]
+            raw = b"".join(map(self.bytes_of.__getitem__, chain(left[i:], right[:j])))
+            window = self.merge(raw) if len(raw) <= LEAF_BYTES else self.merge_long(raw)
+            if i and not self.fits(left[i - 1], window[0]):
+                more_left *= 2  # growth by doubling: a window is encoded a logarithmic number of times
+                i = max(0, i - more_left)
+            elif j < len(right) and not self.fits(window[-1], right[j]):
+                more_right *= 2
+                j = min(len(right), j + more_right)
+            else:
+                return left[:i] + window + right[j:]
 
     # Pieces of a text.
 
