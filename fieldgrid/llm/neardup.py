@@ -119,31 +119,30 @@ def _runs(bits: list[int], parts: int) -> list[list[int]]:
 
 def _links(fps: DataFrame, radius: int, most: int) -> DataFrame:
     """Links (a, b) between distinct fingerprints, enough to connect all that are within the radius."""
+    spark = fps.sparkSession
 
-    def masked(name: str, bits: list[int]) -> tuple:
-        """A shard: its name, which tells the bits that agree, and their values."""
-        mask = sum(1 << b for b in bits)
-        return F.struct(F.lit(name).alias("run"), F.col("fp").bitwiseAND(F.lit(mask - (1 << 64) if mask >> 63 else mask)).alias("key"))
+    def parted(rows: DataFrame, spaces: dict[str, tuple[list[int], list[int]]]) -> tuple[DataFrame, dict[str, tuple[list[int], list[int]]]]:
+        """Each row in ``radius + 1`` shards: a shard's run names the bits that agree in it, key has their values.
 
-    levels, spaces = [], [("", [], list(range(64)))]
-    rows = None
+        The table of masks has a row for each way in which bits were cut so far, and travels to the rows.
+        """
+        finer = {f"{name}{i}": (fixed + run, [b for b in free if b not in run]) for name, (fixed, free) in spaces.items() for i, run in enumerate(_runs(free, radius + 1))}
+        masks = [(name[:-1], name, (m := sum(1 << b for b in fixed)) - (m >> 63 << 64)) for name, (fixed, _) in finer.items()]
+        table = spark.createDataFrame(masks, "run string, child string, mask long")
+        return rows.join(F.broadcast(table), "run").select("fp", F.col("child").alias("run"), F.col("fp").bitwiseAND(F.col("mask")).alias("key")), finer
+
+    rows, spaces = parted(fps.select("fp", F.lit("").alias("run")), {"": ([], list(range(64)))})
+    levels = []
     while True:
-        finer = [(f"{name}{i}", fixed + run, [b for b in free if b not in run]) for name, fixed, free in spaces for i, run in enumerate(_runs(free, radius + 1))]
-        if rows is None:
-            rows = fps.select("fp", F.explode(F.array(*[masked(n, fixed) for n, fixed, _ in finer])).alias("shard")).select("fp", "shard.*")
-        else:
-            of = F.create_map(*[x for name, *_ in spaces for x in (F.lit(name), F.array(*[masked(n, fixed) for n, fixed, _ in finer if n[:-1] == name]))])
-            rows = rows.select("fp", F.explode(F.element_at(of, F.col("run"))).alias("shard")).select("fp", "shard.*")
         large = cut(rows.groupBy("run", "key").count().where(F.col("count") > most).select("run", "key"))
-        names = {r["run"] for r in large.select("run").distinct().collect()}
-        spaces = [s for s in finer if s[0] in names and len(s[2]) > radius]
+        names = {r["run"] for r in large.select("run").distinct().collect()}  # ways to cut bits, not shards
+        spaces = {name: space for name, space in spaces.items() if name in names and len(space[1]) > radius}
         if not spaces:
             levels.append(rows)
             break
-        again = F.col("run").isin([s[0] for s in spaces])
-        large = large.where(again)
+        large = large.join(F.broadcast(spark.createDataFrame([(n,) for n in spaces], "run string")), "run")
         levels.append(rows.join(large, ["run", "key"], "left_anti"))
-        rows = cut(rows.join(large, ["run", "key"], "left_semi"))
+        rows, spaces = parted(cut(rows.join(large, ["run", "key"], "left_semi")), spaces)
 
     def search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held: list[int] = []
