@@ -128,10 +128,13 @@ def _links(fps: DataFrame, radius: int, most: int) -> DataFrame:
         """
         finer = {f"{name}{i}": (fixed + run, [b for b in free if b not in run]) for name, (fixed, free) in spaces.items() for i, run in enumerate(_runs(free, radius + 1))}
         masks = [(name[:-1], name, (m := sum(1 << b for b in fixed)) - (m >> 63 << 64)) for name, (fixed, _) in finer.items()]
+        if len(spaces) == 1:
+            each = F.explode(F.array(*[F.struct(F.lit(child).alias("run"), F.col("fp").bitwiseAND(F.lit(mask)).alias("key")) for _, child, mask in masks])).alias("s")
+            return rows.select("fp", each).select("fp", "s.*"), finer
         table = spark.createDataFrame(masks, "run string, child string, mask long")
         return rows.join(F.broadcast(table), "run").select("fp", F.col("child").alias("run"), F.col("fp").bitwiseAND(F.col("mask")).alias("key")), finer
 
-    rows, spaces = parted(fps.select("fp", F.lit("").alias("run")), {"": ([], list(range(64)))})
+    rows, spaces = parted(fps.select("fp"), {"": ([], list(range(64)))})
     levels = []
     while True:
         large = cut(rows.groupBy("run", "key").count().where(F.col("count") > most).select("run", "key"))
