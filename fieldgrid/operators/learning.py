@@ -125,3 +125,23 @@ def k_means(df: DataFrame, features: Sequence[str], k: int, seed: int = 42):  #
     from pyspark.ml.feature import VectorAssembler
 
     return Pipeline(stages=[VectorAssembler(inputCols=list(features), outputCol="_features"), KMeans(featuresCol="_features", k=k, seed=seed)]).fit(df)
+
+
+def tree_predict(df: DataFrame, nodes: list[tuple[int, str | None, float | None, int | None, int | None, int | None]], root: int = 0) -> Column:
+    """The result of a decision tree given as rows (node, feature, threshold, left, right, result): ``>=`` goes right."""
+    by_id = {n[0]: n for n in nodes}
+
+    def at(k: int) -> Column:
+        _, feature, threshold, left, right, result = by_id[k]
+        return F.lit(result) if feature is None else F.when(F.col(feature) >= threshold, at(right)).otherwise(at(left))
+
+    return at(root)
+
+
+def calinski_harabasz(df: DataFrame, label: str, vector: str) -> DataFrame:
+    """One row (score): between-cluster over within-cluster dispersion, by degrees of freedom."""
+    long = df.select(label, F.posexplode(vector).alias("i", "v")).withColumn("v", F.col("v").cast("double"))
+    by = long.groupBy(label, "i").agg(F.sum("v").alias("s"), F.sum(F.col("v") * F.col("v")).alias("q"), F.count("*").alias("n"))
+    of = by.groupBy("i").agg(F.sum("s").alias("S"), F.sum("n").alias("N"), F.sum(F.col("s") * F.col("s") / F.col("n")).alias("b"), F.sum("q").alias("q"), F.count("*").alias("k"))
+    sums = of.agg(F.sum(F.col("b") - F.col("S") * F.col("S") / F.col("N")).alias("between"), F.sum(F.col("q") - F.col("b")).alias("within"), F.max("N").alias("n"), F.max("k").alias("k"))
+    return sums.select((F.try_divide(F.col("between") / (F.col("k") - 1), F.col("within") / (F.col("n") - F.col("k")))).alias("score"))

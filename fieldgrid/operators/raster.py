@@ -174,3 +174,63 @@ def glcm(df: DataFrame, value: str, drow: int, dcol: int, by: Sequence[str] = ()
         F.sum(d * d * F.col("p")).alias("contrast"), F.sum(di * dj * F.col("p") / (F.col("sr") * F.col("sc") + 1e-6)).alias("correlation"),
         F.sum(F.col("p") / (1 + F.abs(d))).alias("homogeneity"), (-F.sum(F.col("p") * F.log2("p"))).alias("entropy"),
     )
+
+
+def window_vectors(df: DataFrame, bands: Sequence[str], k: int, default: float = 0, by: Sequence[str] = ()) -> DataFrame:
+    """(row, col, features): the values of each band in the square around a pixel whose first band is positive, band by band, row by row.
+
+    Pixels that aren't there count as the default. Two range windows gather the values; nothing is copied to neighbours.
+    """
+    names = []
+    for b in bands:
+        across = Window.partitionBy(*by, "row").orderBy("col")
+        down = Window.partitionBy(*by, "col").orderBy("row")
+        d = range(-k, k + 1)
+        line = F.array(*[F.first(b).over(across.rangeBetween(j, j)) for j in d])
+        df = df.withColumn(f"_l_{b}", line)
+        none = F.array(*[F.lit(None).cast(dict(df.dtypes)[b])] * len(d))
+        whole = F.array(*[F.coalesce(F.first(f"_l_{b}").over(down.rangeBetween(i, i)), none) for i in d])
+        df = df.withColumn(f"_w_{b}", F.transform(F.flatten(whole), lambda x: F.coalesce(x, F.lit(default))))
+        names.append(f"_w_{b}")
+    return df.where(F.col(bands[0]) > 0).select(*by, "row", "col", F.concat(*names).alias("features"))
+
+
+def at_points(df: DataFrame, points: DataFrame, x0: float, dx: float, y0: float, dy: float) -> DataFrame:
+    """``points`` (x, y in map units) with the pixel that holds each."""
+    placed = points.withColumn("col", F.floor((F.col("x") - x0) / dx)).withColumn("row", F.floor((F.col("y") - y0) / dy))
+    return placed.join(df, ["row", "col"], "left")
+
+
+def proximity(df: DataFrame, burned: Column, out: str, most: int) -> DataFrame:
+    """Distance in pixels to the nearest burned pixel within ``most``; null beyond.
+
+    A distance transform by axes: the nearest burned pixel along each row, then the least sum of squares along each
+    column within reach, by a join on the rows in reach and a pre-aggregated minimum.
+    """
+    line = Window.partitionBy("row").orderBy("col")
+    here = F.when(burned, F.col("col"))
+    left = F.col("col") - F.last(here, ignorenulls=True).over(line.rowsBetween(Window.unboundedPreceding, 0))
+    right = F.first(here, ignorenulls=True).over(line.rowsBetween(0, Window.unboundedFollowing)) - F.col("col")
+    flat = df.withColumn("_d", F.least(left, right))
+    near = flat.where(F.col("_d") <= most).select(F.explode(F.sequence(F.col("row") - most, F.col("row") + most)).alias("row"), "col", F.col("row").alias("_r"), "_d")
+    squared = F.col("_d") * F.col("_d") + (F.col("_r") - F.col("row")) * (F.col("_r") - F.col("row"))
+    best = near.groupBy("row", "col").agg(F.min(squared).alias("_s")).where(F.col("_s") <= most * most)
+    return df.join(best, ["row", "col"], "left").withColumn(out, F.sqrt("_s")).drop("_s")
+
+
+def pyramid(df: DataFrame, value: str, levels: int) -> DataFrame:
+    """(level, row, col, mean): overviews by halves, each mean from the sums of the level before."""
+    at = df.select("row", "col", F.col(value).cast("double").alias("s"), F.lit(1).alias("n"))
+    out = None
+    for level in range(1, levels + 1):
+        at = at.groupBy(F.floor(F.col("row") / 2).alias("row"), F.floor(F.col("col") / 2).alias("col")).agg(F.sum("s").alias("s"), F.sum("n").alias("n"))
+        here = at.select(F.lit(level).alias("level"), "row", "col", (F.col("s") / F.col("n")).alias("mean"))
+        out = here if out is None else out.unionByName(here)
+    return out
+
+
+def reclassify(df: DataFrame, value: str, mapping: DataFrame, default: float | None = None) -> DataFrame:
+    """Values by a table (from, to), which is as small as a legend; others get the default, or stay."""
+    met = df.join(F.broadcast(mapping), df[value] == mapping["from"], "left")
+    other = df[value] if default is None else F.lit(default)
+    return met.select(*[df[c] for c in df.columns if c != value], F.coalesce(mapping["to"], other).alias(value))

@@ -56,13 +56,26 @@ def pivot_last(df: DataFrame, row: str, column: str, values: Sequence, value: st
     return df.groupBy(row).pivot(column, list(values)).agg(F.max_by(value, order))
 
 
-def balance(samples: DataFrame, label: str, order: Sequence[str]) -> DataFrame:
-    """Each class repeated, in order, up to the size of the largest."""
+def numbered(df: DataFrame, by: Sequence[str], order: Sequence[str], part: Column, out: str) -> DataFrame:
+    """Numbers from 0 in each group by ``order``, which must rise with ``part``.
+
+    Parts are counted and summed up first, then each is numbered by itself: no task orders all rows of a group.
+    """
+    parted = df.withColumn("_part", part)
+    n = parted.groupBy(*by, "_part").agg(F.count("*").alias("_n"))
+    earlier = F.sum("_n").over(Window.partitionBy(*by).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1))
+    n = n.withColumn("_before", F.coalesce(earlier, F.lit(0))).drop("_n")
+    rank = F.row_number().over(Window.partitionBy(*by, "_part").orderBy(*order)) - 1
+    return parted.withColumn("_rank", rank).join(n, [*by, "_part"]).withColumn(out, F.col("_before") + F.col("_rank")).drop("_part", "_rank", "_before")
+
+
+def balance(samples: DataFrame, label: str, order: Sequence[str], part: Column) -> DataFrame:
+    """Each class repeated, in order, up to the size of the largest. ``part`` rises with the order (see ``numbered``)."""
     n = samples.groupBy(label).agg(F.count("*").alias("_n"))
-    n = n.crossJoin(n.agg(F.max("_n").alias("_top")))
-    numbered = samples.withColumn("_i", F.row_number().over(Window.partitionBy(label).orderBy(*order)) - 1).join(F.broadcast(n), label)
+    n = n.crossJoin(n.agg(F.max("_n").alias("_top")))  # a row for each class
     copies = F.explode(F.sequence(F.lit(0), F.ceil(F.col("_top") / F.col("_n")).cast("int") - 1)).alias("copy")
-    return numbered.select("*", copies).where(F.col("_i") + F.col("copy") * F.col("_n") < F.col("_top")).drop("_i", "_n", "_top")
+    rows = numbered(samples, [label], order, part, "_i").join(F.broadcast(n), label).select("*", copies)
+    return rows.where(F.col("_i") + F.col("copy") * F.col("_n") < F.col("_top")).drop("_i", "_n", "_top")
 
 
 def points_in_polygons(points: DataFrame, polygons: DataFrame, cell: float, x: str = "x", y: str = "y") -> DataFrame:

@@ -16,9 +16,15 @@ def daily_mean(hours: Column, value: Column) -> Column:
     return F.when(whole, (at[0] + at[1] + at[2] + at[3]) / 4).otherwise((F.max(value) + F.min(value)) / 2)
 
 
-def running_total(df: DataFrame, by: Sequence[str], order: Sequence[str], value: str, digits: int = 3) -> Column:
-    """Total so far in each group, rounded once."""
-    return F.round(F.sum(value).over(Window.partitionBy(*by).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)), digits)
+def running_total(df: DataFrame, by: Sequence[str], order: Sequence[str], value: str, out: str, part: Column, digits: int = 3) -> DataFrame:
+    """``df`` and the total so far in each group, rounded once. ``part`` (a day, say) rises with the order: parts are
+    summed first, so no task orders all rows of a long series."""
+    parted = df.withColumn("_part", part)
+    sums = parted.groupBy(*by, "_part").agg(F.sum(value).alias("_sum"))
+    earlier = F.sum("_sum").over(Window.partitionBy(*by).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1))
+    sums = sums.withColumn("_before", F.coalesce(earlier, F.lit(0.0))).drop("_sum")
+    own = F.sum(value).over(Window.partitionBy(*by, "_part").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))
+    return parted.withColumn("_own", own).join(sums, [*by, "_part"]).withColumn(out, F.round(F.col("_before") + F.col("_own"), digits)).drop("_part", "_own", "_before")
 
 
 def moving_average(by: Sequence[str], order: Sequence[str], value: str, n: int) -> Column:

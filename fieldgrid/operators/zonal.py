@@ -117,3 +117,17 @@ def gram_schmidt(df: DataFrame, bands: Sequence[str]) -> DataFrame:
 def lag_table(df: DataFrame, by: str, order: Sequence[str], columns: Sequence[str]) -> DataFrame:
     w = Window.partitionBy(by).orderBy(*order)
     return df.withColumns({f"last_{c}": F.lag(c).over(w) for c in columns})
+
+
+def gram_schmidt_inverse(df: DataFrame, bands: Sequence[str]) -> DataFrame:
+    """Bands back from ``gram_schmidt``'s columns, as back_<band>; the bands themselves give means and projections."""
+    out = df
+    for i, b in enumerate(bands):
+        if not i:
+            out = out.withColumn(f"back_{b}", F.col(f"gs_{b}"))
+            continue
+        before = [f"gs_{x}" for x in bands[:i]]
+        stats = out.agg(F.avg(b).alias("_mean"), *[F.coalesce(F.try_divide(F.covar_pop(b, g), F.var_pop(g)), F.lit(0.0)).alias(f"_phi{j}") for j, g in enumerate(before)])
+        more = [F.col(f"_phi{j}") * F.col(g) for j, g in enumerate(before)]
+        out = out.crossJoin(F.broadcast(stats)).withColumn(f"back_{b}", F.col(f"gs_{b}") + F.col("_mean") + sum(more[1:], more[0])).drop("_mean", *[f"_phi{j}" for j in range(i)])
+    return out

@@ -80,7 +80,7 @@ def _paths(spark: SparkSession) -> tuple[str, str]:
 def stream_daily(spark: SparkSession, sf: str) -> DataFrame:
     """Days that the watermark has closed, once all that is available was read."""
     out, checkpoint = _paths(spark)
-    O.run_available(O.daily(O.observations(spark, sf, glob="events.parquet"), "event_type"), out, checkpoint)
+    O.run_available(O.daily(O.observations(spark, f"{sf}/events.parquet*"), "event_type"), out, checkpoint)
     return spark.read.parquet(out).select(F.floor(F.unix_timestamp("w.start") / 86400).alias("day"), "event_type", "n", F.round("total", 4).alias("total"))
 
 
@@ -88,7 +88,7 @@ def stream_daily(spark: SparkSession, sf: str) -> DataFrame:
 def stream_unseen(spark: SparkSession, sf: str) -> DataFrame:
     """One observation for each user and hour of day within the watermark's delay of forty days."""
     out, checkpoint = _paths(spark)
-    s = O.observations(spark, sf, delay="40 days", glob="events.parquet").withColumn("h", F.hour("ts"))
+    s = O.observations(spark, f"{sf}/events.parquet*", delay="40 days").withColumn("h", F.hour("ts"))
     O.run_available(O.unseen(s, ["user_id", "h"]), out, checkpoint)
     return spark.read.parquet(out).agg(F.count("*").alias("n"))
 
@@ -96,7 +96,7 @@ def stream_unseen(spark: SparkSession, sf: str) -> DataFrame:
 @query("SELECT user_id, event_type, CAST(floor(epoch(ts)) AS BIGINT) AS version, value FROM (SELECT *, row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts DESC) AS r FROM events) WHERE r = 1")
 def stream_upsert(spark: SparkSession, sf: str) -> DataFrame:
     out, checkpoint = _paths(spark)
-    s = O.observations(spark, sf, glob="events.parquet").select("user_id", "event_type", "ts", "value")
+    s = O.observations(spark, f"{sf}/events.parquet*").select("user_id", "event_type", "ts", "value")
     O.upsert_into(s, out, ["user_id", "event_type"], "ts", checkpoint).awaitTermination()
     return spark.read.parquet(out).select("user_id", "event_type", F.unix_timestamp("ts").alias("version"), "value")
 
@@ -107,5 +107,5 @@ def stream_runs(spark: SparkSession, sf: str) -> DataFrame:
     """Runs of a state that another has ended."""
     out, checkpoint = _paths(spark)
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
-    O.run_available(O.state_runs(O.observations(spark, sf, glob="events.parquet")), out, checkpoint)
+    O.run_available(O.state_runs(O.observations(spark, f"{sf}/events.parquet*")), out, checkpoint)
     return spark.read.parquet(out).select("user_id", "state", "start", "last", "n")

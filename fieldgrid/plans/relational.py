@@ -57,11 +57,8 @@ def delete_box_extent(spark: SparkSession, sf: str) -> DataFrame:
 @query("SELECT p_partkey, CAST(row_number() OVER (ORDER BY p_partkey) AS BIGINT) AS id FROM part WHERE p_size > 45")
 def running_id(spark: SparkSession, sf: str) -> DataFrame:
     """Numbers 1..n in key order, by counts of key ranges and ranks within them: no task orders all rows."""
-    p = table(spark, sf, "part").where("p_size > 45").select("p_partkey", F.floor(F.col("p_partkey") / 4096).alias("part"))
-    n = p.groupBy("part").agg(F.count("*").alias("n"))
-    n = n.withColumn("before", F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    rank = F.row_number().over(Window.partitionBy("part").orderBy("p_partkey"))
-    return p.withColumn("rank", rank).join(n, "part").select("p_partkey", (F.col("before") + F.col("rank")).alias("id"))
+    p = table(spark, sf, "part").where("p_size > 45").select("p_partkey")
+    return R.numbered(p, [], ["p_partkey"], F.floor(F.col("p_partkey") / 4096), "i").select("p_partkey", (F.col("i") + 1).alias("id"))
 
 
 @query(f"WITH {PIXELS_SQL} SELECT row, col FROM px WHERE blue + green + red + nir <> 0 AND blue > 500")
@@ -159,7 +156,7 @@ def asof_nearest(spark: SparkSession, sf: str) -> DataFrame:
   SELECT s.cls, p_partkey, CAST(copy AS BIGINT) AS copy FROM s JOIN m USING (cls), range(0, 1000) r(copy) WHERE i + copy * n < (SELECT max(n) FROM m)""")
 def balance_replicate(spark: SparkSession, sf: str) -> DataFrame:
     p = table(spark, sf, "part").select("p_partkey", (F.col("p_size") % 4).alias("cls"))
-    return R.balance(p, "cls", ["p_partkey"]).select("cls", "p_partkey", F.col("copy").cast("long").alias("copy"))
+    return R.balance(p, "cls", ["p_partkey"], F.floor(F.col("p_partkey") / 512)).select("cls", "p_partkey", F.col("copy").cast("long").alias("copy"))
 
 
 @query(f"""WITH {PIXELS_SQL}, poly AS (SELECT k, 5 + 8 * k AS x0, 2 + k AS y0 FROM range(0, 5) t(k))

@@ -27,7 +27,7 @@ def daily_total(spark: SparkSession, sf: str) -> DataFrame:
 @query("SELECT event_id, round(sum(value) OVER (PARTITION BY user_id, year(ts) ORDER BY ts ROWS UNBOUNDED PRECEDING), 3) AS total FROM events")
 def cum_rain(spark: SparkSession, sf: str) -> DataFrame:
     e = table(spark, sf, "events").withColumn("year", F.year("ts"))
-    return e.select("event_id", T.running_total(e, ["user_id", "year"], ["ts"], "value").alias("total"))
+    return T.running_total(e, ["user_id", "year"], ["ts"], "value", "total", F.dayofyear("ts")).select("event_id", "total")
 
 
 @query("SELECT event_id, round(sum(value) OVER (PARTITION BY user_id ORDER BY ts ROWS BETWEEN CURRENT ROW AND 7 FOLLOWING) / 8, 6) AS mean FROM events")

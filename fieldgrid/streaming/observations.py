@@ -14,9 +14,9 @@ from ..operators.relational import upsert
 EVENT_SCHEMA = "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string"
 
 
-def observations(spark: SparkSession, path: str, schema: str = EVENT_SCHEMA, delay: str = "2 hours", glob: str = "*.parquet") -> DataFrame:
-    """A stream of the files of a folder, with a watermark on ``ts``."""
-    raw = spark.readStream.schema(schema).option("pathGlobFilter", glob).parquet(path)
+def observations(spark: SparkSession, path: str, schema: str = EVENT_SCHEMA, delay: str = "2 hours") -> DataFrame:
+    """A stream of the files of a folder, or of what a path pattern matches, with a watermark on ``ts``."""
+    raw = spark.readStream.schema(schema).parquet(path)
     return raw.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", delay)
 
 
