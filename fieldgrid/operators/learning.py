@@ -145,3 +145,24 @@ def calinski_harabasz(df: DataFrame, label: str, vector: str) -> DataFrame:
     of = by.groupBy("i").agg(F.sum("s").alias("S"), F.sum("n").alias("N"), F.sum(F.col("s") * F.col("s") / F.col("n")).alias("b"), F.sum("q").alias("q"), F.count("*").alias("k"))
     sums = of.agg(F.sum(F.col("b") - F.col("S") * F.col("S") / F.col("N")).alias("between"), F.sum(F.col("q") - F.col("b")).alias("within"), F.max("N").alias("n"), F.max("k").alias("k"))
     return sums.select((F.try_divide(F.col("between") / (F.col("k") - 1), F.col("within") / (F.col("n") - F.col("k")))).alias("score"))
+
+
+def forest_regressor(df: DataFrame, features: Sequence[str], target: str, trees: int = 10, least: int = 100, seed: int = 42):  # noqa: ANN201
+    """A fitted regression forest whose leaves hold ``least`` rows or more."""
+    from pyspark.ml import Pipeline
+    from pyspark.ml.feature import VectorAssembler
+    from pyspark.ml.regression import RandomForestRegressor
+
+    forest = RandomForestRegressor(featuresCol="_features", labelCol=target, numTrees=trees, minInstancesPerNode=least, seed=seed)
+    return Pipeline(stages=[VectorAssembler(inputCols=list(features), outputCol="_features"), forest]).fit(df)
+
+
+def perceptron(df: DataFrame, features: Sequence[str], label: str, hidden: int, classes: int, steps: int = 50, seed: int = 42):  # noqa: ANN201
+    """A fitted perceptron with one hidden layer."""
+    from pyspark.ml import Pipeline
+    from pyspark.ml.classification import MultilayerPerceptronClassifier
+    from pyspark.ml.feature import StandardScaler, VectorAssembler
+
+    net = MultilayerPerceptronClassifier(featuresCol="_scaled", labelCol=label, layers=[len(features), hidden, classes], maxIter=steps, seed=seed)
+    stages = [VectorAssembler(inputCols=list(features), outputCol="_features"), StandardScaler(inputCol="_features", outputCol="_scaled", withMean=True), net]
+    return Pipeline(stages=stages).fit(df)

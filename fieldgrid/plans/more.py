@@ -4,10 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ..operators import learning as L
 from ..operators import raster as R
 from ..operators import regions as G
+from ..operators import registration as M
 from ..operators import zonal as Z
 from .registry import PIXELS_SQL, pixels, query, table
 
@@ -107,8 +109,6 @@ def maps_and_lookups(spark: SparkSession, sf: str) -> DataFrame:
 @query("SELECT supplier.s_suppkey AS station, n.c_custkey AS cell, r FROM (SELECT c_custkey, s_suppkey, row_number() OVER (PARTITION BY c_custkey ORDER BY abs(c_acctbal - s_acctbal), s_suppkey) AS r FROM customer, supplier WHERE c_custkey % 10 = 0) n JOIN supplier USING (s_suppkey) WHERE r <= 3")
 def nearest_stations(spark: SparkSession, sf: str) -> DataFrame:
     """The k nearest of a network of stations, which travels to the cells."""
-    from pyspark.sql.window import Window
-
     c, s = table(spark, sf, "customer").where("c_custkey % 10 = 0"), table(spark, sf, "supplier")
     each = c.join(F.broadcast(s)).withColumn("r", F.row_number().over(Window.partitionBy("c_custkey").orderBy(F.abs(F.col("c_acctbal") - F.col("s_acctbal")), "s_suppkey")))
     return each.where("r <= 3").select(F.col("s_suppkey").alias("station"), F.col("c_custkey").alias("cell"), F.col("r").cast("long").alias("r"))
@@ -121,3 +121,38 @@ def linear_rescale(spark: SparkSession, sf: str) -> DataFrame:
     return p.select(F.col("p_partkey").alias("id"), F.round((F.col("p_retailprice") - 900) / 1100 * 255, 3).alias("x"), (F.col("p_size") % 9 + 3).alias("dx"))
 
 
+
+
+@query(f"{W} SELECT zone, round(abs(corr(blue, nir)), 6) AS ncc FROM px GROUP BY zone")
+def window_correlation(spark: SparkSession, sf: str) -> DataFrame:
+    return M.correlation(pixels(spark, sf), "zone", "blue", "nir").select("zone", F.round("ncc", 6).alias("ncc"))
+
+
+@query("SELECT 2.0::DOUBLE AS a, 0.5::DOUBLE AS b, -3.0::DOUBLE AS c, -0.25::DOUBLE AS d, 1.5::DOUBLE AS e, 7.0::DOUBLE AS f, count(*) AS inliers FROM part WHERE p_partkey < 200 AND p_partkey % 4 <> 0")
+def consensus_affine(spark: SparkSession, sf: str) -> DataFrame:
+    """An affine map found among matches of which a quarter is wrong."""
+    k = F.col("p_partkey")
+    p = table(spark, sf, "part").where("p_partkey < 200").select(k.alias("id"), (k * 37 % 101).cast("double").alias("x"), (k * 53 % 97).cast("double").alias("y"))
+    wrong = F.when(F.col("id") % 4 == 0, 500.0 + F.col("id") * 13 % 89).otherwise(0.0)
+    m = p.select("id", "x", "y", (2 * F.col("x") + 0.5 * F.col("y") - 3 + wrong).alias("u"), (-0.25 * F.col("x") + 1.5 * F.col("y") + 7 - wrong).alias("v"))
+    return M.consensus_affine(m, 64, 0.5).select(*[F.round(c, 6).alias(c) for c in "abcdef"], "inliers")
+
+
+@query()
+def soil_line(spark: SparkSession, sf: str) -> DataFrame:
+    return M.soil_line(pixels(spark, sf).withColumn("level", F.floor(F.col("red") / 50)), "level", "nir", 3, 4, 3)
+
+
+_NAMES = ["blue", "green", "red", "nir"]
+
+
+@query()
+def forest_regression(spark: SparkSession, sf: str) -> DataFrame:
+    p = pixels(spark, sf)
+    return L.forest_regressor(p, _NAMES, "v", 5, 20).transform(p).select("row", "col", "v", F.round("prediction", 6).alias("prediction"))
+
+
+@query()
+def perceptron(spark: SparkSession, sf: str) -> DataFrame:
+    p = pixels(spark, sf).withColumn("y", (F.col("v") > 25).cast("double"))
+    return L.perceptron(p, _NAMES, "y", 8, 2, 20).transform(p).select("row", "col", "y", "prediction")
