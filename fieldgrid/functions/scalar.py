@@ -148,3 +148,24 @@ def in_ring(x: Column, y: Column, xs: Column, ys: Column) -> Column:
         return F.when(spans & (x < F.try_divide((x2 - x1) * (y - y1), y2 - y1) + x1), 1).otherwise(0)
 
     return F.aggregate(F.transform(i, crosses), F.lit(0), lambda s, v: s + v) % 2 == 1
+
+
+# The WGS 84 ellipsoid, and the scale of a UTM zone's central meridian.
+WGS84_A, WGS84_E2, UTM_SCALE = 6378137.0, 0.0066943799901413165, 0.9996
+
+
+def to_utm(lat: Column, lon: Column, zone: int) -> tuple[Column, Column]:
+    """Easting and northing (northern form) in metres, by the series in the difference of longitude; within a zone exact to millimetres."""
+    e2 = WGS84_E2
+    ep2 = e2 / (1 - e2)
+    phi, a = lat * _RAD, (lon - (6 * zone - 183)) * _RAD * F.cos(lat * _RAD)
+    n = WGS84_A / F.sqrt(1 - e2 * F.sin(phi) * F.sin(phi))
+    t, c = F.tan(phi) * F.tan(phi), ep2 * F.cos(phi) * F.cos(phi)
+    arc = WGS84_A * (
+        (1 - e2 / 4 - 3 * e2**2 / 64 - 5 * e2**3 / 256) * phi - (3 * e2 / 8 + 3 * e2**2 / 32 + 45 * e2**3 / 1024) * F.sin(2 * phi)
+        + (15 * e2**2 / 256 + 45 * e2**3 / 1024) * F.sin(4 * phi) - (35 * e2**3 / 3072) * F.sin(6 * phi)
+    )
+    a2 = a * a
+    east = UTM_SCALE * n * (a + (1 - t + c) * a * a2 / 6 + (5 - 18 * t + t * t + 72 * c - 58 * ep2) * a * a2 * a2 / 120) + 500000
+    north = UTM_SCALE * (arc + n * F.tan(phi) * (a2 / 2 + (5 - t + 9 * c + 4 * c * c) * a2 * a2 / 24 + (61 - 58 * t + t * t + 600 * c - 330 * ep2) * a2 * a2 * a2 / 720))
+    return east, north

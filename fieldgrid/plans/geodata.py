@@ -117,3 +117,13 @@ def polygon_clip(spark: SparkSession, sf: str) -> DataFrame:
 @query(f"WITH {PIXELS_SQL} SELECT zone, CAST(min(col) AS BIGINT) AS x0, CAST(max(col) AS BIGINT) AS x1, CAST(min(row) AS BIGINT) AS y0, CAST(max(row) AS BIGINT) AS y1 FROM px WHERE v > 40 GROUP BY zone")
 def zone_extent(spark: SparkSession, sf: str) -> DataFrame:
     return G.extent(pixels(spark, sf).where("v > 40"), ["zone"], "col", "row").select("zone", "x0", "x1", "y0", "y1")
+
+
+@query("""WITH p AS (SELECT p_partkey AS id, radians(40 + p_partkey % 20 * 0.5::DOUBLE) AS phi, (0.5 + p_partkey % 50 * 0.1::DOUBLE - 3) AS dl FROM part), k AS (SELECT *, 0.0066943799901413165::DOUBLE AS e FROM p),
+  q AS (SELECT *, e / (1 - e) AS ep, radians(dl) * cos(phi) AS a, 6378137.0 / sqrt(1 - e * sin(phi) * sin(phi)) AS n, tan(phi) * tan(phi) AS t FROM k), r AS (SELECT *, ep * cos(phi) * cos(phi) AS c, 6378137.0 * ((1 - e / 4 - 3 * e * e / 64 - 5 * e * e * e / 256) * phi - (3 * e / 8 + 3 * e * e / 32 + 45 * e * e * e / 1024) * sin(2 * phi) + (15 * e * e / 256 + 45 * e * e * e / 1024) * sin(4 * phi) - 35 * e * e * e / 3072 * sin(6 * phi)) AS arc FROM q)
+  SELECT id, round(0.9996 * n * (a + (1 - t + c) * pow(a, 3) / 6 + (5 - 18 * t + t * t + 72 * c - 58 * ep) * pow(a, 5) / 120) + 500000, 2) AS x, round(0.9996 * (arc + n * tan(phi) * (a * a / 2 + (5 - t + 9 * c + 4 * c * c) * pow(a, 4) / 24 + (61 - 58 * t + t * t + 600 * c - 330 * ep) * pow(a, 6) / 720)), 2) AS y FROM r""")
+def utm(spark: SparkSession, sf: str) -> DataFrame:
+    """Coordinates in UTM zone 31."""
+    k = F.col("p_partkey")
+    x, y = C.to_utm(40 + k % 20 * 0.5, 0.5 + k % 50 * 0.1, 31)
+    return table(spark, sf, "part").select(k.alias("id"), F.round(x, 2).alias("x"), F.round(y, 2).alias("y"))

@@ -150,3 +150,12 @@ def test_stream_goes_on_from_its_checkpoint(spark, tmp_path):
     observations.run_available(stream(), str(tmp_path / "out"), str(tmp_path / "check"))
     done = spark.read.parquet(str(tmp_path / "out")).collect()
     assert [(r.n, r.total) for r in done] == [(3, 6.0)]
+
+
+def test_projected_point(spark):
+    x, y = scalar.to_utm(F.lit(48.8582), F.lit(2.2945), 31)
+    row = spark.range(1).select(x.alias("x"), y.alias("y")).first()
+    assert row.x == pytest.approx(448251.795, abs=0.05) and row.y == pytest.approx(5411932.678, abs=0.05)
+    # A degree of the meridian at 45 degrees is 111 131 m on the ellipsoid.
+    a, b = (scalar.to_utm(F.lit(v), F.lit(3.0), 31)[1] for v in (44.5, 45.5))
+    assert spark.range(1).select((b - a) / 0.9996).first()[0] == pytest.approx(111131.7, abs=1)
