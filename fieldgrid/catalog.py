@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from .plans import documents, geodata, images, models, more, physics, relational, series  # noqa: F401
+from .plans import documents, geodata, images, models, more, outlines, physics, relational, series  # noqa: F401
 from .plans.registry import ORACLES, QUERIES, Query
 
 
