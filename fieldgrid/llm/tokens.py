@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from .bpe import encoder
+from .common import cut
 
 BLOCK_TOKENS = 65_536
 #: Blocks of a file whose prefix scan is one task's.
@@ -75,7 +76,7 @@ def scan(blocks: DataFrame, end_id: int, *, width: int = 2, labels: str | None =
     """(file, doc_no, start, n_tokens, terminated) of each document in the blocks' files, and its label if there are any.
 
     ``labels``: an array column that names, in order, the documents that end in the block. The blocks' bytes are read
-    once and not moved; their summaries (the separators' places) are.
+    once and not moved; their summaries (the separators' places) are written and used from there.
     """
     kind = _TYPES[width]
 
@@ -93,6 +94,7 @@ def scan(blocks: DataFrame, end_id: int, *, width: int = 2, labels: str | None =
     rest = [c for c in ("file", "block", labels) if c]
     kinds = dict(blocks.dtypes)
     found = blocks.select(*rest, "tokens").mapInPandas(find, ", ".join(f"{c} {kinds[c]}" for c in rest) + ", n long, ends array<int>")
+    found = cut(found)  # four uses; without it each would search the blocks again
     found = found.withColumn("part", F.floor(F.col("block") / GROUP)).withColumn("d", F.size("ends").cast("long"))
     earlier = lambda w: w.rowsBetween(Window.unboundedPreceding, -1)
     in_part = Window.partitionBy("file", "part").orderBy("block")
