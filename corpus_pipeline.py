@@ -10,7 +10,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fieldgrid.llm import bpe, language, mixing, neardup, quality
+from fieldgrid.llm import bpe, language, mixing, neardup, quality, similar
 from fieldgrid.llm.common import cut, fresh, table
 from fieldgrid.llm.queries import GOOD, LANGUAGE_FOLD, QUALITY_FOLD, RANKS
 
@@ -34,8 +34,8 @@ def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, that of the smallest id, of each group of near-duplicates."""
-    return neardup.keep_one_each(docs)
+    """One document, that of the smallest id, of each group that shares 0.8 of its five-word shingles."""
+    return neardup.keep_one_each(docs, similar.similar)
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

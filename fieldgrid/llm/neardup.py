@@ -14,7 +14,7 @@ and never becomes a component id unless its group has no other.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -206,12 +206,13 @@ def near_duplicates(docs: DataFrame, *, radius: int = RADIUS, shard_most: int =
     return prints.join(named, "fp").select("doc_id", "fp", "component_id")
 
 
-def keep_one_each(docs: DataFrame, **options: int) -> DataFrame:
+def keep_one_each(docs: DataFrame, find: Callable[..., DataFrame] = near_duplicates, **options: int) -> DataFrame:
     """The rows of ``docs`` without those whose component has a smaller id.
 
     A repeated id is one document: one of its rows stays. Rows without an id stay. Only ids travel until the last join.
+    ``find`` gives the component of each row.
     """
-    found = cut(near_duplicates(docs, **options))
+    found = cut(find(docs, **options))
     gone = found.where(F.col("doc_id") != F.col("component_id")).select("doc_id").distinct()
     kept = docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
     if found.where(F.col("doc_id").isNotNull()).groupBy("doc_id").count().where("count > 1").isEmpty():
