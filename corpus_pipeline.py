@@ -44,9 +44,14 @@ def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def bpe_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids of each document, and whether they decode to its text."""
+    """Token ids of each document, whether they decode to its text, and its slot and place in the mixed order.
+
+    The place doesn't depend on the order of files or rows, so it is the one by which the stage before has sorted.
+    """
     path, pattern = public_tokenizers.path(RANKS), public_tokenizers.PATTERN
-    return bpe.with_coding(docs, path, pattern)
+    place = fresh(docs, "place")
+    coded = bpe.with_coding(mixing.with_place(docs, place), path, pattern, place)
+    return coded.select("doc_id", "source", "ids", "n_tokens", "round_trip", f"{place}.slot", f"{place}.within")
 
 
 STAGES = [("quality", quality_stage), ("language", language_stage), ("near_dedup", near_dedup_stage), ("mixing", mixing_stage), ("bpe", bpe_stage)]

@@ -240,8 +240,8 @@ def with_digests(docs: DataFrame, path: str, pattern: str, column: str = "bpe")
     return docs.withColumn(column, digest(F.col("text")))
 
 
-def with_coding(docs: DataFrame, path: str, pattern: str) -> DataFrame:
-    """(doc_id, source, ids, n_tokens, round_trip) of each row: the ids of its text, and whether they decode to it."""
+def with_coding(docs: DataFrame, path: str, pattern: str, *also: str) -> DataFrame:
+    """(doc_id, source, ids, n_tokens, round_trip) of each row, and columns ``also``: the ids of its text, and whether they decode to it."""
 
     @F.pandas_udf("ids array<int>, n_tokens long, round_trip boolean")
     def code(texts: pd.Series) -> pd.DataFrame:
@@ -251,4 +251,4 @@ def with_coding(docs: DataFrame, path: str, pattern: str) -> DataFrame:
             rows.append((ids, len(ids), bpe.decode(ids) == (t or "").encode("utf-8", "replace")))
         return pd.DataFrame(rows, columns=["ids", "n_tokens", "round_trip"])
 
-    return docs.select("doc_id", "source", code(F.col("text")).alias("coded")).select("doc_id", "source", "coded.*")
+    return docs.select("doc_id", "source", *also, code(F.col("text")).alias("coded")).select("doc_id", "source", "coded.*", *also)

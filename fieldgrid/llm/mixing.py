@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import cut
+from .common import cut, fresh
 
 BLOCK_CHARS = 65_536
 #: Buckets of a source by hash of the id, for running totals; each is ordered by one task at a time.
@@ -141,11 +141,17 @@ def mixed(docs: DataFrame, weights: Mapping[str | None, int] | None = None, *, b
     return placed.join(met, ["key", "block"]).select("doc_id", "source", F.col("k").alias("block"), "slot", "released", "due", "within", "hash", "chars")
 
 
-def in_mixed_order(docs: DataFrame, weights: Mapping[str | None, int] | None = None, **options: float) -> DataFrame:
-    """The rows of ``docs``, all of them, sorted by slot and place in the block: files follow the schedule.
+def with_place(docs: DataFrame, column: str, weights: Mapping[str | None, int] | None = None, **options: float) -> DataFrame:
+    """The rows of ``docs``, all of them, and a struct of (slot, within, hash).
 
     Rows that repeat an id, source and length have one place, that of the first of them, so no row is lost or doubled.
     """
     order = mixed(docs, weights, **options).groupBy("doc_id", "source", "chars").agg(F.min(F.struct("slot", "within", "hash")).alias("place"))
     on = docs["doc_id"].eqNullSafe(order["doc_id"]) & docs["source"].eqNullSafe(order["source"]) & (F.coalesce(F.length(docs["text"]), F.lit(0)) == order["chars"])
-    return docs.join(order, on).orderBy(order["place"], docs["doc_id"]).select(*[docs[c] for c in docs.columns])
+    return docs.join(order, on).select(*[docs[c] for c in docs.columns], order["place"].alias(column))
+
+
+def in_mixed_order(docs: DataFrame, weights: Mapping[str | None, int] | None = None, **options: float) -> DataFrame:
+    """The rows of ``docs``, all of them, sorted by slot and place in the block: files follow the schedule."""
+    place = fresh(docs, "place")
+    return with_place(docs, place, weights, **options).orderBy(place, "doc_id").select(*docs.columns)
