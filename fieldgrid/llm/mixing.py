@@ -115,18 +115,15 @@ def mixed(docs: DataFrame, weights: Mapping[str | None, int] | None = None, *, b
     """A row for each of ``docs(doc_id, text, source)``: source, block, slot, released, due, within (its place in the block).
 
     ``weights``: whole shares by source; without them shares follow ``power`` of the sources' sizes. released and due
-    are slots; ``block`` counts only blocks that hold the start of a document.
+    are slots. A document has the slot of its first block; the other blocks of a long one have slots without a row.
     """
     placed, totals = with_blocks(docs, block_chars, buckets)
     placed = cut(placed)
-    # Blocks in which no document starts (a long one goes over them) get no slot: blocks are numbered again.
-    used = placed.groupBy("key", "block").agg(F.count("*").alias("docs"))
-    used = used.withColumn("part", F.floor(F.col("block") / 4096))
-    in_part = used.groupBy("key", "part").agg(F.count("*").alias("n"))
-    in_part = in_part.withColumn("earlier", F.coalesce(F.sum("n").over(Window.partitionBy("key").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    rank = F.row_number().over(Window.partitionBy("key", "part").orderBy("block")) - 1
-    numbered = cut(used.withColumn("rank", rank).join(in_part.select("key", "part", "earlier"), ["key", "part"]).select("key", "block", (F.col("earlier") + F.col("rank")).alias("k")))
-    sized = {r["key"]: (r["n"], r["chars"]) for r in numbered.groupBy("key").agg(F.count("*").alias("n")).join(totals, "key").collect()}  # a row for each source
+    # Blocks in which no document starts (a long one goes over them) use up slots of their source like any other.
+    used = placed.groupBy("key").agg((F.max("block") + 1).alias("used")).join(totals, "key")
+    n = F.greatest("used", F.ceil(F.col("chars") / block_chars))
+    sized = {r["key"]: (r["n"], r["chars"]) for r in used.select("key", n.alias("n"), "chars").collect()}  # a row for each source
+    numbered = placed.select("key", "block", F.col("block").alias("k")).distinct()
     own = {"null" if s is None else f"={s}": int(k) for s, k in weights.items()} if weights is not None else shares_by_size({s: c for s, (_, c) in sized.items()}, shares, power)
     phases = phases_of({s: n for s, (n, _) in sized.items()}, own)
     spark = docs.sparkSession

@@ -22,3 +22,14 @@ def test_rows_of_the_last_stage_have_their_slots(spark):
     for t in range(end + 1):
         held = Counter(slots[k] for k in range(t + 1))
         assert all(abs(held[s] - (t + 1) * k / sum(shares.values())) < 1 for s, k in shares.items())
+
+
+def test_long_documents_use_up_their_slots(spark):
+    rows = [(i, "x" * 10_000, "en", "long", 1) for i in range(40)] + [(100 + i, "y" * 250, "en", "short", 1) for i in range(1600)]
+    got = mixing.mixed(spark.createDataFrame(rows, DOCS), {"long": 1, "short": 1}, block_chars=1000, buckets=8).orderBy("slot", "within", "doc_id").collect()
+    assert len(got) == len(rows) and all(r.released <= r.slot < r.due for r in got)
+    chars = Counter()
+    for r in got:
+        assert abs(chars["long"] - r.slot / 2 * 1000) < 11_000 and abs(chars["short"] - r.slot / 2 * 1000) < 2000
+        chars[r.source] += r.chars
+    assert chars["long"] == chars["short"] == 400_000
