@@ -33,6 +33,32 @@ def cut(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+#: A key is hot with more than this share of all rows, so there are fewer than 1 / HOT_SHARE hot keys.
+HOT_SHARE = 0.001
+#: Rows of ids that may be broadcast; a larger table meets the other by a shuffle.
+BROADCAST_ROWS = 1_000_000
+
+
+def join_unique(rows: DataFrame, unique: DataFrame, key: str) -> DataFrame:
+    """``rows`` joined with ``unique``, which has each key once; rows of hot keys stay where they are.
+
+    The values of hot keys, fewer than 1 / HOT_SHARE, are broadcast; only the other rows are shuffled.
+    """
+    most = HOT_SHARE * rows.count()
+    hot = rows.groupBy(key).count().where(F.col("count") > max(most, 1000)).select(key)
+    if hot.isEmpty():
+        return rows.join(unique, key)
+    hot = cut(unique.join(hot, key))
+    few = F.broadcast(hot)
+    cold = rows.join(few, key, "left_anti").join(unique.join(few, key, "left_anti"), key)
+    return rows.join(few, key).unionByName(cold)
+
+
+def small(ids: DataFrame) -> DataFrame:
+    """``ids``, to be broadcast if it has BROADCAST_ROWS rows or fewer."""
+    return F.broadcast(ids) if ids.count() <= BROADCAST_ROWS else ids
+
+
 def fold(doc_id: Column, n: int) -> Column:
     """crc32 of the id as text, modulo ``n``."""
     return F.crc32(doc_id.cast("string").cast("binary")) % F.lit(n)

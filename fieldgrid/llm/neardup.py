@@ -8,8 +8,10 @@ fingerprints is dealt anew by runs of its remaining bits, again and again, so no
 Trees of all fingerprints are never collected or broadcast: they grow with the corpus.
 
 Defined cases: null, empty and white-space-only texts have fingerprint zero, linked like any other; texts of one or
-two words have one shingle, the whole sequence; equal rows and equal texts share a component; a null id keeps its row
-and never becomes a component id unless its group has no other.
+two words have one shingle, the whole sequence; texts of any length are read whole; equal rows and equal texts share a
+component, and an id that repeats with other texts has a row in each of theirs; a null id keeps its row and never
+becomes a component id unless its group has no other; an empty table gives an empty one; extra columns are left out
+here and stay in what ``keep_one_each`` returns.
 """
 
 from __future__ import annotations
@@ -22,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, fresh, join_unique, small
 
 RADIUS = 3
 #: Fingerprints that one BK-tree holds at most; larger shards are dealt anew by further bits.
@@ -196,25 +198,33 @@ def components(links: DataFrame) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, *, radius: int = RADIUS, shard_most: int = SHARD_MOST) -> DataFrame:
-    """(doc_id, fp, component_id) for each row of ``docs(doc_id, text)``; component_id is the smallest id reachable."""
-    prints = cut(with_fingerprint(docs.select("doc_id", "text")).select("doc_id", "fp"))
+    """(doc_id, fp, text_hash, component_id) for each row of ``docs(doc_id, text)``; component_id is the smallest id reachable."""
+    prints = cut(with_fingerprint(docs.select("doc_id", "text")).select("doc_id", "fp", F.xxhash64("text").alias("text_hash")))
     fps = cut(prints.groupBy("fp").agg(F.min("doc_id").alias("least")))
     linked = components(_links(fps.select("fp"), radius, shard_most)).withColumnRenamed("node", "fp")
     grouped = cut(fps.join(linked, "fp", "left").select("fp", "least", F.coalesce("label", "fp").alias("label")))
     ids = grouped.groupBy("label").agg(F.min("least").alias("component_id"))
     named = cut(grouped.join(ids, "label").select("fp", "component_id"))
-    return prints.join(named, "fp").select("doc_id", "fp", "component_id")
+    return join_unique(prints, named, "fp").select("doc_id", "fp", "text_hash", "component_id")
 
 
-def keep_one_each(docs: DataFrame, find: Callable[..., DataFrame] = near_duplicates, **options: int) -> DataFrame:
-    """The rows of ``docs`` without those whose component has a smaller id.
+def keep_one_each(docs: DataFrame, find: Callable[..., DataFrame] = near_duplicates, **options: float) -> DataFrame:
+    """One row of ``docs`` for each component: that of the smallest id, and of the smallest hash of its text if the id repeats.
 
-    A repeated id is one document: one of its rows stays. Rows without an id stay. Only ids travel until the last join.
-    ``find`` gives the component of each row.
+    Rows are told apart by id and text: an id that repeats with other texts loses none of them but to copies. Rows
+    without an id stay. Only ids and hashes travel until the last join. ``find`` gives the component of each row.
     """
-    found = cut(find(docs, **options))
-    gone = found.where(F.col("doc_id") != F.col("component_id")).select("doc_id").distinct()
-    kept = docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
-    if found.where(F.col("doc_id").isNotNull()).groupBy("doc_id").count().where("count > 1").isEmpty():
-        return kept
-    return kept.where(F.col("doc_id").isNotNull()).dropDuplicates(["doc_id"]).unionByName(kept.where(F.col("doc_id").isNull()))
+    found = cut(find(docs, **options).where(F.col("doc_id").isNotNull()).select("doc_id", "text_hash", "component_id"))
+    each = found.groupBy("component_id", "doc_id", "text_hash").count()
+    first = each.groupBy("component_id").agg(F.min(F.struct("doc_id", "text_hash")).alias("first"))
+    rows = cut(each.join(first, "component_id").withColumn("stays", F.struct("doc_id", "text_hash") == F.col("first")))
+    gone = small(cut(rows.where(~F.col("stays")).select("doc_id", "text_hash")))
+    again = small(cut(rows.where(F.col("stays") & (F.col("count") > 1)).select("doc_id", "text_hash")))
+    own, hashed = docs.columns, fresh(docs, "text_hash")
+    left = docs.withColumn(hashed, F.xxhash64("text"))
+    match = lambda ids: (left["doc_id"] == ids["doc_id"]) & (left[hashed] == ids["text_hash"])
+    left = left.join(gone, match(gone), "left_anti")
+    if again.isEmpty():
+        return left.select(*own)
+    once = left.join(again, match(again), "left_semi").dropDuplicates(["doc_id", hashed])
+    return left.join(again, match(again), "left_anti").unionByName(once).select(*own)

@@ -1,15 +1,19 @@
-"""Near-duplicates by similarity: texts whose sets of word shingles have a Jaccard similarity of ``least`` or more.
+"""SimHash near-duplicates at a similarity: texts whose sets of word shingles have a Jaccard similarity of ``least`` or more.
 
-Equal sets are one node. MinHash places of a set are cut into bands; two sets of similarity s share a band's bucket with
-a chance of 1 - (1 - s ** PLACES) ** BANDS, 0.99995 at 0.8. Pairs from buckets are only tried: a link is made where the
-similarity of the whole sets, counted exactly, suffices. Each set is first compared with the least of its buckets, and
-what that joins is one part. Then members of different parts are compared, all of them in buckets of up to
-``near`` + 1, and ``near`` neighbours in an order anew for each round in larger ones, until a round finds no link. So a
-large group of copies gives pairs in proportion to its size, not to its square.
+Sets of similarity 0.8 differ in 15 of 100 SimHash bits (64 bits: 9.7, give or take 2.9), so fingerprints are four words
+long here and the BK-trees' radius is RADIUS of 256 bits (similarity 0.8 is beyond it once in 3000 pairs). Runs of bits
+of which one must agree would be too short for that radius to deal shards by. Shards are dealt by bands of MinHash
+places of the same shingles instead: two sets of similarity s share a shard of a band with a chance of
+1 - (1 - s ** PLACES) ** BANDS, 0.99995 at 0.8. Pairs from shards are only tried: a link is made where the similarity of
+the whole sets, counted exactly, suffices.
+
+Equal sets are one node. Each node is first compared with the least of its shards, and what that joins is one part. In
+shards that hold several parts a BK-tree then offers each member's nearest of other parts, and at last all pairs of
+different parts within the radius. So a large group of copies gives pairs in proportion to its size.
 
 Defined cases: null, empty and white-space-only texts have one set, that of no words; texts of fewer words than a
-shingle have one shingle, the whole sequence; a null id keeps its row and never becomes a component id unless its group
-has no other.
+shingle have one shingle, the whole sequence; long texts are read whole; equal rows and equal texts share a component;
+a null id keeps its row and never becomes a component id unless its group has no other; an empty table gives none.
 """
 
 from __future__ import annotations
@@ -19,22 +23,25 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
-from .neardup import components
+from .common import cut, join_unique
+from .neardup import BKTree, components
 
 SHINGLE = 5
 LEAST = 0.8
 BANDS, PLACES = 25, 5
-#: Earlier members of a bucket that each member is compared with in one round.
+#: Bits of a fingerprint, and those in which near-duplicates may differ.
+BITS, RADIUS = 256, 58
+#: Nearest members of other parts that a member of a shard is compared with first, before all of them.
 NEAR = 16
-#: Rows whose sets a Python worker holds at a time.
+#: Rows that a Python worker turns into shingles at a time.
 SLICE = 256
 SEED = 42
 
 _ODD = np.random.default_rng(SEED).integers(0, 1 << 63, BANDS * PLACES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+_WORDS = BITS // 64
 
 
 def shingles(text: str | None, shingle: int = SHINGLE) -> np.ndarray:
@@ -48,28 +55,70 @@ def shingles(text: str | None, shingle: int = SHINGLE) -> np.ndarray:
 
 
 def bands(hashes: np.ndarray) -> list[int]:
-    """A bucket for each band: the hash of its number and of its MinHash places."""
+    """A shard for each band: the hash of its number and of its MinHash places."""
     low = np.full(len(_ODD), (1 << 64) - 1, dtype=np.uint64)
     for at in range(0, len(hashes), 1024):
         np.minimum(low, (_ODD[:, None] * hashes[None, at : at + 1024]).min(axis=1), out=low)
     return [xxhash.xxh64_intdigest(row.tobytes(), k) for k, row in enumerate(low.reshape(BANDS, PLACES))]
 
 
-def with_sets(docs: DataFrame, shingle: int) -> DataFrame:
-    """(doc_id, node, size, hashes, bands) of each row; node stands for the set."""
+def fingerprint(hashes: np.ndarray) -> np.ndarray:
+    """SimHash of a set, in 64-bit words: of the hashes themselves, then of what mixing makes of them."""
+    words = []
+    for k in range(_WORDS):
+        x = hashes
+        if k:
+            x = (x ^ (x >> np.uint64(29 + k))) * _ODD[k]
+            x = (x ^ (x >> np.uint64(32))) * _ODD[k + _WORDS]
+            x ^= x >> np.uint64(31)
+        ones = np.zeros(64, np.int64)
+        for at in range(0, len(x), 8192):
+            ones += np.unpackbits(x[at : at + 8192].astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+        words.append(np.packbits(ones * 2 > len(x), bitorder="little").view("<u8")[0])
+    return np.array(words, dtype=np.uint64)
+
+
+def with_shards(docs: DataFrame, shingle: int) -> DataFrame:
+    """(doc_id, text_hash, node, size, print, shards) of each row; node stands for the set of its shingles."""
+
+    def make(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for at in range(0, len(batch), SLICE):
+                part, rows = batch.iloc[at : at + SLICE], []
+                for t in part["text"]:
+                    h = shingles(t, shingle)
+                    rows.append((xxhash.xxh64_intdigest(h.tobytes(), SEED), len(h), fingerprint(h).view(np.int64), np.array(bands(h), dtype=np.uint64).view(np.int64)))
+                node = np.array([r[0] for r in rows], dtype=np.uint64).view(np.int64)
+                yield pd.DataFrame({"id": part["id"].array, "text_hash": part["text_hash"].array, "node": node, "size": [r[1] for r in rows], "print": [r[2] for r in rows], "shards": [r[3] for r in rows]})
+
+    # The id travels as text: a null among longs would make them doubles.
+    rows = docs.select(F.col("doc_id").cast("string").alias("id"), F.xxhash64("text").alias("text_hash"), "text")
+    made = rows.mapInPandas(make, "id string, text_hash long, node long, size int, print array<long>, shards array<long>")
+    return made.select(F.col("id").cast(docs.schema["doc_id"].dataType).alias("doc_id"), "text_hash", "node", "size", "print", "shards")
+
+
+def with_sets(docs: DataFrame, picked: DataFrame, shingle: int) -> DataFrame:
+    """(node, hashes) of the rows of ``docs`` that ``picked(node, doc_id, text_hash)`` names, one for each node."""
 
     def sets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for at in range(0, len(batch), SLICE):
                 part = batch.iloc[at : at + SLICE]
-                found = [shingles(t, shingle) for t in part["text"]]
-                node = np.array([xxhash.xxh64_intdigest(h.tobytes(), SEED) for h in found], dtype=np.uint64).view(np.int64)
-                keys = [np.array(bands(h), dtype=np.uint64).view(np.int64) for h in found]
-                yield pd.DataFrame({"id": part["id"].array, "node": node, "size": [len(h) for h in found], "hashes": [h.view(np.int64) for h in found], "bands": keys})
+                yield pd.DataFrame({"node": part["node"], "hashes": [shingles(t, shingle).view(np.int64) for t in part["text"]]})
+
+    rows = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), "text")
+    met = rows.join(picked, rows["doc_id"].eqNullSafe(picked["doc_id"]) & (rows["text_hash"] == picked["text_hash"])).select("node", "text")
+    return met.mapInPandas(sets, "node long, hashes array<long>").groupBy("node").agg(F.first("hashes").alias("hashes"))
+
+
+def _near(a: str, b: str, radius: int) -> Column:
+    """Whether two fingerprints are within the radius."""
+    bits = sum((F.bit_count(F.get(a, k).bitwiseXOR(F.get(b, k))) for k in range(_WORDS)), F.lit(0))
+    return bits <= radius
 
-    # The id travels as text: a null among longs would make them doubles.
-    made = docs.select(F.col("doc_id").cast("string").alias("id"), "text").mapInPandas(sets, "id string, node long, size int, hashes array<long>, bands array<long>")
-    return made.select(F.col("id").cast(docs.schema["doc_id"].dataType).alias("doc_id"), "node", "size", "hashes", "bands")
+
+def _fits(a: Column, b: Column, least: float) -> Column:
+    return F.least(a, b) >= least * F.greatest(a, b) - 1e-9
 
 
 def _alike(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
@@ -79,53 +128,60 @@ def _alike(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
     return cut(both.where(F.col("common") >= least * (F.col("sum") - F.col("common")) - 1e-9).select("a", "b"))
 
 
-def _neighbours(rows: DataFrame, near: int, seed: int, least: float) -> DataFrame:
-    """Pairs (a, b) of members of different parts: each with up to ``near`` before it in its bucket, if sizes allow."""
+def _tree_pairs(rows: DataFrame, radius: int, least: float, near: int | None) -> DataFrame:
+    """Pairs (a, b) of members of different parts of a shard that its BK-tree finds within the radius, if sizes allow.
+
+    ``near``: for each member the nearest before it, so many, of all parts but its own; without it all of them.
+    """
 
     def pair(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held: list[tuple[int, int, int]] = []
+        tree, held = BKTree(), []
         now = None
         for b in batches:
             out: list[tuple[int, int]] = []
-            for key, node, part, size in zip(b["key"].tolist(), b["node"].tolist(), b["part"].tolist(), b["size"].tolist(), strict=True):
+            for key, node, part, size, words in zip(b["key"].tolist(), b["node"].tolist(), b["part"].tolist(), b["size"].tolist(), b["print"], strict=True):
                 if key != now:
-                    held, now = [], key
-                out.extend([(min(m, node), max(m, node)) for m, p, s in held if p != part and min(s, size) >= least * max(s, size) - 1e-9])
+                    tree, held, now = BKTree(), [], key
+                value = int.from_bytes(np.asarray(words, dtype="<i8").tobytes(), "little")
+                found = [(held[i], i) for i in tree.within(value, radius)]
+                found = [(m, i) for (m, p, s), i in found if p != part and min(s, size) >= least * max(s, size) - 1e-9]
+                if near is not None and len(found) > near:
+                    found.sort(key=lambda x: ((tree.values[x[1]] ^ value).bit_count(), x[0]))
+                    del found[near:]
+                out.extend([(min(m, node), max(m, node)) for m, _ in found])
+                tree.add(value)
                 held.append((node, part, size))
-                if len(held) > near:
-                    del held[0]
+                if len(out) >= 100_000:
+                    yield pd.DataFrame(np.array(out, dtype=np.int64), columns=["a", "b"])
+                    out = []
             yield pd.DataFrame(np.array(out, dtype=np.int64).reshape(-1, 2), columns=["a", "b"])
 
-    dealt = rows.withColumn("turn", F.xxhash64("node", "key", F.lit(seed))).repartition("key").sortWithinPartitions("key", "turn", "node")
-    return dealt.select("key", "node", "part", "size").mapInPandas(pair, "a long, b long").distinct()
-
-
-def similar(docs: DataFrame, *, shingle: int = SHINGLE, least: float = LEAST, near: int = NEAR) -> DataFrame:
-    """(doc_id, component_id) for each row of ``docs(doc_id, text)``; component_id is the smallest id reachable."""
-    made = cut(with_sets(docs, shingle))
-    nodes = cut(made.groupBy("node").agg(F.min("doc_id").alias("least"), F.first("size").alias("size"), F.first("bands").alias("bands")))
-    entries = nodes.select("node", "size", F.explode("bands").alias("key"))
-    buckets = entries.groupBy("key").agg(F.min(F.struct("node", "size")).alias("first"), F.max("node").alias("last")).where(F.col("first.node") != F.col("last"))
-    met = cut(entries.join(buckets, "key").select("key", "node", "size", "first"))
-    sets = cut(made.select("node", "hashes").join(met.select("node").distinct(), "node", "left_semi").groupBy("node").agg(F.first("hashes").alias("hashes")))
-    fits = F.least("size", "first.size") >= least * F.greatest("size", "first.size") - 1e-9
-    tried = cut(met.where((F.col("node") != F.col("first.node")) & fits).select(F.col("first.node").alias("a"), F.col("node").alias("b")).distinct())
+    dealt = rows.select("key", "node", "part", "size", "print").repartition("key").sortWithinPartitions("key", "node")
+    return dealt.mapInPandas(pair, "a long, b long").distinct()
+
+
+def similar(docs: DataFrame, *, shingle: int = SHINGLE, least: float = LEAST, radius: int = RADIUS, near: int = NEAR) -> DataFrame:
+    """(doc_id, text_hash, component_id) for each row of ``docs(doc_id, text)``; component_id is the smallest id reachable."""
+    docs = docs.select("doc_id", "text")
+    made = cut(with_shards(docs, shingle))
+    one = F.struct("doc_id", "text_hash").alias("one")
+    nodes = made.groupBy("node").agg(F.min("doc_id").alias("least"), F.first("size").alias("size"), F.first("print").alias("print"), F.first("shards").alias("shards"), F.first(one).alias("one"))
+    nodes = cut(nodes)
+    entries = nodes.select("node", "size", "print", F.explode("shards").alias("key"))
+    shards = entries.groupBy("key").agg(F.min(F.struct("node", "size", "print")).alias("first"), F.max("node").alias("last")).where(F.col("first.node") != F.col("last"))
+    met = cut(entries.join(shards, "key").select("key", "node", "size", "print", "first"))
+    picked = nodes.join(met.select("node").distinct(), "node", "left_semi").select("node", "one.doc_id", "one.text_hash")
+    sets = cut(with_sets(docs, picked, shingle))
+    apart = (F.col("node") != F.col("first.node")) & _fits(F.col("size"), F.col("first.size"), least) & _near("print", "first.print", radius)
+    tried = cut(met.where(apart).select(F.col("first.node").alias("a"), F.col("node").alias("b")).distinct())
     links = _alike(tried, sets, least)
-    seed = 0
-    while True:
+    for most in (near, None):
         parts = components(links).select("node", F.col("label").alias("part"))
-        rows = cut(met.select("key", "node", "size").join(parts, "node", "left").withColumn("part", F.coalesce("part", "node")))
-        mixed = rows.groupBy("key").agg(F.min("part").alias("p"), F.max("part").alias("q"), F.count("*").alias("n")).where("p <> q").select("key", "n")
-        open_rows = cut(rows.join(mixed, "key"))
-        new = cut(_neighbours(open_rows, near, seed, least).join(tried, ["a", "b"], "left_anti"))
-        found = _alike(new, sets, least)
-        if found.isEmpty():
-            break
-        links = links.unionByName(found)
-        if open_rows.where(F.col("n") > near + 1).isEmpty():
-            break
-        tried, seed = tried.unionByName(new), seed + 1
-    named = nodes.select("node", "least").join(components(links), "node", "left").withColumn("label", F.coalesce("label", "node"))
-    named = cut(named)
+        rows = cut(met.select("key", "node", "size", "print").join(parts, "node", "left").withColumn("part", F.coalesce("part", "node")))
+        mixed = rows.groupBy("key").agg(F.min("part").alias("p"), F.max("part").alias("q")).where("p <> q").select("key")
+        new = cut(_tree_pairs(rows.join(mixed, "key", "left_semi"), radius, least, most).join(tried, ["a", "b"], "left_anti"))
+        links, tried = links.unionByName(_alike(new, sets, least)), tried.unionByName(new)
+    named = cut(nodes.select("node", "least").join(components(links), "node", "left").withColumn("label", F.coalesce("label", "node")))
     ids = named.groupBy("label").agg(F.min("least").alias("component_id"))
-    return made.select("doc_id", "node").join(cut(named.join(ids, "label").select("node", "component_id")), "node").select("doc_id", "component_id")
+    named = cut(named.join(ids, "label").select("node", "component_id"))
+    return join_unique(made.select("doc_id", "text_hash", "node"), named, "node").select("doc_id", "text_hash", "component_id")
