@@ -198,14 +198,17 @@ def components(links: DataFrame) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, *, radius: int = RADIUS, shard_most: int = SHARD_MOST) -> DataFrame:
-    """(doc_id, fp, text_hash, component_id) for each row of ``docs(doc_id, text)``; component_id is the smallest id reachable."""
+    """(doc_id, fp, text_hash, label, component_id) for each row of ``docs(doc_id, text)``.
+
+    label, a fingerprint, names the component; component_id is the smallest id reachable.
+    """
     prints = cut(with_fingerprint(docs.select("doc_id", "text")).select("doc_id", "fp", F.xxhash64("text").alias("text_hash")))
     fps = cut(prints.groupBy("fp").agg(F.min("doc_id").alias("least")))
     linked = components(_links(fps.select("fp"), radius, shard_most)).withColumnRenamed("node", "fp")
     grouped = cut(fps.join(linked, "fp", "left").select("fp", "least", F.coalesce("label", "fp").alias("label")))
     ids = grouped.groupBy("label").agg(F.min("least").alias("component_id"))
-    named = cut(grouped.join(ids, "label").select("fp", "component_id"))
-    return join_unique(prints, named, "fp").select("doc_id", "fp", "text_hash", "component_id")
+    named = cut(grouped.join(ids, "label").select("fp", "label", "component_id"))
+    return join_unique(prints, named, "fp").select("doc_id", "fp", "text_hash", "label", "component_id")
 
 
 def keep_one_each(docs: DataFrame, find: Callable[..., DataFrame] = near_duplicates, **options: float) -> DataFrame:
@@ -214,10 +217,10 @@ def keep_one_each(docs: DataFrame, find: Callable[..., DataFrame] = near_duplica
     Rows are told apart by id and text: an id that repeats with other texts loses none of them but to copies. Rows
     without an id stay. Only ids and hashes travel until the last join. ``find`` gives the component of each row.
     """
-    found = cut(find(docs, **options).where(F.col("doc_id").isNotNull()).select("doc_id", "text_hash", "component_id"))
-    each = found.groupBy("component_id", "doc_id", "text_hash").count()
-    first = each.groupBy("component_id").agg(F.min(F.struct("doc_id", "text_hash")).alias("first"))
-    rows = cut(each.join(first, "component_id").withColumn("stays", F.struct("doc_id", "text_hash") == F.col("first")))
+    found = cut(find(docs, **options).where(F.col("doc_id").isNotNull()).select("doc_id", "text_hash", "label"))
+    each = cut(found.groupBy("label", "doc_id", "text_hash").count())
+    first = cut(each.groupBy("label").agg(F.min(F.struct("doc_id", "text_hash")).alias("first")))
+    rows = cut(join_unique(each, first, "label").withColumn("stays", F.struct("doc_id", "text_hash") == F.col("first")))
     gone = small(cut(rows.where(~F.col("stays")).select("doc_id", "text_hash")))
     again = small(cut(rows.where(F.col("stays") & (F.col("count") > 1)).select("doc_id", "text_hash")))
     own, hashed = docs.columns, fresh(docs, "text_hash")

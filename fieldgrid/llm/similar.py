@@ -8,8 +8,10 @@ places of the same shingles instead: two sets of similarity s share a shard of a
 the whole sets, counted exactly, suffices.
 
 Equal sets are one node. Each node is first compared with the least of its shards, and what that joins is one part. In
-shards that hold several parts a BK-tree then offers each member's nearest of other parts, and at last all pairs of
-different parts within the radius. So a large group of copies gives pairs in proportion to its size.
+shards that hold several parts, BK-trees then find the members that are within the radius of one of another part; only
+these get their sets, and the trees are searched again, a link being made where whole sets suffice and nothing has
+joined the two yet. A task gives fewer links than it has members. Shards of more than ``near`` members are dealt to
+tasks by pairs of blocks, so none holds more than two blocks. A pair that meets in several shards is tried in the first.
 
 Defined cases: null, empty and white-space-only texts have one set, that of no words; texts of fewer words than a
 shingle have one shingle, the whole sequence; long texts are read whole; equal rows and equal texts share a component;
@@ -34,8 +36,8 @@ LEAST = 0.8
 BANDS, PLACES = 25, 5
 #: Bits of a fingerprint, and those in which near-duplicates may differ.
 BITS, RADIUS = 256, 58
-#: Nearest members of other parts that a member of a shard is compared with first, before all of them.
-NEAR = 16
+#: Members, and shingles of all members, of a block of a shard.
+NEAR, NEAR_SHINGLES = 1024, 2_000_000
 #: Rows that a Python worker turns into shingles at a time.
 SLICE = 256
 SEED = 42
@@ -128,60 +130,118 @@ def _alike(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
     return cut(both.where(F.col("common") >= least * (F.col("sum") - F.col("common")) - 1e-9).select("a", "b"))
 
 
-def _tree_pairs(rows: DataFrame, radius: int, least: float, near: int | None) -> DataFrame:
-    """Pairs (a, b) of members of different parts of a shard that its BK-tree finds within the radius, if sizes allow.
-
-    ``near``: for each member the nearest before it, so many, of all parts but its own; without it all of them.
-    """
-
-    def pair(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        tree, held = BKTree(), []
-        now = None
-        for b in batches:
-            out: list[tuple[int, int]] = []
-            for key, node, part, size, words in zip(b["key"].tolist(), b["node"].tolist(), b["part"].tolist(), b["size"].tolist(), b["print"], strict=True):
-                if key != now:
-                    tree, held, now = BKTree(), [], key
-                value = int.from_bytes(np.asarray(words, dtype="<i8").tobytes(), "little")
-                found = [(held[i], i) for i in tree.within(value, radius)]
-                found = [(m, i) for (m, p, s), i in found if p != part and min(s, size) >= least * max(s, size) - 1e-9]
-                if near is not None and len(found) > near:
-                    found.sort(key=lambda x: ((tree.values[x[1]] ^ value).bit_count(), x[0]))
-                    del found[near:]
-                out.extend([(min(m, node), max(m, node)) for m, _ in found])
-                tree.add(value)
-                held.append((node, part, size))
-                if len(out) >= 100_000:
-                    yield pd.DataFrame(np.array(out, dtype=np.int64), columns=["a", "b"])
-                    out = []
-            yield pd.DataFrame(np.array(out, dtype=np.int64).reshape(-1, 2), columns=["a", "b"])
-
-    dealt = rows.select("key", "node", "part", "size", "print").repartition("key").sortWithinPartitions("key", "node")
-    return dealt.mapInPandas(pair, "a long, b long").distinct()
+def _in_blocks(rows: DataFrame, near: int) -> DataFrame:
+    """``rows`` with the pairs of blocks (lo, hi) of their shard in which they are compared, and their own block."""
+    sizes = rows.groupBy("key").agg(F.count("*").alias("n"), F.sum("size").alias("sum"), F.min("part").alias("p"), F.max("part").alias("q")).where("p <> q")
+    blocks = F.greatest(F.ceil(F.col("n") / near), F.ceil(F.col("sum") / NEAR_SHINGLES)).cast("int")
+    sized = rows.join(sizes.select("key", blocks.alias("blocks")), "key").withColumn("own", F.pmod(F.xxhash64("node"), "blocks").cast("int"))
+    met = sized.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    return met.select("key", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), "own", "node", "part", "size", "print", "shards")
+
+
+class _Block:
+    """A BK-tree over members of two blocks of a shard, searched for members of other parts."""
+
+    def __init__(self, key: tuple[int, int, int], radius: int, least: float) -> None:
+        self.key, self.radius, self.least, self.tree = key, radius, least, BKTree()
+        self.held: list[tuple[int, int, int, np.ndarray]] = []
+
+    def add(self, own: int, part: int, size: int, words: np.ndarray, shards: np.ndarray) -> Iterator[int]:
+        """Numbers of the members before it within the radius that it is to be compared with here."""
+        value = int.from_bytes(np.asarray(words, dtype="<i8").tobytes(), "little")
+        key, lo, hi = self.key
+        for i in self.tree.within(value, self.radius):
+            o, p, s, other = self.held[i]
+            if p != part and (lo == hi or o != own) and min(s, size) >= self.least * max(s, size) - 1e-9 and shards[np.argmax(shards == other)] == key:
+                yield i
+        self.tree.add(value)
+        self.held.append((own, part, size, shards))
+
+
+def _by_block(batches: Iterator[pd.DataFrame]) -> Iterator[tuple[tuple[int, int, int], tuple]]:
+    """Rows one by one with their (key, lo, hi)."""
+    for b in batches:
+        yield from zip(zip(b["key"].tolist(), b["lo"].tolist(), b["hi"].tolist(), strict=True), b.itertuples(index=False), strict=True)
+
+
+def _close(blocks: DataFrame, radius: int, least: float) -> DataFrame:
+    """The rows of ``blocks`` that have a member of another part within the radius, in the block pair where both are compared."""
+
+    def search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        block, rows, near = None, [], set()
+        for key, row in _by_block(batches):
+            if block is None or key != block.key:
+                if near:
+                    yield pd.DataFrame([rows[i] for i in sorted(near)])
+                block, rows, near = _Block(key, radius, least), [], set()
+            found = list(block.add(row.own, row.part, row.size, row.print, row.shards))
+            if found:
+                near.update(found, [len(rows)])
+            rows.append(row)
+        if near:
+            yield pd.DataFrame([rows[i] for i in sorted(near)])
+
+    return blocks.repartition("key", "lo", "hi").sortWithinPartitions("key", "lo", "hi", "node").mapInPandas(search, blocks.schema)
+
+
+def _tree_links(close: DataFrame, radius: int, least: float) -> DataFrame:
+    """Links (a, b) between members of different parts whose sets are similar, enough to connect all that are."""
+
+    def link(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        block, held, top, out = None, [], {}, []
+
+        def root(p: int) -> int:
+            while (up := top.setdefault(p, p)) != p:
+                top[p] = p = top[up]
+            return p
+
+        for key, row in _by_block(batches):
+            if block is None or key != block.key:
+                block, held, top = _Block(key, radius, least), [], {}
+            own = np.asarray(row.hashes).view(np.uint64)
+            for i in block.add(row.own, row.part, row.size, row.print, row.shards):
+                node, part, other = held[i]
+                if (a := root(part)) != (b := root(row.part)) and _similarity(own, other) >= least - 1e-12:
+                    top[max(a, b)] = min(a, b)
+                    out.append((min(node, row.node), max(node, row.node)))
+            held.append((row.node, row.part, own))
+            if len(out) >= 10_000:
+                yield pd.DataFrame(out, columns=["a", "b"])
+                out = []
+        yield pd.DataFrame(np.array(out, dtype=np.int64).reshape(-1, 2), columns=["a", "b"])
+
+    return close.repartition("key", "lo", "hi").sortWithinPartitions("key", "lo", "hi", "node").mapInPandas(link, "a long, b long").distinct()
+
+
+def _similarity(x: np.ndarray, y: np.ndarray) -> float:
+    """Jaccard similarity of two sorted sets."""
+    if len(x) > len(y):
+        x, y = y, x
+    common = int((y[np.minimum(np.searchsorted(y, x), len(y) - 1)] == x).sum())
+    return common / (len(x) + len(y) - common)
 
 
 def similar(docs: DataFrame, *, shingle: int = SHINGLE, least: float = LEAST, radius: int = RADIUS, near: int = NEAR) -> DataFrame:
-    """(doc_id, text_hash, component_id) for each row of ``docs(doc_id, text)``; component_id is the smallest id reachable."""
+    """(doc_id, text_hash, label, component_id) for each row of ``docs(doc_id, text)``.
+
+    label names the component; component_id is the smallest id in it.
+    """
     docs = docs.select("doc_id", "text")
     made = cut(with_shards(docs, shingle))
-    one = F.struct("doc_id", "text_hash").alias("one")
-    nodes = made.groupBy("node").agg(F.min("doc_id").alias("least"), F.first("size").alias("size"), F.first("print").alias("print"), F.first("shards").alias("shards"), F.first(one).alias("one"))
-    nodes = cut(nodes)
+    one = F.struct("doc_id", "text_hash")
+    nodes = cut(made.groupBy("node").agg(F.min("doc_id").alias("least"), F.first("size").alias("size"), F.first("print").alias("print"), F.first("shards").alias("shards"), F.first(one).alias("one")))
     entries = nodes.select("node", "size", "print", F.explode("shards").alias("key"))
     shards = entries.groupBy("key").agg(F.min(F.struct("node", "size", "print")).alias("first"), F.max("node").alias("last")).where(F.col("first.node") != F.col("last"))
     met = cut(entries.join(shards, "key").select("key", "node", "size", "print", "first"))
     picked = nodes.join(met.select("node").distinct(), "node", "left_semi").select("node", "one.doc_id", "one.text_hash")
     sets = cut(with_sets(docs, picked, shingle))
     apart = (F.col("node") != F.col("first.node")) & _fits(F.col("size"), F.col("first.size"), least) & _near("print", "first.print", radius)
-    tried = cut(met.where(apart).select(F.col("first.node").alias("a"), F.col("node").alias("b")).distinct())
-    links = _alike(tried, sets, least)
-    for most in (near, None):
-        parts = components(links).select("node", F.col("label").alias("part"))
-        rows = cut(met.select("key", "node", "size", "print").join(parts, "node", "left").withColumn("part", F.coalesce("part", "node")))
-        mixed = rows.groupBy("key").agg(F.min("part").alias("p"), F.max("part").alias("q")).where("p <> q").select("key")
-        new = cut(_tree_pairs(rows.join(mixed, "key", "left_semi"), radius, least, most).join(tried, ["a", "b"], "left_anti"))
-        links, tried = links.unionByName(_alike(new, sets, least)), tried.unionByName(new)
+    links = _alike(met.where(apart).select(F.col("first.node").alias("a"), F.col("node").alias("b")).distinct(), sets, least)
+    parts = components(links).select("node", F.col("label").alias("part"))
+    rows = met.select("key", "node").join(parts, "node", "left").withColumn("part", F.coalesce("part", "node")).join(nodes.select("node", "size", "print", "shards"), "node")
+    close = cut(_close(_in_blocks(cut(rows), near), radius, least))
+    links = links.unionByName(cut(_tree_links(close.join(sets, "node"), radius, least)))
     named = cut(nodes.select("node", "least").join(components(links), "node", "left").withColumn("label", F.coalesce("label", "node")))
     ids = named.groupBy("label").agg(F.min("least").alias("component_id"))
-    named = cut(named.join(ids, "label").select("node", "component_id"))
-    return join_unique(made.select("doc_id", "text_hash", "node"), named, "node").select("doc_id", "text_hash", "component_id")
+    named = cut(named.join(ids, "label").select("node", "label", "component_id"))
+    return join_unique(made.select("doc_id", "text_hash", "node"), named, "node").select("doc_id", "text_hash", "label", "component_id")
