@@ -1,7 +1,9 @@
 """Media columns: signature sniffing of stored bytes.
 
 An Aho-Corasick automaton finds the magic bytes of all known formats in one pass over a value. A validator of the
-format then reads the structure behind each hit: chunk lengths, segment markers, checksums where the format has them.
+format then reads the structure behind each hit: chunk lengths, segment markers, and checksums of PNG chunks, gzip
+streams and the last FLAC frame (not those of OGG pages and ZIP entries). Marks and chains that several hits share are
+found once for each value, so a value full of signatures of one format takes time in proportion to its length.
 A hit that passes gives a type and an exact length; the one at the start corrects the declared type, the others are
 carved as embedded media. Hits that fail are text that looks like a signature.
 
@@ -9,7 +11,7 @@ carved as embedded media. Hits that fail are text that looks like a signature.
 multiple of 64. ``load`` finds the samples again by sniffing.
 
 Defined cases: a null text is stored like an empty one, as 64 zeros; null and empty values are ``unknown`` with length
-0 and nothing embedded; a truncated value is ``unknown``; overlapping embedded media are carved from the first one on,
+0 and nothing embedded; a truncated value is ``unknown``; values of any length are read whole; overlapping embedded media are carved from the first one on,
 inside each other only at the top level; repeated rows get equal results; extra columns stay, but for one of the name of the result.
 """
 
@@ -17,8 +19,10 @@ from __future__ import annotations
 
 import functools
 import hashlib
+import re
 import struct
 import zlib
+from bisect import bisect_left
 from collections.abc import Callable
 
 import ahocorasick
@@ -46,8 +50,84 @@ MAGIC = [
 ]
 
 
-def _wav(b: bytes, at: int) -> int:
+class Value:
+    """A value's bytes, and what several hits in it share; each is found once."""
+
+    def __init__(self, b: bytes) -> None:
+        self.b = b
+        self._marks: dict[bytes, list[int]] = {}
+        self._blocks: dict[int, int] = {}
+        self._pages: dict[int, int] = {}
+
+    def after(self, mark: bytes, at: int) -> int:
+        """The first place of a mark from ``at`` on, -1 if there is none."""
+        if mark not in self._marks:
+            self._marks[mark] = [m.start() for m in re.finditer(re.escape(mark), self.b)]
+        places = self._marks[mark]
+        k = bisect_left(places, at)
+        return places[k] if k < len(places) else -1
+
+    @functools.cached_property
+    def archives(self) -> dict[int, int]:
+        """Ends of ZIP archives by the start that their end record gives."""
+        found: dict[int, int] = {}
+        p = 0
+        while (p := self.after(b"PK\x05\x06", p)) >= 0 and p + 22 <= len(self.b):
+            size, offset, note = struct.unpack_from("<IIH", self.b, p + 12)
+            at = p - offset - size
+            if at >= 0 and self.b[at + offset : at + offset + 4] == b"PK\x01\x02" and p + 22 + note <= len(self.b):
+                found.setdefault(at, p + 22 + note)
+            p += 4
+        return found
+
+    def sub_blocks(self, p: int) -> int:
+        """The place behind a chain of counted GIF blocks."""
+        return self._chain(self._blocks, p, lambda q: (q + 1 + self.b[q], False) if q < len(self.b) and self.b[q] else (q + 1, True))
+
+    def pages_end(self, p: int) -> int:
+        """The place behind the last of the OGG pages that start here, -1 if they are broken off."""
+
+        def page(q: int) -> tuple[int, bool]:
+            if self.b[q : q + 4] != b"OggS" or q + 27 > len(self.b) or self.b[q + 4]:
+                return -1, True
+            n = self.b[q + 26]
+            end = q + 27 + n + sum(self.b[q + 27 : q + 27 + n])
+            return (-1, True) if end > len(self.b) else (end, bool(self.b[q + 5] & 4))
+
+        return self._chain(self._pages, p, page)
+
+    def flac_ends(self, start: int) -> bool:
+        """Whether the value's last FLAC frame, not before ``start``, ends with its checksum."""
+        if self._last_frame is None:
+            return False
+        return self._last_frame >= start
+
+    @functools.cached_property
+    def _last_frame(self) -> int | None:
+        p = len(self.b)
+        while (p := max(self.b.rfind(b"\xff\xf8", 0, p), self.b.rfind(b"\xff\xf9", 0, p))) >= 0:
+            if _flac_frame(self.b, p):
+                return p if _crc(self.b[p:], 0x8005, 16) == 0 else None
+        return None
+
+    @staticmethod
+    def _chain(known: dict[int, int], p: int, step: Callable[[int], tuple[int, bool]]) -> int:
+        """Where a chain of steps ends; every place on the way is remembered with it."""
+        way = []
+        while p not in known:
+            way.append(p)
+            p, last = step(p)
+            if last:
+                break
+        else:
+            p = known[p]
+        known.update(dict.fromkeys(way, p))
+        return p
+
+
+def _wav(v: Value, at: int) -> int:
     """RIFF chunks: each has its length; format and data must be there."""
+    b = v.b
     if len(b) < at + 12 or b[at + 8 : at + 12] != b"WAVE":
         return 0
     end, p, seen = at + 8 + int.from_bytes(b[at + 4 : at + 8], "little"), at + 12, set()
@@ -58,8 +138,9 @@ def _wav(b: bytes, at: int) -> int:
     return end - at if p == end and {b"fmt ", b"data"} <= seen else 0
 
 
-def _png(b: bytes, at: int) -> int:
+def _png(v: Value, at: int) -> int:
     """Chunks with length and checksum, from IHDR to IEND."""
+    b = v.b
     p, first = at + 8, True
     while p + 12 <= len(b):
         size, kind = int.from_bytes(b[p : p + 4], "big"), b[p + 4 : p + 8]
@@ -71,13 +152,9 @@ def _png(b: bytes, at: int) -> int:
     return 0
 
 
-def _gif(b: bytes, at: int) -> int:
+def _gif(v: Value, at: int) -> int:
     """Screen descriptor and colour table, then extension and image blocks up to the trailer."""
-
-    def blocks(p: int) -> int:
-        while p < len(b) and b[p]:
-            p += 1 + b[p]
-        return p + 1
+    b = v.b
 
     table = lambda flags: 3 * (2 << (flags & 7)) if flags & 0x80 else 0
     if len(b) < at + 14:
@@ -87,16 +164,17 @@ def _gif(b: bytes, at: int) -> int:
         if b[p] == 0x3B:
             return p + 1 - at
         if b[p] == 0x21:
-            p = blocks(p + 2)
+            p = v.sub_blocks(p + 2)
         elif b[p] == 0x2C and p + 10 < len(b):
-            p = blocks(p + 10 + table(b[p + 9]) + 1)
+            p = v.sub_blocks(p + 10 + table(b[p + 9]) + 1)
         else:
             return 0
     return 0
 
 
-def _jpeg(b: bytes, at: int) -> int:
+def _jpeg(v: Value, at: int) -> int:
     """Segments with length, entropy-coded data after a scan header, the end marker."""
+    b = v.b
     p, frame = at + 2, False
     while p + 4 <= len(b):
         if b[p] != 0xFF:
@@ -120,36 +198,33 @@ def _jpeg(b: bytes, at: int) -> int:
     return 0
 
 
-def _bmp(b: bytes, at: int) -> int:
+def _bmp(v: Value, at: int) -> int:
     """File length, zero reserved fields, an info header of a known size, pixels inside the file."""
+    b = v.b
     if len(b) < at + 26:
         return 0
     size, reserved, pixels, header = struct.unpack_from("<IIII", b, at + 2)
     return size if not reserved and header in (12, 40, 108, 124) and 14 + header <= pixels <= size <= len(b) - at else 0
 
 
-def _pdf(b: bytes, at: int) -> int:
+def _pdf(v: Value, at: int) -> int:
     """A cross-reference start and the end mark behind it."""
+    b = v.b
     if not b[at + 5 : at + 8].replace(b".", b"").isdigit():
         return 0
-    ref = b.find(b"startxref", at)
-    end = b.find(b"%%EOF", ref) if ref >= 0 else -1
+    ref = v.after(b"startxref", at)
+    end = v.after(b"%%EOF", ref) if ref >= 0 else -1
     return end + 5 - at if end >= 0 else 0
 
 
-def _zip(b: bytes, at: int) -> int:
+def _zip(v: Value, at: int) -> int:
     """An end record whose directory lies where it says, counted from the first entry."""
-    p = at
-    while (p := b.find(b"PK\x05\x06", p)) >= 0 and p + 22 <= len(b):
-        size, offset, note = struct.unpack_from("<IIH", b, p + 12)
-        if at + offset + size == p and b[at + offset : at + offset + 4] == b"PK\x01\x02" and p + 22 + note <= len(b):
-            return p + 22 + note - at
-        p += 4
-    return 0
+    return v.archives.get(at, at) - at
 
 
-def _gzip(b: bytes, at: int) -> int:
+def _gzip(v: Value, at: int) -> int:
     """A stream that inflates to its own checksum and length."""
+    b = v.b
     try:
         d = zlib.decompressobj(31)
         rest = memoryview(b)[at:]
@@ -163,8 +238,9 @@ def _gzip(b: bytes, at: int) -> int:
         return 0
 
 
-def _flac(b: bytes, at: int) -> int:
-    """Metadata blocks with their lengths, the first a stream info; the frames go on to the end of the value."""
+def _flac(v: Value, at: int) -> int:
+    """Metadata blocks with their lengths, the first a stream info, then frames up to the end of the value, the last one whole."""
+    b = v.b
     p, first = at + 4, True
     while p + 4 <= len(b):
         kind, size = b[p], int.from_bytes(b[p + 1 : p + 4], "big")
@@ -172,24 +248,45 @@ def _flac(b: bytes, at: int) -> int:
             return 0
         p, first = p + 4 + size, False
         if kind & 0x80:
-            return len(b) - at if p + 2 <= len(b) and b[p] == 0xFF and b[p + 1] & 0xFC == 0xF8 else 0
+            return len(b) - at if _flac_frame(b, p) and v.flac_ends(p) else 0
     return 0
 
 
-def _ogg(b: bytes, at: int) -> int:
+def _flac_frame(b: bytes, p: int) -> bool:
+    """Whether a frame starts here: sync code, defined fields, and the header's checksum."""
+    if p + 6 > len(b) or b[p] != 0xFF or b[p + 1] & 0xFE != 0xF8 or not b[p + 2] >> 4 or b[p + 2] & 15 == 15 or b[p + 3] >> 4 > 10 or b[p + 3] & 1:
+        return False
+    more = next((k for k in range(8) if not b[p + 4] << k & 0x80), 8)  # bytes of the frame's number
+    size = 4 + max(1, more) + {6: 1, 7: 2}.get(b[p + 2] >> 4, 0) + {12: 1, 13: 2, 14: 2}.get(b[p + 2] & 15, 0)
+    return p + size < len(b) and _crc(b[p : p + size + 1], 0x07, 8) == 0
+
+
+def _crc(data: bytes, poly: int, width: int) -> int:
+    """Checksum of ``width`` bits, most significant first, from zero; zero for data that its checksum ends."""
+    table, low, crc = _crc_table(poly, width), (1 << width) - 1, 0
+    for x in data:
+        crc = (crc << 8 & low) ^ table[(crc >> width - 8) ^ x]
+    return crc
+
+
+@functools.cache
+def _crc_table(poly: int, width: int) -> list[int]:
+    out = []
+    for x in range(256):
+        x <<= width - 8
+        for _ in range(8):
+            x = (x << 1) ^ (poly if x >> width - 1 else 0)
+            x &= (1 << width) - 1
+        out.append(x)
+    return out
+
+
+def _ogg(v: Value, at: int) -> int:
     """Pages, each of the length that its segment table sums to, up to one that is marked as the last."""
-    p = at
-    while b[p : p + 4] == b"OggS" and p + 27 <= len(b) and not b[p + 4]:
-        n = b[p + 26]
-        last, p = b[p + 5] & 4, p + 27 + n + sum(b[p + 27 : p + 27 + n])
-        if p > len(b):
-            return 0
-        if last:
-            return p - at
-    return 0
+    return max(0, v.pages_end(at) - at)
 
 
-VALIDATORS: dict[str, Callable[[bytes, int], int]] = {
+VALIDATORS: dict[str, Callable[[Value, int], int]] = {
     "audio/wav": _wav, "image/png": _png, "image/gif": _gif, "image/jpeg": _jpeg, "image/bmp": _bmp, "application/pdf": _pdf,
     "application/zip": _zip, "application/gzip": _gzip, "audio/flac": _flac, "audio/ogg": _ogg,
 }
@@ -206,11 +303,11 @@ def _automaton() -> ahocorasick.Automaton:
 
 def find_media(value: bytes) -> tuple[list[tuple[int, int, str]], int]:
     """(start, length, type) of the valid media, none inside another but those inside the first one, and the number of signatures met."""
-    found, hits, free = [], 0, 0
+    found, hits, free, v = [], 0, 0, Value(value)
     for end, (n, kind) in _automaton().iter(value.decode("latin-1")):
         hits += 1
         at = end + 1 - n
-        if at >= free and (size := VALIDATORS[kind](value, at)):
+        if at >= free and (size := VALIDATORS[kind](v, at)):
             found.append((at, size, kind))
             free = at + size if at else free  # what fills the value from its start may hold others
     return found, hits
