@@ -29,6 +29,8 @@ TRIGRAMS, BIGRAMS = 1 << 16, 1 << 12
 PENALTY = 8.0
 #: Words of a text that are decoded in step; characters of texts that are held as arrays at once.
 SEGMENT, PORTION = 128, 1_000_000
+#: Values of ways through segments that are computed at once.
+WAYS = 1 << 23
 
 # First and last code points of scripts.
 SCRIPTS = {
@@ -156,57 +158,69 @@ def _extend(out: tuple, more: tuple) -> None:
 def best_path(scores: np.ndarray, doc: np.ndarray, penalty: float) -> np.ndarray:
     """Viterbi: the state of each word that maximises each text's sum of scores less ``penalty`` for each change.
 
-    Texts are cut into segments, which are decoded in step for every state before them; the segments of each text
-    are then joined, so a long text costs as many steps as a short one.
+    Texts are cut into segments, which are decoded in step: first for every state before them, which gives the values
+    of n x n ways through each; then the segments of each text are joined, which gives the state before each; then
+    once more from that state, with one pointer for each word and state. A long text costs as many steps as a short one.
     """
     w, n = scores.shape
     if not w:
         return np.zeros(0, np.int64)
+    penalty = np.float32(penalty)
     place = np.arange(w) - np.searchsorted(doc, doc)  # of the word in its text
     seg_first = np.flatnonzero(place % SEGMENT == 0)
     seg_size = np.diff(np.append(seg_first, w))
     opening = place[seg_first] == 0
-    order = np.argsort(-seg_size, kind="stable")
-    active = np.searchsorted(-seg_size[order], -np.arange(seg_size.max()), side="left")
-    enter = np.where(np.eye(n, dtype=bool), 0.0, -penalty).astype(np.float32)
-    best = np.where(opening[order][:, None, None], np.float32(0), enter[None]) + scores[seg_first[order]][:, None, :]
-    back = np.zeros((w, n, n), np.int8)
-    own = np.arange(n, dtype=np.int8)
-    for t in range(1, len(active)):
-        a = int(active[t])
-        at, was = seg_first[order[:a]] + t, best[:a]
-        change = was.max(axis=2, keepdims=True) - np.float32(penalty)
-        back[at] = np.where(was >= change, own, was.argmax(axis=2)[:, :, None])
-        best[:a] = np.maximum(was, change) + scores[at][:, None, :]
-    by_seg = np.empty_like(best)
-    by_seg[order] = best
+    order = np.argsort(-seg_size, kind="stable")  # long segments first: those that still run are a prefix
+    enter = np.where(np.eye(n, dtype=bool), np.float32(0), -penalty)
+    by_seg = np.empty((len(order), n, n), np.float32)
+    step = max(1, WAYS // (n * n))
+    for a in range(0, len(order), step):
+        segs = order[a : a + step]
+        best = np.where(opening[segs][:, None, None], np.float32(0), enter[None]) + scores[seg_first[segs]][:, None, :]
+        for t, live in _steps(seg_size[segs]):
+            was = best[:live]
+            best[:live] = np.maximum(was, was.max(axis=2, keepdims=True) - penalty) + scores[seg_first[segs[:live]] + t][:, None, :]
+        by_seg[segs] = best
     # Join the segments of each text: texts in step, by number of segments.
     text_first = np.flatnonzero(opening)
     many = np.diff(np.append(text_first, len(seg_first)))
     texts = np.argsort(-many, kind="stable")
-    live = np.searchsorted(-many[texts], -np.arange(many.max()), side="left")
     value, came = np.zeros((len(texts), n), np.float64), np.zeros((len(seg_first), n), np.int64)
+    live = np.searchsorted(-many[texts], -np.arange(many.max()), side="left")
     for j, a in enumerate(live.tolist()):
         at = text_first[texts[:a]] + j
         ways = value[:a, :, None] + by_seg[at]
         came[at], value[:a] = ways.argmax(axis=1), ways.max(axis=1)
-    state, last = value.argmax(axis=1), np.zeros(len(seg_first), np.int64)
-    start = np.zeros(len(seg_first), np.int64)
+    state, last, start = value.argmax(axis=1), np.zeros(len(seg_first), np.int64), np.zeros(len(seg_first), np.int64)
     for j in range(len(live) - 1, -1, -1):
         a = int(live[j])
         at = text_first[texts[:a]] + j
         last[at] = state[:a]
         start[at] = state[:a] = came[at, state[:a]]
+    # Once more, from the state that is now known to be before each segment.
+    best = np.where(opening[order][:, None], np.float32(0), enter[start[order]]) + scores[seg_first[order]]
+    back = np.zeros((w, n), np.min_scalar_type(n))
+    own = np.arange(n, dtype=back.dtype)
+    steps = _steps(seg_size[order])
+    for t, a in steps:
+        at, was = seg_first[order[:a]] + t, best[:a]
+        change = was.max(axis=1, keepdims=True) - penalty
+        back[at] = np.where(was >= change, own, was.argmax(axis=1)[:, None])
+        best[:a] = np.maximum(was, change) + scores[at]
     path, state = np.zeros(w, np.int64), last[order]
-    start = start[order]
-    for t in range(len(active) - 1, -1, -1):
-        a = int(active[t])
+    for t, a in [*reversed(steps), (0, len(order))]:
         at = seg_first[order[:a]] + t
         path[at] = state[:a]
-        state[:a] = back[at, start[:a], state[:a]]
+        state[:a] = back[at, state[:a]]
     return path
 
 
+def _steps(sizes: np.ndarray) -> list[tuple[int, int]]:
+    """(t, how many of the segments, longest first, have a word t), from the second word on."""
+    live = np.searchsorted(-sizes, -np.arange(sizes.max()), side="left")
+    return list(enumerate(live.tolist()))[1:]
+
+
 def fit(docs: DataFrame, learn: str, *, max_learnt: int = MAX_LEARNT, penalty: float = PENALTY) -> LanguageModel:
     """Learn from ``docs(doc_id, text, lang)`` where the condition ``learn`` on doc_id holds and lang and text are set.
 
