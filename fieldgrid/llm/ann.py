@@ -1,12 +1,16 @@
 """Approximate nearest neighbours: a robust-pruned directed graph in each shard, beam-searched by every query.
 
-Vectors are dealt to shards by a hash of their id. In a shard, vectors are inserted in batches: a greedy beam search
+Vectors are dealt to shards by the size of their largest component, in bands of NORM_BAND powers of two, and in a band
+by a hash of their id: so vectors of one shard have norms of one size and single precision keeps them apart. There are
+SHARDS shards of a band at most until each has SHARD_MOST vectors, so a query's work grows with the logarithm of the
+table up to SHARDS * SHARD_MOST vectors, and beyond that with the number of shards. In a shard, vectors are inserted in batches: a greedy beam search
 from the entry points proposes neighbours, robust pruning keeps an edge only if no kept neighbour is nearer to the
 candidate by more than the relaxation, and kept edges are added in reverse and pruned again. A second pass refines the
 graph. Each query searches each shard with a beam; the shards' results are merged by exact score.
 
-Nearness is the inner product. Indexed vectors get one more component, sqrt(max_norm^2 - norm^2), and queries 0 there,
-so that the largest inner product is the least distance; scores are computed on the original vectors in double precision.
+Nearness is the inner product. Indexed vectors, scaled to the shard's largest norm, get one more component,
+sqrt(1 - norm^2), so that all lie on a sphere and the graph's distances order as inner products do; queries, which have
+0 there, are ranked by inner product alone. Scores are computed on the original vectors in double precision.
 
 Rows reach a shard's task sorted, vectors first, queries after them in blocks: the task holds one shard and one block.
 Equal vectors in a shard are one node, with the ids that can be among the nearest.
@@ -30,8 +34,9 @@ from pyspark.sql.window import Window
 from .common import cut
 
 K = 20
-#: Vectors of a shard, about. A task holds one shard.
-SHARD_ROWS = 4096
+#: Vectors of a shard, about, while a band has up to SHARDS shards; most vectors of a shard. A task holds one shard.
+SHARD_ROWS, SHARDS, SHARD_MOST = 4096, 16, 262_144
+NORM_BAND = 4
 DEGREE, BEAM, SEARCH_BEAM, RELAX, ENTRIES = 32, 48, 128, 1.2, 32
 #: Insertions and queries that are searched in step.
 BATCH = 256
@@ -58,11 +63,15 @@ class Graph:
                 self._insert(order[done : done + take], 1.0 if not at else relax)
                 done += take
 
-    def search(self, queries: np.ndarray, beam: int) -> tuple[np.ndarray, np.ndarray]:
-        """Rows and squared distances (less the query's norm) of each query's beam, nearest first; -1 and inf fill it up."""
+    def search(self, queries: np.ndarray, beam: int, *, inner: bool = False) -> tuple[np.ndarray, np.ndarray]:
+        """Rows and squared distances (less the query's norm) of each query's beam, nearest first; -1 and inf fill it up.
+
+        ``inner``: rank by inner product, as if all rows had one norm.
+        """
         q, n, b = np.ascontiguousarray(queries, dtype=np.float32), len(self.x), len(queries)
+        norms = np.zeros_like(self.norms) if inner else self.norms
         ids = np.broadcast_to(self.entries, (b, len(self.entries)))
-        dist = self.norms[ids] - 2 * q @ self.x[self.entries].T
+        dist = norms[ids] - 2 * q @ self.x[self.entries].T
         seen = np.zeros((b, n + 1), bool)
         seen[:, self.entries] = True
         seen[:, n] = True
@@ -84,7 +93,7 @@ class Graph:
             fresh = ~seen[live[:, None], near]
             seen[live[:, None], near] = True
             near = np.where(fresh, near, -1)
-            d = self.norms[near] - 2 * np.matmul(self.x[near], q[live][:, :, None])[:, :, 0]
+            d = norms[near] - 2 * np.matmul(self.x[near], q[live][:, :, None])[:, :, 0]
             d = np.where(fresh, d, np.inf).astype(np.float32)
             all_ids, all_d = np.concatenate([ids[live], near], axis=1), np.concatenate([dist[live], d], axis=1)
             all_open = np.concatenate([open_[live], fresh], axis=1)
@@ -139,19 +148,22 @@ class Graph:
 class Shard:
     """The graph of a shard's distinct vectors and the ids of each."""
 
-    def __init__(self, ids: np.ndarray, vectors: np.ndarray, max_norm2: float, k: int) -> None:
+    def __init__(self, ids: np.ndarray, vectors: np.ndarray, k: int) -> None:
         order = np.argsort(ids, kind="stable")
         ids, vectors = ids[order], vectors[order]
         _, first, node = np.unique(np.ascontiguousarray(vectors).view(np.dtype((np.void, vectors.dtype.itemsize * vectors.shape[1]))).ravel(), return_index=True, return_inverse=True)
         self.vectors = vectors[first]
         by_node = np.argsort(node, kind="stable")
         self.members = [np.unique(m)[: k + 1] for m in np.split(ids[by_node], np.cumsum(np.bincount(node))[:-1])]  # the smaller ids win ties
-        lift = np.sqrt(np.maximum(max_norm2 - np.einsum("ij,ij->i", self.vectors, self.vectors), 0))
-        self.graph = Graph(np.concatenate([self.vectors, lift[:, None]], axis=1))
+        near_one = self.vectors / np.abs(self.vectors).max()
+        norm2 = np.einsum("ij,ij->i", near_one, near_one)
+        near_one, norm2 = near_one / np.sqrt(norm2.max()), norm2 / norm2.max()
+        self.graph = Graph(np.concatenate([near_one, np.sqrt(np.maximum(1 - norm2, 0))[:, None]], axis=1))
 
     def nearest(self, ids: np.ndarray, queries: np.ndarray, k: int, beam: int) -> Iterator[tuple[int, int, float]]:
         """(query, vector, inner product) of the k best that a beam search finds for each query."""
-        found, _ = self.graph.search(np.concatenate([queries, np.zeros((len(queries), 1))], axis=1), max(beam, k + 1))
+        near_one = queries / np.abs(queries).max(axis=1, keepdims=True)
+        found, _ = self.graph.search(np.concatenate([near_one, np.zeros((len(queries), 1))], axis=1), max(beam, k + 1), inner=True)
         for q, v, nodes in zip(ids.tolist(), queries, found, strict=True):
             nodes = nodes[nodes >= 0]
             scores = self.vectors[nodes] @ v
@@ -180,21 +192,23 @@ def nearest(vectors: DataFrame, queries: DataFrame, *, k: int = K, shard_rows: i
     Two shuffles: vectors, and queries once for each shard, by shard; k rows for each query and shard by query.
     """
     as_double = lambda c: F.transform(c, lambda x: x.cast("double"))
+    largest = F.array_max(F.transform("v", F.abs))
+    band = F.concat_ws("/", F.size("v"), F.floor(F.log2(largest) / NORM_BAND)).alias("band")
     rows = vectors.where(usable("embedding") & F.col("vec_id").isNotNull()).select("vec_id", as_double(F.col("embedding")).alias("v"))
-    norm2 = F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x)
-    sizes = rows.groupBy(F.size("v").alias("dim")).agg(F.count("*").alias("n"), F.max(norm2).alias("m")).collect()  # a row for each length
-    plan = {r["dim"]: (-(-r["n"] // shard_rows), r["m"]) for r in sizes}
-    total = max(1, sum(n for n, _ in plan.values()))
-    first = dict(zip(plan, np.cumsum([0, *[n for n, _ in plan.values()]]).tolist(), strict=False))
-    by_dim = F.create_map(*[F.lit(x) for d, (n, _) in plan.items() for x in (d, n)] or [F.lit(0), F.lit(1)])
-    start = F.create_map(*[F.lit(x) for d in plan for x in (d, first[d])] or [F.lit(0), F.lit(0)])
-    dim = F.size("v")
-    own = (start[dim] + F.pmod(F.xxhash64("vec_id"), by_dim[dim])).cast("int")
-    dealt = rows.select(own.alias("shard"), F.lit(False).alias("asks"), "vec_id", "v")
-    asked = queries.where(usable("embedding") & F.col("vec_id").isNotNull()).groupBy("vec_id").agg(F.min(as_double(F.col("embedding"))).alias("v")).where(by_dim[dim].isNotNull())
-    every = F.explode(F.sequence(start[dim].cast("int"), (start[dim] + by_dim[dim] - 1).cast("int")))
-    asked = asked.select(every.alias("shard"), F.lit(True).alias("asks"), "vec_id", "v")
-    largest = {d: m for d, (_, m) in plan.items()}
+    sizes = rows.select(F.size("v").alias("dim"), band).groupBy("dim", "band").agg(F.count("*").alias("n")).orderBy("dim", "band").collect()  # a row for each length and band of norms
+    first, many, total = {}, {}, 0
+    for r in sizes:
+        first[r["band"]], many[r["band"]] = total, max(min(SHARDS, -(-r["n"] // shard_rows)), -(-r["n"] // SHARD_MOST))
+        total += many[r["band"]]
+    entries = [F.lit(x) for b in first for x in (b, first[b])] or [F.lit(""), F.lit(0)]
+    start, number = F.create_map(*entries), F.create_map(*[F.lit(x) for b in many for x in (b, many[b])] or [F.lit(""), F.lit(1)])
+    dealt = rows.withColumn("band", band).select((start[F.col("band")] + F.pmod(F.xxhash64("vec_id"), number[F.col("band")])).cast("int").alias("shard"), F.lit(False).alias("asks"), "vec_id", "v")
+    of_dim: dict[int, list[int]] = {}
+    for r in sizes:
+        of_dim.setdefault(r["dim"], []).extend(range(first[r["band"]], first[r["band"]] + many[r["band"]]))
+    shards_of = F.create_map(*[x for d, own in of_dim.items() for x in (F.lit(d), F.array(*map(F.lit, own)))] or [F.lit(0), F.array(F.lit(0))])
+    asked = queries.where(usable("embedding") & F.col("vec_id").isNotNull()).groupBy("vec_id").agg(F.min(as_double(F.col("embedding"))).alias("v"))
+    asked = asked.select(F.explode(shards_of[F.size("v")]).alias("shard"), F.lit(True).alias("asks"), "vec_id", "v")
 
     def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         shard, now = None, None
@@ -211,7 +225,7 @@ def nearest(vectors: DataFrame, queries: DataFrame, *, k: int = K, shard_rows: i
                 if shard is None and held:
                     whole = pd.concat(held)
                     x = np.stack(whole["v"].to_numpy())
-                    shard, held = Shard(whole["vec_id"].to_numpy(), x, largest[x.shape[1]], k), []
+                    shard, held = Shard(whole["vec_id"].to_numpy(), x, k), []
                 if shard is None:
                     continue
                 q = part[asks]
@@ -219,7 +233,7 @@ def nearest(vectors: DataFrame, queries: DataFrame, *, k: int = K, shard_rows: i
                     some = q.iloc[at : at + BATCH]
                     yield pd.DataFrame(list(shard.nearest(some["vec_id"].to_numpy(), np.stack(some["v"].to_numpy()), k, beam)), columns=["query_id", "vec_id", "score"])
 
-    sorted_rows = dealt.unionByName(asked).repartition(total, "shard").sortWithinPartitions("shard", "asks", "vec_id")
+    sorted_rows = dealt.unionByName(asked).repartitionById(max(1, total), F.col("shard")).sortWithinPartitions("shard", "asks", "vec_id")
     found = cut(sorted_rows.mapInPandas(work, "query_id long, vec_id long, score double"))
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
