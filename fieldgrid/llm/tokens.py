@@ -7,15 +7,18 @@ within groups of GROUP blocks, and over the groups, so that no task orders all b
 
 Defined cases: two separators in a row enclose a document of 0 tokens; tokens behind the last separator of a file are
 a document that is not terminated; null and empty blocks have no tokens; files without tokens have no documents;
-a block whose length is no multiple of the width raises ValueError; null texts are written as empty documents.
+a block whose length is no multiple of the width raises ValueError; null texts are written as empty documents, repeated
+rows as documents of their own, long texts over as many blocks as they fill; extra columns are left out; an empty table
+gives no files.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -63,13 +66,22 @@ def _block(file: int, block: int, held: list[np.ndarray], ids: list) -> pd.DataF
 
 
 def file_blocks(spark: SparkSession, path: str, *, width: int = 2, block_tokens: int = BLOCK_TOKENS) -> DataFrame:
-    """(file, block, tokens) of raw token files under a path that Spark reads. A file is read by one task (2 GB at most)."""
+    """(file, block, tokens) of raw token files under a path that Spark reads.
+
+    A file is read by one task, once, and holds 2 GB at most, as shards of token corpora do; larger ones raise Spark's error.
+    """
     size = width * block_tokens
-    files = spark.read.format("binaryFile").load(path).where(F.col("length") > 0)
-    at = F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("length") - 1) / size)))
-    return files.select(F.col("path").alias("file"), "content", at.alias("block")).select(
-        "file", "block", F.substring("content", (F.col("block") * size + 1).cast("int"), F.lit(size)).alias("tokens")
-    )
+
+    def slices(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for file, content in zip(b.column("file"), b.column("content"), strict=True):
+                whole = content.as_buffer()
+                for k in range(-(-whole.size // size)):
+                    part = whole.slice(k * size, min(size, whole.size - k * size)).to_pybytes()
+                    yield pa.RecordBatch.from_arrays([pa.array([file.as_py()]), pa.array([k], pa.int64()), pa.array([part], pa.binary())], ["file", "block", "tokens"])
+
+    files = spark.read.format("binaryFile").load(path).where(F.col("length") > 0).select(F.col("path").alias("file"), "content")
+    return files.mapInArrow(slices, "file string, block long, tokens binary")
 
 
 def scan(blocks: DataFrame, end_id: int, *, width: int = 2, labels: str | None = None) -> DataFrame:
