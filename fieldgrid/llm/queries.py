@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 import public_tokenizers
@@ -39,7 +40,7 @@ def op3_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = licenses.with_licenses(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    docs = licenses.with_licenses(table(spark, sf_dir, "documents").select("doc_id", "text"), templates=licenses.TEMPLATES + licenses.WHOLE, block_words=None)
     return docs.select("doc_id", *(f"license.{k}" for k in ("n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score")))
 
 
@@ -83,4 +84,27 @@ _ALL = (
     op6_chat_formatting, op7_nearest_neighbours, op8_byte_bpe, op9_media_sniffing, op10_language_id,
 )
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in _ALL}
-ORACLES: dict[str, str] = {}
+
+
+def _escaped(column: str) -> str:
+    """SQL that puts a backslash behind the first character of each control string."""
+    rests = "|".join(re.escape(c[1:]) for c in sorted(chat.CONTROLS, key=len, reverse=True))
+    return rf"regexp_replace({column}, '([<\[])(\\*(?:{rests}))', '\1\\\2', 'g')"
+
+
+ORACLES: dict[str, str] = {
+    "op6_chat_formatting": f"""
+WITH said AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL VALUES (-1, 0, 'user', '</s>[INST] ok [/INST]'), (-1, 1, 'assistant', '</s>[INST] ok [/INST]')
+), joined AS (
+  SELECT conv_id, count(*) AS n_turns,
+    string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text) AS turns,
+    string_agg(CASE WHEN role = 'assistant' THEN text ELSE '' END, '' ORDER BY turn NULLS FIRST, role, text) AS loss,
+    sum({len(chat.TURN + chat.SAYS + chat.OVER)} + length({_escaped("role")}) + length({_escaped("text")})) AS chars
+  FROM said GROUP BY conv_id
+)
+SELECT conv_id, n_turns, sha256(turns) AS turns_sha256, CAST(length(loss) AS BIGINT) AS loss_chars, sha256(loss) AS loss_sha256, CAST(chars AS BIGINT) AS formatted_chars
+FROM joined
+""",
+}
