@@ -1,0 +1,83 @@
+"""All pairs of vectors of two sides, reduced in blocks: a task holds a block of each, and only what it reduces to leaves it."""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+#: Vectors of a block.
+BLOCK = 1024
+
+
+def _dealt(left: DataFrame, right: DataFrame, group: str, row: str, vector: str, block: int) -> DataFrame:
+    """Both sides (group, id, v), each row once for each block of the other side of its group."""
+    sides = []
+    for side, df in (("l", left), ("r", right)):
+        sides.append(df.select(F.col(group).alias("g"), F.col(row).alias("id"), F.transform(F.col(vector), lambda x: x.cast("double")).alias("v"), F.lit(side).alias("side")))
+    both = sides[0].unionByName(sides[1])
+    n = both.groupBy("g").agg(*[F.ceil(F.count_if(F.col("side") == s) / block).cast("int").alias(s) for s in "lr"])  # a row for each group
+    sized = both.join(n, "g").where("l > 0 AND r > 0")
+    own = F.pmod(F.xxhash64("id"), F.when(F.col("side") == "l", F.col("l")).otherwise(F.col("r"))).cast("int")
+    other = F.explode(F.sequence(F.lit(0), F.when(F.col("side") == "l", F.col("r")).otherwise(F.col("l")) - 1))
+    placed = sized.withColumn("own", own).withColumn("other", other)
+    is_left = F.col("side") == "l"
+    return placed.select("g", F.when(is_left, F.col("own")).otherwise(F.col("other")).alias("bl"), F.when(is_left, F.col("other")).otherwise(F.col("own")).alias("br"), "side", "id", "v")
+
+
+def _distances(pdf: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, Iterator[tuple[slice, np.ndarray]]]:
+    """Ids of both sides in order, and distances of some left vectors at a time to all right ones."""
+    l, r = (pdf[pdf["side"] == s].sort_values("id") for s in "lr")  # noqa: E741
+
+    def parts() -> Iterator[tuple[slice, np.ndarray]]:
+        if not len(l) or not len(r):
+            return
+        x, y = np.stack(l["v"].to_numpy()), np.stack(r["v"].to_numpy())
+        for at in range(0, len(x), 64):
+            d = x[at : at + 64, None, :] - y[None, :, :]
+            yield slice(at, at + 64), np.sqrt(np.einsum("ijk,ijk->ij", d, d))
+
+    return l["id"].to_numpy(), r["id"].to_numpy(), parts()
+
+
+def two_nearest(left: DataFrame, right: DataFrame, row: str, vector: str, block: int = BLOCK) -> DataFrame:
+    """(side, id, other, d, rank): of each vector the two nearest of the other side, rank 1 and 2; ties: the smaller id; d to 9 places."""
+
+    def best(pdf: pd.DataFrame) -> pd.DataFrame:
+        lid, rid, parts = _distances(pdf)
+        if not len(lid) or not len(rid):
+            return pd.DataFrame({"side": [], "id": [], "other": [], "d": []})
+        whole = np.concatenate([d for _, d in parts]).round(9)
+        out = []
+        for side, ids, others, d in (("l", lid, rid, whole), ("r", rid, lid, whole.T)):
+            near = np.argsort(d, axis=1, kind="stable")[:, :2]
+            k = near.shape[1]
+            out.append(pd.DataFrame({"side": side, "id": np.repeat(ids, k), "other": others[near].ravel(), "d": np.take_along_axis(d, near, 1).ravel()}))
+        return pd.concat(out)
+
+    one = lambda df: df.withColumn("_g", F.lit(0))
+    kind = dict(left.dtypes)[row]
+    found = _dealt(one(left), one(right), "_g", row, vector, block).groupBy("bl", "br").applyInPandas(best, f"side string, id {kind}, other {kind}, d double")
+    first = F.min(F.struct("d", "other"))
+    two = found.groupBy("side", "id").agg(first.alias("m"), F.count("*").alias("n"))
+    met = found.join(two, ["side", "id"])
+    second = met.where((F.col("other") != F.col("m.other"))).groupBy("side", "id").agg(F.min(F.struct("d", "other")).alias("s"))
+    ranked = two.select("side", "id", F.col("m.other").alias("other"), F.col("m.d").alias("d"), F.lit(1).alias("rank"))
+    return ranked.unionByName(second.select("side", "id", F.col("s.other").alias("other"), F.col("s.d").alias("d"), F.lit(2).alias("rank")))
+
+
+def distance_sums(points: DataFrame, group: str, row: str, vector: str, block: int = BLOCK) -> DataFrame:
+    """(group, row, cost): the sum of each point's distances to all points of its group."""
+
+    def sums(pdf: pd.DataFrame) -> pd.DataFrame:
+        lid, _, parts = _distances(pdf)
+        cost = np.concatenate([d.sum(axis=1) for _, d in parts])
+        return pd.DataFrame({"g": pdf["g"].iloc[0], "id": lid, "cost": cost})
+
+    kinds = dict(points.dtypes)
+    dealt = _dealt(points, points, group, row, vector, block)
+    part = dealt.groupBy("g", "bl", "br").applyInPandas(sums, f"g {kinds[group]}, id {kinds[row]}, cost double")
+    return part.groupBy(F.col("g").alias(group), F.col("id").alias(row)).agg(F.sum("cost").alias("cost"))

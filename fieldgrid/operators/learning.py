@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+import random
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -9,6 +11,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import scalar
+from .blocks import distance_sums, two_nearest
+from .tables import written
 
 
 def gini(df: DataFrame, label: str) -> DataFrame:
@@ -70,43 +74,89 @@ def assign_medoids(points: DataFrame, medoids: DataFrame, row: str, vector: str)
     return each.groupBy(row).agg(F.min(F.struct("_d", "medoid")).alias("_m")).select(row, F.col("_m.medoid").alias("medoid"), F.col("_m._d").alias("cost"))
 
 
-def pam(points: DataFrame, row: str, vector: str, k: int, rounds: int = 10, candidates: int = 64) -> DataFrame:
+def pam(points: DataFrame, row: str, vector: str, k: int, rounds: int = 100) -> DataFrame:
     """(row, medoid, cost) after k-medoids; starts from the k smallest rows.
 
-    In each round the points nearest to a cluster's mean, ``candidates`` at most, are tried as its medoid (all of a
-    cluster that small): the sums of their distances are one broadcast join and one aggregation. The driver holds the
-    k medoids only.
+    In each round every member of a cluster is tried as its medoid, until none is better: the sums of distances are
+    made in blocks. The driver holds the k medoids only. Costs are compared to 9 places; ties: the smallest row.
     """
     medoids = points.orderBy(row).limit(k).select(F.col(row).alias("medoid"), F.col(vector).alias("centre")).collect()
+    schema = points.select(F.col(row).alias("medoid"), F.col(vector).alias("centre")).schema
+    table = lambda: points.sparkSession.createDataFrame([(m["medoid"], list(m["centre"])) for m in medoids], schema)
     before = None
     while rounds and before != sorted(m["medoid"] for m in medoids):
         before, rounds = sorted(m["medoid"] for m in medoids), rounds - 1
-        table = points.sparkSession.createDataFrame([(m["medoid"], list(m["centre"])) for m in medoids], points.select(F.col(row).alias("medoid"), F.col(vector).alias("centre")).schema)
-        own = points.join(assign_medoids(points, table, row, vector).select(row, "medoid"), row)
-        near = own.join(F.broadcast(class_means(own, "medoid", vector)), "medoid").withColumn("_d", scalar.euclidean(F.col(vector), F.col("mean")))
-        tried = near.withColumn("_r", F.row_number().over(Window.partitionBy("medoid").orderBy("_d", row))).where(F.col("_r") <= candidates)
-        tried = tried.select("medoid", F.col(row).alias("_c"), F.col(vector).alias("_v"))
-        costs = own.join(F.broadcast(tried), "medoid").groupBy("medoid", "_c").agg(F.round(F.sum(scalar.euclidean(F.col(vector), F.col("_v"))), 9).alias("_cost"))
-        best = costs.groupBy("medoid").agg(F.min(F.struct("_cost", "_c"))["_c"].alias("_c"))
-        medoids = points.join(F.broadcast(best.select(F.col("_c").alias(row))), row).select(F.col(row).alias("medoid"), F.col(vector).alias("centre")).collect()
-    return assign_medoids(points, points.sparkSession.createDataFrame([(m["medoid"], list(m["centre"])) for m in medoids], points.select(F.col(row).alias("medoid"), F.col(vector).alias("centre")).schema), row, vector)
+        own = points.join(assign_medoids(points, table(), row, vector).select(row, "medoid"), row)
+        costs = distance_sums(own, "medoid", row, vector).withColumn("cost", F.round("cost", 9))
+        best = costs.groupBy("medoid").agg(F.min(F.struct("cost", row))[row].alias(row)).select(row)
+        medoids = points.join(F.broadcast(best), row).select(F.col(row).alias("medoid"), F.col(vector).alias("centre")).collect()
+    return assign_medoids(points, table(), row, vector)
 
 
 def ratio_matches(left: DataFrame, right: DataFrame, row: str, vector: str, ratio: float = 0.7) -> DataFrame:
     """(left, right): pairs that are each other's nearest, each nearer than ``ratio`` times its second nearest.
 
-    Descriptors of two images meet in full; an image has a bounded number of key points, and the right ones travel.
+    Distances of blocks of both sides are reduced in their tasks to each vector's two nearest.
     """
-    a, b = left.select(F.col(row).alias("left"), F.col(vector).alias("_a")), right.select(F.col(row).alias("right"), F.col(vector).alias("_b"))
-    d = a.join(F.broadcast(b)).select("left", "right", F.round(scalar.euclidean(F.col("_a"), F.col("_b")), 9).alias("d"))
+    near = written(two_nearest(left, right, row, vector))
+    second = near.where("rank = 2").select("side", "id", F.col("d").alias("_second"))
+    sure = near.where("rank = 1").join(second, ["side", "id"]).where(F.col("d") < ratio * F.col("_second"))
+    one = sure.where("side = 'l'").select(F.col("id").alias("left"), F.col("other").alias("right"))
+    two = sure.where("side = 'r'").select(F.col("other").alias("left"), F.col("id").alias("right"))
+    return one.join(two, ["left", "right"])
 
-    def nearest(side: str, other: str) -> DataFrame:
-        two = F.row_number().over(Window.partitionBy(side).orderBy("d", other))
-        ranked = d.withColumn("_r", two).where(F.col("_r") <= 2)
-        best = ranked.groupBy(side).agg(F.min(F.when(F.col("_r") == 1, F.struct("d", other))).alias("_m"), F.max("d").alias("_second"))
-        return best.where(F.col("_m.d") < ratio * F.col("_second")).select(side, F.col(f"_m.{other}").alias(other))
 
-    return nearest("left", "right").join(nearest("right", "left"), ["left", "right"])
+def cart(samples: DataFrame, features: Sequence[str], label: str, depth: int = 8, least: int = 2) -> list[tuple]:
+    """A decision tree by exhaustive splits, as nodes for ``tree_predict``; leaves vote, ties: the smallest label.
+
+    Levels of the tree are made one after another, all nodes of a level in one aggregation: values are counted by node,
+    feature, value and label, and each node's best split comes from running counts. A node is split while it has
+    ``least`` samples, several labels and a split that lowers its Gini index. The driver holds the tree only.
+    """
+    rows = written(samples.select(*[F.col(f).cast("double").alias(f) for f in features], F.col(label).alias("_y")).withColumn("_node", F.lit(0)))
+    nodes: dict[int, tuple] = {}
+    for level in range(depth + 1):
+        votes = rows.groupBy("_node", "_y").agg(F.count("*").alias("n"))
+        by = votes.groupBy("_node").agg(F.sum("n").alias("n"), F.count("*").alias("labels"), F.min(F.struct((-F.col("n")).alias("m"), F.col("_y").alias("y"))).alias("top")).collect()  # a row for each node of the level
+        open_ = [r["_node"] for r in by if level < depth and r["n"] >= least and r["labels"] > 1]
+        split = {}
+        if open_:
+            here = rows.join(F.broadcast(rows.sparkSession.createDataFrame([(k,) for k in open_], "_node int")), "_node")
+            long = here.unpivot(["_node", "_y"], list(features), "_f", "_v").withColumn("_nf", F.struct("_node", "_f"))
+            best = best_splits(long, "_y", "_nf", "_v").where("gain > 0")
+            order = F.array_position(F.array(*map(F.lit, features)), F.col("_nf._f"))
+            for r in best.groupBy("_nf._node").agg(F.min(F.struct((-F.col("gain")).alias("g"), order.alias("o"), "threshold")).alias("b")).collect():
+                split[r["_node"]] = (features[r["b"]["o"] - 1], r["b"]["threshold"])
+        number = max([*nodes, *(r["_node"] for r in by)], default=0)
+        for r in sorted(by, key=lambda r: r["_node"]):
+            if r["_node"] in split:
+                nodes[r["_node"]] = (r["_node"], *split[r["_node"]], number + 1, number + 2, None)
+                number += 2
+            else:
+                nodes[r["_node"]] = (r["_node"], None, None, None, None, r["top"]["y"])
+        if not split:
+            break
+        table = rows.sparkSession.createDataFrame([(k, f, t, nodes[k][3], nodes[k][4]) for k, (f, t) in split.items()], "_node int, _f string, _t double, _l int, _r int")
+        value = F.create_map(*[x for f in features for x in (F.lit(f), F.col(f))])
+        down = rows.join(F.broadcast(table), "_node").withColumn("_node", F.when(F.element_at(value, F.col("_f")) >= F.col("_t"), F.col("_r")).otherwise(F.col("_l")))
+        rows = written(down.drop("_f", "_t", "_l", "_r"))
+    return [nodes[k] for k in sorted(nodes)]
+
+
+def cart_forest(samples: DataFrame, features: Sequence[str], label: str, trees: int = 10, depth: int = 8, seed: int = 42) -> list[list[tuple]]:
+    """Trees of ``cart``, each on a bootstrap sample and floor(log2 f) + 1 of the features."""
+    many, out = int(math.log2(len(features))) + 1, []
+    for k in range(trees):
+        chosen = sorted(random.Random(seed + k).sample(list(features), many), key=list(features).index)
+        out.append(cart(samples.sample(withReplacement=True, fraction=1.0, seed=seed + k), chosen, label, depth))
+    return out
+
+
+def forest_votes(df: DataFrame, trees: Sequence[list[tuple]], row: Sequence[str], label: str) -> DataFrame:
+    """(row, label): what most trees say; ties: the smallest."""
+    votes = df.select(*row, F.explode(F.array(*[tree_predict(df, t) for t in trees])).alias(label))
+    n = votes.groupBy(*row, label).agg(F.count("*").alias("n"))
+    return n.groupBy(*row).agg(F.min(F.struct((-F.col("n")).alias("n"), F.col(label).alias("v")))["v"].alias(label))
 
 
 def random_forest(df: DataFrame, features: Sequence[str], label: str, trees: int = 10, seed: int = 42):  # noqa: ANN201

@@ -45,19 +45,31 @@ def region_sizes(labelled: DataFrame) -> DataFrame:
 
 
 def sieve(pixels: DataFrame, value: str, least: int, eight: bool = False) -> DataFrame:
-    """(row, col, value): regions of fewer pixels than ``least`` take the value of their largest neighbouring region.
+    """(row, col, value): regions of fewer pixels than ``least`` take the value of the large region that they lead to.
 
-    Ties go to the smallest component. One round: a small region beside small ones only keeps its value.
+    Each small region leads to its largest neighbour, ties to the smallest component, and so on until one is large
+    enough. Chains are followed by doubling, a join a round. Small regions that only lead to each other stay.
     """
     lab = written(components(pixels, value, eight, None))
-    sizes = region_sizes(lab)
-    sized = lab.join(sizes, "component")
+    sizes = written(lab.groupBy("component").agg(F.count("*").alias("size"), F.first(value).alias("_v")))
+    small = sizes.where(F.col("size") < least).select("component")
     pairs = None
     for dr, dc in _steps(eight):
-        for sign in (1, -1):
-            near = lab.select((F.col("row") - dr * sign).alias("row"), (F.col("col") - dc * sign).alias("col"), F.col(value).alias("_v"), F.col("component").alias("_c"))
-            met = sized.where(F.col("size") < least).join(near, ["row", "col"]).where(F.col("component") != F.col("_c")).select("component", "_c", "_v").distinct()
-            pairs = met if pairs is None else pairs.unionByName(met)
-    big = sizes.where(F.col("size") >= least).select(F.col("component").alias("_c"), F.col("size").alias("_s"))
-    take = pairs.distinct().join(big, "_c").groupBy("component").agg(F.min(F.struct((-F.col("_s")).alias("s"), "_c", "_v"))["_v"].alias("_new"))
+        near = lab.select((F.col("row") - dr).alias("row"), (F.col("col") - dc).alias("col"), F.col("component").alias("_c"))
+        met = lab.select("row", "col", "component").join(near, ["row", "col"]).where(F.col("component") != F.col("_c")).select("component", "_c")
+        met = met.unionByName(met.select(F.col("_c").alias("component"), F.col("component").alias("_c")))
+        pairs = met if pairs is None else pairs.unionByName(met)
+    pairs = pairs.join(small, "component").distinct()
+    sized = pairs.join(sizes.select(F.col("component").alias("_c"), "size"), "_c")
+    to = written(sized.groupBy("component").agg(F.min(F.struct((-F.col("size")).alias("s"), "_c"))["_c"].alias("to")))
+    left = None
+    while True:
+        onward = to.alias("a").join(to.alias("b"), F.col("a.to") == F.col("b.component"), "left")
+        to = written(onward.select("a.component", F.coalesce("b.to", "a.to").alias("to")))
+        state = to.join(small.select(F.col("component").alias("to")), "to").count()  # chains that haven't come to a large region
+        if not state or state == left:
+            break
+        left = state
+    large = sizes.where(F.col("size") >= least).select(F.col("component").alias("to"), F.col("_v").alias("_new"))
+    take = to.join(large, "to").select("component", "_new")
     return lab.join(take, "component", "left").select("row", "col", F.coalesce("_new", F.col(value)).alias(value))

@@ -9,6 +9,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from .relational import numbered as numbered_in_parts
+
 
 def correlation(df: DataFrame, by: str, a: str, b: str) -> DataFrame:
     """(by, ncc): the absolute normalised cross-correlation of two windows in each group."""
@@ -35,7 +37,7 @@ def consensus_affine(matches: DataFrame, tries: int, radius: float) -> DataFrame
     n = matches.count()
     numbered = matches.withColumn("k", F.pmod(F.xxhash64("id"), F.lit(tries)))
     draw = lambda s: matches.sparkSession.range(tries).select(F.col("id").alias("try"), F.pmod(F.xxhash64("id", F.lit(s)), F.lit(n)).alias("at"))
-    ranked = numbered.withColumn("at", F.row_number().over(Window.orderBy("k", "id")) - 1).select("at", F.struct("id", "x", "y", "u", "v").alias("p"))  # key points of one image
+    ranked = numbered_in_parts(numbered, [], ["k", "id"], F.col("k"), "at").select("at", F.struct("id", "x", "y", "u", "v").alias("p"))
     triple = draw(1).join(ranked, "at").select("try", F.col("p").alias("p1"))
     for s in (2, 3):
         triple = triple.join(draw(s).join(ranked, "at").select("try", F.col("p").alias(f"p{s}")), "try")

@@ -86,13 +86,13 @@ def line_vertices(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "part").select(F.col("p_partkey").alias("id"), F.posexplode(xs).alias("i", "p")).select("id", "i", "p.x", "p.y")
 
 
-@query(f"""WITH {PIXELS_SQL}, c AS (SELECT row, col, row * 0.1 + 20 AS la, col * 0.1 + 100 AS lo FROM px WHERE row < 20 AND col < 20), s AS (SELECT s_suppkey AS k, 20 + s_suppkey % 11 * 0.2 AS lat, 100 + s_suppkey % 13 * 0.2 AS lon, s_acctbal AS value FROM supplier),
+@query(f"""WITH {PIXELS_SQL}, c AS (SELECT row, col, row * 0.1 + 20 AS la, col * 0.1 + 100 AS lo FROM px), s AS (SELECT s_suppkey AS k, 20 + s_suppkey % 11 * 0.2 AS lat, 100 + s_suppkey % 13 * 0.2 AS lon, s_acctbal AS value FROM supplier),
   d AS (SELECT row, col, k, value, 2 * 6372.8 * asin(sqrt(pow(sin(radians(lat - la) / 2), 2) + cos(radians(la)) * cos(radians(lat)) * pow(sin(radians(lon - lo) / 2), 2))) + 1e-6 AS d FROM c, s),
   r AS (SELECT *, row_number() OVER (PARTITION BY row, col ORDER BY round(d, 6), k) AS r FROM d) SELECT row, col, round(sum(value / (d * d)) / sum(1 / (d * d)), 2) AS value FROM r WHERE r <= 5 GROUP BY 1, 2""")
 def idw(spark: SparkSession, sf: str) -> DataFrame:
     k = F.col("s_suppkey")
     stations = table(spark, sf, "supplier").select(k.alias("station"), (20 + k % 11 * 0.2).alias("lat"), (100 + k % 13 * 0.2).alias("lon"), F.col("s_acctbal").alias("value"))
-    cells = pixels(spark, sf).where("row < 20 AND col < 20").select("row", "col", (F.col("row") * 0.1 + 20).alias("clat"), (F.col("col") * 0.1 + 100).alias("clon"))
+    cells = pixels(spark, sf).select("row", "col", (F.col("row") * 0.1 + 20).alias("clat"), (F.col("col") * 0.1 + 100).alias("clon"))
     return G.idw(cells, stations, ["row", "col"], 5, 2.0).withColumn("value", F.round("value", 2))
 
 

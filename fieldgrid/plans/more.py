@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
+from ..operators import geometry as P
 from ..operators import learning as L
 from ..operators import raster as R
 from ..operators import regions as G
@@ -106,12 +106,13 @@ def maps_and_lookups(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "customer").select("c_custkey", F.element_at(F.map_keys(pairs), 1).alias("key"), F.element_at(pairs, "seg").alias("value"), F.coalesce(place, F.lit(None).cast("long")).alias("place"))
 
 
-@query("SELECT supplier.s_suppkey AS station, n.c_custkey AS cell, r FROM (SELECT c_custkey, s_suppkey, row_number() OVER (PARTITION BY c_custkey ORDER BY abs(c_acctbal - s_acctbal), s_suppkey) AS r FROM customer, supplier WHERE c_custkey % 10 = 0) n JOIN supplier USING (s_suppkey) WHERE r <= 3")
+@query("SELECT supplier.s_suppkey AS station, n.c_custkey AS cell, r FROM (SELECT c_custkey, s_suppkey, row_number() OVER (PARTITION BY c_custkey ORDER BY abs(c_acctbal - s_acctbal), s_suppkey) AS r FROM customer, supplier) n JOIN supplier USING (s_suppkey) WHERE r <= 3")
 def nearest_stations(spark: SparkSession, sf: str) -> DataFrame:
-    """The k nearest of a network of stations, which travels to the cells."""
-    c, s = table(spark, sf, "customer").where("c_custkey % 10 = 0"), table(spark, sf, "supplier")
-    each = c.join(F.broadcast(s)).withColumn("r", F.row_number().over(Window.partitionBy("c_custkey").orderBy(F.abs(F.col("c_acctbal") - F.col("s_acctbal")), "s_suppkey")))
-    return each.where("r <= 3").select(F.col("s_suppkey").alias("station"), F.col("c_custkey").alias("cell"), F.col("r").cast("long").alias("r"))
+    """The three nearest stations of each cell."""
+    c, s = table(spark, sf, "customer").select("c_custkey", "c_acctbal"), table(spark, sf, "supplier").select("s_suppkey", "s_acctbal")
+    apart = F.abs(F.col("c_acctbal") - F.col("s_acctbal"))
+    near = P.nearest(c, s, ["c_custkey"], F.col("c_acctbal"), F.col("s_acctbal"), apart, "s_suppkey", 3)
+    return near.select(F.col("s_suppkey").alias("station"), F.col("c_custkey").alias("cell"), F.col("r").cast("long").alias("r"))
 
 
 @query("SELECT p_partkey AS id, round(l_x, 3) AS x, CAST(p_size % 9 + 3 AS INTEGER) AS dx FROM (SELECT *, (p_retailprice - 900) / 1100 * 255 AS l_x FROM part)")
@@ -128,11 +129,11 @@ def window_correlation(spark: SparkSession, sf: str) -> DataFrame:
     return M.correlation(pixels(spark, sf), "zone", "blue", "nir").select("zone", F.round("ncc", 6).alias("ncc"))
 
 
-@query("SELECT 2.0::DOUBLE AS a, 0.5::DOUBLE AS b, -3.0::DOUBLE AS c, -0.25::DOUBLE AS d, 1.5::DOUBLE AS e, 7.0::DOUBLE AS f, count(*) AS inliers FROM part WHERE p_partkey < 200 AND p_partkey % 4 <> 0")
+@query("SELECT 2.0::DOUBLE AS a, 0.5::DOUBLE AS b, -3.0::DOUBLE AS c, -0.25::DOUBLE AS d, 1.5::DOUBLE AS e, 7.0::DOUBLE AS f, count(*) AS inliers FROM part WHERE p_partkey % 4 <> 0")
 def consensus_affine(spark: SparkSession, sf: str) -> DataFrame:
     """An affine map found among matches of which a quarter is wrong."""
     k = F.col("p_partkey")
-    p = table(spark, sf, "part").where("p_partkey < 200").select(k.alias("id"), (k * 37 % 101).cast("double").alias("x"), (k * 53 % 97).cast("double").alias("y"))
+    p = table(spark, sf, "part").select(k.alias("id"), (k * 37 % 101).cast("double").alias("x"), (k * 53 % 97).cast("double").alias("y"))
     wrong = F.when(F.col("id") % 4 == 0, 500.0 + F.col("id") * 13 % 89).otherwise(0.0)
     m = p.select("id", "x", "y", (2 * F.col("x") + 0.5 * F.col("y") - 3 + wrong).alias("u"), (-0.25 * F.col("x") + 1.5 * F.col("y") + 7 - wrong).alias("v"))
     return M.consensus_affine(m, 64, 0.5).select(*[F.round(c, 6).alias(c) for c in "abcdef"], "inliers")

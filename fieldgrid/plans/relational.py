@@ -74,9 +74,9 @@ def semi_join_buffer(spark: SparkSession, sf: str) -> DataFrame:
     return o.join(rich, o.o_custkey == rich.c_custkey, "left_semi").select("o_orderkey")
 
 
-@query("SELECT c_custkey FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey)")
+@query("SELECT c_custkey FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_totalprice > 250000)")
 def anti_join_unseen(spark: SparkSession, sf: str) -> DataFrame:
-    return R.unseen(table(spark, sf, "customer").select("c_custkey"), table(spark, sf, "orders").select(F.col("o_custkey").alias("c_custkey")), ["c_custkey"])
+    return R.unseen(table(spark, sf, "customer").select("c_custkey"), table(spark, sf, "orders").where("o_totalprice > 250000").select(F.col("o_custkey").alias("c_custkey")), ["c_custkey"])
 
 
 @query("""SELECT c_custkey, o_orderkey, o_totalprice FROM customer LEFT JOIN (SELECT o_custkey, o_orderkey, o_totalprice FROM
@@ -177,22 +177,22 @@ def within_buffers(spark: SparkSession, sf: str) -> DataFrame:
     return R.within_distance(p.select("row", "col"), c, 3, "col", "row", "ccol", "crow")
 
 
-@query(f"""WITH {PIXELS_SQL}, a AS (SELECT row * 50 + col AS id, col AS x0, row AS y0, col + v % 7 + 1 AS x1, row + v % 5 + 1 AS y1 FROM px WHERE v > 40), b AS (SELECT id AS oid, x0 AS ox0, y0 AS oy0, x1 AS ox1, y1 AS oy1 FROM a)
+@query(f"""WITH {PIXELS_SQL}, a AS (SELECT row * 50 + col AS id, col AS x0, row AS y0, col + v % 7 + 1 AS x1, row + v % 5 + 1 AS y1 FROM px), b AS (SELECT id AS oid, x0 AS ox0, y0 AS oy0, x1 AS ox1, y1 AS oy1 FROM a)
   SELECT id, oid, greatest(x0, ox0) AS ix0, greatest(y0, oy0) AS iy0, least(x1, ox1) AS ix1, least(y1, oy1) AS iy1 FROM a JOIN b ON x0 < ox1 AND ox0 < x1 AND y0 < oy1 AND oy0 < y1 WHERE id < oid""")
 def box_overlay(spark: SparkSession, sf: str) -> DataFrame:
     """Overlapping rectangles and their intersections: each pair meets in one grid cell."""
-    p = pixels(spark, sf).where("v > 40")
+    p = pixels(spark, sf)
     a = p.select((F.col("row") * 50 + F.col("col")).alias("id"), F.col("col").alias("x0"), F.col("row").alias("y0"), (F.col("col") + F.col("v") % 7 + 1).alias("x1"), (F.col("row") + F.col("v") % 5 + 1).alias("y1"))
     b = a.toDF("oid", "ox0", "oy0", "ox1", "oy1")
     return R.overlapping(a, b, 8).where("id < oid").select("id", "oid", "ix0", "iy0", "ix1", "iy1")
 
 
-@query(f"""WITH {PIXELS_SQL}, a AS (SELECT row * 50 + col AS id, cls, col AS x0, row AS y0, col + v % 7 + 1 AS x1, row + v % 5 + 1 AS y1 FROM px WHERE v > 44)
+@query(f"""WITH {PIXELS_SQL}, a AS (SELECT row * 50 + col AS id, cls, col AS x0, row AS y0, col + v % 7 + 1 AS x1, row + v % 5 + 1 AS y1 FROM px)
   SELECT a.id, string_agg(DISTINCT CAST(b.id AS VARCHAR), '/' ORDER BY CAST(b.id AS VARCHAR)) AS ids, string_agg(DISTINCT CAST(b.cls AS VARCHAR), '/' ORDER BY CAST(b.cls AS VARCHAR)) AS kinds
   FROM a JOIN a b ON a.x0 < b.x1 AND b.x0 < a.x1 AND a.y0 < b.y1 AND b.y0 < a.y1 GROUP BY a.id""")
 def self_overlay(spark: SparkSession, sf: str) -> DataFrame:
     """For each rectangle the ids and classes of those that it overlaps, sorted as text."""
-    p = pixels(spark, sf).where("v > 44")
+    p = pixels(spark, sf)
     a = p.select((F.col("row") * 50 + F.col("col")).alias("id"), "cls", F.col("col").alias("x0"), F.col("row").alias("y0"), (F.col("col") + F.col("v") % 7 + 1).alias("x1"), (F.col("row") + F.col("v") % 5 + 1).alias("y1"))
     b = a.toDF("oid", "ocls", "ox0", "oy0", "ox1", "oy1")
     joined = lambda c: F.array_join(F.array_sort(F.collect_set(F.col(c).cast("string"))), "/")
@@ -224,10 +224,10 @@ def hash_split(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "documents").select("doc_id", (F.col("doc_id") * 7919 % 10).cast("int").alias("fold")).where("fold >= 8")
 
 
-@query(f"WITH {PIXELS_SQL} SELECT row, col, band, val FROM (UNPIVOT px ON blue, green, red, nir INTO NAME band VALUE val) WHERE row < 4")
+@query(f"WITH {PIXELS_SQL} SELECT row, col, band, val FROM (UNPIVOT px ON blue, green, red, nir INTO NAME band VALUE val)")
 def unstack_bands(spark: SparkSession, sf: str) -> DataFrame:
     """Bands as rows."""
-    return pixels(spark, sf).where("row < 4").unpivot(["row", "col"], ["blue", "green", "red", "nir"], "band", "val")
+    return pixels(spark, sf).unpivot(["row", "col"], ["blue", "green", "red", "nir"], "band", "val")
 
 
 @query("SELECT key, n FROM (SELECT CAST(k AS BIGINT) AS key, count(p_size) AS n FROM range(1, 61) t(k) LEFT JOIN part ON p_size = k GROUP BY k)")

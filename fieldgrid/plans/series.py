@@ -73,12 +73,12 @@ def round_hour(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "events").select("event_id", C.rounded_time(F.col("ts"), 30).alias("rounded"))
 
 
-_GRID = f"""{EVENTS_SQL}, s AS (SELECT event_type, t // 3600 AS h, max(struct_pack(t := epoch_us(ts), v := value)).v AS value FROM ev WHERE user_id < 20 GROUP BY 1, 2),
+_GRID = f"""{EVENTS_SQL}, s AS (SELECT event_type, t // 3600 AS h, max(struct_pack(t := epoch_us(ts), v := value)).v AS value FROM ev GROUP BY 1, 2),
  g AS (SELECT event_type, unnest(range(min(h), max(h) + 1)) AS h FROM s GROUP BY 1), r AS (SELECT g.event_type, g.h, s.value FROM g LEFT JOIN s ON s.event_type = g.event_type AND s.h = g.h)"""
 
 
 def _grid(spark: SparkSession, sf: str) -> DataFrame:
-    e = events(spark, sf).where("user_id < 20").withColumn("h", F.floor(F.col("t") / 3600))
+    e = events(spark, sf).withColumn("h", F.floor(F.col("t") / 3600))
     return T.regular(e, ["event_type"], "h", 1, "value", "ts")
 
 
