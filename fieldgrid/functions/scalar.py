@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column
+import numpy as np
+import pandas as pd
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 _RAD = math.pi / 180
@@ -65,6 +67,33 @@ def julia_steps(zx: Column, zy: Column, cx: float, cy: float, most: int) -> Colu
     return F.aggregate(F.sequence(F.lit(1), F.lit(most)), start, step, lambda s: s["n"])
 
 
+def with_julia_steps(grid: DataFrame, x: str, y: str, cx: float, cy: float, most: int, out: str = "steps") -> DataFrame:
+    """``grid`` with the steps of ``julia_steps``, in batches of which only what goes on is computed further.
+
+    Squares are made as a product of complex numbers is, so steps are those of complex arithmetic.
+    """
+
+    @F.pandas_udf("int")
+    def steps(xs: pd.Series, ys: pd.Series) -> pd.Series:
+        re, im = xs.to_numpy(float), ys.to_numpy(float)
+        n, at = np.zeros(len(re), np.int32), np.arange(len(re))
+        for _ in range(most):
+            go = np.hypot(re, im) < 2
+            re, im, at = re[go], im[go], at[go]
+            if not len(at):
+                break
+            n[at] += 1
+            re, im = re * re - im * im + cx, re * im + im * re + cy
+        return pd.Series(n)
+
+    return grid.withColumn(out, steps(x, y))
+
+
+def wrapped16(c: Column) -> Column:
+    """A whole number as signed 16 bits hold it."""
+    return F.pmod(c + 32768, F.lit(65536)) - 32768
+
+
 def euclidean(a: Column, b: Column) -> Column:
     """Distance of two arrays, summed in their order."""
     squares = F.zip_with(a, b, lambda x, y: (x.cast("double") - y.cast("double")) * (x.cast("double") - y.cast("double")))

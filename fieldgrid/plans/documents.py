@@ -98,7 +98,7 @@ def stream_upsert(spark: SparkSession, sf: str) -> DataFrame:
     out, checkpoint = _paths(spark)
     s = O.observations(spark, f"{sf}/events.parquet*").select("user_id", "event_type", "ts", "value")
     O.upsert_into(s, out, ["user_id", "event_type"], "ts", checkpoint).awaitTermination()
-    return spark.read.parquet(out).select("user_id", "event_type", F.unix_timestamp("ts").alias("version"), "value")
+    return O.latest(spark, out).select("user_id", "event_type", F.unix_timestamp("ts").alias("version"), "value")
 
 
 @query("""WITH c AS (SELECT *, CAST(floor(epoch(ts)) AS BIGINT) AS t, CASE WHEN event_type IS NOT DISTINCT FROM lag(event_type) OVER (PARTITION BY user_id ORDER BY ts) THEN 0 ELSE 1 END AS c FROM events), r AS (SELECT *, sum(c) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS run FROM c),
@@ -109,3 +109,12 @@ def stream_runs(spark: SparkSession, sf: str) -> DataFrame:
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
     O.run_available(O.state_runs(O.observations(spark, f"{sf}/events.parquet*")), out, checkpoint)
     return spark.read.parquet(out).select("user_id", "state", "start", "last", "n")
+
+
+@query("""WITH e AS (SELECT event_type, CAST(floor(epoch(ts) / 3600) AS BIGINT) AS h, value FROM events), w AS (SELECT event_type, h - k AS h, value FROM e, range(0, 8) t(k))
+  SELECT h, event_type, count(*) AS n, round(avg(value), 6) AS mean FROM w WHERE (h + 8) * 3600 <= (SELECT max(epoch(ts)) - 7200 FROM events) GROUP BY 1, 2""")
+def stream_moving(spark: SparkSession, sf: str) -> DataFrame:
+    """Means of eight hours, each hour anew; those that the watermark has closed."""
+    out, checkpoint = _paths(spark)
+    O.run_available(O.moving(O.observations(spark, f"{sf}/events.parquet*"), "event_type"), out, checkpoint)
+    return spark.read.parquet(out).select(F.floor(F.unix_timestamp("w.start") / 3600).alias("h"), "event_type", "n", F.round("mean", 6).alias("mean"))

@@ -34,7 +34,11 @@ def moving(stream: DataFrame, by: str, length: str = "8 hours", step: str = "1 h
 
 
 class StateRuns(StatefulProcessor):
-    """Runs of one state of each key; a run is emitted when the state changes or its batch ends the stream."""
+    """Runs of one state of each key; a run is emitted when a later row has another state, so a key's last run stays open.
+
+    Rows of a micro-batch may come in any order; rows older than what an earlier batch has brought are late and left out.
+    The state of a key is one run.
+    """
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.run = handle.getValueState("run", "state string, start long, last long, n long")
@@ -44,6 +48,8 @@ class StateRuns(StatefulProcessor):
         batch = pd.concat(list(rows)).sort_values(["t", "event_id"])
         now = list(self.run.get()) if self.run.exists() else None
         out = []
+        if now:
+            batch = batch[batch["t"] >= now[2]]
         for t, state in zip(batch["t"].tolist(), batch["event_type"].tolist(), strict=True):
             if now and now[0] == state:
                 now = [state, now[1], t, now[3] + 1]
@@ -51,7 +57,8 @@ class StateRuns(StatefulProcessor):
                 if now:
                     out.append((key[0], *now))
                 now = [state, t, t, 1]
-        self.run.update(tuple(now))
+        if now:
+            self.run.update(tuple(now))
         yield pd.DataFrame(out, columns=["user_id", "state", "start", "last", "n"])
 
     def close(self) -> None:
@@ -64,20 +71,50 @@ def state_runs(stream: DataFrame) -> DataFrame:
     return rows.groupBy("user_id").transformWithStateInPandas(StateRuns(), "user_id long, state string, start long, last long, n long", "Append", "None")
 
 
-def upsert_into(stream: DataFrame, path: str, keys: list[str], version: str, checkpoint: str) -> StreamingQuery:
-    """A stream merged into a Parquet table, the last version of each key: a new generation of the table for each batch.
+def latest(spark: SparkSession, path: str) -> DataFrame:
+    """The table that ``upsert_into`` keeps at a path: of each bucket its newest generation."""
+    whole = spark.read.parquet(path)
+    newest = whole.groupBy("bucket").agg(F.max("generation").alias("generation"))  # a row for each bucket
+    return whole.join(F.broadcast(newest), ["bucket", "generation"]).drop("bucket", "generation")
+
 
-    Generations are folders named by batch; readers take the newest. A batch that is run again writes its own folder anew.
+def upsert_into(stream: DataFrame, path: str, keys: list[str], version: str, checkpoint: str, buckets: int = 64) -> StreamingQuery:
+    """A stream merged into a Parquet table, the last version of each key; ``latest`` reads it.
+
+    Keys are dealt to buckets by hash. A batch writes a new generation, named by its number, of the buckets that it
+    touches, and reads these only; run again, it writes the same folders anew. A table belongs to one checkpoint:
+    the first batch of another one onto a table that exists raises ValueError.
     """
 
     def merge(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
-        stored = batch.limit(0) if number == 0 else spark.read.parquet(f"{path}/generation={number - 1}")
-        upsert(stored, batch.dropDuplicates([*keys, version]), keys, version).write.mode("overwrite").parquet(f"{path}/generation={number}")
+        new = batch.dropDuplicates([*keys, version]).withColumn("bucket", F.pmod(F.xxhash64(*keys), F.lit(buckets)).cast("int"))
+        new = new.persist()
+        try:
+            touched = sorted(r["bucket"] for r in new.select("bucket").distinct().collect())  # bucket numbers
+            if not touched:
+                return
+            stored = new.limit(0)
+            if _exists(spark, path):
+                before = spark.read.parquet(path).where(F.col("bucket").isin(touched))
+                if number == 0 and not spark.read.parquet(path).where("generation > 0").isEmpty():
+                    raise ValueError(f"{path} belongs to another checkpoint")
+                before = before.where(F.col("generation") < number)
+                newest = before.groupBy("bucket").agg(F.max("generation").alias("generation"))
+                stored = before.join(F.broadcast(newest), ["bucket", "generation"]).select(*new.columns)
+            merged = upsert(stored, new, keys, version).withColumn("generation", F.lit(number))
+            merged.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket", "generation").parquet(path)
+        finally:
+            new.unpersist()
 
     return stream.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+def _exists(spark: SparkSession, path: str) -> bool:
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(folder)
+
+
 def run_available(df: DataFrame, path: str, checkpoint: str, mode: str = "append") -> None:
     """Write all that is available now to Parquet, and stop; a later call goes on from the checkpoint."""
     df.writeStream.format("parquet").outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True).start(path).awaitTermination()
