@@ -13,7 +13,8 @@ A text is halved until its parts are short, the parts are encoded, and neighbour
 Decoding concatenates up the same kind of tree. Ranks are a parameter; tokenizers are never trained here.
 
 Defined cases: a null text is an empty one, with no ids; lone surrogates can't occur in Spark's strings; special
-tokens in a text are ordinary text; a text of any length is encoded in one task whose memory is in proportion to it.
+tokens in a text are ordinary text; repeated rows get equal results; an empty table gives an empty one; extra columns stay,
+but for one of the name of the result; a text of any length is encoded in one task whose memory is in proportion to it.
 """
 
 from __future__ import annotations

@@ -6,12 +6,14 @@ released block with the earliest deadline is placed, so after t slots a source h
 
 Weights are whole shares, so the schedule repeats after as many slots as there are shares; one such period is
 scheduled with a heap, and any block's slot follows by arithmetic. When a source has no more blocks, the others go on
-with their shares in a new phase. Only sources, phases and periods are small tables; documents meet them by a
-broadcast join and are never sent to the driver.
+with their shares in a new phase. Documents are never sent to the driver. Sources, phases and periods are planned there
+and broadcast: with S sources that run out one by one, S * S / 2 rows, so this is for hundreds of sources; MOST_SOURCES
+is checked. Group more of them first (web domains, say, by a hash or a topic).
 
 Defined cases: a null source is a source of its own; a null text has no characters; sources without a weight get
-weight 0 and come after all others, one after another; repeated rows are rows of their own; empty tables give empty
-results; a source may hold any share of the rows: its running totals are made in buckets.
+weight 0 and come after all others, one after another; repeated rows are rows of their own; a text longer than a
+block has the slot of its first block and uses up those of all; extra columns are left out here, and stay in what
+``in_mixed_order`` returns; empty tables give empty results; a source may hold any share of the rows: its running totals are made in buckets.
 """
 
 from __future__ import annotations
@@ -33,6 +35,8 @@ BUCKETS = 4096
 #: Shares that all sources have together, about, when weights come from their sizes.
 SHARES = 1000
 SEED = 17
+#: Sources that a plan may have.
+MOST_SOURCES = 1000
 
 
 @dataclass(frozen=True)
@@ -122,8 +126,10 @@ def mixed(docs: DataFrame, weights: Mapping[str | None, int] | None = None, *, b
     # Blocks in which no document starts (a long one goes over them) use up slots of their source like any other.
     used = placed.groupBy("key").agg((F.max("block") + 1).alias("used")).join(totals, "key")
     n = F.greatest("used", F.ceil(F.col("chars") / block_chars))
-    sized = {r["key"]: (r["n"], r["chars"]) for r in used.select("key", n.alias("n"), "chars").collect()}  # a row for each source
+    sized = {r["key"]: (r["n"], r["chars"]) for r in used.select("key", n.alias("n"), "chars").limit(MOST_SOURCES + 1).collect()}  # a row for each source
     numbered = placed.select("key", "block", F.col("block").alias("k")).distinct()
+    if len(sized) > MOST_SOURCES:
+        raise ValueError(f"{len(sized)} sources, over {MOST_SOURCES}: group them first")
     own = {"null" if s is None else f"={s}": int(k) for s, k in weights.items()} if weights is not None else shares_by_size({s: c for s, (_, c) in sized.items()}, shares, power)
     phases = phases_of({s: n for s, (n, _) in sized.items()}, own)
     spark = docs.sparkSession
