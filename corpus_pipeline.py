@@ -2,6 +2,12 @@
 
 STAGES lists (name, function); each function takes (spark, docs, sf_dir) and returns a DataFrame, which is written as
 Parquet and read again as the next one's docs. All but the last return the columns of documents.
+
+Defined cases: null and empty texts are scored like any other by the first stage and have no language, so the second
+rejects them; rows without id are scored and labelled but never learnt from, and near-duplicates never drop them; an id
+that repeats with other texts is as many documents; rows that repeat id and text are one from near_dedup on; texts of any
+length are read whole; of equal or tied documents the smallest id stays; extra columns stay in all stages but the last,
+whatever their names; an empty table gives empty results.
 """
 
 from __future__ import annotations
@@ -34,7 +40,7 @@ def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, that of the smallest id, of each group that shares 0.8 of its five-word shingles."""
+    """One document, that of the smallest id, of each group of SimHash near-duplicates that share 0.8 of their five-word shingles."""
     return neardup.keep_one_each(docs, similar.similar)
 
 
