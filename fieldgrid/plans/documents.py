@@ -114,7 +114,7 @@ def stream_runs(spark: SparkSession, sf: str) -> DataFrame:
 @query("""WITH e AS (SELECT event_type, CAST(floor(epoch(ts) / 3600) AS BIGINT) AS h, value FROM events), w AS (SELECT event_type, h - k AS h, value FROM e, range(0, 8) t(k))
   SELECT h, event_type, count(*) AS n, round(avg(value), 6) AS mean FROM w WHERE (h + 8) * 3600 <= (SELECT max(epoch(ts)) - 7200 FROM events) GROUP BY 1, 2""")
 def stream_moving(spark: SparkSession, sf: str) -> DataFrame:
-    """Means of eight hours, each hour anew; those that the watermark has closed. Sums are rounded first, as their order is open."""
+    """Means of eight hours, each hour anew; those that the watermark has closed."""
     out, checkpoint = _paths(spark)
     O.run_available(O.moving(O.observations(spark, f"{sf}/events.parquet*"), "event_type"), out, checkpoint)
-    return spark.read.parquet(out).select(F.floor(F.unix_timestamp("w.start") / 3600).alias("h"), "event_type", "n", F.round(F.round(F.col("mean") * F.col("n"), 4) / F.col("n"), 6).alias("mean"))
+    return spark.read.parquet(out).select(F.floor(F.unix_timestamp("w.start") / 3600).alias("h"), "event_type", "n", (F.floor(F.col("mean") * 1e6 + 0.5) / 1e6).alias("mean"))
