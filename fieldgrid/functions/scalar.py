@@ -179,6 +179,20 @@ def in_ring(x: Column, y: Column, xs: Column, ys: Column) -> Column:
     return F.aggregate(F.transform(i, crosses), F.lit(0), lambda s, v: s + v) % 2 == 1
 
 
+def squared_distance_to_ring(x: Column, y: Column, xs: Column, ys: Column) -> Column:
+    """Squared distance from a point to the nearest side of a closed ring."""
+
+    def side(k: Column) -> Column:
+        x1, y1 = F.element_at(xs, k), F.element_at(ys, k)
+        dx, dy = F.element_at(xs, k + 1) - x1, F.element_at(ys, k + 1) - y1
+        along = F.coalesce(F.try_divide((x - x1) * dx + (y - y1) * dy, dx * dx + dy * dy), F.lit(0.0))
+        t = F.least(F.greatest(along, F.lit(0.0)), F.lit(1.0))
+        ex, ey = x - x1 - t * dx, y - y1 - t * dy
+        return ex * ex + ey * ey
+
+    return F.array_min(F.transform(F.sequence(F.lit(1), F.size(xs) - 1), side))
+
+
 # The WGS 84 ellipsoid, and the scale of a UTM zone's central meridian.
 WGS84_A, WGS84_E2, UTM_SCALE = 6378137.0, 0.0066943799901413165, 0.9996
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import math
 import random
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -62,16 +62,23 @@ def class_means(df: DataFrame, label: str, vector: str) -> DataFrame:
     return long.groupBy(label).agg(F.sort_array(F.collect_list(F.struct("i", "m"))).alias("_s")).select(label, F.col("_s.m").alias("mean"))
 
 
+def _least_of(df: DataFrame, candidates: DataFrame, cost: Callable[[Column], Column], tie: str) -> DataFrame:
+    """``df`` with ``_m``: the (cost, tie) of the candidate of the least cost. All candidates are one row, of bounded number, so no row is copied or shuffled."""
+    one = candidates.agg(F.collect_list(F.struct(*candidates.columns)).alias("_all"))
+    best = F.array_min(F.transform("_all", lambda c: F.struct(cost(c).alias("cost"), c[tie].alias("tie"))))
+    return df.crossJoin(F.broadcast(one)).where(F.size("_all") > 0).withColumn("_m", best)
+
+
 def best_class(df: DataFrame, row: str, vector: str, means: DataFrame, label: str) -> DataFrame:
     """(row, best, probability): the class of the most probable spectrum; ties: the smallest. Means are one row a class."""
-    each = df.join(F.broadcast(means)).withColumn("_p", F.round(spectral_probability(F.col(vector), F.col("mean")), 6))
-    return each.groupBy(row).agg(F.min(F.struct((-F.col("_p")).alias("n"), F.col(label).alias("c"))).alias("_m")).select(row, F.col("_m.c").alias("best"), (-F.col("_m.n")).alias("probability"))
+    each = _least_of(df, means, lambda c: -F.round(spectral_probability(F.col(vector), c["mean"]), 6), label)
+    return each.select(row, F.col("_m.tie").alias("best"), (-F.col("_m.cost")).alias("probability"))
 
 
 def assign_medoids(points: DataFrame, medoids: DataFrame, row: str, vector: str) -> DataFrame:
     """(row, medoid, cost): the nearest medoid (medoid, centre); ties: the smallest. Medoids are k rows."""
-    each = points.join(F.broadcast(medoids)).withColumn("_d", F.round(scalar.euclidean(F.col(vector), F.col("centre")), 9))
-    return each.groupBy(row).agg(F.min(F.struct("_d", "medoid")).alias("_m")).select(row, F.col("_m.medoid").alias("medoid"), F.col("_m._d").alias("cost"))
+    each = _least_of(points, medoids, lambda c: F.round(scalar.euclidean(F.col(vector), c["centre"]), 9), "medoid")
+    return each.select(row, F.col("_m.tie").alias("medoid"), F.col("_m.cost").alias("cost"))
 
 
 def pam(points: DataFrame, row: str, vector: str, k: int, rounds: int = 100) -> DataFrame:

@@ -69,6 +69,16 @@ def outlines(labelled: DataFrame, eight: bool = False) -> DataFrame:
     return corners.select("component", "ring", (-F.col("left")).alias("i"), F.col("x2").alias("x"), F.col("y2").alias("y"))
 
 
+def measured(corners: DataFrame, *by: str) -> DataFrame:
+    """(by, component, ring, area, perimeter) of rings given by their corners; a ring around a hole has negative area."""
+    ring = F.sort_array(F.collect_list(F.struct("i", "x", "y"))).alias("c")
+    rings = corners.groupBy(*by, "component", "ring").agg(ring)
+    ends = F.transform("c", lambda a, i: F.struct(a["x"].alias("x"), a["y"].alias("y"), F.get("c", F.pmod(i + 1, F.size("c"))).alias("n")))
+    area = F.aggregate(ends, F.lit(0.0), lambda s, e: s + (e["x"] * e["n"]["y"] - e["n"]["x"] * e["y"]) / 2)
+    length = F.aggregate(ends, F.lit(0).cast("long"), lambda s, e: s + F.abs(e["x"] - e["n"]["x"]) + F.abs(e["y"] - e["n"]["y"]))
+    return rings.select(*by, "component", "ring", area.alias("area"), length.alias("perimeter"))
+
+
 def _cell_cover(rings: pd.DataFrame, x0: float, y0: float, size: float, n: int) -> tuple[float, float]:
     """Areas of a square cell that one polygon or more, and all ``n``, cover.
 

@@ -147,11 +147,11 @@ def on_grid(values: DataFrame, grid: DataFrame, value: str, default: float) -> D
     return grid.join(values, ["row", "col"], "left").withColumn(value, F.coalesce(F.col(value), F.lit(default)))
 
 
-def strips(df: DataFrame, lines: int, halo: int, last_row: Column) -> DataFrame:
-    """Rows by strip of ``lines`` lines, with those of the neighbouring strips that are within the halo (``core`` is false there)."""
-    own = F.floor(F.col("row") / lines)
-    around = F.array_distinct(F.array(own, F.floor((F.col("row") - halo) / lines), F.floor((F.col("row") + halo) / lines)))
-    inside = F.filter(around, lambda s: (s >= 0) & (s <= F.floor(last_row / lines)))
+def strips(df: DataFrame, lines: int, halo: int, last: Column, axis: str = "row") -> DataFrame:
+    """Pixels by strip of ``lines`` rows (or columns), with those of the neighbouring strips that are within the halo (``core`` is false there)."""
+    own = F.floor(F.col(axis) / lines)
+    around = F.array_distinct(F.array(own, F.floor((F.col(axis) - halo) / lines), F.floor((F.col(axis) + halo) / lines)))
+    inside = F.filter(around, lambda s: (s >= 0) & (s <= F.floor(last / lines)))
     return df.withColumn("strip", F.explode(inside)).withColumn("core", F.col("strip") == own)
 
 
@@ -204,18 +204,33 @@ def at_points(df: DataFrame, points: DataFrame, x0: float, dx: float, y0: float,
 def proximity(df: DataFrame, burned: Column, out: str, most: int) -> DataFrame:
     """Distance in pixels to the nearest burned pixel within ``most``; null beyond.
 
-    A distance transform by axes: the nearest burned pixel along each row, then the least sum of squares along each
-    column within reach, by a join on the rows in reach and a pre-aggregated minimum.
+    A distance transform by axes in two windows: the nearest burned pixel along each row, then the least sum of squares
+    over the rows in reach of each column. No pixel is copied, but places that the raster lacks next to a pixel, and
+    that have a burned one in reach along their row, are filled in between.
     """
-    line = Window.partitionBy("row").orderBy("col")
-    here = F.when(burned, F.col("col"))
-    left = F.col("col") - F.last(here, ignorenulls=True).over(line.rowsBetween(Window.unboundedPreceding, 0))
-    right = F.first(here, ignorenulls=True).over(line.rowsBetween(0, Window.unboundedFollowing)) - F.col("col")
-    flat = df.withColumn("_d", F.least(left, right))
-    near = flat.where(F.col("_d") <= most).select(F.explode(F.sequence(F.col("row") - most, F.col("row") + most)).alias("row"), "col", F.col("row").alias("_r"), "_d")
-    squared = F.col("_d") * F.col("_d") + (F.col("_r") - F.col("row")) * (F.col("_r") - F.col("row"))
-    best = near.groupBy("row", "col").agg(F.min(squared).alias("_s")).where(F.col("_s") <= most * most)
-    return df.join(best, ["row", "col"], "left").withColumn(out, F.sqrt("_s")).drop("_s")
+    line, col = Window.partitionBy("row").orderBy("col"), F.col("col")
+    here = F.when(burned, col)
+    marks = {
+        "_l": F.last(here, ignorenulls=True).over(line.rowsBetween(Window.unboundedPreceding, 0)), "_r": F.first(here, ignorenulls=True).over(line.rowsBetween(0, Window.unboundedFollowing)),
+        "_l2": F.last(here, ignorenulls=True).over(line.rowsBetween(Window.unboundedPreceding, -1)), "_r2": F.first(here, ignorenulls=True).over(line.rowsBetween(1, Window.unboundedFollowing)),
+        "_prev": F.lag("col").over(line), "_next": F.lead("col").over(line),
+    }
+    cell = lambda c, left, right, real: F.struct(c.cast("long").alias("c"), F.least(c - F.col(left), F.col(right) - c).alias("d"), F.lit(real).alias("real"))
+
+    def gap(low: Column, high: Column, left: str, right: str) -> Column:
+        places = F.when(high >= low, F.sequence(low, high))
+        return F.filter(F.transform(places, lambda c: cell(c, left, right, False)), lambda x: x["d"] <= most)
+
+    before = gap(F.greatest(F.col("_prev") + 1, col - most), col - 1, "_l2", "_r")
+    after = gap(col + 1, F.least(F.col("_next") - 1, col + most), "_l", "_r2")
+    none = F.array().cast("array<struct<c:bigint,d:bigint,real:boolean>>")
+    cells = F.concat(F.array(cell(col, "_l", "_r", True)), F.coalesce(before, none), F.coalesce(after, none))
+    flat = df.withColumns(marks).withColumn("_cell", F.explode(cells)).drop(*marks)
+    near = F.when(F.col("_cell.d") <= most, F.struct(F.col("row").alias("r"), F.col("_cell.d").alias("d")))
+    met = F.collect_list(near).over(Window.partitionBy("_cell.c").orderBy("row").rangeBetween(-most, most))
+    best = F.array_min(F.transform("_n", lambda n: n["d"] * n["d"] + (n["r"] - F.col("row")) * (n["r"] - F.col("row"))))
+    found = flat.withColumn("_n", met).where("_cell.real").withColumn("_s", best)
+    return found.withColumn(out, F.when(F.col("_s") <= most * most, F.sqrt("_s"))).drop("_cell", "_n", "_s")
 
 
 def pyramid(df: DataFrame, value: str, levels: int) -> DataFrame:

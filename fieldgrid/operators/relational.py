@@ -10,6 +10,9 @@ from pyspark.sql.window import Window
 
 from ..functions import scalar
 
+#: Cells that a polygon spans along its longer axis, but for one.
+SPAN = 4
+
 
 def bbox(x: Column, y: Column, x0: float, y0: float, x1: float, y1: float) -> Column:
     """Whether a point is in a closed rectangle."""
@@ -78,15 +81,29 @@ def balance(samples: DataFrame, label: str, order: Sequence[str], part: Column)
     return rows.where(F.col("_i") + F.col("copy") * F.col("_n") < F.col("_top")).drop("_i", "_n", "_top")
 
 
-def points_in_polygons(points: DataFrame, polygons: DataFrame, cell: float, x: str = "x", y: str = "y") -> DataFrame:
-    """Pairs of points and the polygons (``xs``, ``ys``: closed rings) that hold them.
+def points_in_boxes(points: DataFrame, polygons: DataFrame, cell: float, x: str = "x", y: str = "y", xs: str = "xs", ys: str = "ys") -> DataFrame:
+    """Pairs of points and the polygons whose bounds hold them.
 
-    An equi-join on grid cells: a polygon is in each cell that its bounds meet, a point in one; the exact test follows.
+    An equi-join on grid cells. A polygon's cells are ``cell`` times a power of two wide, so that it meets a few of them
+    however large it is; a point is in one cell of each width that occurs. The driver sees the widths' powers only.
     """
-    p = points.withColumn("_cx", F.floor(F.col(x) / cell)).withColumn("_cy", F.floor(F.col(y) / cell))
-    cells = lambda v: F.explode(F.sequence(F.floor(F.array_min(v) / cell), F.floor(F.array_max(v) / cell)))
-    q = polygons.withColumn("_cx", cells(F.col("xs"))).withColumn("_cy", cells(F.col("ys")))
-    return p.join(q, ["_cx", "_cy"]).where(scalar.in_ring(F.col(x), F.col(y), F.col("xs"), F.col("ys"))).drop("_cx", "_cy")
+    bounds = {"_x0": F.array_min(xs), "_x1": F.array_max(xs), "_y0": F.array_min(ys), "_y1": F.array_max(ys)}
+    longest = F.greatest(F.col("_x1") - F.col("_x0"), F.col("_y1") - F.col("_y0"))
+    level = F.greatest(F.lit(0), F.ceil(F.log2(longest / (cell * SPAN)))).cast("int")
+    q = polygons.withColumns(bounds).withColumn("_level", level)
+    at = lambda v: F.floor(v / (cell * F.pow(F.lit(2.0), F.col("_level"))))
+    cells = lambda a, b: F.explode(F.sequence(at(F.col(a)), at(F.col(b))))
+    levels = sorted(q.agg(F.collect_set("_level")).first()[0]) or [0]
+    p = points.withColumn("_level", F.explode(F.array(*map(F.lit, levels))) if len(levels) > 1 else F.lit(levels[0]))
+    p = p.withColumns({"_cx": at(F.col(x)), "_cy": at(F.col(y))})
+    q = q.withColumn("_cx", cells("_x0", "_x1")).withColumn("_cy", cells("_y0", "_y1"))
+    met = p.join(q, ["_level", "_cx", "_cy"]).where(F.col(x).between(F.col("_x0"), F.col("_x1")) & F.col(y).between(F.col("_y0"), F.col("_y1")))
+    return met.drop("_level", "_cx", "_cy", *bounds)
+
+
+def points_in_polygons(points: DataFrame, polygons: DataFrame, cell: float, x: str = "x", y: str = "y") -> DataFrame:
+    """Pairs of points and the polygons (``xs``, ``ys``: closed rings) that hold them: bounds first, then the exact test."""
+    return points_in_boxes(points, polygons, cell, x, y).where(scalar.in_ring(F.col(x), F.col(y), F.col("xs"), F.col("ys")))
 
 
 def within_distance(points: DataFrame, centres: DataFrame, reach: float, x: str = "x", y: str = "y", cx: str = "cx", cy: str = "cy") -> DataFrame:

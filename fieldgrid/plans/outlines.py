@@ -20,15 +20,8 @@ def polygonise(spark: SparkSession, sf: str) -> DataFrame:
     """Area and perimeter of each class from the rings of its regions: holes count as negative area."""
     p = pixels(spark, sf).select("row", "col", (F.col("v") % 3).alias("k"))
     regions = G.components(p, "k", False, None)
-    corners = O.outlines(regions)
-    ring = F.sort_array(F.collect_list(F.struct("i", "x", "y"))).alias("c")
-    rings = corners.groupBy("component", "ring").agg(ring)
-    ends = F.transform("c", lambda a, i: F.struct(a["x"].alias("x"), a["y"].alias("y"), F.get("c", F.pmod(i + 1, F.size("c"))).alias("n")))
-    area = F.aggregate(ends, F.lit(0.0), lambda s, e: s + (e["x"] * e["n"]["y"] - e["n"]["x"] * e["y"]) / 2)
-    length = F.aggregate(ends, F.lit(0).cast("long"), lambda s, e: s + F.abs(e["x"] - e["n"]["x"]) + F.abs(e["y"] - e["n"]["y"]))
     classes = regions.groupBy("component").agg(F.max("k").alias("k"))
-    measured = rings.select("component", area.alias("area"), length.alias("perimeter")).join(classes, "component")
-    return measured.groupBy("k").agg(F.sum("area").alias("area"), F.sum("perimeter").alias("perimeter"))
+    return O.measured(O.outlines(regions)).join(classes, "component").groupBy("k").agg(F.sum("area").alias("area"), F.sum("perimeter").alias("perimeter"))
 
 
 @query(f"""WITH {_L}, cells AS (SELECT site, id, x + i AS x, y + j AS y FROM l, range(0, 10) a(i), range(0, 7) b(j) WHERE i < w AND j < h AND (i = 0 OR j = 0)), n AS (SELECT site, count(*) AS n FROM l GROUP BY 1),

@@ -3,10 +3,17 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.relational import upsert
+from ..operators.tables import written
+
+#: Columns of a decision tree's node table: inner nodes have a feature and a threshold, leaves a label.
+TREE = "id int, feature string, threshold double, left int, right int, label int"
+
 
 def pixel_table(spark: SparkSession, path: str, bands: Sequence[str], rows: tuple[int, int] | None = None) -> DataFrame:
     """Chosen bands and rows of a Parquet pixel table: columns and row groups that aren't asked for aren't read."""
@@ -26,6 +33,25 @@ def csv_samples(spark: SparkSession, path: str, n_bands: int) -> DataFrame:
     return spark.read.csv(path, schema=schema)
 
 
+def csv_parts(spark: SparkSession, folder: str, schema: str, pattern: str = "*.csv") -> DataFrame:
+    """All tables of a folder and those below it as one, with the name of each row's file."""
+    df = spark.read.csv(folder, schema=schema, pathGlobFilter=pattern, recursiveFileLookup=True)
+    return df.select("*", F.col("_metadata.file_name").alias("file"))
+
+
+def files(spark: SparkSession, folder: str, pattern: str) -> DataFrame:
+    """(path, name, length) of the files of a folder and those below it whose names match; contents aren't read."""
+    found = spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", "true").load(folder)
+    return found.select("path", F.element_at(F.split("path", "/"), -1).alias("name"), "length")
+
+
+def layers(spark: SparkSession, paths: dict[str, str]) -> DataFrame:
+    """(layer, rows, columns) of Parquet layers by name: rows are counted from the files' footers."""
+    read = {name: spark.read.parquet(path) for name, path in paths.items()}
+    one = [df.agg(F.count("*").alias("rows")).select(F.lit(name).alias("layer"), "rows", F.lit(len(df.columns)).cast("long").alias("columns")) for name, df in read.items()]
+    return reduce(DataFrame.unionByName, one)
+
+
 def label_names(spark: SparkSession, path: str) -> DataFrame:
     """``name,id`` lines, blanks dropped."""
     return spark.read.csv(path, schema="name string, id int").where(F.col("id").isNotNull() & (F.trim("name") != ""))
@@ -106,3 +132,23 @@ def split_layer(df: DataFrame, path: str, key: str) -> None:
 def append_jdbc(df: DataFrame, url: str, name: str, properties: dict[str, str]) -> None:
     """Append to a database table; credentials come from the caller."""
     df.write.jdbc(url, name, mode="append", properties=properties)
+
+
+def upsert_jdbc(fresh: DataFrame, url: str, name: str, keys: Sequence[str], version: str, properties: dict[str, str]) -> None:
+    """Rows of a database table and fresh ones, for each key that with the largest version.
+
+    The merged rows are written to the shared folder first, then the table is truncated and filled, so a failed run can be repeated from there.
+    """
+    stored = fresh.sparkSession.read.jdbc(url, name, properties=properties)
+    merged = written(upsert(stored, fresh.select(*stored.columns), keys, version))
+    merged.write.option("truncate", True).jdbc(url, name, mode="overwrite", properties=properties)
+
+
+def write_tree(spark: SparkSession, nodes: Sequence[tuple], path: str) -> None:
+    """A decision tree, as ``operators.learning.cart`` makes it, as a table of nodes."""
+    spark.createDataFrame(list(nodes), TREE).coalesce(1).write.mode("overwrite").parquet(path)
+
+
+def read_tree(spark: SparkSession, path: str) -> list[tuple]:
+    """The nodes of a written tree, in order of their numbers."""
+    return [tuple(r) for r in spark.read.schema(TREE).parquet(path).orderBy("id").collect()]

@@ -19,9 +19,9 @@ def links(pages: DataFrame, html: str = "html", url: str = "url") -> DataFrame:
 
 
 def embedded_json(pages: DataFrame, variable: str, schema: str, html: str = "html") -> DataFrame:
-    """The JSON that a script assigns to a variable, parsed; null where there is none."""
-    text = F.regexp_extract(F.col(html), rf"{variable}\s*=\s*(\{{.*?\}})\s*[;<]", 1)
-    return pages.withColumn(variable, F.from_json(text, schema))
+    """The JSON that a script assigns to a variable, parsed; null where there is none. The parser finds its end, over line breaks and inside texts."""
+    text = F.regexp_extract(F.col(html), rf"(?s)\b{variable}\s*=\s*(\{{.*)", 1)
+    return pages.withColumn(variable, F.from_json(F.nullif(text, F.lit("")), schema))
 
 
 def table_cells(pages: DataFrame, html: str = "html") -> DataFrame:
