@@ -1,7 +1,7 @@
 """Approximate nearest neighbours: a robust-pruned directed graph in each shard, beam-searched by every query.
 
 Vectors are dealt to shards by the size of their largest component, in bands of NORM_BAND powers of two, and in a band
-by a hash of their id: so vectors of one shard have norms of one size and single precision keeps them apart. There are
+by steps of their norm, then by a hash of their id: so vectors of one shard have norms of one size and single precision keeps them apart. There are
 SHARDS shards of a band at most until each has SHARD_MOST vectors, so a query's work grows with the logarithm of the
 table up to SHARDS * SHARD_MOST vectors, and beyond that with the number of shards. In a shard, vectors are inserted in batches: a greedy beam search
 from the entry points proposes neighbours, robust pruning keeps an edge only if no kept neighbour is nearer to the
@@ -37,6 +37,8 @@ K = 20
 #: Vectors of a shard, about, while a band has up to SHARDS shards; most vectors of a shard. A task holds one shard.
 SHARD_ROWS, SHARDS, SHARD_MOST = 4096, 16, 262_144
 NORM_BAND = 4
+#: Steps of norm in a power of two: the shards of a band differ by norm, as far as norms do.
+NORM_STEPS = 16
 DEGREE, BEAM, SEARCH_BEAM, RELAX, ENTRIES = 32, 48, 128, 1.2, 32
 #: Insertions and queries that are searched in step.
 BATCH = 256
@@ -194,15 +196,31 @@ def nearest(vectors: DataFrame, queries: DataFrame, *, k: int = K, shard_rows: i
     as_double = lambda c: F.transform(c, lambda x: x.cast("double"))
     largest = F.array_max(F.transform("v", F.abs))
     band = F.concat_ws("/", F.size("v"), F.floor(F.log2(largest) / NORM_BAND)).alias("band")
+    length = F.log2(largest) + F.log2(F.aggregate("v", F.lit(0.0), lambda t, x: t + (x / largest) * (x / largest))) / 2
+    step = F.floor(length * NORM_STEPS + 0.5).alias("step")
     rows = vectors.where(usable("embedding") & F.col("vec_id").isNotNull()).select("vec_id", as_double(F.col("embedding")).alias("v"))
-    sizes = rows.select(F.size("v").alias("dim"), band).groupBy("dim", "band").agg(F.count("*").alias("n")).orderBy("dim", "band").collect()  # a row for each length and band of norms
+    counts = rows.select(F.size("v").alias("dim"), band, step).groupBy("dim", "band", "step").agg(F.count("*").alias("n")).orderBy("dim", "band", "step").collect()  # a row for each length and step of norms
+    sizes: dict[str, dict] = {}
+    for r in counts:
+        sizes.setdefault(r["band"], {"dim": r["dim"], "band": r["band"], "n": 0})["n"] += r["n"]
+    sizes = list(sizes.values())
     first, many, total = {}, {}, 0
     for r in sizes:
         first[r["band"]], many[r["band"]] = total, max(min(SHARDS, -(-r["n"] // shard_rows)), -(-r["n"] // SHARD_MOST))
         total += many[r["band"]]
+    # Shards of a band are runs of steps; a step that several shards share is dealt to them by hash.
+    n_of, low, wide, before = {r["band"]: r["n"] for r in sizes}, [], [], {}
+    for r in counts:
+        b, name = r["band"], F.lit(f"{r['band']}/{r['step']}")
+        low += [name, F.lit(before.get(b, 0) * many[b] / n_of[b])]
+        wide += [name, F.lit(r["n"] * many[b] / n_of[b])]
+        before[b] = before.get(b, 0) + r["n"]
     entries = [F.lit(x) for b in first for x in (b, first[b])] or [F.lit(""), F.lit(0)]
     start, number = F.create_map(*entries), F.create_map(*[F.lit(x) for b in many for x in (b, many[b])] or [F.lit(""), F.lit(1)])
-    dealt = rows.withColumn("band", band).select((start[F.col("band")] + F.pmod(F.xxhash64("vec_id"), number[F.col("band")])).cast("int").alias("shard"), F.lit(False).alias("asks"), "vec_id", "v")
+    at, share = F.create_map(*low or [F.lit(""), F.lit(0.0)]), F.create_map(*wide or [F.lit(""), F.lit(1.0)])
+    name, part = F.concat_ws("/", "band", "step"), F.pmod(F.xxhash64("vec_id"), F.lit(1 << 20)) / (1 << 20)
+    own = F.least(F.floor(at[name] + share[name] * part), number[F.col("band")] - 1)
+    dealt = rows.select("*", band, step).select((start[F.col("band")] + own).cast("int").alias("shard"), F.lit(False).alias("asks"), "vec_id", "v")
     of_dim: dict[int, list[int]] = {}
     for r in sizes:
         of_dim.setdefault(r["dim"], []).extend(range(first[r["band"]], first[r["band"]] + many[r["band"]]))
