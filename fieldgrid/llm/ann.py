@@ -6,9 +6,10 @@ SHARDS shards of a band at most until each has SHARD_MOST vectors, so a query's
 table up to SHARDS * SHARD_MOST vectors, and beyond that with the number of shards. In a shard, vectors are inserted in batches: a greedy beam search
 from the entry points proposes neighbours, robust pruning keeps an edge only if no kept neighbour is nearer to the
 candidate by more than the relaxation, and kept edges are added in reverse and pruned again. A second pass refines the
-graph. Each query searches each shard with a beam; the shards' results are merged by exact score.
+graph. A shard has a graph for each step of norm. Each query searches each graph that can still better its results
+with a beam, wider for larger graphs; the shards' results are merged by exact score.
 
-Nearness is the inner product. Indexed vectors, scaled to the shard's largest norm, get one more component,
+Nearness is the inner product. Indexed vectors, scaled to the graph's largest norm, get one more component,
 sqrt(1 - norm^2), so that all lie on a sphere and the graph's distances order as inner products do; queries, which have
 0 there, are ranked by inner product alone. Scores are computed on the original vectors in double precision.
 
@@ -39,7 +40,9 @@ SHARD_ROWS, SHARDS, SHARD_MOST = 4096, 16, 262_144
 NORM_BAND = 4
 #: Steps of norm in a power of two: the shards of a band differ by norm, as far as norms do.
 NORM_STEPS = 16
-DEGREE, BEAM, SEARCH_BEAM, RELAX, ENTRIES = 32, 48, 128, 1.2, 32
+DEGREE, BEAM, SEARCH_BEAM, RELAX, ENTRIES = 32, 48, 128, 1.2, 128
+#: Vectors that share a graph however their norms differ: all of them are entry points.
+FEW = ENTRIES
 #: Insertions and queries that are searched in step.
 BATCH = 256
 
@@ -148,7 +151,7 @@ class Graph:
 
 
 class Shard:
-    """The graph of a shard's distinct vectors and the ids of each."""
+    """The graphs of a shard's distinct vectors, one for each run of like norms, and the ids of each vector."""
 
     def __init__(self, ids: np.ndarray, vectors: np.ndarray, k: int) -> None:
         order = np.argsort(ids, kind="stable")
@@ -157,29 +160,62 @@ class Shard:
         self.vectors = vectors[first]
         by_node = np.argsort(node, kind="stable")
         self.members = [np.unique(m)[: k + 1] for m in np.split(ids[by_node], np.cumsum(np.bincount(node))[:-1])]  # the smaller ids win ties
-        near_one = self.vectors / np.abs(self.vectors).max()
-        norm2 = np.einsum("ij,ij->i", near_one, near_one)
-        near_one, norm2 = near_one / np.sqrt(norm2.max()), norm2 / norm2.max()
-        self.graph = Graph(np.concatenate([near_one, np.sqrt(np.maximum(1 - norm2, 0))[:, None]], axis=1))
+        largest = np.abs(self.vectors).max()
+        near_one = self.vectors / largest
+        norms = np.sqrt(np.einsum("ij,ij->i", near_one, near_one))
+        #: (rows, largest norm, graph), by falling norm.
+        self.graphs: list[tuple[np.ndarray, float, Graph]] = []
+        for rows in like_norms(norms):
+            top = norms[rows[0]]
+            lift = np.sqrt(np.maximum(1 - (norms[rows] / top) ** 2, 0))
+            self.graphs.append((rows, float(top) * float(largest), Graph(np.concatenate([near_one[rows] / top, lift[:, None]], axis=1))))
 
     def nearest(self, ids: np.ndarray, queries: np.ndarray, k: int, beam: int) -> Iterator[tuple[int, int, float]]:
-        """(query, vector, inner product) of the k best that a beam search finds for each query."""
-        near_one = queries / np.abs(queries).max(axis=1, keepdims=True)
-        found, _ = self.graph.search(np.concatenate([near_one, np.zeros((len(queries), 1))], axis=1), max(beam, k + 1), inner=True)
-        for q, v, nodes in zip(ids.tolist(), queries, found, strict=True):
-            nodes = nodes[nodes >= 0]
-            scores = self.vectors[nodes] @ v
-            out: list[tuple[float, int]] = []
-            for i in np.argsort(-scores, kind="stable"):
-                if len(out) > k and scores[i] < out[k][0]:
-                    break
-                out += [(float(scores[i]), int(m)) for m in self.members[nodes[i]] if m != q]
-            best: dict[int, float] = {}
-            for s, m in sorted(out, key=lambda x: (-x[0], x[1])):
-                best.setdefault(m, s)
-            for m, s in list(best.items())[:k]:
+        """(query, vector, inner product) of the k best that beam searches find for each query.
+
+        Graphs are searched by falling norm; one is left out only if the product of its largest norm and the query's,
+        which no member can exceed, is under the k-th score found.
+        """
+        near_one = np.concatenate([queries / np.abs(queries).max(axis=1, keepdims=True), np.zeros((len(queries), 1))], axis=1)
+        lengths = np.linalg.norm(queries, axis=1)
+        best: list[list[tuple[float, int]]] = [[] for _ in ids]
+        kth = np.full(len(ids), -np.inf)
+        for rows, top, graph in self.graphs:
+            live = np.flatnonzero(kth <= lengths * top * (1 + 1e-9))
+            if not len(live):
+                continue
+            found, _ = graph.search(near_one[live], max(int(beam * max(1.0, np.sqrt(len(rows) / SHARD_ROWS))), k + 1), inner=True)
+            for j, nodes in zip(live.tolist(), found, strict=True):
+                best[j] = self._better(best[j], rows[nodes[nodes >= 0]], int(ids[j]), queries[j], k)
+                if len(best[j]) == k:
+                    kth[j] = best[j][-1][0]
+        for q, own in zip(ids.tolist(), best, strict=True):
+            for s, m in own:
                 yield q, m, s
 
+    def _better(self, had: list[tuple[float, int]], nodes: np.ndarray, query: int, v: np.ndarray, k: int) -> list[tuple[float, int]]:
+        """The k best of ``had`` and the members of ``nodes``, each id once, ties to the smaller id."""
+        scores = self.vectors[nodes] @ v
+        out: list[tuple[float, int]] = []
+        for i in np.argsort(-scores, kind="stable"):
+            if len(out) > k and scores[i] < out[k][0]:
+                break
+            out += [(float(scores[i]), int(m)) for m in self.members[nodes[i]] if m != query]
+        best: dict[int, float] = {}
+        for s, m in sorted(had + out, key=lambda x: (-x[0], x[1])):
+            best.setdefault(m, s)
+        return [(s, m) for m, s in list(best.items())[:k]]
+
+
+def like_norms(norms: np.ndarray) -> Iterator[np.ndarray]:
+    """Runs of rows by falling norm: within a step of norms, or FEW rows, all of which are entry points."""
+    order = np.argsort(-norms, kind="stable")
+    falling, at = -norms[order], 0
+    while at < len(order):
+        to = max(at + FEW, int(np.searchsorted(falling, falling[at] * 2 ** (-1 / NORM_STEPS), side="right")))
+        yield order[at:to]
+        at = to
+
 
 def usable(vector: str) -> Column:
     """Whether a vector takes part: finite components, not all zero."""

@@ -249,3 +249,32 @@ def test_token_files_of_many_blocks(spark, tmp_path):
         want += [(name, int(s), int(e - s)) for s, e in zip(starts, [*ends, n], strict=True) if e < n or s < n]
     got = tokens.scan(tokens.file_blocks(spark, str(tmp_path), block_tokens=64), 9).collect()
     assert sorted((r.file[-5], r.start, r.n_tokens) for r in got) == sorted(want)
+
+
+# Nearest neighbours: norms that differ within a shard.
+
+
+@pytest.mark.parametrize("spread", [0.0, 0.1, 1.0])
+def test_shard_recall_whatever_the_norms(spread):
+    rng = np.random.default_rng(6)
+    x = rng.normal(size=(3000, 32)) + 2 * rng.normal(size=(40, 32))[rng.integers(0, 40, 3000)]
+    x *= (np.exp(rng.normal(0, spread, 3000)) / np.linalg.norm(x, axis=1))[:, None]
+    shard, hits = ann.Shard(np.arange(3000), x, 20), 0
+    asked = np.arange(0, 3000, 20)
+    found = {}
+    for q, v, s in shard.nearest(asked, x[asked], 20, ann.SEARCH_BEAM):
+        assert abs(s - x[q] @ x[v]) < 1e-9
+        found.setdefault(q, []).append(v)
+    for q in asked.tolist():
+        scores = x @ x[q]
+        scores[q] = -np.inf
+        hits += len(set(found[q]) & set(np.argsort(-scores)[:20].tolist()))
+    assert hits / (20 * len(asked)) > 0.97
+
+
+def test_like_norms_hold_all_rows():
+    norms = np.random.default_rng(7).exponential(size=5000)
+    runs = list(ann.like_norms(norms))
+    assert sorted(np.concatenate(runs).tolist()) == list(range(5000))
+    assert all(len(r) <= ann.FEW or norms[r[0]] / norms[r[-1]] <= 2 ** (1 / ann.NORM_STEPS) * (1 + 1e-9) for r in runs)
+    assert list(ann.like_norms(np.zeros(0))) == []
