@@ -15,10 +15,12 @@ gives no files.
 from __future__ import annotations
 
 from collections.abc import Iterable, Iterator
+from urllib.parse import quote
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyarrow import fs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -30,6 +32,8 @@ from .common import cut
 BLOCK_TOKENS = 65_536
 #: Blocks of a file whose prefix scan is one task's.
 GROUP = 1024
+#: Files up to this size are read whole; blocks of a range of a larger one; tasks that read ranges.
+WHOLE_BYTES, PART_BLOCKS, MOST_TASKS = 1 << 28, 512, 10_000
 _TYPES = {2: "<u2", 4: "<u4"}
 
 
@@ -65,23 +69,50 @@ def _block(file: int, block: int, held: list[np.ndarray], ids: list) -> pd.DataF
     return pd.DataFrame({"file": [file], "block": [block], "tokens": [b"".join(x.tobytes() for x in held)], "doc_ids": [ids]})
 
 
-def file_blocks(spark: SparkSession, path: str, *, width: int = 2, block_tokens: int = BLOCK_TOKENS) -> DataFrame:
-    """(file, block, tokens) of raw token files under a path that Spark reads.
+def file_blocks(spark: SparkSession, path: str, *, width: int = 2, block_tokens: int = BLOCK_TOKENS, whole_bytes: int = WHOLE_BYTES) -> DataFrame:
+    """(file, block, tokens) of raw token files under a path that Spark reads; empty files have no blocks.
 
-    A file is read by one task, once, and holds 2 GB at most, as shards of token corpora do; larger ones raise Spark's error.
+    A file of ``whole_bytes`` or fewer is read by one task, once, by Spark's own reader. A larger one is read by ranges
+    of PART_BLOCKS blocks, each in any task, through the file systems of pyarrow.
     """
     size = width * block_tokens
 
+    def batch(file: str, block: int, part: bytes) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([file]), pa.array([block], pa.int64()), pa.array([part], pa.binary())], ["file", "block", "tokens"])
+
     def slices(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for file, content in zip(b.column("file"), b.column("content"), strict=True):
                 whole = content.as_buffer()
                 for k in range(-(-whole.size // size)):
-                    part = whole.slice(k * size, min(size, whole.size - k * size)).to_pybytes()
-                    yield pa.RecordBatch.from_arrays([pa.array([file.as_py()]), pa.array([k], pa.int64()), pa.array([part], pa.binary())], ["file", "block", "tokens"])
+                    yield batch(file.as_py(), k, whole.slice(k * size, min(size, whole.size - k * size)).to_pybytes())
 
-    files = spark.read.format("binaryFile").load(path).where(F.col("length") > 0).select(F.col("path").alias("file"), "content")
-    return files.mapInArrow(slices, "file string, block long, tokens binary")
+    def ranges(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for file, length, part in zip(*(b.column(c).to_pylist() for c in ("file", "length", "part")), strict=True):
+                system, name = _file_system(file)
+                with system.open_input_file(name) as f:
+                    for k in range(part * PART_BLOCKS, min((part + 1) * PART_BLOCKS, -(-length // size))):
+                        yield batch(file, k, f.read_at(min(size, length - k * size), k * size))
+
+    schema = "file string, block long, tokens binary"
+    files = spark.read.format("binaryFile").load(path).where(F.col("length") > 0)
+    small = files.where(F.col("length") <= whole_bytes).select(F.col("path").alias("file"), "content").mapInArrow(slices, schema)
+    # Only names and lengths are read here; a row for each range.
+    large = files.where(F.col("length") > whole_bytes).select(F.col("path").alias("file"), "length")
+    parts = large.select("file", "length", F.explode(F.sequence(F.lit(0), F.floor((F.col("length") - 1) / (size * PART_BLOCKS)).cast("int"))).alias("part"))
+    many = parts.count()
+    if not many:
+        return small
+    return small.unionByName(parts.repartition(min(many, MOST_TASKS), "file", "part").mapInArrow(ranges, schema))
+
+
+def _file_system(uri: str) -> tuple[fs.FileSystem, str]:
+    """pyarrow's file system of a path as Spark names it, and the path there."""
+    scheme, _, rest = uri.partition(":")
+    if scheme == "file":
+        return fs.LocalFileSystem(), "/" + rest.lstrip("/")
+    return fs.FileSystem.from_uri(f"{scheme}:{quote(rest)}")
 
 
 def scan(blocks: DataFrame, end_id: int, *, width: int = 2, labels: str | None = None) -> DataFrame:

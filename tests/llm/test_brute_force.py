@@ -278,3 +278,29 @@ def test_like_norms_hold_all_rows():
     assert sorted(np.concatenate(runs).tolist()) == list(range(5000))
     assert all(len(r) <= ann.FEW or norms[r[0]] / norms[r[-1]] <= 2 ** (1 / ann.NORM_STEPS) * (1 + 1e-9) for r in runs)
     assert list(ann.like_norms(np.zeros(0))) == []
+
+
+# Token files: large ones by ranges.
+
+
+@pytest.mark.parametrize("whole_bytes", [1 << 28, 4000, 1])
+def test_files_by_ranges_equal_whole_files(spark, tmp_path, whole_bytes):
+    rng = np.random.default_rng(8)
+    files = {"long one.bin": rng.integers(0, 40, 7777), "short.bin": rng.integers(0, 40, 90), "even.bin": rng.integers(0, 40, 4096), "none.bin": rng.integers(0, 40, 0)}
+    for name, ids in files.items():
+        (tmp_path / name).write_bytes(ids.astype("<u2").tobytes())
+    blocks = tokens.file_blocks(spark, str(tmp_path), block_tokens=4, whole_bytes=whole_bytes)
+    held = Counter(r.file.rsplit("/", 1)[1] for r in blocks.collect())
+    assert held == {name: -(-len(ids) // 4) for name, ids in files.items() if len(ids)}
+    got = {}
+    for r in tokens.scan(blocks, 0).collect():
+        got.setdefault(r.file.rsplit("/", 1)[1], []).append((r.doc_no, r.start, r.n_tokens, r.terminated))
+    for name, ids in files.items():
+        ends = np.flatnonzero(ids == 0).tolist()
+        want, start = [], 0
+        for e in ends:
+            want.append((len(want), start, e - start, True))
+            start = e + 1
+        if start < len(ids):
+            want.append((len(want), start, len(ids) - start, False))
+        assert sorted(got.get(name, [])) == want
