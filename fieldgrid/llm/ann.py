@@ -232,7 +232,10 @@ def nearest(vectors: DataFrame, queries: DataFrame, *, k: int = K, shard_rows: i
     as_double = lambda c: F.transform(c, lambda x: x.cast("double"))
     largest = F.array_max(F.transform("v", F.abs))
     band = F.concat_ws("/", F.size("v"), F.floor(F.log2(largest) / NORM_BAND)).alias("band")
-    length = F.log2(largest) + F.log2(F.aggregate("v", F.lit(0.0), lambda t, x: t + (x / largest) * (x / largest))) / 2
+    # The largest component is carried along: in the lambda itself it would be sought again for each component.
+    square = lambda t, x: F.struct(t["by"].alias("by"), (t["sum"] + (x / t["by"]) * (x / t["by"])).alias("sum"))
+    norm2 = F.aggregate("v", F.struct(largest.alias("by"), F.lit(0.0).alias("sum")), square, lambda t: t["sum"])
+    length = F.log2(largest) + F.log2(norm2) / 2
     step = F.floor(length * NORM_STEPS + 0.5).alias("step")
     rows = vectors.where(usable("embedding") & F.col("vec_id").isNotNull()).select("vec_id", as_double(F.col("embedding")).alias("v"))
     counts = rows.select(F.size("v").alias("dim"), band, step).groupBy("dim", "band", "step").agg(F.count("*").alias("n")).orderBy("dim", "band", "step").collect()  # a row for each length and step of norms
