@@ -43,6 +43,8 @@ NORM_STEPS = 16
 DEGREE, BEAM, SEARCH_BEAM, RELAX, ENTRIES = 32, 48, 128, 1.2, 128
 #: Vectors that share a graph however their norms differ: all of them are entry points.
 FEW = ENTRIES
+#: Nodes of a beam that are expanded in one step.
+EXPANDED = 4
 #: Insertions and queries that are searched in step.
 BATCH = 256
 
@@ -92,17 +94,20 @@ class Graph:
             live = live[has]
             if not len(live):
                 return ids, dist
-            at = open_[live].argmax(axis=1)  # the nearest that isn't expanded
-            open_[live, at] = False
-            near = self.edges[ids[live, at]]
-            fresh = ~seen[live[:, None], near]
-            seen[live[:, None], near] = True
+            at = np.argsort(~open_[live], axis=1, kind="stable")[:, :EXPANDED]  # the nearest that aren't expanded
+            one = live[:, None]
+            near = np.where(open_[one, at][:, :, None], self.edges[ids[one, at]], -1).reshape(len(live), -1)
+            open_[one, at] = False
+            near = np.sort(near, axis=1)
+            near[:, 1:][near[:, 1:] == near[:, :-1]] = -1
+            fresh = ~seen[one, near]
+            seen[one, near] = True
             near = np.where(fresh, near, -1)
             d = norms[near] - 2 * np.matmul(self.x[near], q[live][:, :, None])[:, :, 0]
             d = np.where(fresh, d, np.inf).astype(np.float32)
             all_ids, all_d = np.concatenate([ids[live], near], axis=1), np.concatenate([dist[live], d], axis=1)
             all_open = np.concatenate([open_[live], fresh], axis=1)
-            keep = np.argsort(all_d, axis=1, kind="stable")[:, :beam]
+            keep = np.argsort(all_d, axis=1)[:, :beam]
             ids[live], dist[live] = np.take_along_axis(all_ids, keep, 1), np.take_along_axis(all_d, keep, 1)
             open_[live] = np.take_along_axis(all_open, keep, 1)
 
