@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, bpe, chat, language, licenses, media, mixing, neardup, quality, tokens
+from . import ann, bpe, chat, language, licenses, media, mixing, neardup, quality, tokens, urls
 from .common import cut, fold, table
 
 RANKS = "byte_bpe_50k.tiktoken"
@@ -79,9 +79,20 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+#: Rules of the URL filter.
+URL_RULES = [("com", "/", "allow"), ("example.com", "/en/", "block"), ("www.example.com", "/en/", "allow"), ("net", "/es/", "block"), ("net", "/fr/", "block")]
+
+
+def op11_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rules = spark.createDataFrame(URL_RULES, "host string, path string, verdict string")
+    pages = table(spark, sf_dir, "pages").select("page_id", "url")
+    return urls.with_verdict(pages, rules, urls.fit(urls.labelled_urls(spark))).select("page_id", "judged.*")
+
+
 _ALL = (
     op1_quality_classifier, op2_token_counts, op3_simhash_near_dedup, op4_license_scan, op5_source_mixing,
     op6_chat_formatting, op7_nearest_neighbours, op8_byte_bpe, op9_media_sniffing, op10_language_id,
+    op11_url_filter,
 )
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in _ALL}
 
