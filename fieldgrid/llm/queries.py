@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, bpe, chat, language, licenses, media, mixing, neardup, quality, tokens, urls
+from . import ann, bpe, chat, codes, language, licenses, media, mixing, neardup, quality, tokens, urls
 from .common import cut, fold, table
 
 RANKS = "byte_bpe_50k.tiktoken"
@@ -89,10 +89,16 @@ def op11_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.with_verdict(pages, rules, urls.fit(urls.labelled_urls(spark))).select("page_id", "judged.*")
 
 
+def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    coded, book = codes.codes(table(spark, sf_dir, "embeddings").select("vec_id", "embedding", "label"))
+    digest = F.lit(book.digest() if book else "")
+    return codes.with_label_error(coded).select("vec_id", "code", "error", "label_error", digest.alias("codebooks_sha256"))
+
+
 _ALL = (
     op1_quality_classifier, op2_token_counts, op3_simhash_near_dedup, op4_license_scan, op5_source_mixing,
     op6_chat_formatting, op7_nearest_neighbours, op8_byte_bpe, op9_media_sniffing, op10_language_id,
-    op11_url_filter,
+    op11_url_filter, op12_vector_codes,
 )
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in _ALL}
 
@@ -103,6 +109,23 @@ def _escaped(column: str) -> str:
     return rf"regexp_replace({column}, '([<\[])(\\*(?:{rests}))', '\1\\\2', 'g')"
 
 
+def _assigned(k: int) -> str:
+    """SQL of each part's nearest entry of codebook ``k``."""
+    square = "list_sum(list_transform(list_zip(c.v, b.v), lambda z: (z[1] - z[2]) * (z[1] - z[2])))"
+    return f"""at{k} AS (
+  SELECT vec_id, label, part, v, m.entry, m.d FROM (
+    SELECT c.vec_id, c.label, c.part, c.v, min({{'d': {square}, 'entry': b.entry}}) AS m FROM cut_ c JOIN book{k} b USING (part) GROUP BY ALL))"""
+
+
+def _round(k: int, to: int) -> str:
+    """SQL of codebook ``to``, the means of the parts that codebook ``k`` is nearest to."""
+    return f"""{_assigned(k)}, sums{to} AS (
+  SELECT part, entry, i, sum(v[i]) AS total, count(*) AS n FROM (SELECT part, entry, v, unnest(range(1, len(v) + 1)) AS i FROM at{k}) GROUP BY ALL
+), book{to} AS (
+  SELECT b.part, b.entry, coalesce(m.v, b.v) AS v FROM book{k} b LEFT JOIN (
+    SELECT part, entry, list(CAST((total - ((total % n) + n) % n) // n AS BIGINT) ORDER BY i) AS v FROM sums{to} GROUP BY ALL) m USING (part, entry))"""
+
+
 ORACLES: dict[str, str] = {
     "op6_chat_formatting": f"""
 WITH said AS (
@@ -117,5 +140,18 @@ WITH said AS (
 )
 SELECT conv_id, n_turns, sha256(turns) AS turns_sha256, CAST(length(loss) AS BIGINT) AS loss_chars, sha256(loss) AS loss_sha256, CAST(chars AS BIGINT) AS formatted_chars
 FROM joined
+""",
+    "op12_vector_codes": f"""
+WITH kept AS (
+  SELECT vec_id, label, list_transform(embedding, lambda x: CAST(floor(CAST(x AS DOUBLE) * 256) AS BIGINT)) AS ints FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), cut_ AS (
+  SELECT vec_id, label, part, list_slice(ints, part * (len(ints) // 16) + 1, (part + 1) * (len(ints) // 16)) AS v FROM kept, range(16) AS p(part)
+), book0 AS (
+  SELECT part, entry, v FROM cut_ JOIN (SELECT vec_id, row_number() OVER (ORDER BY vec_id) - 1 AS entry FROM kept ORDER BY vec_id LIMIT 64) USING (vec_id)
+), {_round(0, 1)}, {_round(1, 2)}, {_assigned(2)}, coded AS (
+  SELECT vec_id, label, string_agg(lower(printf('%02x', entry)), '' ORDER BY part) AS code, CAST(sum(d) AS BIGINT) AS error FROM at2 GROUP BY ALL
+), book AS (SELECT sha256(string_agg(array_to_string(v, ','), ',' ORDER BY part, entry)) AS codebooks_sha256 FROM book2)
+SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error, codebooks_sha256 FROM coded, book
 """,
 }
