@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, bpe, chat, codes, language, licenses, media, mixing, neardup, quality, tokens, urls
+from . import ann, bpe, chat, codes, language, licenses, media, mixing, neardup, quality, tokens, trie, urls
 from .common import cut, fold, table
 
 RANKS = "byte_bpe_50k.tiktoken"
@@ -95,10 +95,14 @@ def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return codes.with_label_error(coded).select("vec_id", "code", "error", "label_error", digest.alias("codebooks_sha256"))
 
 
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return trie.trie(table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text"))
+
+
 _ALL = (
     op1_quality_classifier, op2_token_counts, op3_simhash_near_dedup, op4_license_scan, op5_source_mixing,
     op6_chat_formatting, op7_nearest_neighbours, op8_byte_bpe, op9_media_sniffing, op10_language_id,
-    op11_url_filter, op12_vector_codes,
+    op11_url_filter, op12_vector_codes, op13_prefix_trie,
 )
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in _ALL}
 
@@ -153,5 +157,29 @@ WITH kept AS (
   SELECT vec_id, label, string_agg(lower(printf('%02x', entry)), '' ORDER BY part) AS code, CAST(sum(d) AS BIGINT) AS error FROM at2 GROUP BY ALL
 ), book AS (SELECT sha256(string_agg(array_to_string(v, ','), ',' ORDER BY part, entry)) AS codebooks_sha256 FROM book2)
 SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error, codebooks_sha256 FROM coded, book
+""",
+    "op13_prefix_trie": """
+WITH own AS (
+  SELECT conv_id AS c, {'role': coalesce(role, ''), 'text': coalesce(text, '')} AS said, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS place
+  FROM conversations WHERE conv_id IS NOT NULL
+), convs AS (
+  SELECT c, list(said ORDER BY place) AS turns, xor(list_reduce(list_concat([4294967295], list_transform(string_split(CAST(c AS VARCHAR), ''), lambda x: ascii(x))),
+    lambda crc, b: list_reduce(list_concat([xor(crc, b)], range(8)), lambda v, i: xor(v >> 1, 3988292384 * (v & 1)))), 4294967295) % 6 AS h
+  FROM own GROUP BY c
+), whole AS (
+  SELECT a.c, list_concat(coalesce(b.turns[1:a.h], []), a.turns[a.h + 1:]) AS turns FROM convs a LEFT JOIN convs b ON b.c = a.c - a.c % 100
+), met AS (
+  SELECT c, d, turns[1:d] AS path, turns[1:d - 1] AS above, len(turns) AS n, coalesce(length(turns[d].text), 0) AS tokens FROM whole, range(0, 1000000) AS r(d) WHERE d <= len(turns)
+), node AS (
+  SELECT path, d, min(c) AS conv_id, count(*) AS n_convs, any_value(CASE WHEN d > 0 THEN above END) AS above, (count(*) - 1) * any_value(tokens) AS saved,
+    sha256(coalesce(string_agg(CASE WHEN d = n THEN CAST(c AS VARCHAR) END, ',' ORDER BY c), '')) AS ends_sha256
+  FROM met GROUP BY path, d
+), kids AS (SELECT above AS path, count(*) AS n_children FROM node WHERE d > 0 GROUP BY above
+), sums AS (
+  SELECT v.path, sum(u.saved) AS saved_tokens, count(*) FILTER (WHERE k.n_children IS NULL) AS n_leaves
+  FROM node v JOIN node u ON u.d >= v.d AND u.path[1:v.d] = v.path LEFT JOIN kids k ON k.path = u.path GROUP BY v.path
+)
+SELECT v.conv_id, v.d AS depth, p.conv_id AS parent_conv_id, v.n_convs, coalesce(k.n_children, 0) AS n_children, s.n_leaves, CAST(s.saved_tokens AS BIGINT) AS saved_tokens, v.ends_sha256
+FROM node v JOIN sums s ON s.path = v.path LEFT JOIN kids k ON k.path = v.path LEFT JOIN node p ON v.d > 0 AND p.d = v.d - 1 AND p.path = v.above
 """,
 }
