@@ -5,12 +5,11 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from ..functions import scalar
-from .tables import written
+from .neighbours import nearest, on_globe
 
 
 def extent(df: DataFrame, by: Sequence[str] = (), x: str = "x", y: str = "y") -> DataFrame:
@@ -89,43 +88,9 @@ def _clipped(ring: list[tuple[float, float]], clip: list[tuple[float, float]]) -
     return abs(_signed(now))
 
 
-def nearest(cells: DataFrame, stations: DataFrame, key: Sequence[str], at: Column, station_at: Column, distance: Column, tie: str, k: int) -> DataFrame:
-    """Each cell with its k nearest stations (fewer if there are fewer), ``distance`` and rank ``r`` from 1; ties by ``tie``.
-
-    ``distance`` is at least the difference of the places ``at`` and ``station_at`` on one axis. Cells meet the stations of
-    the bands of that axis around their own; where k of these are not provably the nearest, twice as many bands are
-    tried, so stations are neither broadcast nor met by all cells.
-    """
-    axis = stations.agg(F.count("*").alias("n"), F.min(station_at).alias("a"), F.max(station_at).alias("b")).first()
-    if not axis["n"]:
-        return cells.withColumns({"distance": F.lit(0.0), "r": F.lit(0)}).join(stations, F.lit(False))
-    bands = max(1, axis["n"] // (4 * k))
-    width = (axis["b"] - axis["a"]) / bands or 1.0
-    band = lambda c: F.least(F.greatest(F.floor((c - axis["a"]) / width), F.lit(-1)), F.lit(bands + 1)).cast("int")
-    todo, out, reach = cells.withColumns({"_at": at, "_b": band(at)}), None, 1
-    by = Window.partitionBy(*key)
-    while True:
-        spread = stations.withColumn("_s", band(station_at)).withColumn("_b", F.explode(F.sequence(F.col("_s") - reach, F.col("_s") + reach)))
-        met = todo.join(spread, "_b").withColumn("distance", distance)
-        best = met.withColumn("r", F.row_number().over(by.orderBy(F.round("distance", 6), tie))).where(F.col("r") <= k)
-        edge = F.least(F.col("_at") - (axis["a"] + (F.col("_b") - reach) * width), axis["a"] + (F.col("_b") + reach + 1) * width - F.col("_at"))
-        last = reach > bands + 1
-        best = best.withColumn("_sure", F.lit(last) | ((F.count("*").over(by) == k) & (F.max(F.round("distance", 6)).over(by) < edge)))
-        best = written(best)
-        sure = best.where("_sure").drop("_sure", "_at", "_b", "_s")
-        out = sure if out is None else out.unionByName(sure)
-        if last:
-            return out
-        todo, reach = todo.join(sure.select(*key).distinct(), list(key), "left_anti"), reach * 2
-        todo = written(todo)
-        if todo.isEmpty():
-            return out
-
-
 def idw(cells: DataFrame, stations: DataFrame, cell_key: Sequence[str], k: int, power: float = 1.0) -> DataFrame:
-    """Inverse-distance mean of the k nearest stations (lat, lon, value) at each cell (clat, clon); two points are no nearer than their latitudes."""
+    """Inverse-distance mean of the k nearest stations (lat, lon, value) at each cell (clat, clon)."""
     d = scalar.haversine_km(F.col("clat"), F.col("clon"), F.col("lat"), F.col("lon")) + 1e-6
-    north = lambda c: F.radians(c) * scalar.EARTH_KM
-    near = nearest(cells, stations, cell_key, north(F.col("clat")), north(F.col("lat")), d, "station", k)
+    near = nearest(cells, stations, cell_key, on_globe(F.col("clat"), F.col("clon")), on_globe(F.col("lat"), F.col("lon")), d, "station", k, slack=1e-9)
     w = 1 / F.pow("distance", F.lit(power))
     return near.groupBy(*cell_key).agg((F.sum(w * F.col("value")) / F.sum(w)).alias("value"))

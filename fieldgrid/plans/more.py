@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import geometry as P
 from ..operators import learning as L
+from ..operators import neighbours as N
 from ..operators import raster as R
 from ..operators import regions as G
 from ..operators import registration as M
@@ -111,10 +111,21 @@ def nearest_stations(spark: SparkSession, sf: str) -> DataFrame:
     """The three nearest stations of each cell."""
     c, s = table(spark, sf, "customer").select("c_custkey", "c_acctbal"), table(spark, sf, "supplier").select("s_suppkey", "s_acctbal")
     apart = F.abs(F.col("c_acctbal") - F.col("s_acctbal"))
-    near = P.nearest(c, s, ["c_custkey"], F.col("c_acctbal"), F.col("s_acctbal"), apart, "s_suppkey", 3)
+    near = N.nearest(c, s, ["c_custkey"], [F.col("c_acctbal")], [F.col("s_acctbal")], apart, "s_suppkey", 3)
     return near.select(F.col("s_suppkey").alias("station"), F.col("c_custkey").alias("cell"), F.col("r").cast("long").alias("r"))
 
 
+@query("""WITH c AS (SELECT c_custkey, c_acctbal AS x, c_custkey * 7919 % 20000 AS y FROM customer), s AS (SELECT s_suppkey, s_acctbal AS x, s_suppkey * 104729 % 15000 + s_nationkey AS y FROM supplier)
+SELECT c_custkey, s_suppkey, round(d, 4) AS d, r FROM (SELECT *, row_number() OVER (PARTITION BY c_custkey ORDER BY round(d, 6), s_suppkey) AS r FROM (SELECT c_custkey, s_suppkey, sqrt((c.x - s.x) * (c.x - s.x) + (c.y - s.y) * (c.y - s.y)) AS d FROM c, s)) WHERE r <= 4""")
+def nearest_places(spark: SparkSession, sf: str) -> DataFrame:
+    """The four nearest places in the plane; a quarter of the cells lie beyond all stations."""
+    c = table(spark, sf, "customer").select("c_custkey", F.col("c_acctbal").alias("cx"), (F.col("c_custkey") * 7919 % 20000).cast("double").alias("cy"))
+    s = table(spark, sf, "supplier").select("s_suppkey", F.col("s_acctbal").alias("sx"), (F.col("s_suppkey") * 104729 % 15000 + F.col("s_nationkey")).cast("double").alias("sy"))
+    dx, dy = F.col("cx") - F.col("sx"), F.col("cy") - F.col("sy")
+    near = N.nearest(c, s, ["c_custkey"], [F.col("cx"), F.col("cy")], [F.col("sx"), F.col("sy")], F.sqrt(dx * dx + dy * dy), "s_suppkey", 4)
+    return near.select("c_custkey", "s_suppkey", F.round("distance", 4).alias("d"), F.col("r").cast("long").alias("r"))
+
+
 @query("SELECT p_partkey AS id, round(l_x, 3) AS x, CAST(p_size % 9 + 3 AS INTEGER) AS dx FROM (SELECT *, (p_retailprice - 900) / 1100 * 255 AS l_x FROM part)")
 def linear_rescale(spark: SparkSession, sf: str) -> DataFrame:
     """A height in one scale as a value in another, and an offset in a sample."""

@@ -7,7 +7,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from fieldgrid.operators import blocks, geometry, learning, regions, spectra, stacks
+from fieldgrid.operators import blocks, learning, neighbours, regions, spectra, stacks
 from fieldgrid.streaming import observations as O
 
 
@@ -44,17 +44,17 @@ def test_medoids_are_exact(spark):
     assert all(r.cost == pytest.approx(d[r.id, r.g :: 2].sum()) for r in sums) and len(sums) == 150
 
 
-def test_nearest_in_bands(spark):
+def test_nearest_on_a_line(spark):
     rng = random.Random(4)
     cells = [(i, rng.choice([0.0, rng.gauss(0, 50), 1e6])) for i in range(300)]
     stations = [(i, rng.choice([0.0, rng.gauss(0, 3), rng.gauss(100, 40)])) for i in range(80)]
     a, b = spark.createDataFrame(cells, "c long, x double"), spark.createDataFrame(stations, "s long, y double")
     for n in (80, 2, 1):
-        got = geometry.nearest(a, b.where(f"s < {n}"), ["c"], F.col("x"), F.col("y"), F.abs(F.col("x") - F.col("y")), "s", 3)
+        got = neighbours.nearest(a, b.where(f"s < {n}"), ["c"], [F.col("x")], [F.col("y")], F.abs(F.col("x") - F.col("y")), "s", 3)
         found = {(r.c, r.r): r.s for r in got.collect()}
         want = {(c, k + 1): s for c, x in cells for k, (_, s) in enumerate(sorted((round(abs(x - y), 6), s) for s, y in stations[:n])[:3])}
         assert found == want
-    assert geometry.nearest(a, b.limit(0), ["c"], F.col("x"), F.col("y"), F.lit(0.0), "s", 3).count() == 0
+    assert neighbours.nearest(a, b.limit(0), ["c"], [F.col("x")], [F.col("y")], F.lit(0.0), "s", 3).count() == 0
 
 
 def test_sieve_follows_chains(spark):
