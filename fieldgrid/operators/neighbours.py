@@ -85,17 +85,16 @@ def met(cells: DataFrame, stations: DataFrame, key: Sequence[str], at: Sequence[
 
     front = here.select("*", F.lit(0).cast("long").alias("_code"), F.lit(0).alias("_level"), F.lit(False).alias("_leaf"), *(F.lit(None).cast(t).alias(c) for c, t in (("_n", "long"), ("_lo", "double"), ("_one", "double"), ("_hi", "double"))))
     for level in sorted(levels):
-        sides = [c for a in range(axes) for c in (f"_a{a}", f"_b{a}")]
+        sides = [f for a in range(axes) for f in (((F.col(f"_a{a}") + F.col(f"_b{a}")) / 2).alias(f"_m{a}"), ((F.col(f"_b{a}") - F.col(f"_a{a}")) / 2).alias(f"_h{a}"))]
         kids = boxes.where(F.col("_level") == level).select(F.col("_parent").alias("_open"), *(F.col(c).alias(f"_k{c}") for c in ("_code", "_leaf", "_n")), *sides)
         both = front.withColumn("_open", F.when(~F.col("_leaf"), F.col("_code"))).join(_few(kids, levels[level]), "_open", "left")
-        x = [F.col(f"_x{a}") for a in range(axes)]
-        near = [F.least(F.abs(x[a] - F.col(f"_a{a}")), F.abs(x[a] - F.col(f"_b{a}"))) for a in range(axes)]
-        far = [F.greatest(F.abs(x[a] - F.col(f"_a{a}")), F.abs(x[a] - F.col(f"_b{a}"))) for a in range(axes)]
-        out = [F.greatest(F.col(f"_a{a}") - x[a], x[a] - F.col(f"_b{a}"), F.lit(0.0)) for a in range(axes)]
-        all_far = reduce(add, (f * f for f in far))
-        face = [all_far - f * f + n * n for n, f in zip(near, far, strict=True)]
-        one = F.least(*face) if axes > 1 else face[0]
-        to = {"_code": F.col("_k_code"), "_leaf": F.col("_k_leaf"), "_n": F.col("_k_n"), "_level": F.lit(level), "_lo": F.sqrt(reduce(add, (o * o for o in out))), "_one": F.sqrt(F.greatest(one, F.lit(0.0))), "_hi": F.sqrt(all_far)}
+        both = both.withColumns({f"_d{a}": F.abs(F.col(f"_x{a}") - F.col(f"_m{a}")) for a in range(axes)})
+        sides_of = [(F.col(f"_d{a}"), F.col(f"_h{a}")) for a in range(axes)]  # from the middle, and half a side
+        hi = reduce(add, ((d + h) * (d + h) for d, h in sides_of))
+        lo = reduce(add, (F.pow(F.greatest(d - h, F.lit(0.0)), 2) for d, h in sides_of))
+        faces = [4 * d * h for d, h in sides_of]  # what the nearer of two faces takes off
+        one = hi - (F.greatest(*faces) if axes > 1 else faces[0])
+        to = {"_code": F.col("_k_code"), "_leaf": F.col("_k_leaf"), "_n": F.col("_k_n"), "_level": F.lit(level), "_lo": F.sqrt(lo), "_one": F.sqrt(F.greatest(one, F.lit(0.0))), "_hi": F.sqrt(hi)}
         moved = F.col("_k_code").isNotNull()
         front = both.select(*here.columns, *(F.when(moved, c).otherwise(F.col(n)).alias(n) for n, c in to.items()))
         front = _within(front, key, k, slack)
