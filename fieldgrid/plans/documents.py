@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import scalar as C
 from ..operators.tables import shared_root
+from ..session import STATE_STORE
 from ..sources import files, web
 from ..streaming import observations as O
 from .registry import query, table
@@ -101,13 +102,21 @@ def stream_upsert(spark: SparkSession, sf: str) -> DataFrame:
     return O.latest(spark, out).select("user_id", "event_type", F.unix_timestamp("ts").alias("version"), "value")
 
 
-@query("""WITH c AS (SELECT *, CAST(floor(epoch(ts)) AS BIGINT) AS t, CASE WHEN event_type IS NOT DISTINCT FROM lag(event_type) OVER (PARTITION BY user_id ORDER BY ts) THEN 0 ELSE 1 END AS c FROM events), r AS (SELECT *, sum(c) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS run FROM c),
-  g AS (SELECT user_id, run, any_value(event_type) AS state, min(t) AS start, max(t) AS last, count(*) AS n, max(run) OVER (PARTITION BY user_id) AS top FROM r GROUP BY user_id, run) SELECT user_id, state, start, last, n FROM g WHERE run < top""")
+@query("""WITH e AS (SELECT user_id, event_type, ts, epoch_us(ts) // 1000 AS ms, (SELECT max(epoch_us(ts)) // 1000 - 7200000 FROM events) AS passed FROM events),
+  c AS (SELECT *, CASE WHEN event_type IS NOT DISTINCT FROM lag(event_type) OVER u AND ms - lag(ms) OVER u <= 86400000 THEN 0 ELSE 1 END AS c FROM e WHERE ms < passed WINDOW u AS (PARTITION BY user_id ORDER BY ts)),
+  r AS (SELECT *, sum(c) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS run FROM c),
+  g AS (SELECT user_id, run, any_value(event_type) AS state, min(ms) AS a, max(ms) AS b, count(*) AS n, max(run) OVER (PARTITION BY user_id) AS top, any_value(passed) AS passed FROM r GROUP BY user_id, run)
+SELECT user_id, state, a // 1000 AS start, b // 1000 AS last, n FROM g WHERE run < top OR b + 86400000 < passed""")
 def stream_runs(spark: SparkSession, sf: str) -> DataFrame:
-    """Runs of a state that another has ended."""
+    """Runs of a state that another has ended, or a day without a row."""
     out, checkpoint = _paths(spark)
-    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
-    O.run_available(O.state_runs(O.observations(spark, f"{sf}/events.parquet*")), out, checkpoint)
+    name, provider = STATE_STORE
+    before = spark.conf.get(name)
+    spark.conf.set(name, provider)
+    try:
+        O.run_available(O.state_runs(O.observations(spark, f"{sf}/events.parquet*")), out, checkpoint)
+    finally:
+        spark.conf.set(name, before)
     return spark.read.parquet(out).select("user_id", "state", "start", "last", "n")
 
 

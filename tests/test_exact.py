@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from fieldgrid.operators import blocks, learning, neighbours, regions, spectra, stacks
+from fieldgrid.session import STATE_STORE
 from fieldgrid.streaming import observations as O
 
 
@@ -141,14 +142,57 @@ def test_upsert_stream_over_three_batches(spark, tmp_path):
         O.upsert_into(s, out, ["user_id"], "ts", check).awaitTermination()
         got = O.latest(spark, out).select("user_id", F.unix_timestamp("ts").alias("t"), "value").collect()
         assert sorted((r.user_id, r.t, r.value) for r in got) == sorted((u, *x) for u, x in want.items())
-    with pytest.raises(Exception, match="another checkpoint"):
-        O.upsert_into(O.observations(spark, source, "user_id long, ts timestamp, value double"), out, ["user_id"], "ts", str(tmp_path / "new")).awaitTermination()
 
 
-def test_state_runs_leave_out_late_rows(spark, tmp_path):
+def test_upsert_streams_of_two_checkpoints_lose_nothing(spark, tmp_path):
+    """Twenty keys of one checkpoint, twenty of another, then both again: forty keys, each by its latest version."""
+    out, want = str(tmp_path / "out"), {}
+    schema = "user_id long, ts timestamp, value double"
+
+    def send(name, rows):
+        source = str(tmp_path / name)
+        nonlocal want
+        for u, t, v in rows:
+            want[u] = max(want.get(u, (0, 0.0)), (t, v))
+        spark.createDataFrame(rows, "user_id long, t long, value double").select("user_id", F.timestamp_seconds("t").alias("ts"), "value").write.mode("append").parquet(source)
+        O.upsert_into(O.observations(spark, source, schema), out, ["user_id"], "ts", str(tmp_path / f"check-{name}")).awaitTermination()
+        got = O.latest(spark, out).select("user_id", F.unix_timestamp("ts").alias("t"), "value").collect()
+        assert sorted((r.user_id, r.t, r.value) for r in got) == sorted((u, *x) for u, x in want.items())
+
+    send("a", [(u, 100, 1.0) for u in range(20)])
+    send("b", [(u, 100, 2.0) for u in range(20, 40)])
+    assert len(want) == 40
+    send("a", [(u, 200 + u, 3.0) for u in range(10, 30)])
+    send("b", [(u, 150, 4.0) for u in range(0, 40, 3)] + [(5, 150, 1.0), (5, 150, 9.0)])  # equal versions: the larger
+    kept = [f for f in (tmp_path / "out").glob("bucket=*/generation=*")]
+    assert max(sum(f.parent == b for f in kept) for b in {f.parent for f in kept}) <= 2
+
+
+def test_a_batch_that_runs_again_writes_the_same(spark, tmp_path):
+    source, out = str(tmp_path / "in"), str(tmp_path / "out")
+    for k in range(2):
+        spark.createDataFrame([(u, 10 * k + u, float(k)) for u in range(k, 20)], "user_id long, t long, value double").select("user_id", F.timestamp_seconds("t").alias("ts"), "value").write.mode("append").parquet(source)
+        O.upsert_into(O.observations(spark, source, "user_id long, ts timestamp, value double"), out, ["user_id"], "ts", str(tmp_path / "check")).awaitTermination()
+    before = sorted(map(tuple, O.latest(spark, out).collect()))
+    (tmp_path / "check" / "commits" / "1").unlink()  # the last batch is not known to have ended
+    next(iter((tmp_path / "check" / "commits").glob(".1*"))).unlink()
+    O.upsert_into(O.observations(spark, source, "user_id long, ts timestamp, value double"), out, ["user_id"], "ts", str(tmp_path / "check")).awaitTermination()
+    assert sorted(map(tuple, O.latest(spark, out).collect())) == before and len(list((tmp_path / "out" / "_generations").iterdir())) == 2
+
+
+def test_state_runs_in_event_time(spark, tmp_path):
+    """Three batches with a late row, rows out of order, a run that only the watermark closes, and one that a gap ends."""
     source, out, check = (str(tmp_path / k) for k in ("in", "out", "check"))
-    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
-    for rows in ([(1, 10, "a"), (2, 30, "b"), (3, 20, "a")], [(4, 15, "z"), (5, 40, "b"), (6, 50, "c")]):
-        spark.createDataFrame([(i, 7, s, t) for i, t, s in rows], "event_id long, user_id long, event_type string, t long").select("event_id", "user_id", "event_type", F.timestamp_seconds("t").alias("ts")).write.mode("append").parquet(source)
-        O.run_available(O.state_runs(O.observations(spark, source, "event_id long, user_id long, event_type string, ts timestamp")), out, check)
-    assert sorted((r.state, r.start, r.last, r.n) for r in spark.read.parquet(out).collect()) == [("a", 10, 20, 2), ("b", 30, 40, 2)]
+    spark.conf.set(*STATE_STORE)
+    h = 3600
+    batches = [
+        [(1, 10, 7, "a"), (2, 30, 7, "b"), (3, 20, 7, "a"), (4, 5, 8, "x")],
+        [(5, 10 * h, 7, "b"), (6, 10 * h - 50, 7, "c"), (None, 10 * h - 50, 7, "c")],  # the watermark passes the first batch only after this one
+        [(7, 15, 7, "z"), (8, 10 * h + 5, 7, "b"), (9, 40 * h, 9, "q")],  # 15 is late
+        [(10, 80 * h, 9, "q")],
+    ]
+    for rows in batches:
+        spark.createDataFrame([(i, u, s, t) for i, t, u, s in rows], "event_id long, user_id long, event_type string, t long").select("event_id", "user_id", "event_type", F.timestamp_seconds("t").alias("ts")).write.mode("append").parquet(source)
+        O.run_available(O.state_runs(O.observations(spark, source, "event_id long, user_id long, event_type string, ts timestamp"), idle=6 * h), out, check)
+    got = sorted((r.user_id, r.state, r.start, r.last, r.n) for r in spark.read.parquet(out).collect())
+    assert got == [(7, "a", 10, 20, 2), (7, "b", 30, 30, 1), (7, "b", 10 * h, 10 * h + 5, 2), (7, "c", 10 * h - 50, 10 * h - 50, 2), (8, "x", 5, 5, 1), (9, "q", 40 * h, 40 * h, 1)]
