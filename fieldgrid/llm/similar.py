@@ -1,8 +1,9 @@
 """SimHash near-duplicates at a similarity: texts whose sets of word shingles have a Jaccard similarity of ``least`` or more.
 
 Sets of similarity 0.8 differ in 15 of 100 SimHash bits (64 bits: 9.7, give or take 2.9), so fingerprints are four words
-long here and the BK-trees' radius is RADIUS of 256 bits (similarity 0.8 is beyond it once in 3000 pairs). Runs of bits
-of which one must agree would be too short for that radius to deal shards by. Shards are dealt by bands of MinHash
+long here and the BK-trees' radius is RADIUS of 256 bits: at similarity 0.8, fingerprints of sets of any size from SMALL on
+differ in 41 bits or fewer on average (deviation 6), so a pair is beyond it less than once in a million. Bits of smaller
+sets are decided by few votes, so these are compared whatever their fingerprints. Runs of bits of which one must agree would be too short for that radius to deal shards by. Shards are dealt by bands of MinHash
 places of the same shingles instead: two sets of similarity s share a shard of a band with a chance of
 1 - (1 - s ** PLACES) ** BANDS, 0.99995 at 0.8. Pairs from shards are only tried: a link is made where the similarity of
 the whole sets, counted exactly, suffices.
@@ -35,7 +36,9 @@ SHINGLE = 5
 LEAST = 0.8
 BANDS, PLACES = 25, 5
 #: Bits of a fingerprint, and those in which near-duplicates may differ.
-BITS, RADIUS = 256, 58
+BITS, RADIUS = 256, 70
+#: Sets of fewer shingles are compared whatever their fingerprints.
+SMALL = 8
 #: Members, and shingles of all members, of a block of a shard.
 NEAR, NEAR_SHINGLES = 1024, 2_000_000
 #: Rows that a Python worker turns into shingles at a time.
@@ -150,7 +153,7 @@ class _Block:
         """Numbers of the members before it within the radius that it is to be compared with here."""
         value = int.from_bytes(np.asarray(words, dtype="<i8").tobytes(), "little")
         key, lo, hi = self.key
-        for i in self.tree.within(value, self.radius):
+        for i in self.tree.within(value, self.radius if size * self.least >= SMALL else BITS):
             o, p, s, other = self.held[i]
             if p != part and (lo == hi or o != own) and min(s, size) >= self.least * max(s, size) - 1e-9 and shards[np.argmax(shards == other)] == key:
                 yield i
@@ -235,7 +238,7 @@ def similar(docs: DataFrame, *, shingle: int = SHINGLE, least: float = LEAST, ra
     met = cut(entries.join(shards, "key").select("key", "node", "size", "print", "first"))
     picked = nodes.join(met.select("node").distinct(), "node", "left_semi").select("node", "one.doc_id", "one.text_hash")
     sets = cut(with_sets(docs, picked, shingle))
-    apart = (F.col("node") != F.col("first.node")) & _fits(F.col("size"), F.col("first.size"), least) & _near("print", "first.print", radius)
+    apart = (F.col("node") != F.col("first.node")) & _fits(F.col("size"), F.col("first.size"), least) & ((F.least("size", "first.size") < SMALL) | _near("print", "first.print", radius))
     links = _alike(met.where(apart).select(F.col("first.node").alias("a"), F.col("node").alias("b")).distinct(), sets, least)
     parts = components(links).select("node", F.col("label").alias("part"))
     rows = met.select("key", "node").join(parts, "node", "left").withColumn("part", F.coalesce("part", "node")).join(nodes.select("node", "size", "print", "shards"), "node")

@@ -2,6 +2,8 @@
 
 import random
 
+import numpy as np
+
 import corpus_pipeline as C
 from fieldgrid.llm import neardup, similar
 
@@ -68,3 +70,35 @@ def test_stage_drops_near_copies(spark):
     kept = sorted(r.doc_id for r in C.near_dedup_stage(spark, docs, "").collect())
     assert kept == plain_kept(rows) and len(kept) < len(neardup.keep_one_each(docs).collect())
     assert C.near_dedup_stage(spark, docs.limit(0), "").count() == 0
+
+
+def short_texts(seed):
+    """Pairs at exactly 0.8 or just above, of 4 to 20 shingles, one longer than the other by a word or changed at an end."""
+    rng, rows = random.Random(seed), []
+    word = lambda: f"w{rng.randrange(10**6)}"
+    for n in [8, 9, 10, 13, 14, 16, 19, 24] * 60:
+        base = [word() for _ in range(n)]
+        shingles = n - 4
+        rows.append((len(rows), " ".join(base)))
+        longer = base + [word() for _ in range(shingles // 4)]
+        rows.append((len(rows), " ".join(longer)))
+    return rows
+
+
+def test_short_texts_lose_no_link(spark):
+    rows = short_texts(3)
+    docs = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in rows], DOCS)
+    want = plain_kept(rows)
+    assert len(want) == len(rows) // 2
+    assert sorted(r.doc_id for r in neardup.keep_one_each(docs, similar.similar).collect()) == want
+
+
+def test_radius_holds_for_sets_of_every_size():
+    rng = np.random.default_rng(1)
+    for n in (8, 10, 12, 16, 20, 33, 64, 200):
+        for _ in range(300):
+            x = rng.integers(0, 1 << 63, n + n // 4, dtype=np.uint64)
+            cut = int(rng.integers(0, n // 4 + 1))
+            a, b = x[: n + cut], np.concatenate([x[:n], x[n + cut :]])
+            apart = int(np.unpackbits((similar.fingerprint(a) ^ similar.fingerprint(b)).view(np.uint8)).sum())
+            assert apart <= similar.RADIUS, (n, cut, apart)
