@@ -2,8 +2,9 @@
 
 An Aho-Corasick automaton finds the magic bytes of all known formats in one pass over a value. A validator of the
 format then reads the structure behind each hit: chunk lengths, segment markers, and checksums of PNG chunks, gzip
-streams and the last FLAC frame (not those of OGG pages and ZIP entries). Marks and chains that several hits share are
-found once for each value, so a value full of signatures of one format takes time in proportion to its length.
+streams and the last FLAC frame (not those of OGG pages and ZIP entries). Marks, chains and checksums that several hits share are
+found once for each value, so a value full of signatures takes time in proportion to its length (and its logarithm), but for gzip: streams
+are inflated at each hit with a sound header, and one crafted to fail late at many hits takes time with the square of its length.
 A hit that passes gives a type and an exact length; the one at the start corrects the declared type, the others are
 carved as embedded media. Hits that fail are text that looks like a signature.
 
@@ -58,6 +59,11 @@ class Value:
         self._marks: dict[bytes, list[int]] = {}
         self._blocks: dict[int, int] = {}
         self._pages: dict[int, int] = {}
+        self._png: dict[int, int] = {}
+        self._gif: dict[int, int] = {}
+        self._jpeg: dict[int, tuple[int, bool]] = {}
+        self._flac: dict[int, int] = {}
+        self._riff: dict[int, tuple[int, int, int, int, int]] = {}
 
     def after(self, mark: bytes, at: int) -> int:
         """The first place of a mark from ``at`` on, -1 if there is none."""
@@ -110,6 +116,139 @@ class Value:
                 return p if _crc(self.b[p:], 0x8005, 16) == 0 else None
         return None
 
+    # Chains of chunks: every place on the way is kept with what the chain comes to, so hits that share a chain walk it once.
+
+    def png_end(self, p: int) -> int:
+        """The place behind the IEND of the PNG chunks that start here, -1 if one is broken."""
+
+        def chunk(q: int) -> tuple[int, bool]:
+            size = int.from_bytes(self.b[q : q + 4], "big")
+            end = q + 12 + size
+            if end > len(self.b) or not self.b[q + 4 : q + 8].isalpha() or self.crc(q + 4, end - 4) != int.from_bytes(self.b[end - 4 : end], "big"):
+                return -1, True
+            return end, self.b[q + 4 : q + 8] == b"IEND"
+
+        return self._chain(self._png, p, chunk)
+
+    def gif_end(self, p: int) -> int:
+        """The place behind the trailer of the GIF blocks that start here, -1 if there is none."""
+
+        def block(q: int) -> tuple[int, bool]:
+            b = self.b
+            if q < len(b) and b[q] == 0x3B:
+                return q + 1, True
+            if q < len(b) and b[q] == 0x21:
+                return self.sub_blocks(q + 2), False
+            if q + 10 < len(b) and b[q] == 0x2C:
+                return self.sub_blocks(q + 10 + _colours(b[q + 9]) + 1), False
+            return -1, True
+
+        return self._chain(self._gif, p, block)
+
+    def flac_frames(self, p: int) -> int:
+        """The place behind the FLAC metadata blocks that start here, -1 if they are broken off."""
+
+        def block(q: int) -> tuple[int, bool]:
+            if q + 4 > len(self.b):
+                return -1, True
+            return q + 4 + int.from_bytes(self.b[q + 1 : q + 4], "big"), bool(self.b[q] & 0x80)
+
+        return self._chain(self._flac, p, block)
+
+    def jpeg_end(self, p: int) -> tuple[int, bool]:
+        """The place behind the end marker of the JPEG segments that start here, -1 if there is none; whether one of them is a frame."""
+        known, way = self._jpeg, []
+        while p not in known:
+            q, last, frame = self._segment(p)
+            way.append((p, frame))
+            if last:
+                end, framed = q, False
+                break
+            p = q
+        else:
+            end, framed = known[p]
+        for q, frame in reversed(way):
+            framed |= frame
+            known[q] = end, framed
+        return end, framed
+
+    def _segment(self, p: int) -> tuple[int, bool, bool]:
+        """The place behind the segment here (and the data behind a scan header), whether the file ends there, whether it is a frame."""
+        b = self.b
+        if p + 4 > len(b) or b[p] != 0xFF:
+            return -1, True, False
+        kind = b[p + 1]
+        if kind == 0xFF:
+            return p + 1, False, False
+        size = int.from_bytes(b[p + 2 : p + 4], "big")
+        if kind < 0xC0 or size < 2:
+            return -1, True, False
+        frame, end = kind in (0xC0, 0xC1, 0xC2), p + 2 + size
+        if kind == 0xDA:
+            k = bisect_left(self._jpeg_marks, end)
+            if k == len(self._jpeg_marks):
+                return -1, True, frame
+            end = self._jpeg_marks[k]
+            if b[end + 1] == 0xD9:
+                return end + 2, True, frame
+        return end, False, frame
+
+    @functools.cached_property
+    def _jpeg_marks(self) -> list[int]:
+        """Places of markers that end entropy-coded data."""
+        return [m.start() for m in re.finditer(rb"\xff(?=[^\x00\xd0-\xd7])", self.b, re.DOTALL)]
+
+    def riff_kinds(self, p: int, end: int) -> tuple[bool, bool] | None:
+        """Whether there are format and data chunks among the RIFF chunks from ``p`` on that come to ``end`` exactly; None if they don't.
+
+        A place is kept with the next one, a jump further along its chain, its number from the chain's end, and how many
+        format and data chunks follow; jumps double, so an end is found in a logarithm of the chain's length.
+        """
+        known, way = self._riff, []
+        q = p
+        while q not in known:
+            if q + 8 > len(self.b):
+                known[q] = (q, q, 0, 0, 0)
+                break
+            way.append(q)
+            size = int.from_bytes(self.b[q + 4 : q + 8], "little")
+            q += 8 + size + size % 2
+        for x in reversed(way):
+            _, jump, depth, formats, datas = known[q]
+            _, far, half, *_ = known[jump]
+            leap = known[jump][1] if depth - half == half - known[far][2] else q
+            kind = self.b[x : x + 4]
+            known[x] = (q, leap, depth + 1, formats + (kind == b"fmt "), datas + (kind == b"data"))
+            q = x
+        at = p
+        while at < end:
+            next_, jump, depth, *_ = known[at]
+            if not depth:
+                return None
+            at = jump if jump <= end else next_
+        if at != end:
+            return None
+        return known[p][3] > known[end][3], known[p][4] > known[end][4]
+
+    # Checksums of any part, from checksums of what comes before it.
+
+    def crc(self, start: int, end: int) -> int:
+        """CRC-32 of a part; of a long one by those of two beginnings of the value."""
+        if end - start <= _PART:
+            return zlib.crc32(self.b[start:end])
+        return self._crc_to(end) ^ _shifted(self._crc_to(start), end - start)
+
+    def _crc_to(self, end: int) -> int:
+        k = end // _PART
+        return zlib.crc32(self.b[k * _PART : end], self._crcs[k])
+
+    @functools.cached_property
+    def _crcs(self) -> list[int]:
+        out = [0]
+        for at in range(0, len(self.b), _PART):
+            out.append(zlib.crc32(self.b[at : at + _PART], out[-1]))
+        return out
+
     @staticmethod
     def _chain(known: dict[int, int], p: int, step: Callable[[int], tuple[int, bool]]) -> int:
         """Where a chain of steps ends; every place on the way is remembered with it."""
@@ -125,77 +264,67 @@ class Value:
         return p
 
 
+#: Bytes between places of a value whose checksum from its start is kept.
+_PART = 4096
+
+
+def _times(a: int, b: int) -> int:
+    """Product of two polynomials modulo that of CRC-32, bits reversed."""
+    out, bit = 0, 1 << 31
+    while bit:
+        if a & bit:
+            out ^= b
+        bit >>= 1
+        b = b >> 1 ^ (0xEDB88320 if b & 1 else 0)
+    return out
+
+
+@functools.cache
+def _power(k: int) -> int:
+    """x to the power 8 * 2 ** k."""
+    return 1 << 23 if k == 0 else _times(_power(k - 1), _power(k - 1))
+
+
+def _shifted(crc: int, n: int) -> int:
+    """What a checksum becomes by ``n`` further zero bytes that are not complemented."""
+    for k in range(n.bit_length()):
+        if n >> k & 1:
+            crc = _times(_power(k), crc)
+    return crc
+
+
+def _colours(flags: int) -> int:
+    """Bytes of a GIF colour table."""
+    return 3 * (2 << (flags & 7)) if flags & 0x80 else 0
+
+
 def _wav(v: Value, at: int) -> int:
     """RIFF chunks: each has its length; format and data must be there."""
     b = v.b
     if len(b) < at + 12 or b[at + 8 : at + 12] != b"WAVE":
         return 0
-    end, p, seen = at + 8 + int.from_bytes(b[at + 4 : at + 8], "little"), at + 12, set()
-    while p + 8 <= end <= len(b):
-        seen.add(b[p : p + 4])
-        size = int.from_bytes(b[p + 4 : p + 8], "little")
-        p += 8 + size + size % 2
-    return end - at if p == end and {b"fmt ", b"data"} <= seen else 0
+    end = at + 8 + int.from_bytes(b[at + 4 : at + 8], "little")
+    return end - at if end <= len(b) and v.riff_kinds(at + 12, end) == (True, True) else 0
 
 
 def _png(v: Value, at: int) -> int:
     """Chunks with length and checksum, from IHDR to IEND."""
-    b = v.b
-    p, first = at + 8, True
-    while p + 12 <= len(b):
-        size, kind = int.from_bytes(b[p : p + 4], "big"), b[p + 4 : p + 8]
-        if p + 12 + size > len(b) or first and (kind != b"IHDR" or size != 13) or zlib.crc32(b[p + 4 : p + 8 + size]) != int.from_bytes(b[p + 8 + size : p + 12 + size], "big"):
-            return 0
-        p, first = p + 12 + size, False
-        if kind == b"IEND":
-            return p - at
-    return 0
+    if v.b[at + 8 : at + 16] != b"\0\0\0\x0dIHDR":
+        return 0
+    return max(0, v.png_end(at + 8) - at)
 
 
 def _gif(v: Value, at: int) -> int:
     """Screen descriptor and colour table, then extension and image blocks up to the trailer."""
-    b = v.b
-
-    table = lambda flags: 3 * (2 << (flags & 7)) if flags & 0x80 else 0
-    if len(b) < at + 14:
+    if len(v.b) < at + 14:
         return 0
-    p = at + 13 + table(b[at + 10])
-    while p < len(b):
-        if b[p] == 0x3B:
-            return p + 1 - at
-        if b[p] == 0x21:
-            p = v.sub_blocks(p + 2)
-        elif b[p] == 0x2C and p + 10 < len(b):
-            p = v.sub_blocks(p + 10 + table(b[p + 9]) + 1)
-        else:
-            return 0
-    return 0
+    return max(0, v.gif_end(at + 13 + _colours(v.b[at + 10])) - at)
 
 
 def _jpeg(v: Value, at: int) -> int:
     """Segments with length, entropy-coded data after a scan header, the end marker."""
-    b = v.b
-    p, frame = at + 2, False
-    while p + 4 <= len(b):
-        if b[p] != 0xFF:
-            return 0
-        kind = b[p + 1]
-        if kind == 0xFF:
-            p += 1
-            continue
-        size = int.from_bytes(b[p + 2 : p + 4], "big")
-        if kind < 0xC0 or size < 2:
-            return 0
-        frame |= kind in (0xC0, 0xC1, 0xC2)
-        p += 2 + size
-        if kind == 0xDA:
-            while 0 <= (p := b.find(b"\xff", p)) < len(b) - 1 and (b[p + 1] == 0 or 0xD0 <= b[p + 1] <= 0xD7):
-                p += 2
-            if p < 0 or p + 1 >= len(b):
-                return 0
-            if b[p + 1] == 0xD9:
-                return p + 2 - at if frame else 0
-    return 0
+    end, framed = v.jpeg_end(at + 2)
+    return end - at if end >= 0 and framed else 0
 
 
 def _bmp(v: Value, at: int) -> int:
@@ -225,6 +354,8 @@ def _zip(v: Value, at: int) -> int:
 def _gzip(v: Value, at: int) -> int:
     """A stream that inflates to its own checksum and length."""
     b = v.b
+    if at + 18 > len(b) or b[at + 3] & 0xE0:
+        return 0
     try:
         d = zlib.decompressobj(31)
         rest = memoryview(b)[at:]
@@ -241,15 +372,10 @@ def _gzip(v: Value, at: int) -> int:
 def _flac(v: Value, at: int) -> int:
     """Metadata blocks with their lengths, the first a stream info, then frames up to the end of the value, the last one whole."""
     b = v.b
-    p, first = at + 4, True
-    while p + 4 <= len(b):
-        kind, size = b[p], int.from_bytes(b[p + 1 : p + 4], "big")
-        if first and (kind & 0x7F or size != 34):
-            return 0
-        p, first = p + 4 + size, False
-        if kind & 0x80:
-            return len(b) - at if _flac_frame(b, p) and v.flac_ends(p) else 0
-    return 0
+    if at + 8 > len(b) or b[at + 4] & 0x7F or int.from_bytes(b[at + 5 : at + 8], "big") != 34:
+        return 0
+    p = v.flac_frames(at + 4)
+    return len(b) - at if p >= 0 and _flac_frame(b, p) and v.flac_ends(p) else 0
 
 
 def _flac_frame(b: bytes, p: int) -> bool:

@@ -5,6 +5,7 @@ import random
 import re
 import struct
 import time
+import zlib
 from collections import Counter
 
 import duckdb
@@ -140,6 +141,132 @@ def test_media_time_in_proportion(unit):
     assert took[1] < 60 and took[1] < 30 * took[0] + 1
 
 
+def crafted(kind, size):
+    """Values whose every signature has a long way before it fails, all the same way."""
+    if kind == "png":  # a whole IHDR, then a chunk that claims half the value
+        ihdr = b"IHDR" + bytes(13)
+        unit = b"\x89PNG\r\n\x1a\n" + bytes([0, 0, 0, 13]) + ihdr + zlib.crc32(ihdr).to_bytes(4, "big") + (size // 2).to_bytes(4, "big") + b"IDAT"
+        return unit * (size // len(unit))
+    if kind == "wav":  # heads that all jump into one chain of empty chunks
+        n = size // 2 // 20
+        heads = b"".join(b"RIFF" + struct.pack("<I", size - 20 * k - 9) + b"WAVEjump" + struct.pack("<I", (n - k - 1) * 20) for k in range(n))
+        return heads + b"emptabcd"[:4] + bytes(4) + (b"empt" + bytes(4)) * ((size - len(heads)) // 8 - 1)
+    if kind == "gif":  # heads before one chain of empty extensions
+        return b"GIF89a1234567!x\0" * (size // 32) + b"!x\0" * (size // 6)
+    if kind == "jpeg":  # a scan header before data without an end
+        return b"\xff\xd8\xff\xc0\0\x02\xff\xda\0\x02" * (size // 20) + b"\xff\x00" * (size // 4)
+    return b"fLaC\0\0\0\x22" + bytes(34) + b"fLaC\0\0\0\x22" * (size // 16) + b"\x01\0\0\0" * (size // 8)
+
+
+@pytest.mark.parametrize("kind", ["png", "wav", "gif", "jpeg", "flac"])
+def test_media_time_of_crafted_values(kind):
+    took = []
+    for size in (1 << 19, 4 << 20):
+        value, began = crafted(kind, size), time.perf_counter()
+        assert media.sniff(value)[:2] == ("unknown", 0)
+        took.append(time.perf_counter() - began)
+    assert took[1] < 60 and took[1] < 20 * took[0] + 1  # eight times the size
+
+
+def plain_media(b):
+    """(start, length, type) of every place where a whole file of four formats stands, each walked alone."""
+
+    def wav(at):
+        if b[at + 8 : at + 12] != b"WAVE":
+            return 0
+        end, p, seen = at + 8 + int.from_bytes(b[at + 4 : at + 8], "little"), at + 12, set()
+        while p + 8 <= end <= len(b):
+            seen.add(b[p : p + 4])
+            size = int.from_bytes(b[p + 4 : p + 8], "little")
+            p += 8 + size + size % 2
+        return end - at if p == end and {b"fmt ", b"data"} <= seen else 0
+
+    def png(at):
+        p, first = at + 8, True
+        while p + 12 <= len(b):
+            size, kind = int.from_bytes(b[p : p + 4], "big"), b[p + 4 : p + 8]
+            if p + 12 + size > len(b) or first and (kind != b"IHDR" or size != 13) or zlib.crc32(b[p + 4 : p + 8 + size]) != int.from_bytes(b[p + 8 + size : p + 12 + size], "big"):
+                return 0
+            p, first = p + 12 + size, False
+            if kind == b"IEND":
+                return p - at
+        return 0
+
+    def gif(at):
+        table = lambda flags: 3 * (2 << (flags & 7)) if flags & 0x80 else 0
+
+        def sub(p):
+            while p < len(b) and b[p]:
+                p += 1 + b[p]
+            return p + 1
+
+        p = at + 13 + table(b[at + 10]) if len(b) >= at + 14 else len(b)
+        while p < len(b):
+            if b[p] == 0x3B:
+                return p + 1 - at
+            if b[p] == 0x21:
+                p = sub(p + 2)
+            elif b[p] == 0x2C and p + 10 < len(b):
+                p = sub(p + 10 + table(b[p + 9]) + 1)
+            else:
+                return 0
+        return 0
+
+    def jpeg(at):
+        p, frame = at + 2, False
+        while p + 4 <= len(b) and b[p] == 0xFF:
+            kind, size = b[p + 1], int.from_bytes(b[p + 2 : p + 4], "big")
+            if kind == 0xFF:
+                p += 1
+                continue
+            if kind < 0xC0 or size < 2:
+                return 0
+            frame |= kind in (0xC0, 0xC1, 0xC2)
+            p += 2 + size
+            if kind == 0xDA:
+                while p < len(b) - 1 and not (b[p] == 0xFF and b[p + 1] and not 0xD0 <= b[p + 1] <= 0xD7):
+                    p += 1
+                if p >= len(b) - 1:
+                    return 0
+                if b[p + 1] == 0xD9:
+                    return p + 2 - at if frame else 0
+        return 0
+
+    walks = {b"RIFF": ("audio/wav", wav), b"\x89PNG\r\n\x1a\n": ("image/png", png), b"GIF89a": ("image/gif", gif), b"\xff\xd8\xff": ("image/jpeg", jpeg)}
+    return {(m.start(), size, kind) for magic, (kind, f) in walks.items() for m in re.finditer(re.escape(magic), b) if (size := f(m.start()))}
+
+
+def test_media_chains_equal_walks_alone():
+    rng = random.Random(8)
+    chunk = lambda kind, data: len(data).to_bytes(4, "big") + kind + data + zlib.crc32(kind + data).to_bytes(4, "big")
+    ihdr, iend = chunk(b"IHDR", bytes(13)), chunk(b"IEND", b"")
+    big = chunk(b"IDAT", bytes(rng.randrange(256) for _ in range(9000)))
+    riff = lambda body: b"RIFF" + struct.pack("<I", 4 + len(body)) + b"WAVE" + body
+    fmt, data = b"fmt " + struct.pack("<I", 2) + b"xx", b"data" + struct.pack("<I", 3) + b"abc\0"
+    scraps = [
+        b"\x89PNG\r\n\x1a\n", ihdr, iend, big, big[:-1] + b"?", riff(fmt + data), riff(fmt + data)[:-4], riff(data), riff(b"jump" + struct.pack("<I", 24) + bytes(24)), fmt, data, fmt + data,
+        b"GIF89a" + b"1234\x80xx" + bytes(6), b"!x\x02ab\0", b",12345678\0\x08\x01a\0", b";", b"\xff\xd8\xff\xc0\0\x02", b"\xff\xd8", b"\xff\xda\0\x02ab\xff\0c", b"\xff\xd9", b"\xff\xc4\0\x03z", b"\xff\xff", b"\xff\xd8\xff", b"x",
+    ]
+    met = 0
+    for _ in range(1500):
+        b = b"".join(rng.choice(scraps) for _ in range(rng.randint(2, 14)))
+        v = media.Value(b)
+        want = plain_media(b)
+        got = {(m.start(), size, kind) for magic, kind in media.MAGIC if kind in ("audio/wav", "image/png", "image/gif", "image/jpeg") for m in re.finditer(re.escape(magic), b) if (size := media.VALIDATORS[kind](v, m.start()))}
+        assert got == want
+        met += len(want)
+    assert met > 300
+
+
+def test_part_checksums():
+    rng = random.Random(9)
+    b = bytes(rng.randrange(256) for _ in range(30_000))
+    v = media.Value(b)
+    for _ in range(200):
+        i, j = sorted(rng.randrange(len(b) + 1) for _ in range(2))
+        assert v.crc(i, j) == zlib.crc32(b[i:j])
+
+
 def plain_crc(data, poly, width):
     crc = 0
     for x in data:
