@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from .plans import documents, further, geodata, images, models, more, outlines, physics, relational, series, shapes  # noqa: F401
+from .plans import documents, further, geodata, images, models, more, outlines, overlays, physics, relational, series, shapes  # noqa: F401
 from .plans.registry import ORACLES, QUERIES, Query
 
 

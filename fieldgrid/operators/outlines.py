@@ -44,7 +44,16 @@ def outlines(labelled: DataFrame, eight: bool = False) -> DataFrame:
     first = F.min(F.struct((turn if eight else -turn).alias("turn"), "next", "next_dir")).alias("n")
     chain = written(s.join(after, ["component", "x2", "y2"]).groupBy("component", "id", "dir", "x2", "y2").agg(first).select("component", "id", "dir", "x2", "y2", "n.next", "n.next_dir"))
 
-    # The ring of a side: the least side that follows it.
+    opened = chain.join(ranked(chain), "id")
+    corners = opened.where(F.col("dir") != F.col("next_dir"))
+    return corners.select("component", "ring", (-F.col("left")).alias("i"), F.col("x2").alias("x"), F.col("y2").alias("y"))
+
+
+def ranked(chain: DataFrame) -> DataFrame:
+    """(id, ring, left) of the links (id, next) of closed rings: the least id of a link's ring, and the links to go until that.
+
+    Pointers are doubled: a number of joins logarithmic in the longest ring.
+    """
     at, before = chain.select("id", F.col("next").alias("to"), F.least("id", "next").alias("ring")), None
     while True:
         at = written(at)
@@ -54,19 +63,15 @@ def outlines(labelled: DataFrame, eight: bool = False) -> DataFrame:
         before = state
         there = at.select(F.col("id").alias("to"), F.col("to").alias("_to"), F.col("ring").alias("_ring"))
         at = at.join(there, "to").select("id", F.col("_to").alias("to"), F.least("ring", "_ring").alias("ring"))
-    rings = at.select("id", "ring")
-
-    # Its rank: sides to go until the ring closes.
-    opened = chain.join(rings, "id")
-    go = opened.select("id", F.when(F.col("next") != F.col("ring"), F.col("next")).alias("to"), F.when(F.col("next") != F.col("ring"), 1).otherwise(0).cast("long").alias("left"))
+    # Its rank: links to go until the ring closes.
+    opened, closes = chain.select("id", "next").join(at.select("id", "ring"), "id"), F.col("next") == F.col("ring")
+    go = opened.select("id", "ring", F.when(~closes, F.col("next")).alias("to"), F.when(closes, 0).otherwise(1).cast("long").alias("left"))
     while True:
         go = written(go)
         if go.where(F.col("to").isNotNull()).isEmpty():
-            break
+            return go.select("id", "ring", "left")
         there = go.select(F.col("id").alias("to"), F.col("to").alias("_to"), F.col("left").alias("_left"))
-        go = go.join(there, "to", "left").select("id", F.col("_to").alias("to"), (F.col("left") + F.coalesce("_left", F.lit(0))).alias("left"))
-    corners = opened.where(F.col("dir") != F.col("next_dir")).join(go.select("id", "left"), "id")
-    return corners.select("component", "ring", (-F.col("left")).alias("i"), F.col("x2").alias("x"), F.col("y2").alias("y"))
+        go = go.join(there, "to", "left").select("id", "ring", F.col("_to").alias("to"), (F.col("left") + F.coalesce("_left", F.lit(0))).alias("left"))
 
 
 def measured(corners: DataFrame, *by: str) -> DataFrame:
