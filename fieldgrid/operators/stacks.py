@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import scalar
+from ..functions.projections import Projection, transformed
 from .raster import bilinear
 
 #: Column and row steps of a pair of pixels by the angle of a texture.
@@ -49,6 +50,18 @@ def to_mercator_grid(df: DataFrame, value: str, source: Sequence[float], target:
     return bilinear(df, value, at).select(F.col("trow").alias("row"), F.col("tcol").alias("col"), value)
 
 
+def warped(df: DataFrame, value: str, source: Projection, source_grid: Sequence[float], target: Projection, target_grid: Sequence[float], columns: int, rows: int) -> DataFrame:
+    """(row, col, value) of a raster of one projection on a grid of another, interpolated between four pixel centres; null beyond its edges.
+
+    Each pixel of the target is mapped back to the source. Grids: (x of the left edge, pixel width, y of the top edge, pixel height, negative).
+    """
+    x0, dx, y0, dy = target_grid
+    grid = df.sparkSession.range(rows * columns).select(F.floor(F.col("id") / columns).alias("trow"), (F.col("id") % columns).alias("tcol"))
+    at = transformed(grid.withColumns({"x": x0 + (F.col("tcol") + 0.5) * dx, "y": y0 + (F.col("trow") + 0.5) * dy}), "x", "y", target, source)
+    at = at.select("trow", "tcol", ((F.col("y") - source_grid[2]) / source_grid[3] - 0.5).alias("y"), ((F.col("x") - source_grid[0]) / source_grid[1] - 0.5).alias("x"))
+    return bilinear(df, value, at).select(F.col("trow").alias("row"), F.col("tcol").alias("col"), value)
+
+
 def window_texture(df: DataFrame, value: str, angle: int, k: int = 1, by: Sequence[str] = ()) -> DataFrame:
     """Texture of the square around each pixel that lies in the raster as a whole: seven measures as whole numbers.
 
