@@ -8,8 +8,6 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators.relational import upsert
-from ..operators.tables import written
 
 #: Columns of a decision tree's node table: inner nodes have a feature and a threshold, leaves a label.
 TREE = "id int, feature string, threshold double, left int, right int, label int"
@@ -134,16 +132,6 @@ def append_jdbc(df: DataFrame, url: str, name: str, properties: dict[str, str])
     df.write.jdbc(url, name, mode="append", properties=properties)
 
 
-def upsert_jdbc(fresh: DataFrame, url: str, name: str, keys: Sequence[str], version: str, properties: dict[str, str]) -> None:
-    """Rows of a database table and fresh ones, for each key that with the largest version.
-
-    The merged rows are written to the shared folder first, then the table is truncated and filled, so a failed run can be repeated from there.
-    """
-    stored = fresh.sparkSession.read.jdbc(url, name, properties=properties)
-    merged = written(upsert(stored, fresh.select(*stored.columns), keys, version))
-    merged.write.option("truncate", True).jdbc(url, name, mode="overwrite", properties=properties)
-
-
 def write_tree(spark: SparkSession, nodes: Sequence[tuple], path: str) -> None:
     """A decision tree, as ``operators.learning.cart`` makes it, as a table of nodes."""
     spark.createDataFrame(list(nodes), TREE).coalesce(1).write.mode("overwrite").parquet(path)

@@ -3,12 +3,13 @@
 import math
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
 from fieldgrid.operators import learning as L
 from fieldgrid.operators import relational as R
 from fieldgrid.operators import shapes as S
-from fieldgrid.sources import files, web
+from fieldgrid.sources import database, files, web
 
 
 def test_quarter_turn(spark):
@@ -89,13 +90,47 @@ def test_tables_of_a_folder(spark, tmp_path):
     assert sorted((r.name, r.length) for r in files.files(spark, str(tmp_path), "*.csv").collect()) == [("a.csv", 8), ("b.csv", 4)]
 
 
-def test_database_upsert(spark, tmp_path):
+def test_database_merges(spark, tmp_path):
     url, driver = f"jdbc:derby:{tmp_path}/db;create=true", {"driver": "org.apache.derby.iapi.jdbc.AutoloadedDriver"}
     kind = "k int, t int, v double"
-    files.append_jdbc(spark.createDataFrame([(1, 1, 1.0), (2, 1, 2.0)], kind), url, "seen", driver)
-    files.upsert_jdbc(spark.createDataFrame([(2, 2, 5.0), (3, 1, 6.0), (1, 0, 9.0)], kind), url, "seen", ["k"], "t", driver)
-    got = sorted(tuple(r) for r in spark.read.jdbc(url, "seen", properties=driver).collect())
-    assert got == [(1, 1, 1.0), (2, 2, 5.0), (3, 1, 6.0)]
+    table = lambda: sorted(tuple(r) for r in spark.read.jdbc(url, "seen", properties=driver).collect())
+    files.append_jdbc(spark.createDataFrame([(1, 1, 1.0), (2, 1, 2.0), (9, None, 0.0)], kind), url, "seen", driver)
+    merge = lambda rows, **note: database.upsert_jdbc(spark.createDataFrame(rows, kind), url, "seen", ["k"], "t", driver, **note)
+    assert merge([(2, 2, 5.0), (3, 1, 6.0), (1, 0, 9.0), (9, 1, 3.0), (3, 1, 4.0), (None, 7, 7.0)])
+    assert table() == [(1, 1, 1.0), (2, 2, 5.0), (3, 1, 6.0), (9, 1, 3.0)]
+    # A batch runs once, whatever it brings the second time; another stream's batch of the number is another.
+    assert merge([(1, 5, 10.0)], stream="a", batch=3) and not merge([(1, 6, 11.0)], stream="a", batch=3) and merge([(4, 1, 1.0)], stream="b", batch=3)
+    assert table() == [(1, 5, 10.0), (2, 2, 5.0), (3, 1, 6.0), (4, 1, 1.0), (9, 1, 3.0)]
+    # A failure in the middle leaves the table whole, and no note of the batch.
+    with database._connection(spark, url, driver) as c:
+        database._run(c, 'ALTER TABLE seen ADD CONSTRAINT small CHECK ("v" < 100)')
+        c.commit()
+    before = table()
+    with pytest.raises(Exception, match="(?i)constraint"):
+        merge([(1, 9, 1.0), (2, 9, 1000.0), (5, 1, 1.0)], stream="a", batch=4)
+    assert table() == before
+    with database._connection(spark, url, driver) as c:
+        database._run(c, "CREATE TABLE touched (n INT)")
+        for what in ("INSERT", "UPDATE"):
+            database._run(c, f"CREATE TRIGGER on_{what} AFTER {what} ON seen REFERENCING NEW AS fresh FOR EACH ROW INSERT INTO touched VALUES (fresh.\"k\")")
+        c.commit()
+    assert merge([(1, 9, 1.0), (2, 9, 99.0), (5, 1, 1.0), (3, 0, 0.0)], stream="a", batch=4)
+    assert table() == [(1, 9, 1.0), (2, 9, 99.0), (3, 1, 6.0), (4, 1, 1.0), (5, 1, 1.0), (9, 1, 3.0)]
+    assert sorted(r[0] for r in spark.read.jdbc(url, "touched", properties=driver).collect()) == [1, 2, 5]  # no other key is written
+    with database._connection(spark, url, driver) as c:
+        names = c.getMetaData().getTables(None, None, "SEEN_S%", None)
+        assert not names.next()
+
+
+def test_stream_into_a_database(spark, tmp_path):
+    url, driver = f"jdbc:derby:{tmp_path}/db;create=true", {"driver": "org.apache.derby.iapi.jdbc.AutoloadedDriver"}
+    source, check = str(tmp_path / "in"), str(tmp_path / "check")
+    for k in range(3):
+        spark.createDataFrame([(u, k, float(u + k)) for u in range(k, 6)], "k int, t int, v double").write.mode("append").parquet(source)
+        stream = spark.readStream.schema("k int, t int, v double").parquet(source)
+        database.upsert_stream(stream, url, "live", ["k"], "t", driver, check).awaitTermination()
+    got = sorted(tuple(r) for r in spark.read.jdbc(url, "live", properties=driver).collect())
+    assert got == [(u, min(u, 2), float(u + min(u, 2))) for u in range(6)]
 
 
 def test_written_tree_predicts_as_before(spark, tmp_path):
