@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import math
-import random
 from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -11,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import scalar
+from . import forests
 from .blocks import distance_sums, two_nearest
 from .tables import written
 
@@ -113,57 +113,14 @@ def ratio_matches(left: DataFrame, right: DataFrame, row: str, vector: str, rati
     return one.join(two, ["left", "right"])
 
 
-def cart(samples: DataFrame, features: Sequence[str], label: str, depth: int = 8, least: int = 2) -> list[tuple]:
-    """A decision tree by exhaustive splits, as nodes for ``tree_predict``; leaves vote, ties: the smallest label.
+def cart(samples: DataFrame, features: Sequence[str], label: str, depth: int | None = None, least: int = 2) -> list[forests.Node]:
+    """A decision tree by exhaustive splits, grown until its leaves are pure (or ``depth``), as nodes; see ``operators.forests``."""
+    return forests.grow(samples, features, label, depth=depth, least=least)[0]
 
-    Levels of the tree are made one after another, all nodes of a level in one aggregation: values are counted by node,
-    feature, value and label, and each node's best split comes from running counts. A node is split while it has
-    ``least`` samples, several labels and a split that lowers its Gini index. The driver holds the tree only.
-    """
-    rows = written(samples.select(*[F.col(f).cast("double").alias(f) for f in features], F.col(label).alias("_y")).withColumn("_node", F.lit(0)))
-    nodes: dict[int, tuple] = {}
-    for level in range(depth + 1):
-        votes = rows.groupBy("_node", "_y").agg(F.count("*").alias("n"))
-        by = votes.groupBy("_node").agg(F.sum("n").alias("n"), F.count("*").alias("labels"), F.min(F.struct((-F.col("n")).alias("m"), F.col("_y").alias("y"))).alias("top")).collect()  # a row for each node of the level
-        open_ = [r["_node"] for r in by if level < depth and r["n"] >= least and r["labels"] > 1]
-        split = {}
-        if open_:
-            here = rows.join(F.broadcast(rows.sparkSession.createDataFrame([(k,) for k in open_], "_node int")), "_node")
-            long = here.unpivot(["_node", "_y"], list(features), "_f", "_v").withColumn("_nf", F.struct("_node", "_f"))
-            best = best_splits(long, "_y", "_nf", "_v").where("gain > 0")
-            order = F.array_position(F.array(*map(F.lit, features)), F.col("_nf._f"))
-            for r in best.groupBy("_nf._node").agg(F.min(F.struct((-F.col("gain")).alias("g"), order.alias("o"), "threshold")).alias("b")).collect():
-                split[r["_node"]] = (features[r["b"]["o"] - 1], r["b"]["threshold"])
-        number = max([*nodes, *(r["_node"] for r in by)], default=0)
-        for r in sorted(by, key=lambda r: r["_node"]):
-            if r["_node"] in split:
-                nodes[r["_node"]] = (r["_node"], *split[r["_node"]], number + 1, number + 2, None)
-                number += 2
-            else:
-                nodes[r["_node"]] = (r["_node"], None, None, None, None, r["top"]["y"])
-        if not split:
-            break
-        table = rows.sparkSession.createDataFrame([(k, f, t, nodes[k][3], nodes[k][4]) for k, (f, t) in split.items()], "_node int, _f string, _t double, _l int, _r int")
-        value = F.create_map(*[x for f in features for x in (F.lit(f), F.col(f))])
-        down = rows.join(F.broadcast(table), "_node").withColumn("_node", F.when(F.element_at(value, F.col("_f")) >= F.col("_t"), F.col("_r")).otherwise(F.col("_l")))
-        rows = written(down.drop("_f", "_t", "_l", "_r"))
-    return [nodes[k] for k in sorted(nodes)]
-
-
-def cart_forest(samples: DataFrame, features: Sequence[str], label: str, trees: int = 10, depth: int = 8, seed: int = 42) -> list[list[tuple]]:
-    """Trees of ``cart``, each on a bootstrap sample and floor(log2 f) + 1 of the features."""
-    many, out = int(math.log2(len(features))) + 1, []
-    for k in range(trees):
-        chosen = sorted(random.Random(seed + k).sample(list(features), many), key=list(features).index)
-        out.append(cart(samples.sample(withReplacement=True, fraction=1.0, seed=seed + k), chosen, label, depth))
-    return out
-
-
-def forest_votes(df: DataFrame, trees: Sequence[list[tuple]], row: Sequence[str], label: str) -> DataFrame:
-    """(row, label): what most trees say; ties: the smallest."""
-    votes = df.select(*row, F.explode(F.array(*[tree_predict(df, t) for t in trees])).alias(label))
-    n = votes.groupBy(*row, label).agg(F.count("*").alias("n"))
-    return n.groupBy(*row).agg(F.min(F.struct((-F.col("n")).alias("n"), F.col(label).alias("v")))["v"].alias(label))
+
+def cart_forest(samples: DataFrame, features: Sequence[str], label: str, trees: int = 10, depth: int | None = None, seed: int = 42) -> list[list[forests.Node]]:
+    """Trees of ``cart``, all grown at once, each on Poisson weights of its own and floor(log2 f) + 1 of the features."""
+    return forests.grow(samples, features, label, trees, bootstrap=True, subset=int(math.log2(len(features))) + 1, depth=depth, seed=seed)
 
 
 def random_forest(df: DataFrame, features: Sequence[str], label: str, trees: int = 10, seed: int = 42):  # noqa: ANN201

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import scalar as C
+from ..operators import forests as T
 from ..operators import learning as L
 from ..operators import spectra as E
 from ..operators import stacks as S
@@ -129,19 +130,20 @@ def vector_sum(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", (F.col("l_quantity") + F.col("l_extendedprice")).alias("s"))
 
 
-@query()
+@query(f"{W} SELECT row, col, k, k AS cls FROM (SELECT row, col, CASE WHEN blue + green > 1600 THEN 1 WHEN red > 900 THEN 2 ELSE 3 END AS k FROM px)")
 def cart_predict(spark: SparkSession, sf: str) -> DataFrame:
-    """A tree of exhaustive splits, applied to the pixels that it learnt from."""
+    """A tree of exhaustive splits, applied to the pixels that it learnt from: grown until pure, it knows them all."""
     p = pixels(spark, sf).withColumn("k", F.when(F.col("blue") + F.col("green") > 1600, 1).otherwise(F.when(F.col("red") > 900, 2).otherwise(3)))
-    tree = L.cart(p, ["blue", "green", "red", "nir"], "k", 6)
-    return p.select("row", "col", "k", L.tree_predict(p, tree).alias("cls"))
+    tree = L.cart(p, ["blue", "green", "red", "nir"], "k")
+    return T.predict(p, [tree], "cls").select("row", "col", "k", "cls")
 
 
 @query()
 def cart_forest(spark: SparkSession, sf: str) -> DataFrame:
+    """Ten trees grown until pure on weights of their own, and what most of them say."""
     p = pixels(spark, sf).withColumn("k", F.when(F.col("blue") > 600, 1).otherwise(2))
-    trees = L.cart_forest(p, ["blue", "green", "red", "nir"], "k", 5, 3)
-    return L.forest_votes(p, trees, ["row", "col"], "k")
+    trees = L.cart_forest(p, ["blue", "green", "red", "nir"], "k", 10)
+    return T.predict(p, trees, "cls").select("row", "col", F.col("cls").alias("k"))
 
 
 @query("""SELECT n_nationkey AS id, CAST(r AS INTEGER) AS row, [n_name, CAST(n_regionkey * 10 + r AS VARCHAR)] AS cells FROM nation, range(0, 3) t(r)""")

@@ -1,13 +1,14 @@
 """Operators that have no SQL, or more than a query shows, against plain versions of themselves."""
 
 import random
+from fractions import Fraction
 
 import numpy as np
 import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from fieldgrid.operators import blocks, learning, neighbours, regions, spectra, stacks
+from fieldgrid.operators import blocks, forests, learning, neighbours, regions, spectra, stacks
 from fieldgrid.session import STATE_STORE
 from fieldgrid.streaming import observations as O
 
@@ -66,45 +67,81 @@ def test_sieve_follows_chains(spark):
     assert [r.v for r in regions.sieve(df.where("col > 8"), "v", 9).orderBy("col").collect()] == [2, 2, 3, 4]
 
 
-def plain_tree(rows, labels, depth):
-    """Nested (feature, threshold, left, right) or a label."""
-    counts = pd.Series(labels).value_counts()
-    top = min(counts.index, key=lambda k: (-counts[k], k))
-    if depth == 0 or len(rows) < 2 or len(counts) == 1:
-        return int(top)
-    gini = lambda y: 1 - sum((np.sum(y == k) / len(y)) ** 2 for k in set(y))
+def plain_tree(x, y, w=None, features=None, depth=None):
+    """Nested (feature, threshold, left, right) or a label, by exact fractions."""
+    w, features = np.ones(len(y), int) if w is None else w, range(x.shape[1]) if features is None else features
+    votes = {int(k): int(w[y == k].sum()) for k in sorted(set(y[w > 0].tolist()))}
+    top, n, squares = max(votes, key=lambda k: (votes[k], -k)), sum(votes.values()), sum(v * v for v in votes.values())
     best = None
-    for f in range(rows.shape[1]):
-        for t in sorted(set(rows[:, f]))[1:]:
-            right = rows[:, f] >= t
-            gain = round(gini(labels) - right.mean() * gini(labels[right]) - (~right).mean() * gini(labels[~right]), 9)
-            if gain > 0 and (best is None or gain > best[0]):
-                best = (gain, f, t, right)
+    if len(votes) > 1 and n > 1 and depth != 0:
+        for f in features:
+            for t in sorted(set(x[w > 0, f].tolist()))[1:]:
+                right = x[:, f] >= t
+                sides = [[int(w[s & (y == k)].sum()) for k in votes] for s in (right, ~right)]
+                score = sum(Fraction(sum(v * v for v in side), sum(side)) for side in sides)
+                if score > Fraction(squares, n) and (best is None or score > best[0]):
+                    best = score, f, t, right
     if best is None:
-        return int(top)
+        return top
     _, f, t, right = best
-    return f, t, plain_tree(rows[~right], labels[~right], depth - 1), plain_tree(rows[right], labels[right], depth - 1)
+    below = None if depth is None else depth - 1
+    return f, t, plain_tree(x[~right], y[~right], w[~right], features, below), plain_tree(x[right], y[right], w[right], features, below)
 
 
-def test_tree_of_exhaustive_splits(spark):
+def nested(nodes, features, at=0):
+    n = {n[0]: n for n in nodes}[at]
+    return n[5] if n[1] is None else (features.index(n[1]), n[2], nested(nodes, features, n[3]), nested(nodes, features, n[4]))
+
+
+def noisy(spark, n=300):
     rng = np.random.default_rng(5)
-    x = rng.integers(0, 12, size=(300, 3))
-    y = (x[:, 0] > 5) + 2 * (x[:, 1] + x[:, 2] > 11) + (rng.random(300) < 0.1)
-    df = spark.createDataFrame([(i, *map(int, r), int(k)) for i, (r, k) in enumerate(zip(x, y, strict=True))], "id long, a int, b int, c int, y int")
-    nodes = learning.cart(df, ["a", "b", "c"], "y", 4)
-    tree = plain_tree(x, y, 4)
+    x = rng.integers(0, 12, size=(n, 3))
+    y = (x[:, 0] > 5) + 2 * (x[:, 1] + x[:, 2] > 11) + (rng.random(n) < 0.1)
+    return x, y, spark.createDataFrame([(i, *map(int, r), int(k)) for i, (r, k) in enumerate(zip(x, y, strict=True))], "id long, a int, b int, c int, y int")
+
+
+@pytest.mark.parametrize("small,depth", [(4096, None), (60, None), (60, 3), (4096, 3)])
+def test_tree_of_exhaustive_splits(spark, small, depth):
+    """In one task, and level by level with tasks for small nodes at the end: without a limit of depth, and with one."""
+    x, y, df = noisy(spark)
+    (nodes,) = forests.grow(df, ["a", "b", "c"], "y", depth=depth, small=small)
+    assert nested(nodes, ["a", "b", "c"]) == plain_tree(x, y, depth=depth)
+    got = {r.id: r.p for r in forests.predict(df, [nodes], "p").collect()}
 
     def walk(t, row):
         while isinstance(t, tuple):
             t = t[3] if row[t[0]] >= t[1] else t[2]
         return t
 
-    got = {r.id: r.k for r in df.select("id", learning.tree_predict(df, nodes).alias("k")).collect()}
-    assert got == {i: walk(tree, row) for i, row in enumerate(x)}
-    votes = learning.forest_votes(df, [nodes, nodes, [(0, None, None, None, None, 99)]], ["id"], "k").collect()
-    assert {r.id: r.k for r in votes} == got
-    trees = learning.cart_forest(df, ["a", "b", "c"], "y", 3, 3)
-    assert len(trees) == 3 and all(len({n[1] for n in t} - {None}) <= 2 for t in trees)
+    assert got == {i: walk(plain_tree(x, y, depth=depth), row) for i, row in enumerate(x)}
+
+
+@pytest.mark.parametrize("small", [4096, 50])
+def test_forest_equals_plain_trees(spark, small):
+    x, y, df = noisy(spark, 200)
+    trees = forests.grow(df, ["a", "b", "c"], "y", 4, bootstrap=True, subset=2, small=small)
+    weights = df.select("id", F.array(*(forests._weight(F.xxhash64(*df.columns), k, 42) for k in range(4))).alias("w")).orderBy("id").collect()
+    w = np.array([r.w for r in weights])
+    assert 0.8 < w.mean() < 1.2 and 0.2 < (w == 0).mean() < 0.55
+    import random as R
+
+    for k, nodes in enumerate(trees):
+        chosen = sorted(R.Random(42 + k).sample(range(3), 2))
+        assert nested(nodes, ["a", "b", "c"]) == plain_tree(x, y, w[:, k], chosen)
+    votes = forests.predict(df, [*trees, [(0, None, None, None, None, 99)]], "p").collect()
+    assert all(r.p != 99 for r in votes) and np.mean([r.p == r.y for r in votes]) > 0.8
+    by_nested_when = [{r.id: r.p for r in df.select("id", learning.tree_predict(df, t).alias("p")).collect()} for t in trees]
+    for r in votes:
+        said = [b[r.id] for b in by_nested_when] + [99]
+        assert r.p == min(set(said), key=lambda v: (-said.count(v), v))
+
+
+def test_trees_of_odd_samples(spark):
+    rows = [(0, 1.0, 2, "b"), (1, None, 2, "a"), (2, 3.0, 2, None), (3, 1.0, 2, "a")]
+    df = spark.createDataFrame(rows, "id long, a double, b int, y string")
+    assert forests.grow(df, ["a", "b"], "y") == [[(0, None, None, None, None, "a")]]  # a tie; no split
+    assert forests.predict(df, [[(0, None, None, None, None, "a")]], "p").select("p").distinct().collect()[0].p == "a"
+    assert forests.grow(df.limit(0), ["a", "b"], "y") == [[]]
 
 
 def test_quadratic_spline_passes_through_samples_and_keeps_parabolas(spark):
