@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from .plans import documents, further, geodata, images, layers, models, more, outlines, overlays, physics, projected, relational, series, shapes  # noqa: F401
+from .plans import documents, further, geodata, images, keypoints, layers, models, more, outlines, overlays, physics, projected, relational, series, shapes  # noqa: F401
 from .plans.registry import ORACLES, QUERIES, Query
 
 
