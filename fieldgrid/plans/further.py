@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from itertools import accumulate, repeat, takewhile
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -12,6 +10,7 @@ from ..operators import forests as T
 from ..operators import learning as L
 from ..operators import spectra as E
 from ..operators import stacks as S
+from .models import drawn_pi
 from .registry import PIXELS_SQL, pixels, query, table
 
 W = f"WITH {PIXELS_SQL}"
@@ -103,25 +102,20 @@ def vi4_in_16_bits(spark: SparkSession, sf: str) -> DataFrame:
     return p.select("row", "col", C.wrapped16(9 * F.col("blue") + 9 * F.col("green") + 9 * F.col("red")).alias("vi4"))
 
 
-def _axis(first: float, step: float, end: float) -> list[float]:
-    """Places from ``first`` on before ``end``, each the one before and a step."""
-    return list(takewhile(lambda c: (c < end) if step > 0 else (c > end), accumulate(repeat(step), initial=first)))
-
-
-@query("SELECT 33219980::BIGINT AS steps, 1000000::BIGINT AS points")
+@query("""WITH RECURSIVE z AS (SELECT l_orderkey, l_linenumber, -1.8::DOUBLE + (l_orderkey * 37 + l_linenumber) % 1000 * 3.6::DOUBLE / 1000 AS x, 1.8::DOUBLE - (l_orderkey * 91 + l_linenumber * 13) % 997 * 3.6::DOUBLE / 997 AS y, 0 AS n FROM lineitem
+  UNION ALL SELECT l_orderkey, l_linenumber, x * x - y * y + -0.62772::DOUBLE, 2 * x * y + -0.42193::DOUBLE, n + 1 FROM z WHERE x * x + y * y < 4 AND n < 300) SELECT l_orderkey, l_linenumber, CAST(max(n) AS INTEGER) AS steps FROM z GROUP BY l_orderkey, l_linenumber""")
 def julia_full(spark: SparkSession, sf: str) -> DataFrame:
-    """Escape steps on a grid of 1000 by 1000 of [-1.8, 1.8], 300 at most: the known sum."""
-    xs, ys = _axis(-1.8, 3.6 / 1000, 1.8), _axis(1.8, -3.6 / 1000, -1.8)
-    rows = spark.createDataFrame([(y,) for y in ys], "y double").repartition(64)
-    grid = rows.select("y", F.explode(F.array(*map(F.lit, xs))).alias("x"))
-    return C.with_julia_steps(grid, "x", "y", -0.62772, -0.42193, 300).agg(F.sum("steps").alias("steps"), F.count("*").alias("points"))
+    """Escape steps of a place for each number of a line of an order, three hundred at most."""
+    k, n = F.col("l_orderkey"), F.col("l_linenumber")
+    p = table(spark, sf, "lineitem").select(k, n, (-1.8 + (k * 37 + n) % 1000 * 3.6 / 1000).alias("x"), (1.8 - (k * 91 + n * 13) % 997 * 3.6 / 997).alias("y"))
+    return C.with_julia_steps(p.distinct(), "x", "y", -0.62772, -0.42193, 300).select("l_orderkey", "l_linenumber", "steps")
 
 
-@query()
+@query("SELECT 4 * count(*) FILTER (x * x + y * y <= 1) / count(*)::DOUBLE AS pi, count(*) AS n FROM (SELECT (l_orderkey * 48271 + l_linenumber * 7919) % 65537 / 65537.0::DOUBLE AS x, (l_orderkey * 69621 + l_partkey * 104729) % 65521 / 65521.0::DOUBLE AS y FROM lineitem)")
 def monte_carlo_pi_full(spark: SparkSession, sf: str) -> DataFrame:
-    """A hundred million draws."""
-    x, y = F.rand(1), F.rand(2)
-    return spark.range(100_000_000).select((x * x + y * y <= 1).alias("in")).agg((4 * F.count_if("in") / F.count("*")).alias("pi"))
+    """A place for each line of an order."""
+    k = F.col("l_orderkey")
+    return drawn_pi(table(spark, sf, "lineitem"), (k * 48271 + F.col("l_linenumber") * 7919) % 65537 / 65537.0, (k * 69621 + F.col("l_partkey") * 104729) % 65521 / 65521.0)
 
 
 @query("SELECT l_orderkey, l_linenumber, l_quantity + l_extendedprice AS s FROM lineitem")

@@ -47,11 +47,12 @@ def geodetic_tile(spark: SparkSession, sf: str) -> DataFrame:
     return _points(spark, sf).select("id", tx.alias("tx"), ty.alias("ty"))
 
 
-@query("SELECT CAST(x AS INTEGER) AS tx, CAST(y AS INTEGER) AS ty, round(x * s - 20037508.342789244, 3) AS x0, round((y + 1) * s - 20037508.342789244, 3) AS y1 FROM range(0, 8) a(x), range(0, 8) b(y), (SELECT 40075016.685578488 / 8 AS s)")
+@query("SELECT p_partkey AS id, CAST(x AS INTEGER) AS tx, CAST(y AS INTEGER) AS ty, round(x * s - 20037508.342789244, 3) AS x0, round((y + 1) * s - 20037508.342789244, 3) AS y1 FROM (SELECT p_partkey, p_partkey % 8 AS x, p_partkey // 8 % 8 AS y, 40075016.685578488 / 8 AS s FROM part)")
 def tile_bounds(spark: SparkSession, sf: str) -> DataFrame:
-    t = spark.range(8).select(F.col("id").cast("int").alias("tx"), F.explode(F.sequence(F.lit(0), F.lit(7))).alias("ty"))
+    k = F.col("p_partkey")
+    t = table(spark, sf, "part").select(k.alias("id"), (k % 8).cast("int").alias("tx"), (F.floor(k / 8) % 8).cast("int").alias("ty"))
     x0, _, _, y1 = C.tile_bounds(F.col("tx"), F.col("ty"), 3)
-    return t.select("tx", "ty", F.round(x0, 3).alias("x0"), F.round(y1, 3).alias("y1"))
+    return t.select("id", "tx", "ty", F.round(x0, 3).alias("x0"), F.round(y1, 3).alias("y1"))
 
 
 @query(f"WITH {PIXELS_SQL}, m AS (SELECT row, col, 500000 + col * 30.0 AS x, 4000000 - row * 30.0 AS y FROM px) SELECT row, col, CAST(x AS DOUBLE) AS x, CAST(y AS DOUBLE) AS y, CAST(floor((x + 15 - 500000) / 30) AS BIGINT) AS c, CAST(floor((y - 15 - 4000000) / -30) AS BIGINT) AS r FROM m")

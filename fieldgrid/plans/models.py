@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import scalar as C
@@ -64,15 +64,16 @@ def majority_vote(spark: SparkSession, sf: str) -> DataFrame:
     return L.majority_vote(table(spark, sf, "orders").select("o_custkey", F.col("o_orderpriority").alias("vote")), "o_custkey", "vote")
 
 
-@query("SELECT CAST(i AS BIGINT) AS id, round(1 / (1 + exp(-(i / 10.0::DOUBLE))), 9) AS s, CAST(CASE WHEN i < 21 THEN factorial(i::INTEGER) END AS BIGINT) AS f, round(ln(i + 1) / ln(10), 9) AS lg FROM range(0, 60) t(i)")
+@query("SELECT event_id AS id, round(1 / (1 + exp(-(event_id % 60 / 10.0::DOUBLE))), 9) AS s, CAST(CASE WHEN event_id % 60 < 21 THEN factorial(CAST(event_id % 60 AS INTEGER)) END AS BIGINT) AS f, round(ln(event_id + 1) / ln(10), 9) AS lg FROM events")
 def scalar_functions(spark: SparkSession, sf: str) -> DataFrame:
-    i = F.col("id")
-    return spark.range(60).select("id", F.round(C.sigmoid(i / 10), 9).alias("s"), F.when(i < 21, F.factorial(i.cast("int"))).alias("f"), F.round(F.log10(i + 1), 9).alias("lg"))
+    i = F.col("event_id") % 60
+    return table(spark, sf, "events").select(F.col("event_id").alias("id"), F.round(C.sigmoid(i / 10), 9).alias("s"), F.when(i < 21, F.factorial(i.cast("int"))).alias("f"), F.round(F.log10(F.col("event_id") + 1), 9).alias("lg"))
 
 
-@query("SELECT CAST(n AS BIGINT) AS n FROM range(2, 500) t(n) WHERE NOT EXISTS (SELECT 1 FROM range(2, 23) d(k) WHERE k < n AND n % k = 0)")
+@query("SELECT p_partkey AS n FROM part WHERE p_partkey > 1 AND NOT EXISTS (SELECT 1 FROM range(2, 500) d(k) WHERE k * k <= p_partkey AND p_partkey % k = 0)")
 def primes(spark: SparkSession, sf: str) -> DataFrame:
-    return spark.range(500).select(F.col("id").alias("n")).where(C.is_prime(F.col("n").cast("int")))
+    """Parts of prime keys."""
+    return table(spark, sf, "part").select(F.col("p_partkey").alias("n")).where(C.is_prime(F.col("n").cast("int")))
 
 
 @query("SELECT CAST(sum(l_quantity + l_tax) AS DOUBLE) IS NOT NULL AS done, round(sum(l_quantity + l_extendedprice), 2) AS total FROM lineitem")
@@ -80,17 +81,25 @@ def vector_add(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "lineitem").agg(F.lit(True).alias("done"), F.round(F.sum(F.col("l_quantity") + F.col("l_extendedprice")), 2).alias("total"))
 
 
-@query()
+@query("""WITH RECURSIVE z AS (SELECT p_partkey AS id, -1.8::DOUBLE + p_partkey * 37 % 1000 * 3.6::DOUBLE / 1000 AS x, 1.8::DOUBLE - p_partkey * 91 % 997 * 3.6::DOUBLE / 997 AS y, 0 AS n FROM part
+  UNION ALL SELECT id, x * x - y * y + -0.62772::DOUBLE, 2 * x * y + -0.42193::DOUBLE, n + 1 FROM z WHERE x * x + y * y < 4 AND n < 100) SELECT id, CAST(max(n) AS INTEGER) AS steps FROM z GROUP BY id""")
 def julia(spark: SparkSession, sf: str) -> DataFrame:
-    """Escape steps on a grid of 200 by 200 of [-1.8, 1.8]."""
-    g = spark.range(200 * 200).select((F.col("id") % 200 * 3.6 / 200 - 1.8).alias("x"), (F.floor(F.col("id") / 200) * -3.6 / 200 + 1.8).alias("y"))
-    return g.agg(F.sum(C.julia_steps(F.col("x"), F.col("y"), -0.62772, -0.42193, 100)).alias("steps"))
+    """Escape steps of a place for each part, a hundred at most."""
+    k = F.col("p_partkey")
+    p = table(spark, sf, "part").select(k.alias("id"), (-1.8 + k * 37 % 1000 * 3.6 / 1000).alias("x"), (1.8 - k * 91 % 997 * 3.6 / 997).alias("y"))
+    return p.select("id", C.julia_steps(F.col("x"), F.col("y"), -0.62772, -0.42193, 100).alias("steps"))
 
 
-@query()
+def drawn_pi(draws: DataFrame, x: Column, y: Column) -> DataFrame:
+    """One row (pi, n): four times the share of places in the unit square that lie within 1 of its corner."""
+    return draws.select((x * x + y * y <= 1).alias("in")).agg((4 * F.count_if("in") / F.count("*")).alias("pi"), F.count("*").alias("n"))
+
+
+@query("SELECT 4 * count(*) FILTER (x * x + y * y <= 1) / count(*)::DOUBLE AS pi, count(*) AS n FROM (SELECT o_orderkey * 48271 % 65537 / 65537.0::DOUBLE AS x, o_orderkey * 69621 % 65521 / 65521.0::DOUBLE AS y FROM orders)")
 def monte_carlo_pi(spark: SparkSession, sf: str) -> DataFrame:
-    x, y = F.rand(1), F.rand(2)
-    return spark.range(1_000_000).select((x * x + y * y <= 1).alias("in")).agg((4 * F.count_if("in") / F.count("*")).alias("pi"))
+    """A place for each order, from remainders of its key."""
+    k = F.col("o_orderkey")
+    return drawn_pi(table(spark, sf, "orders"), k * 48271 % 65537 / 65537.0, k * 69621 % 65521 / 65521.0)
 
 
 _FEATURES = ["blue", "green", "red", "nir"]

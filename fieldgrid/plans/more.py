@@ -82,19 +82,20 @@ def region_counts(spark: SparkSession, sf: str) -> DataFrame:
     return sizes.agg(F.sum(F.when(F.col("size") > 30, 2).otherwise(1)).alias("objects"), F.min("size").alias("least"), F.max("size").alias("most"))
 
 
-@query("SELECT CAST(i AS BIGINT) AS i, CAST(j AS BIGINT) AS j, round(100 + i * (1.0::DOUBLE / 40), 9) AS x, round(20 + j * (0.5::DOUBLE / 20), 9) AS y FROM range(0, 41) a(i), range(0, 21) b(j)")
+@query("SELECT s_suppkey AS id, CAST(i AS BIGINT) AS i, CAST(j AS BIGINT) AS j, round(100 + s_suppkey % 7 + i * ((1.0::DOUBLE + s_nationkey) / 4), 9) AS x, round(20 + s_suppkey % 5 + j * (0.5::DOUBLE / 2), 9) AS y FROM supplier, range(0, 5) a(i), range(0, 3) b(j)")
 def grid_points(spark: SparkSession, sf: str) -> DataFrame:
-    """A grid over an extent: evenly spaced points, both ends included."""
-    g = spark.range(41).select(F.col("id").alias("i"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(20).cast("long"))).alias("j"))
-    return g.select("i", "j", F.round(100 + F.col("i") * (1.0 / 40), 9).alias("x"), F.round(20 + F.col("j") * (0.5 / 20), 9).alias("y"))
+    """A grid over each supplier's extent: evenly spaced points, both ends included."""
+    k, steps = F.col("s_suppkey"), lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n).cast("long")))
+    g = table(spark, sf, "supplier").select(k, (100 + k % 7).alias("x0"), (20 + k % 5).alias("y0"), (1.0 + F.col("s_nationkey")).alias("w")).withColumn("i", steps(4)).withColumn("j", steps(2))
+    return g.select(k.alias("id"), "i", "j", F.round(F.col("x0") + F.col("i") * (F.col("w") / 4), 9).alias("x"), F.round(F.col("y0") + F.col("j") * (0.5 / 2), 9).alias("y"))
 
 
-@query("SELECT CAST(k AS INTEGER) AS tier, CAST(ceil(5000 / pow(2, k) / 256) AS BIGINT) AS columns, CAST(ceil(3000 / pow(2, k) / 256) AS BIGINT) AS rows FROM range(0, 6) t(k)")
+@query("SELECT p_partkey AS id, CAST(k AS INTEGER) AS tier, CAST(ceil((5000 + p_size * 100) / pow(2, k) / 256) AS BIGINT) AS columns, CAST(ceil((3000 + p_partkey % 500) / pow(2, k) / 256) AS BIGINT) AS rows FROM part, range(0, 6) t(k)")
 def zoom_tiers(spark: SparkSession, sf: str) -> DataFrame:
-    """Tiles of each tier of an image that is halved until it fits one tile."""
-    t = spark.range(6).select(F.col("id").cast("int").alias("tier"))
+    """Tiles of each tier of images, one for each part, that are halved until they fit one tile."""
+    t = table(spark, sf, "part").withColumn("tier", F.explode(F.sequence(F.lit(0), F.lit(5))))
     many = lambda n: F.ceil(n / F.pow(F.lit(2.0), "tier") / 256)
-    return t.select("tier", many(F.lit(5000)).alias("columns"), many(F.lit(3000)).alias("rows"))
+    return t.select(F.col("p_partkey").alias("id"), "tier", many(5000 + F.col("p_size") * 100).alias("columns"), many(3000 + F.col("p_partkey") % 500).alias("rows"))
 
 
 @query("SELECT c_custkey, 'seg' AS key, lower(c_mktsegment) AS value, CAST(list_position(['AUTOMOBILE', 'BUILDING', 'FURNITURE', 'HOUSEHOLD', 'MACHINERY'], c_mktsegment) AS BIGINT) AS place FROM customer")

@@ -77,9 +77,11 @@ def decision_rule(spark: SparkSession, sf: str) -> DataFrame:
     return pixels(spark, sf).select("row", "col", S.decision_rule(F.col("green"), F.col("red"), F.col("re3") * 2).alias("cls"))
 
 
-@query("SELECT CAST(v AS BIGINT) AS v, CASE WHEN v = 0 THEN 0 WHEN v & 6 = 0 THEN 3 ELSE 2 END AS code FROM range(-128, 128) t(v)")
+@query("SELECT p_partkey AS id, v, CASE WHEN v = 0 THEN 0 WHEN v & 6 = 0 THEN 3 ELSE 2 END AS code FROM (SELECT p_partkey, CAST(p_partkey % 256 - 128 AS BIGINT) AS v FROM part)")
 def cldmask_bits(spark: SparkSession, sf: str) -> DataFrame:
-    return spark.range(-128, 128).select(F.col("id").alias("v"), S.cloud_code(F.col("id")).alias("code"))
+    """Cloud codes out of signed bytes."""
+    p = table(spark, sf, "part").select(F.col("p_partkey").alias("id"), (F.col("p_partkey") % 256 - 128).alias("v"))
+    return p.select("id", "v", S.cloud_code(F.col("v")).alias("code"))
 
 
 @query("SELECT round(coalesce(avg(CASE WHEN value >= 5 THEN value * 1000 END) * 0.001, 0.6), 6) AS aod, event_type FROM events GROUP BY event_type")

@@ -7,6 +7,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 
 #: Columns of a decision tree's node table: inner nodes have a feature and a threshold, leaves a label.
@@ -92,14 +93,27 @@ def spectra(spark: SparkSession, path: str) -> DataFrame:
     return df.dropna().groupBy("wavelength").agg(F.avg("value").alias("value"))
 
 
-def paste(tables: Sequence[DataFrame], key: str) -> DataFrame:
-    """Tables side by side by a key."""
-    out = tables[0]
-    for t in tables[1:]:
-        out = out.join(t, key, "full")
+def paste(spark: SparkSession, paths: Sequence[str]) -> DataFrame:
+    """Tables of CSV lines side by side by the numbers of their rows: columns ``t0_c0``, ``t0_c1``, ..., ``t1_c0``, ...; texts.
+
+    The number of a row is its file's place and its own in the file, so no task counts a whole table; shorter ones are filled up with nulls.
+    """
+    out = None
+    for k, path in enumerate(paths):
+        lines = spark.read.text(path).select(F.col("value"), F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_start"), F.monotonically_increasing_id().alias("_id"))
+        lines = lines.withColumns({"_part": F.shiftright("_id", 33), "_at": F.col("_id").bitwiseAND((1 << 33) - 1)})
+        parts = lines.groupBy("_part").agg(F.count("*").alias("_n"), F.min(F.struct("_file", "_start")).alias("_order"))
+        before = parts.withColumn("_before", F.coalesce(F.sum("_n").over(Window.orderBy("_order").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).select("_part", "_before")  # a row a task
+        one = lines.join(F.broadcast(before), "_part").select((F.col("_before") + F.col("_at")).alias("row"), F.from_csv("value", ", ".join(f"t{k}_c{c} string" for c in range(_width(spark, path)))).alias("_r")).select("row", "_r.*")
+        out = one if out is None else out.join(one, "row", "full")
     return out
 
 
+def _width(spark: SparkSession, path: str) -> int:
+    """Columns of the first line."""
+    return len(spark.read.csv(path).columns)
+
+
 def geojson_points(documents: DataFrame, value: str = "value") -> DataFrame:
     """(x, y, properties) of the point features of FeatureCollection documents."""
     feature = "struct<geometry:struct<type:string,coordinates:array<double>>,properties:map<string,string>>"

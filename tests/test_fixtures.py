@@ -105,6 +105,17 @@ def test_julia_checksum_of_a_row(spark):
     assert abs(got - want) <= 5  # rounding of the first coordinates may differ
 
 
+def test_julia_checksum_of_the_grid(spark):
+    """The known sum of the grid of 1000 by 1000, its coordinates added up step by step."""
+    from itertools import accumulate, repeat
+
+    xs, ys = ([c for c in accumulate(repeat(step, 1000), initial=first) if abs(c) <= 1.8 + 1e-9 and ((c < 1.8) if step > 0 else (c > -1.8))] for first, step in ((-1.8, 3.6 / 1000), (1.8, -3.6 / 1000)))
+    rows = spark.createDataFrame([(y,) for y in ys], "y double").repartition(16)
+    grid = rows.select("y", F.explode(F.array(*map(F.lit, xs))).alias("x"))
+    got = scalar.with_julia_steps(grid, "x", "y", -0.62772, -0.42193, 300).agg(F.sum("steps"), F.count("*")).first()
+    assert tuple(got) == (33219980, 1_000_000)
+
+
 def test_upsert_first_match_and_pivot(spark):
     stored, fresh = spark.createDataFrame([(1, 1, "a"), (2, 5, "b")], "k int, v int, x string"), spark.createDataFrame([(1, 2, "c"), (2, 4, "d"), (3, 1, "e")], "k int, v int, x string")
     assert sorted(tuple(r) for r in relational.upsert(stored, fresh, ["k"], "v").collect()) == [(1, 2, "c"), (2, 5, "b"), (3, 1, "e")]
