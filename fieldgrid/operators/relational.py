@@ -118,13 +118,24 @@ def within_distance(points: DataFrame, centres: DataFrame, reach: float, x: str
 def overlapping(boxes: DataFrame, other: DataFrame, cell: float) -> DataFrame:
     """Pairs of boxes (x0, y0, x1, y1) of two tables (second: ox0 ...) that overlap, and their common box.
 
-    Boxes meet in the grid cell that holds the lower left corner of their intersection, so each pair is found once.
+    A box's own cells are ``cell`` times a power of two wide, so that it meets a few of them however large it is; it is also in
+    the wider cells that occur. Two boxes meet in cells of the wider of their two widths, and there in the one that
+    holds the lower left corner of their intersection, so each pair is found once. The driver sees the widths' powers only.
     """
-    cells = lambda a, b: F.explode(F.sequence(F.floor(F.col(a) / cell), F.floor(F.col(b) / cell)))
-    a = boxes.withColumn("_cx", cells("x0", "x1")).withColumn("_cy", cells("y0", "y1"))
-    b = other.withColumn("_cx", cells("ox0", "ox1")).withColumn("_cy", cells("oy0", "oy1"))
+    level = lambda x0, y0, x1, y1: F.greatest(F.lit(0), F.ceil(F.log2(F.greatest(F.col(x1) - F.col(x0), F.col(y1) - F.col(y0), F.lit(cell)) / (cell * SPAN)))).cast("int")
+    own = {"_own": ("x0", "y0", "x1", "y1"), "_oown": ("ox0", "oy0", "ox1", "oy1")}
+    a, b = (df.withColumn(n, level(*own[n])) for df, n in ((boxes, "_own"), (other, "_oown")))
+    levels = sorted({r[0] for df, n in ((a, "_own"), (b, "_oown")) for r in df.select(n).distinct().collect() if r[0] is not None})
+    width = cell * F.pow(F.lit(2.0), F.col("_level"))
+    cells = lambda u, v: F.explode(F.sequence(F.floor(F.col(u) / width), F.floor(F.col(v) / width)))
+
+    def dealt(df: DataFrame, n: str) -> DataFrame:
+        x0, y0, x1, y1 = own[n]
+        wider = F.filter(F.array(*map(F.lit, levels)).cast("array<int>"), lambda k: k >= F.col(n))
+        return df.withColumn("_level", F.explode(wider)).withColumn("_cx", cells(x0, x1)).withColumn("_cy", cells(y0, y1))
+
     left, low = F.greatest("x0", "ox0"), F.greatest("y0", "oy0")
     meets = (F.col("x0") < F.col("ox1")) & (F.col("ox0") < F.col("x1")) & (F.col("y0") < F.col("oy1")) & (F.col("oy0") < F.col("y1"))
-    once = (F.floor(left / cell) == F.col("_cx")) & (F.floor(low / cell) == F.col("_cy"))
+    once = (F.col("_level") == F.greatest("_own", "_oown")) & (F.floor(left / width) == F.col("_cx")) & (F.floor(low / width) == F.col("_cy"))
     common = {"ix0": left, "iy0": low, "ix1": F.least("x1", "ox1"), "iy1": F.least("y1", "oy1")}
-    return a.join(b, ["_cx", "_cy"]).where(meets & once).withColumns(common).drop("_cx", "_cy")
+    return dealt(a, "_own").join(dealt(b, "_oown"), ["_level", "_cx", "_cy"]).where(meets & once).withColumns(common).drop("_level", "_cx", "_cy", "_own", "_oown")

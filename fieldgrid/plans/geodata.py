@@ -97,10 +97,14 @@ def idw(spark: SparkSession, sf: str) -> DataFrame:
     return G.idw(cells, stations, ["row", "col"], 5, 2.0).withColumn("value", F.round("value", 2))
 
 
-@query()
+@query(f"""WITH {PIXELS_SQL}, c AS (SELECT zone, CAST(row AS DOUBLE) AS y, CAST(min(col) AS DOUBLE) AS x FROM px GROUP BY zone, row UNION SELECT zone, row, max(col) FROM px GROUP BY zone, row),
+  e AS (SELECT p.zone, p.x, p.y, q.x AS x2, q.y AS y2 FROM c p JOIN c q ON p.zone = q.zone AND (p.x <> q.x OR p.y <> q.y)),
+  h AS (SELECT * FROM e WHERE NOT EXISTS (SELECT 1 FROM c o WHERE o.zone = e.zone AND ((x2 - e.x) * (o.y - e.y) < (y2 - e.y) * (o.x - e.x)
+    OR (x2 - e.x) * (o.y - e.y) = (y2 - e.y) * (o.x - e.x) AND (o.x - e.x) * (o.x - x2) + (o.y - e.y) * (o.y - y2) > 0)))
+SELECT zone, CAST(count(*) + 1 AS INTEGER) AS corners, round(sum(x * y2 - x2 * y) / 2, 3) AS area FROM h GROUP BY zone""")
 def convex_hull(spark: SparkSession, sf: str) -> DataFrame:
-    """Hulls of the pixels of each zone and value band."""
-    p = pixels(spark, sf).where("v > 30").select("zone", F.col("col").cast("double").alias("x"), F.col("row").cast("double").alias("y"))
+    """Hulls of the pixels of each zone."""
+    p = pixels(spark, sf).select("zone", F.col("col").cast("double").alias("x"), F.col("row").cast("double").alias("y"))
     return G.convex_hulls(p, "zone").select("zone", F.size("xs").alias("corners"), F.round("area", 3).alias("area"))
 
 
@@ -115,9 +119,9 @@ def polygon_clip(spark: SparkSession, sf: str) -> DataFrame:
     return G.clip_convex(df).select("id", F.round("clipped_area", 6).alias("clipped_area"))
 
 
-@query(f"WITH {PIXELS_SQL} SELECT zone, CAST(min(col) AS BIGINT) AS x0, CAST(max(col) AS BIGINT) AS x1, CAST(min(row) AS BIGINT) AS y0, CAST(max(row) AS BIGINT) AS y1 FROM px WHERE v > 40 GROUP BY zone")
+@query(f"WITH {PIXELS_SQL} SELECT zone, CAST(min(col) AS BIGINT) AS x0, CAST(max(col) AS BIGINT) AS x1, CAST(min(row) AS BIGINT) AS y0, CAST(max(row) AS BIGINT) AS y1 FROM px GROUP BY zone")
 def zone_extent(spark: SparkSession, sf: str) -> DataFrame:
-    return G.extent(pixels(spark, sf).where("v > 40"), ["zone"], "col", "row").select("zone", "x0", "x1", "y0", "y1")
+    return G.extent(pixels(spark, sf), ["zone"], "col", "row").select("zone", "x0", "x1", "y0", "y1")
 
 
 @query("""WITH p AS (SELECT p_partkey AS id, radians(40 + p_partkey % 20 * 0.5::DOUBLE) AS phi, (0.5 + p_partkey % 50 * 0.1::DOUBLE - 3) AS dl FROM part), k AS (SELECT *, 0.0066943799901413165::DOUBLE AS e FROM p),

@@ -74,7 +74,11 @@ def calinski_harabasz(spark: SparkSession, sf: str) -> DataFrame:
     return L.calinski_harabasz(table(spark, sf, "embeddings"), "label", "embedding").select(F.round("score", 6).alias("score"))
 
 
-@query()
+@query("""WITH RECURSIVE p AS (SELECT p_partkey // 50 AS row, p_partkey % 50 AS col, p_partkey AS id FROM part WHERE p_size > 25),
+  n AS (SELECT a.id, o.id AS other FROM p a JOIN p o ON o.id <> a.id AND abs(o.row - a.row) <= 1 AND abs(o.col - a.col) <= 1),
+  r(id, root) AS (SELECT id, id FROM p UNION SELECT n.other, r.root FROM r JOIN n ON n.id = r.id WHERE r.root < n.other),
+  g AS (SELECT count(*) AS size FROM (SELECT id, min(root) AS root FROM r GROUP BY id) GROUP BY root HAVING count(*) > 3)
+SELECT CAST(sum(CASE WHEN size > 30 THEN 2 ELSE 1 END) AS BIGINT) AS objects, min(size) AS least, max(size) AS most FROM g""")
 def region_counts(spark: SparkSession, sf: str) -> DataFrame:
     """Regions of more than a few pixels; the large ones count twice."""
     p = pixels(spark, sf).select("row", "col", F.when(F.col("v") > 25, 1).otherwise(0).alias("b"))
