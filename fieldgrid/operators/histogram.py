@@ -58,10 +58,19 @@ def otsu(df: DataFrame, value: str) -> DataFrame:
 def match(df: DataFrame, value: str, reference: DataFrame, reference_value: str) -> DataFrame:
     """(level, matched): for each level the reference level of the nearest cumulative share; ties: the smaller.
 
-    Only the two tables of levels meet (a table of levels is bounded by the depth of the data).
+    Levels of both tables are put in one order of shares, in which the reference's nearest are the last before and the first behind: no pairs are made.
     """
-    a, b = cdf(df, value).select("level", "share"), cdf(reference, reference_value).select(F.col("level").alias("r"), F.col("share").alias("s"))
-    return a.crossJoin(F.broadcast(b)).groupBy("level").agg(F.min(F.struct(F.round(F.abs(F.col("share") - F.col("s")), 12), "r"))["r"].alias("matched"))
+    none = lambda t: F.lit(None).cast(t)
+    kinds = dict(df.dtypes)[value], dict(reference.dtypes)[reference_value]
+    a = cdf(df, value).select(F.col("level").cast(kinds[0]).alias("level"), "share", none(kinds[1]).alias("r"))
+    b = cdf(reference, reference_value).select(none(kinds[0]).alias("level"), "share", F.col("level").cast(kinds[1]).alias("r"))
+    known = F.when(F.col("r").isNotNull(), F.struct("share", "r"))
+    order = Window.orderBy("share", F.col("r").isNull())
+    before = F.last(known, ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, 0))
+    behind = F.first(known, ignorenulls=True).over(order.rowsBetween(0, Window.unboundedFollowing))
+    both = a.unionByName(b).select("level", "share", F.array_compact(F.array(before, behind)).alias("near")).where(F.col("level").isNotNull())
+    nearest = F.array_min(F.transform("near", lambda x: F.struct(F.round(F.abs(F.col("share") - x["share"]), 12).alias("d"), x["r"].alias("r"))))
+    return both.select("level", nearest["r"].alias("matched"))
 
 
 def std_stretch(df: DataFrame, value: str, out: str, sigmas: float = 2) -> DataFrame:

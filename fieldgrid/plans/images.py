@@ -42,7 +42,7 @@ def pct_clip(spark: SparkSession, sf: str) -> DataFrame:
 def linear_stretch2(spark: SparkSession, sf: str) -> DataFrame:
     """Two-percent stretch to 1..255; the value of the first pixel is the background."""
     p = pixels(spark, sf)
-    first = p.where("row = 0 AND col = 0").select(F.col("v").alias("bg"))
+    first = p.where("row = 0 AND col = 0").agg(F.max("v").alias("bg"))  # one row, null without that pixel
     out = F.when(F.col("v") == F.col("bg"), 0).otherwise(F.floor(H.linear_stretch(F.col("v"), F.col("low"), F.col("high"))))
     return p.crossJoin(F.broadcast(H.clip_points(p, "v", 2))).crossJoin(F.broadcast(first)).select("row", "col", out.cast("long").alias("out"))
 
