@@ -116,7 +116,7 @@ def nearest_stations(spark: SparkSession, sf: str) -> DataFrame:
     """The three nearest stations of each cell."""
     c, s = table(spark, sf, "customer").select("c_custkey", "c_acctbal"), table(spark, sf, "supplier").select("s_suppkey", "s_acctbal")
     apart = F.abs(F.col("c_acctbal") - F.col("s_acctbal"))
-    near = N.nearest(c, s, ["c_custkey"], [F.col("c_acctbal")], [F.col("s_acctbal")], apart, "s_suppkey", 3)
+    near = N.nearest(c, s, ["c_custkey"], [F.col("c_acctbal")], [F.col("s_acctbal")], apart, "s_suppkey", 3, decimals=None)
     return near.select(F.col("s_suppkey").alias("station"), F.col("c_custkey").alias("cell"), F.col("r").cast("long").alias("r"))
 
 

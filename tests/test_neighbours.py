@@ -77,3 +77,10 @@ def test_no_place_and_no_rows(spark):
     ask = lambda p, q: sorted((r.c, r.s, r.r) for r in neighbours.nearest(p, q, ["c"], [F.col("x"), F.col("y")], [F.col("u"), F.col("v")], F.abs(F.col("x") - F.col("u")), "s", 2).collect())
     assert ask(a, b) == [(0, 0, 1), (0, 1, 2)]
     assert ask(a.limit(0), b) == [] and ask(a, b.limit(0)) == []
+
+
+def test_distances_as_they_are(spark):
+    """Stations that only digits beyond the sixth tell apart: not a tie, unless asked for."""
+    a, b = frames(spark, [(0, 0)], [(1 + 1e-9, 0), (1, 0), (1 + 2e-9, 0)])
+    ask = lambda **how: [r.s for r in neighbours.nearest(a, b, ["c"], [F.col("x")], [F.col("u")], F.abs(F.col("x") - F.col("u")), "s", 3, **how).orderBy("r").collect()]
+    assert ask(decimals=None) == [1, 0, 2] and ask() == [0, 1, 2]
