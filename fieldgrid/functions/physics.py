@@ -129,21 +129,22 @@ BREAKPOINTS = {
 }
 
 
-def _piecewise(x: Column, xs: list[int], ys: list[int]) -> Column:
-    out = F.when(x <= xs[0], F.lit(float(ys[0])))
-    for x0, x1, y0, y1 in zip(xs, xs[1:], ys, ys[1:], strict=False):
-        out = out.when(x <= x1, (y1 - y0) / (x1 - x0) * (x - x0) + y0)
-    return F.when(x >= 0, out.otherwise(F.lit(float(ys[-1]))))
+def _piecewise(x: Column, xs: list[int], ys: list[int], capped: bool = True) -> Column:
+    lines = [((y1 - y0) / (x1 - x0) * (x - x0) + y0, x1) for x0, x1, y0, y1 in zip(xs, xs[1:], ys, ys[1:], strict=False)]
+    out = F.when(x <= xs[0], F.lit(float(ys[0])) if capped else lines[0][0])
+    for y, x1 in lines:
+        out = out.when(x <= x1, y)
+    return F.when(x >= 0, out.otherwise(F.lit(float(ys[-1])))) if capped else out.otherwise(lines[-1][0])
 
 
-def iaqi(pollutant: str, value: Column) -> Column:
-    """Index of one pollutant: piecewise linear, 500 at most, null below zero."""
-    return _piecewise(value, BREAKPOINTS[pollutant], IAQI_LEVELS)
+def iaqi(pollutant: str, value: Column, capped: bool = True) -> Column:
+    """Index of one pollutant: piecewise linear, 500 at most, null below zero; not ``capped``: the first and last lines go on."""
+    return _piecewise(value, BREAKPOINTS[pollutant], IAQI_LEVELS, capped)
 
 
-def concentration(pollutant: str, index: Column) -> Column:
-    """The concentration at which a pollutant has an index: the inverse of ``iaqi``."""
-    return _piecewise(index, IAQI_LEVELS, BREAKPOINTS[pollutant])
+def concentration(pollutant: str, index: Column, capped: bool = True) -> Column:
+    """The concentration at which a pollutant has an index: the inverse of ``iaqi``. Of a capped index 500 may be any from the last breakpoint on."""
+    return _piecewise(index, IAQI_LEVELS, BREAKPOINTS[pollutant], capped)
 
 
 def aqi(values: dict[str, Column]) -> tuple[Column, Column, Column]:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from fieldgrid.functions import physics, scalar
 from fieldgrid.operators import geometry, learning, raster, regions, relational, timeseries, zonal
+from fieldgrid.plans.physics import iaqi_inverse
 from fieldgrid.sources import files, web
 from fieldgrid.streaming import observations
 
@@ -82,6 +83,12 @@ def test_air_quality(spark):
     assert tuple(spark.range(1).select(top, main, level).first()) == (50.0, "pm2_5,pm10", 1)
 
 
+def test_concentrations_beyond_the_last_breakpoint(spark, tmp_path):
+    values = [0.0, 55.25, 599.99, 600.01, 1234.5, -3.25, None]
+    spark.createDataFrame(list(enumerate(values)), "event_id long, value double").write.parquet(str(tmp_path / "events.parquet"))
+    assert dict(map(tuple, iaqi_inverse(spark, str(tmp_path)).collect())) == dict(enumerate(values))
+
+
 def test_geometry(spark):
     square = [10.0, 20.0, 20.0, 10.0, 10.0], [10.0, 10.0, 20.0, 20.0, 10.0]
     df = spark.createDataFrame([square], "xs array<double>, ys array<double>")
