@@ -39,9 +39,10 @@ class StateRuns(StatefulProcessor):
     """Runs of one state of each key, in event time.
 
     Rows wait in the state until the watermark has passed them, as rows of later batches may still come before; then they
-    join runs in order of time. A run is emitted when a later row has another state. A timer at a run's last row plus
-    ``idle`` closes the run when the watermark passes it, and with it the key's state ends. Rows behind the watermark are
-    late and left out.
+    join runs in order of time. A run is emitted when a later row has another state. A key has one timer to wait for, at
+    its earliest waiting row or, if that comes first, at its run's last row plus ``idle``: it takes all rows that the
+    watermark has passed at once, closes the run if it has passed that, and is then set anew, until the key's state ends.
+    Rows behind the watermark are late and left out.
     """
 
     def __init__(self, idle: float) -> None:
@@ -51,6 +52,13 @@ class StateRuns(StatefulProcessor):
         self.handle = handle
         self.run = handle.getValueState("run", "state string, start long, last long, n long")
         self.waiting = handle.getListState("waiting", "ms long, event_id long, state string")
+        self.due = handle.getValueState("due", "ms long")
+
+    def _wake(self, ms: int) -> None:
+        """A timer at a time, unless an earlier one is set."""
+        if not self.due.exists() or ms < self.due.get()[0]:
+            self.handle.registerTimer(ms)
+            self.due.update((ms,))
 
     def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: TimerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
         passed = timerValues.getCurrentWatermarkInMs()
@@ -60,8 +68,7 @@ class StateRuns(StatefulProcessor):
             came += [(ms, i, s) for ms, i, s in zip(batch["ms"].tolist(), ids, batch["event_type"].tolist(), strict=True) if ms >= passed]
         if came:
             self.waiting.appendList(came)
-            for ms in {ms for ms, _, _ in came}:
-                self.handle.registerTimer(ms + 1)
+            self._wake(min(ms for ms, _, _ in came) + 1)
         yield from ()
 
     def handleExpiredTimer(self, key: tuple, timerValues: TimerValues, expiredTimerInfo: ExpiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
@@ -78,12 +85,17 @@ class StateRuns(StatefulProcessor):
         if due:
             later = [w for w in waiting if w[0] >= at]
             self.waiting.put(later) if later else self.waiting.clear()
-            self.handle.registerTimer(now[2] + self.idle + 1)
+        else:
+            later = waiting
         if now and now[2] + self.idle < at:
             out.append(now)
             now = None
         self.run.update(tuple(now)) if now else self.run.clear()
-        yield pd.DataFrame([(key[0], state, start // 1000, last // 1000, n) for state, start, last, n in out], columns=["user_id", "state", "start", "last", "n"])
+        self.due.clear()
+        if now or later:
+            self._wake(min([w[0] + 1 for w in later] + ([now[2] + self.idle + 1] if now else [])))
+        if out:
+            yield pd.DataFrame([(key[0], state, start // 1000, last // 1000, n) for state, start, last, n in out], columns=["user_id", "state", "start", "last", "n"])
 
     def close(self) -> None:
         pass

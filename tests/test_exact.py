@@ -233,3 +233,42 @@ def test_state_runs_in_event_time(spark, tmp_path):
         O.run_available(O.state_runs(O.observations(spark, source, "event_id long, user_id long, event_type string, ts timestamp"), idle=6 * h), out, check)
     got = sorted((r.user_id, r.state, r.start, r.last, r.n) for r in spark.read.parquet(out).collect())
     assert got == [(7, "a", 10, 20, 2), (7, "b", 30, 30, 1), (7, "b", 10 * h, 10 * h + 5, 2), (7, "c", 10 * h - 50, 10 * h - 50, 2), (8, "x", 5, 5, 1), (9, "q", 40 * h, 40 * h, 1)]
+
+
+def test_state_runs_set_one_timer_a_key():
+    """Rows in and out of order: a key has a timer at its earliest row, and none for each row."""
+    import pandas as pd
+
+    class State:
+        value = None
+
+        exists = lambda self: self.value is not None
+        get = lambda self: self.value
+        clear = lambda self: self.update(None)
+        put = lambda self, v: self.update(v)
+        appendList = lambda self, v: self.update([*(self.value or []), *v])  # noqa: E731, N815
+
+        def update(self, value):
+            self.value = value
+
+    class Handle:
+        timers: list = []
+
+        getValueState = getListState = lambda self, *_: State()  # noqa: E731, N815
+        registerTimer = lambda self, ms: self.timers.append(ms)  # noqa: E731, N815
+
+    class At:
+        def __init__(self, ms):
+            self.ms = ms
+
+        def getCurrentWatermarkInMs(self):  # noqa: N802
+            return self.ms
+
+    runs, rows = O.StateRuns(10.0), pd.DataFrame({"ms": range(1000, 2000), "event_id": range(1000), "event_type": ["a"] * 500 + ["b"] * 500})
+    runs.init(Handle())
+    list(runs.handleInputRows((1,), iter([rows[500:], rows[:500]]), At(0)))
+    assert runs.handle.timers == [1001]
+    out = [tuple(r) for f in runs.handleExpiredTimer((1,), At(1900), None) for r in f.itertuples(index=False)]
+    assert out == [(1, "a", 1, 1, 500)] and runs.handle.timers == [1001, 1901]
+    out = [tuple(r) for f in runs.handleExpiredTimer((1,), At(20_000), None) for r in f.itertuples(index=False)]
+    assert out == [(1, "b", 1, 1, 500)] and runs.handle.timers == [1001, 1901] and not runs.due.exists()
