@@ -2,8 +2,10 @@
 
 Each row keeps its node in every tree and, in a forest, a Poisson weight of each tree from a hash of the row. A level of all
 trees is one round: weights are counted by tree, node, feature, value and label; running counts over the values, in two steps (parts of a
-feature's range, then values in a part, so no task orders all values of a node), give every split's score. Nodes of few
-rows are finished in one job at the end, a group of bounded size each. The driver holds the trees only.
+feature's range, then values in a part, so no task orders all values of a node), give every split's score. Rows of a node
+that agree in a tree's features and the label count as one of their summed weight; nodes of few such rows are finished in one
+job at the end, a group of bounded size each, as the levels of a tree that peels off a few rows at a time are many. The driver
+holds the trees only.
 
 A split sends values at or above its threshold to the right. Its score is the sum over both sides of squared counts of
 labels by size, in doubles that are exact for up to some 100 000 rows; ties: the first feature, then the smallest
@@ -25,8 +27,8 @@ from pyspark.sql.window import Window
 
 from .tables import written
 
-#: Rows of a node that is finished in one task.
-SMALL = 4096
+#: Different rows times labels of a node that is finished in one task.
+SMALL = 400_000
 #: Parts of a feature's range.
 RANGES = 1024
 #: Nodes of all trees that may be sent to every task.
@@ -80,6 +82,13 @@ def _by_tree(rows: DataFrame) -> DataFrame:
     return each.where((F.col("node") >= 0) & (F.col("_w") > 0))
 
 
+def _different(rows: DataFrame, nodes: DataFrame, chosen: list[list[int]]) -> DataFrame:
+    """(tree, node, _x, _y, _w) of rows in some nodes, alike ones as one: _x holds the tree's features only, _w sums weights."""
+    used = F.array(*(F.array(*map(F.lit, c)) for c in chosen))
+    mine = _by_tree(rows).join(F.broadcast(nodes), ["tree", "node"]).withColumn("_x", F.transform(F.get(used, F.col("tree")), lambda f: F.get("_x", f)))
+    return mine.groupBy("tree", "node", "_x", "_y").agg(F.sum("_w").alias("_w"))
+
+
 def _subtree(x: np.ndarray, y: np.ndarray, w: np.ndarray, chosen: Sequence[int], depth: int | None, least: int) -> list[tuple]:
     """(number, feature, threshold, left, right, label) of a node's subtree, the node being 0."""
     names, code = np.unique(y, return_inverse=True)
@@ -132,14 +141,14 @@ def grow(samples: DataFrame, features: Sequence[str], label: str, trees: int = 1
     open_ = {(k, 0) for k in range(trees)}
     while open_:
         here = spark.createDataFrame(sorted(open_), "tree int, node int")
-        votes = written(_by_tree(rows).join(F.broadcast(here), ["tree", "node"]).groupBy("tree", "node", "_y").agg(F.sum("_w").alias("n"), F.count("*").alias("rows")))
+        votes = written(_different(rows, here, chosen).groupBy("tree", "node", "_y").agg(F.sum("_w").alias("n"), F.count("*").alias("rows")))
         of_node = votes.groupBy("tree", "node").agg(F.sum("n").alias("n"), F.sum("rows").alias("rows"), F.sum(F.col("n") * F.col("n")).alias("squares"), F.count("*").alias("labels"), F.min(F.struct((-F.col("n")).alias("m"), F.col("_y").alias("y")))["y"].alias("top"))
         split = []
         for r in of_node.collect():  # a row for each node of the level that is large, or has just left one
             key = r["tree"], r["node"]
             if r["labels"] == 1 or r["n"] < least or level == depth:
                 forest[key[0]][key[1]] = (key[1], None, None, None, None, r["top"])
-            elif r["rows"] <= small:
+            elif r["rows"] * r["labels"] <= small:
                 finish.add((*key, level))
             else:
                 split.append((*key, r["n"], r["squares"], r["top"]))
@@ -158,16 +167,17 @@ def grow(samples: DataFrame, features: Sequence[str], label: str, trees: int = 1
             rows = written(rows.withColumn("_at", _descended(spark, rows, [[forest[k][n] for k2, n in best if k2 == k] for k in range(trees)], features)))
         level += 1
     if finish:
-        small_ones = spark.createDataFrame([(k, n, lv) for k, n, lv in sorted(finish)], "tree int, node int, level int")
+        small_ones = spark.createDataFrame([(k, n) for k, n, _ in sorted(finish)], "tree int, node int")
+        levels = {(k, n): lv for k, n, lv in finish}
         kind = rows.schema["_y"].dataType.simpleString()
 
         def done(pdf: pd.DataFrame) -> pd.DataFrame:
             one = pdf.iloc[0]
-            k = int(one["tree"])
-            found = _subtree(np.stack(pdf["_x"].to_numpy()), pdf["_y"].to_numpy(), pdf["_w"].to_numpy(), chosen[k], None if depth is None else depth - int(one["level"]), least)
-            return pd.DataFrame([(k, int(one["node"]), *n) for n in found], columns=["tree", "root", "number", "f", "v", "lo", "hi", "y"]).astype({"f": "Int64", "lo": "Int64", "hi": "Int64"})
+            k, root = int(one["tree"]), int(one["node"])
+            found = _subtree(np.stack(pdf["_x"].to_numpy()), pdf["_y"].to_numpy(), pdf["_w"].to_numpy(), range(len(chosen[k])), None if depth is None else depth - levels[k, root], least)
+            return pd.DataFrame([(k, root, n, None if f is None else chosen[k][f], *rest) for n, f, *rest in found], columns=["tree", "root", "number", "f", "v", "lo", "hi", "y"]).astype({"f": "Int64", "lo": "Int64", "hi": "Int64"})
 
-        grouped = _by_tree(rows).join(F.broadcast(small_ones), ["tree", "node"]).groupBy("tree", "node").applyInPandas(done, f"tree int, root int, number int, f int, v double, lo int, hi int, y {kind}")
+        grouped = _different(rows, small_ones, chosen).groupBy("tree", "node").applyInPandas(done, f"tree int, root int, number int, f int, v double, lo int, hi int, y {kind}")
         parts: dict[tuple[int, int], list] = {}
         for r in grouped.collect():  # the nodes of the trees
             parts.setdefault((r["tree"], r["root"]), []).append(r)
@@ -181,27 +191,32 @@ def grow(samples: DataFrame, features: Sequence[str], label: str, trees: int = 1
     return [[tree[n] for n in sorted(tree)] for tree in forest]
 
 
-def _as_table(spark, trees: Sequence[Sequence[Node]], features: Sequence[str], kind: str = "int") -> DataFrame:  # noqa: ANN001
-    """One row: trees as arrays by number of node. feature is -1 in leaves and where there is no node."""
+def _as_arrays(trees: Sequence[Sequence[Node]], features: Sequence[str], code: dict) -> list[tuple[np.ndarray, ...]]:
+    """Each tree as arrays by number of node: feature (-1 in leaves and where there is no node), threshold, left, right, label's code."""
     if sum(map(len, trees)) > MOST_NODES:
         raise ValueError(f"over {MOST_NODES} nodes")
     out, index = [], {f: k for k, f in enumerate(features)}
     for tree in trees:
-        size = max((n[0] for n in tree), default=-1) + 1
-        f, v, lo, hi, y = [-1] * size, [0.0] * size, [0] * size, [0] * size, [None] * size
+        size = max((n[0] for n in tree), default=0) + 1
+        f, v, lo, hi, y = np.full(size, -1, np.int32), np.zeros(size), np.zeros(size, np.int32), np.zeros(size, np.int32), np.full(size, -1, np.int32)
         for n, feature, threshold, left, right, label in tree:
             if feature is None:
-                y[n] = label
+                y[n] = code[label]
             else:
                 f[n], v[n], lo[n], hi[n] = index[feature], float(threshold), left, right
         out.append((f, v, lo, hi, y))
-    return spark.createDataFrame([(out,)], f"_trees array<struct<f:array<int>,v:array<double>,lo:array<int>,hi:array<int>,y:array<{kind}>>>")
+    return out
 
 
-def _step(x: Column, tree: Column, at: Column) -> Column:
-    """The node below ``at`` that a row with features ``x`` goes to; itself if it is no split."""
-    f = F.get(tree["f"], at)
-    return F.when(F.coalesce(f, F.lit(-1)) < 0, at).when(F.get(x, f) >= F.get(tree["v"], at), F.get(tree["hi"], at)).otherwise(F.get(tree["lo"], at))
+def _leaves(x: np.ndarray, tree: tuple[np.ndarray, ...]) -> np.ndarray:
+    """The code of the label that a tree gives each row of ``x``."""
+    f, v, lo, hi, y = tree
+    at, going = np.zeros(len(x), np.int32), np.arange(len(x))
+    while len(going := going[f[at[going]] >= 0]):
+        node = at[going]
+        value = x[going, f[node]]
+        at[going] = np.where((value >= v[node]) | np.isnan(value), hi[node], lo[node])
+    return y[at]
 
 
 def _descended(spark, rows: DataFrame, splits: list[list[Node]], features: Sequence[str]) -> Column:  # noqa: ANN001
@@ -219,27 +234,22 @@ def _descended(spark, rows: DataFrame, splits: list[list[Node]], features: Seque
 def predict(df: DataFrame, trees: Sequence[Sequence[Node]], out: str = "predicted") -> DataFrame:
     """``df`` with what most trees say; ties: the smallest label. A null feature goes left. No shuffle.
 
-    Trees are one broadcast row of arrays, of a checked number of nodes; a row walks down each tree in them.
+    Trees are sent to each executor once, as arrays of a checked number of nodes; rows walk down them a batch at a time.
     """
-    features = sorted({n[1] for t in trees for n in t if n[1] is not None}) or [df.columns[0]]
-    labels = [n[5] for t in trees for n in t if n[1] is None]
+    features = sorted({n[1] for t in trees for n in t if n[1] is not None})
+    labels = sorted({n[5] for t in trees for n in t if n[1] is None})
     kind = "string" if labels and isinstance(labels[0], str) else "int"
-
-    def depth(tree: Sequence[Node]) -> int:
-        by, deepest, todo = {n[0]: n for n in tree}, 0, [(0, 0)]
-        while todo:
-            n, d = todo.pop()
-            deepest = max(deepest, d)
-            if by[n][1] is not None:
-                todo += [(by[n][3], d + 1), (by[n][4], d + 1)]
-        return deepest
-
-    steps = max(map(depth, trees), default=0)
-    has_features = any(n[1] is not None for t in trees for n in t)
-    x = F.array(*(F.col(f).cast("double") for f in features)) if has_features else F.array(F.lit(0.0))
-    table = F.broadcast(_as_table(df.sparkSession, trees, features, kind))  # one row
-    walked = df.withColumn("_x", x).crossJoin(table)
-    leaf = lambda t: F.aggregate(F.sequence(F.lit(1), F.lit(max(1, steps))), F.lit(0), lambda at, _: _step(F.col("_x"), t, at))
-    walked = walked.withColumn("_votes", F.transform("_trees", lambda t: F.get(t["y"], leaf(t)))).drop("_trees", "_x")
-    counted = F.transform(F.array_distinct("_votes"), lambda y: F.struct((-F.size(F.filter("_votes", lambda v: v == y))).alias("n"), y.alias("y")))
-    return walked.withColumn(out, F.array_min(counted)["y"]).drop("_votes")
+    sent = df.sparkSession.sparkContext.broadcast(_as_arrays(trees, features, {y: k for k, y in enumerate(labels)}))
+
+    def vote(*columns: pd.Series) -> pd.Series:
+        x = np.column_stack([c.to_numpy(float) for c in columns])
+        said = np.column_stack([_leaves(x, tree) for tree in sent.value])
+        best, most = np.full(len(x), -1), np.zeros(len(x), int)
+        for own in said.T:
+            n = (said == own[:, None]).sum(1)
+            better = (own >= 0) & ((n > most) | ((n == most) & (own < best)))
+            best, most = np.where(better, own, best), np.where(better, n, most)
+        return pd.Series([labels[k] if k >= 0 else None for k in best.tolist()], dtype=object)
+
+    x = [F.coalesce(F.col(f).cast("double"), F.lit(float("-inf"))) for f in features] or [F.lit(0.0)]
+    return df.withColumn(out, F.pandas_udf(vote, kind)(*x) if trees else F.lit(None).cast(kind))

@@ -272,3 +272,14 @@ def test_state_runs_set_one_timer_a_key():
     assert out == [(1, "a", 1, 1, 500)] and runs.handle.timers == [1001, 1901]
     out = [tuple(r) for f in runs.handleExpiredTimer((1,), At(20_000), None) for r in f.itertuples(index=False)]
     assert out == [(1, "b", 1, 1, 500)] and runs.handle.timers == [1001, 1901] and not runs.due.exists()
+
+
+def test_a_tree_that_peels_off_few_rows_takes_few_rounds(spark, monkeypatch):
+    """Labels without pattern: alike rows count as one, and a node of few different ones is finished at once."""
+    df = spark.range(6000).select(F.col("id"), (F.col("id") * 37 % 1500).alias("a"), (F.col("id") * 53 % 900).alias("b"), (F.xxhash64("id") % 2).cast("int").alias("y"))
+    many, rounds = df.union(df).union(df), []
+    monkeypatch.setattr(forests, "written", lambda d, old=forests.written: rounds.append(1) or old(d))
+    (tree,), (same,) = forests.grow(many, ["a", "b"], "y"), forests.grow(df, ["a", "b"], "y")
+    assert len(rounds) == 4 and tree == same
+    known = {(r.a, r.b): set(r.y) for r in df.groupBy("a", "b").agg(F.collect_set("y").alias("y")).collect()}
+    assert all(len(known[r.a, r.b]) > 1 or r.p in known[r.a, r.b] for r in forests.predict(df, [tree], "p").collect())
