@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 
 #: Vectors of a block.
 BLOCK = 1024
+#: Vectors of a block where only the nearest are kept.
+NEAR_BLOCK = 4096
 
 
 def _dealt(left: DataFrame, right: DataFrame, group: str, row: str, vector: str, block: int) -> DataFrame:
@@ -43,19 +45,46 @@ def _distances(pdf: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, Iterator[tupl
     return l["id"].to_numpy(), r["id"].to_numpy(), parts()
 
 
-def two_nearest(left: DataFrame, right: DataFrame, row: str, vector: str, block: int = BLOCK) -> DataFrame:
+def _two_of(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row of x, row of y, distance to 9 places) of the two rows of ``y`` nearest to each row of ``x``, nearest first; ties: the first.
+
+    Products tell squared distances but for rounding; those that may be among the two least by this are measured as they are.
+    """
+    k, out = min(2, len(y)), []
+    with np.errstate(invalid="ignore", over="ignore"):
+        xx, yy = np.einsum("ij,ij->i", x, x), np.einsum("ij,ij->i", y, y)
+        error = 1e-12 * (xx + yy[np.isfinite(yy)].max(initial=0.0))  # far above what products of this size lose
+        for at in range(0, len(x), 256):
+            here = slice(at, at + 256)
+            square = xx[here, None] + yy - 2 * (x[here] @ y.T)
+            square[np.isnan(square)] = np.inf
+            least = np.partition(square, k - 1, axis=1)[:, k - 1]
+            most = (np.sqrt(np.maximum(least + error[here], 0)) + 2e-9) ** 2 + error[here]
+            i, j = np.nonzero(~(square > most[:, None]))
+            i += at
+            d = np.empty(len(i))
+            for a in range(0, len(i), 65536):
+                apart = x[i[a : a + 65536]] - y[j[a : a + 65536]]
+                d[a : a + 65536] = np.sqrt(np.einsum("ij,ij->i", apart, apart)).round(9)
+            order = np.lexsort((j, d, i))
+            i, j, d = i[order], j[order], d[order]
+            first = np.searchsorted(i, i)  # where a row's own begin
+            kept = np.arange(len(i)) - first < k
+            out.append((i[kept], j[kept], d[kept]))
+    return tuple(map(np.concatenate, zip(*out, strict=True)))
+
+
+def two_nearest(left: DataFrame, right: DataFrame, row: str, vector: str, block: int = NEAR_BLOCK) -> DataFrame:
     """(side, id, other, d, rank): of each vector the two nearest of the other side, rank 1 and 2; ties: the smaller id; d to 9 places."""
 
     def best(pdf: pd.DataFrame) -> pd.DataFrame:
-        lid, rid, parts = _distances(pdf)
-        if not len(lid) or not len(rid):
+        both = [pdf[pdf["side"] == s].sort_values("id") for s in "lr"]
+        if not all(map(len, both)):
             return pd.DataFrame({"side": [], "id": [], "other": [], "d": []})
-        whole = np.concatenate([d for _, d in parts]).round(9)
-        out = []
-        for side, ids, others, d in (("l", lid, rid, whole), ("r", rid, lid, whole.T)):
-            near = np.argsort(d, axis=1, kind="stable")[:, :2]
-            k = near.shape[1]
-            out.append(pd.DataFrame({"side": side, "id": np.repeat(ids, k), "other": others[near].ravel(), "d": np.take_along_axis(d, near, 1).ravel()}))
+        ids, vectors, out = [p["id"].to_numpy() for p in both], [np.stack(p["v"].to_numpy()) for p in both], []
+        for side, one, other in (("l", 0, 1), ("r", 1, 0)):
+            i, j, d = _two_of(vectors[one], vectors[other])
+            out.append(pd.DataFrame({"side": side, "id": ids[one][i], "other": ids[other][j], "d": d}))
         return pd.concat(out)
 
     one = lambda df: df.withColumn("_g", F.lit(0))

@@ -283,3 +283,22 @@ def test_a_tree_that_peels_off_few_rows_takes_few_rounds(spark, monkeypatch):
     assert len(rounds) == 4 and tree == same
     known = {(r.a, r.b): set(r.y) for r in df.groupBy("a", "b").agg(F.collect_set("y").alias("y")).collect()}
     assert all(len(known[r.a, r.b]) > 1 or r.p in known[r.a, r.b] for r in forests.predict(df, [tree], "p").collect())
+
+
+def test_two_nearest_measure_few_pairs():
+    """Copies, near copies and odd values against plain distances; far from all pairs' differences are held at once."""
+    import tracemalloc
+
+    rng = np.random.default_rng(3)
+    for x, y in ((rng.integers(0, 3, (300, 4)) + 0.0, rng.integers(0, 3, (200, 4)) + 0.0), (1e4 + 1e-6 * rng.random((90, 8)), 1e4 + 1e-6 * rng.random((70, 8))), (np.array([[1.0, np.nan], [np.inf, 0], [0, 0]]), np.array([[0.0, 1], [np.inf, 0], [2, 2]])), (np.zeros((2, 3)), np.ones((1, 3)))):
+        with np.errstate(invalid="ignore"):
+            d = np.sqrt(((x[:, None] - y) ** 2).sum(2)).round(9)
+        want = np.argsort(d, axis=1, kind="stable")[:, :2]
+        i, j, found = blocks._two_of(x, y)
+        assert i.tolist() == np.repeat(np.arange(len(x)), want.shape[1]).tolist() and j.tolist() == want.ravel().tolist()
+        assert np.array_equal(found, d[i, j], equal_nan=True)
+    x, y = rng.random((2048, 64)), rng.random((4096, 64))
+    tracemalloc.start()
+    blocks._two_of(x, y)
+    assert tracemalloc.get_traced_memory()[1] < 8 * len(x) * len(y)
+    tracemalloc.stop()
