@@ -27,8 +27,9 @@ from pyspark.sql.window import Window
 
 from .tables import written
 
-#: Different rows times labels of a node that is finished in one task.
-SMALL = 400_000
+#: Different rows of a node that is finished in one task, and these times its labels.
+SMALL = 200_000
+MOST_CELLS = 4_000_000
 #: Parts of a feature's range.
 RANGES = 1024
 #: Nodes of all trees that may be sent to every task.
@@ -148,7 +149,7 @@ def grow(samples: DataFrame, features: Sequence[str], label: str, trees: int = 1
             key = r["tree"], r["node"]
             if r["labels"] == 1 or r["n"] < least or level == depth:
                 forest[key[0]][key[1]] = (key[1], None, None, None, None, r["top"])
-            elif r["rows"] * r["labels"] <= small:
+            elif r["rows"] <= small and r["rows"] * r["labels"] <= MOST_CELLS:
                 finish.add((*key, level))
             else:
                 split.append((*key, r["n"], r["squares"], r["top"]))
