@@ -84,3 +84,26 @@ def test_distances_as_they_are(spark):
     a, b = frames(spark, [(0, 0)], [(1 + 1e-9, 0), (1, 0), (1 + 2e-9, 0)])
     ask = lambda **how: [r.s for r in neighbours.nearest(a, b, ["c"], [F.col("x")], [F.col("u")], F.abs(F.col("x") - F.col("u")), "s", 3, **how).orderBy("r").collect()]
     assert ask(decimals=None) == [1, 0, 2] and ask() == [0, 1, 2]
+
+
+@pytest.mark.parametrize("kind,met_at_most", [("lattice", 16_384), ("clusters", 60)])
+def test_groups_equal_brute_force(spark, monkeypatch, kind, met_at_most):
+    """Cells that descend as groups: many at one place, infinite ones, and groups that meet too many stations; a cell leaves its task with few pairs."""
+    for name, n in (("MANY", 0), ("GROUP", 16), ("MOST_MET", met_at_most)):
+        monkeypatch.setattr(neighbours, name, n)
+    rng, k = np.random.default_rng(9), 3
+    cells, stations = np.concatenate([CELLS(rng), np.full((50, 2), 7.0), rng.uniform(0, 1000, (60, 2))]), places(kind, 250, rng)
+    a, b = frames(spark, cells, stations)
+    a = a.unionByName(spark.createDataFrame([(-1, float("inf"), 0.0)], a.schema)).withColumn("note", F.when(F.col("c") % 2 == 0, F.lit("even")))
+    at = [F.col("x"), F.col("y")], [F.col("u"), F.col("v")]
+    d = F.sqrt(F.pow(F.col("x") - F.col("u"), 2) + F.pow(F.col("y") - F.col("v"), 2))
+    rows = neighbours.nearest(a, b, ["c"], *at, d, "s", k).collect()
+    got = {(r.c, r.r): r.s for r in rows}
+    want = {(-1, r): r - 1 for r in (1, 2, 3)}
+    for c, place in enumerate(cells):
+        apart = np.round(np.sqrt(((stations - place) ** 2).sum(1)), 6)
+        want |= {(c, r + 1): int(s) for r, s in enumerate(np.lexsort((np.arange(250), apart))[:k])}
+    assert got == want and all(r.note == (None if r.c % 2 else "even") for r in rows)
+    if kind == "lattice":
+        pairs = neighbours.met(a.where("c BETWEEN 182 AND 231"), b, ["c"], *at, "s", k)
+        assert pairs.groupBy("c").count().agg(F.max("count")).first()[0] <= 4 * k
