@@ -2,13 +2,19 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from .tables import written
 
+#: Links of a group whose rings are closed in one task, at most.
+SMALL = 512
 #: A pixel's sides in turn, clockwise on the screen: the neighbour beyond, and where the side starts and ends.
 _SIDES = [((-1, 0), (0, 0), (1, 0)), ((0, 1), (1, 0), (1, 1)), ((1, 0), (1, 1), (0, 1)), ((0, -1), (0, 1), (0, 0))]
 
@@ -35,8 +41,8 @@ def outlines(labelled: DataFrame, eight: bool = False) -> DataFrame:
     """(component, ring, i, x, y): corners of the rings around each component, in order of ``i``; outer rings have positive area.
 
     Coordinates are pixel corners, y downwards. Where four sides meet, regions of four neighbours keep to their pixel
-    and regions of eight cross to the diagonal one. Rings are found and ranked by pointer doubling: a number of joins
-    logarithmic in the longest ring, and no task holds a ring.
+    and regions of eight cross to the diagonal one. Rings are found and ranked by pointer doubling: in tasks for small regions,
+    else by a number of joins logarithmic in the longest ring, and no task holds a ring.
     """
     s = written(sides(labelled))
     after = s.select("component", F.col("x").alias("x2"), F.col("y").alias("y2"), F.col("id").alias("next"), F.col("dir").alias("next_dir"))
@@ -44,16 +50,42 @@ def outlines(labelled: DataFrame, eight: bool = False) -> DataFrame:
     first = F.min(F.struct((turn if eight else -turn).alias("turn"), "next", "next_dir")).alias("n")
     chain = written(s.join(after, ["component", "x2", "y2"]).groupBy("component", "id", "dir", "x2", "y2").agg(first).select("component", "id", "dir", "x2", "y2", "n.next", "n.next_dir"))
 
-    opened = chain.join(ranked(chain), "id")
+    opened = chain.join(ranked(chain, "component"), "id")
     corners = opened.where(F.col("dir") != F.col("next_dir"))
     return corners.select("component", "ring", (-F.col("left")).alias("i"), F.col("x2").alias("x"), F.col("y2").alias("y"))
 
 
-def ranked(chain: DataFrame) -> DataFrame:
-    """(id, ring, left) of the links (id, next) of closed rings: the least id of a link's ring, and the links to go until that.
+def ranked(chain: DataFrame, by: str) -> DataFrame:
+    """(id, ring, left) of the links (by, id, next) of closed rings: the least id of a link's ring, and the links to go until that.
 
-    Pointers are doubled: a number of joins logarithmic in the longest ring.
+    A ring lies in one group. Groups of few links are closed many at a time in a task, without a join; those of larger groups by joins.
     """
+    sized = written(chain.select(by, "id", "next").withColumn("_n", F.count("*").over(Window.partitionBy(by))))
+    small = sized.where(F.col("_n") <= SMALL).groupBy(by).agg(F.collect_list(F.struct("id", "next")).alias("links")).select("links")
+    closed = small.mapInArrow(_closed, "id long, ring long, left long")
+    large = sized.where(F.col("_n") > SMALL)
+    return closed if large.isEmpty() else closed.unionByName(_doubled(large))
+
+
+def _closed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Pointers of a batch's rings, doubled side by side."""
+    for batch in batches:
+        links = batch.column(0).flatten()
+        ids, after = (links.field(k).to_numpy() for k in range(2))
+        order = np.argsort(ids)
+        first = order[np.minimum(np.searchsorted(ids, after, sorter=order), len(ids) - 1)]
+        whole, ring, to = ids[first] == after, np.minimum(ids, after), first
+        for _ in range(SMALL.bit_length()):
+            whole, ring, to = whole & whole[to], np.minimum(ring, ring[to]), to[to]
+        closes = after == ring
+        left, to = np.where(closes, 0, 1), np.where(closes, np.arange(len(ids)), first)
+        for _ in range(SMALL.bit_length()):
+            left, to = left + left[to], to[to]
+        yield pa.RecordBatch.from_arrays([pa.array(c[whole]) for c in (ids, ring, left)], ["id", "ring", "left"])
+
+
+def _doubled(chain: DataFrame) -> DataFrame:
+    """``ranked`` by doubling pointers: a number of joins logarithmic in the longest ring."""
     at, before = chain.select("id", F.col("next").alias("to"), F.least("id", "next").alias("ring")), None
     while True:
         at = written(at)

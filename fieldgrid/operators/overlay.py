@@ -3,16 +3,19 @@
 Rings are dealt to square cells that their boxes meet. In a cell, sides are cut where they cross, where a corner lies on
 them, and at the cell's borders; cuts are snapped to a fine grid, alike in every cell that sees them. For each piece in
 the cell it is told which polygons lie on its two sides; pieces with the overlay on one side only are its boundary. A
-window around each corner gives the side that follows, and rings are closed over all cells by pointer doubling, so no
-task holds a ring of the result or all polygons of a group.
+window around each corner gives the side that follows, and rings are closed over all cells by pointer doubling (in tasks
+for groups of few sides), so no task holds a large ring of the result or all polygons of a large group. A task arranges
+many small cells at a time.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -28,102 +31,126 @@ KINDS: dict[str, Callable[[np.ndarray, np.ndarray], np.ndarray]] = {
     "difference": lambda a, b: a & ~b,
     "symmetric_difference": lambda a, b: a ^ b,
 }
-#: Pieces of a cell that are held against all sides at a time.
-_CHUNK = 256
-
-
-def _sides(rings: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Sides (x1, y1, x2, y2) of all rings, the smaller end first, the polygons' numbers, and each polygon's layer."""
-    code, names = pd.factorize(rings["id"])
-    layers = np.zeros(len(names), int)
-    layers[code] = rings["layer"].to_numpy()
-    parts, of = [], []
-    for c, xs, ys in zip(code, rings["xs"], rings["ys"], strict=True):
-        xs, ys = np.asarray(xs, float), np.asarray(ys, float)
-        parts.append(np.stack([xs[:-1], ys[:-1], xs[1:], ys[1:]], axis=1))
-        of.append(np.full(len(xs) - 1, c))
-    e, of = np.concatenate(parts), np.concatenate(of)
+#: Cells that a task arranges at a time, and pairs of their sides.
+_CELLS, _PAIRS = 256, 1 << 19
+
+
+def _pairs(of: np.ndarray, start: np.ndarray, stop: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Each of ``of`` with the places from its start to its stop, some of them at a time."""
+    n = stop - start
+    part = np.cumsum(n) // _PAIRS
+    for at in np.split(np.arange(len(of)), np.flatnonzero(np.diff(part)) + 1):
+        m = n[at]
+        within = np.arange(m.sum()) - np.repeat(np.cumsum(m) - m, m)
+        yield np.repeat(of[at], m), np.repeat(start[at], m) + within
+
+
+def _sides(rings: pa.Array, cell: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Sides (x1, y1, x2, y2) of all rings, the smaller end first, by cell and polygon; their cells, polygons and these's layers."""
+    ids, layer, xs, ys = (rings.field(k) for k in range(4))
+    code = pc.dictionary_encode(ids).indices.to_numpy().astype(np.int64)
+    _, polygon = np.unique(cell * (code.max(initial=0) + 1) + code, return_inverse=True)
+    layers = np.zeros(polygon.max(initial=-1) + 1, int)
+    layers[polygon] = layer.to_numpy()
+    ring = np.repeat(np.arange(len(rings)), pc.list_value_length(xs).to_numpy())
+    x, y = xs.flatten().to_numpy(), ys.flatten().to_numpy()
+    one = np.flatnonzero(ring[:-1] == ring[1:])
+    e = np.stack([x[one], y[one], x[one + 1], y[one + 1]], axis=1)
     swap = (e[:, 0] > e[:, 2]) | ((e[:, 0] == e[:, 2]) & (e[:, 1] > e[:, 3]))
     e[swap] = e[swap][:, [2, 3, 0, 1]]
-    some = (e[:, 0] != e[:, 2]) | (e[:, 1] != e[:, 3])
-    return e[some], of[some], layers
+    kept = np.flatnonzero((e[:, 0] != e[:, 2]) | (e[:, 1] != e[:, 3]))
+    kept = kept[np.argsort(polygon[ring[one[kept]]], kind="stable")]  # polygons are numbered by cell
+    at = ring[one[kept]]
+    return e[kept], cell[at], polygon[at], layers
 
 
-def _cuts(e: np.ndarray, box: tuple[float, float, float, float], snap: float) -> list[np.ndarray]:
-    """For each side, where it is cut, as shares of its length in order, from 0 to 1."""
+def _cuts(e: np.ndarray, of: np.ndarray, box: np.ndarray, snap: float) -> tuple[np.ndarray, np.ndarray]:
+    """Sides, in order, and where they are cut, as shares of their length in order, from 0 to 1. ``of``: cells, in order."""
     x, y, dx, dy = e[:, 0], e[:, 1], e[:, 2] - e[:, 0], e[:, 3] - e[:, 1]
     length = np.hypot(dx, dy)
-    out = []
-    corners = np.unique(np.concatenate([e[:, :2], e[:, 2:]]), axis=0)
-    for i in range(len(e)):
+    right, low, high = e[:, 2] + 4 * snap, np.minimum(y, e[:, 3]) - 4 * snap, np.maximum(y, e[:, 3]) + 4 * snap  # x is the least
+    padded = x - 4 * snap
+    every = np.arange(len(e))
+    sides, shares = [every, every], [np.zeros(len(e)), np.ones(len(e))]
+
+    def cut(i: np.ndarray, t: np.ndarray) -> None:
+        some = (t > 0) & (t < 1)
+        sides.append(i[some])
+        shares.append(t[some])
+
+    with np.errstate(divide="ignore", invalid="ignore"):
         # Crossings, by one formula whichever of the two sides asks.
-        cross = dx[i] * dy - dy[i] * dx
-        with np.errstate(divide="ignore", invalid="ignore"):
-            t = ((x - x[i]) * dy - (y - y[i]) * dx) / cross
-            u = ((x - x[i]) * dy[i] - (y - y[i]) * dx[i]) / cross
-            edge = lambda v: (t > -snap / length[i]) & (t < 1 + snap / length[i]) & (v > -snap / length) & (v < 1 + snap / length)  # noqa: B023, E731
-            found = [t[(np.abs(cross) > 1e-12 * length[i] * length) & edge(u)]]
-            # Corners on the side.
-            along = ((corners[:, 0] - x[i]) * dx[i] + (corners[:, 1] - y[i]) * dy[i]) / length[i] ** 2
-            off = np.abs((corners[:, 0] - x[i]) * dy[i] - (corners[:, 1] - y[i]) * dx[i]) / length[i]
-            found.append(along[(off <= snap) & (along > 0) & (along < 1)])
-            for at, start, step in ((box[0], x[i], dx[i]), (box[2], x[i], dx[i]), (box[1], y[i], dy[i]), (box[3], y[i], dy[i])):
-                share = (at - start) / step if step else np.nan
-                if 0 < share < 1:
-                    found.append(np.array([share]))
-        t = np.concatenate(found)
-        out.append(np.unique(np.concatenate([[0.0], t[(t > 0) & (t < 1)], [1.0]])))
-    return out
-
-
-def _pieces(e: np.ndarray, box: tuple[float, float, float, float], snap: float) -> np.ndarray:
-    """Distinct pieces of sides in the cell, in grid steps, the smaller end first."""
-    meets = (np.maximum(e[:, 0], e[:, 2]) >= box[0] - snap) & (np.minimum(e[:, 0], e[:, 2]) <= box[2] + snap) & (np.maximum(e[:, 1], e[:, 3]) >= box[1] - snap) & (np.minimum(e[:, 1], e[:, 3]) <= box[3] + snap)
-    e = e[meets]
-    found = []
-    for side, t in zip(e, _cuts(e, box, snap), strict=True):
-        p = np.rint((side[:2] + t[:, None] * (side[2:] - side[:2])) / snap).astype(np.int64)
-        found.append(np.concatenate([p[:-1], p[1:]], axis=1))
-    if not found:
-        return np.empty((0, 4), np.int64)
-    p = np.concatenate(found)
-    p = p[(p[:, 0] != p[:, 2]) | (p[:, 1] != p[:, 3])]
-    swap = (p[:, 0] > p[:, 2]) | ((p[:, 0] == p[:, 2]) & (p[:, 1] > p[:, 3]))
-    p[swap] = p[swap][:, [2, 3, 0, 1]]
-    size = box[2] - box[0]
-    middle = (p[:, :2] + p[:, 2:]) / 2 * snap
-    own = (np.floor(middle / size) == np.rint(np.array(box[:2]) / size)).all(axis=1)
+        for i, j in _pairs(every, np.searchsorted(of, of), np.searchsorted(of, of, side="right")):
+            by_box = (low[j] <= high[i]) & (low[i] <= high[j]) & (padded[j] <= right[i]) & (padded[i] <= right[j])
+            i, j = i[by_box], j[by_box]
+            cross = dx[i] * dy[j] - dy[i] * dx[j]
+            t = ((x[j] - x[i]) * dy[j] - (y[j] - y[i]) * dx[j]) / cross
+            u = ((x[j] - x[i]) * dy[i] - (y[j] - y[i]) * dx[i]) / cross
+            edge = (t > -snap / length[i]) & (t < 1 + snap / length[i]) & (u > -snap / length[j]) & (u < 1 + snap / length[j])
+            met = (np.abs(cross) > 1e-12 * length[i] * length[j]) & edge
+            cut(i[met], t[met])
+        # Corners on the side.
+        corners = np.unique(np.concatenate([np.column_stack([of, e[:, :2]]), np.column_stack([of, e[:, 2:]])]), axis=0)
+        for i, j in _pairs(every, np.searchsorted(corners[:, 0], of), np.searchsorted(corners[:, 0], of, side="right")):
+            by_box = (corners[j, 2] <= high[i]) & (low[i] <= corners[j, 2]) & (corners[j, 1] <= right[i]) & (padded[i] <= corners[j, 1])
+            i, j = i[by_box], j[by_box]
+            ox, oy = corners[j, 1] - x[i], corners[j, 2] - y[i]
+            on = np.abs(ox * dy[i] - oy * dx[i]) / length[i] <= snap
+            cut(i[on], ((ox * dx[i] + oy * dy[i]) / length[i] ** 2)[on])
+        for at, start, step in ((box[:, 0], x, dx), (box[:, 2], x, dx), (box[:, 1], y, dy), (box[:, 3], y, dy)):
+            cut(every, (at - start) / step)
+    i, t = np.concatenate(sides), np.concatenate(shares)
+    order = np.lexsort((t, i))
+    i, t = i[order], t[order]
+    new = np.concatenate([[True], (i[1:] != i[:-1]) | (t[1:] != t[:-1])])
+    return i[new], t[new]
+
+
+def _pieces(e: np.ndarray, of: np.ndarray, corner: np.ndarray, cell: float, snap: float) -> np.ndarray:
+    """Distinct pieces of sides (cell, x, y, x2, y2), in grid steps, the smaller end first. ``corner``: each cell's numbers."""
+    box = np.column_stack([corner * cell, (corner + 1) * cell])[of]
+    meets = (np.maximum(e[:, 0], e[:, 2]) >= box[:, 0] - snap) & (np.minimum(e[:, 0], e[:, 2]) <= box[:, 2] + snap) & (np.maximum(e[:, 1], e[:, 3]) >= box[:, 1] - snap) & (np.minimum(e[:, 1], e[:, 3]) <= box[:, 3] + snap)
+    e, of = e[meets], of[meets]
+    if not len(e):
+        return np.empty((0, 5), np.int64)
+    i, t = _cuts(e, of, box[meets], snap)
+    p = np.rint((e[i, :2] + t[:, None] * (e[i, 2:] - e[i, :2])) / snap).astype(np.int64)
+    one = np.flatnonzero(i[:-1] == i[1:])
+    p = np.column_stack([of[i[one]], p[one], p[one + 1]])
+    p = p[(p[:, 1] != p[:, 3]) | (p[:, 2] != p[:, 4])]
+    swap = (p[:, 1] > p[:, 3]) | ((p[:, 1] == p[:, 3]) & (p[:, 2] > p[:, 4]))
+    p[swap] = p[swap][:, [0, 3, 4, 1, 2]]
+    middle = (p[:, 1:3] + p[:, 3:]) / 2 * snap
+    own = (np.floor(middle / cell) == corner[p[:, 0]]).all(axis=1)
     return np.unique(p[own], axis=0)
 
 
-def _boundary(rings: pd.DataFrame, cx: int, cy: int, cell: float, snap: float, kind: str) -> np.ndarray:
-    """Pieces of the overlay's boundary in a cell, as (x, y, x2, y2) in grid steps; the overlay is on the left."""
-    e, of, layers = _sides(rings)
-    pieces = _pieces(e, (cx * cell, cy * cell, (cx + 1) * cell, (cy + 1) * cell), snap)
-    out = [np.empty((0, 4), np.int64)]
-    owner = np.zeros((len(e), len(layers)), np.int32)
-    owner[np.arange(len(e)), of] = 1
-    for at in range(0, len(pieces), _CHUNK):
-        p = pieces[at : at + _CHUNK]
-        middle, step = (p[:, :2] + p[:, 2:]) / 2 * snap, p[:, 2:] - p[:, :2]
-        flat = np.abs(step[:, 0]) >= np.abs(step[:, 1])  # a ray upwards, else to the right
-        beyond, on = np.zeros((len(p), len(layers)), np.int32), np.zeros((len(p), len(layers)), np.int32)
-        for rows, (a, b) in ((flat, (0, 1)), (~flat, (1, 0))):
-            m = middle[rows]
-            start, end = e[:, a], e[:, a + 2]
-            met = (start <= m[:, a, None]) != (end <= m[:, a, None])
-            with np.errstate(divide="ignore", invalid="ignore"):
-                height = np.where(met, e[:, b] + (m[:, a, None] - start) * (e[:, b + 2] - e[:, b]) / (end - start) - m[:, b, None], 0)
-            near = np.abs(height) <= 3 * snap
-            beyond[rows] = (met & ~near & (height > 0)).astype(np.int32) @ owner
-            on[rows] = (met & near).astype(np.int32) @ owner
-        far, close = beyond % 2 == 1, (beyond + on) % 2 == 1  # what holds the places beyond, and on this side of, the piece
-        inside = [KINDS[kind](side[:, layers == 0].any(axis=1), side[:, layers == 1].any(axis=1)) for side in (far, close)]
-        # Beyond is above, on the left of a flat piece (which runs to the right); or right, on the right of a steep one that runs up.
-        far_left = np.where(flat, True, step[:, 1] < 0)
-        left, right = np.where(far_left, inside[0], inside[1]), np.where(far_left, inside[1], inside[0])
-        out += [p[left & ~right], p[right & ~left][:, [2, 3, 0, 1]]]
-    return np.concatenate(out)
+def _boundary(rings: pa.Array, of: np.ndarray, corner: np.ndarray, cell: float, snap: float, kind: str) -> np.ndarray:
+    """Pieces of the overlay's boundary in some cells, as (cell, x, y, x2, y2) in grid steps; the overlay is on the left."""
+    e, of, polygon, layers = _sides(rings, of)
+    pieces = _pieces(e, of, corner, cell, snap)
+    middle, step = (pieces[:, 1:3] + pieces[:, 3:]) / 2 * snap, pieces[:, 3:] - pieces[:, 1:3]
+    flat = np.abs(step[:, 0]) >= np.abs(step[:, 1])  # a ray upwards, else to the right
+    held = np.zeros((2, 2, len(pieces)), bool)  # by what lies beyond and on this side, and by layer
+    for i, j in _pairs(np.arange(len(pieces)), np.searchsorted(of, pieces[:, 0]), np.searchsorted(of, pieces[:, 0], side="right")):
+        a, b = np.where(flat[i], 0, 1), np.where(flat[i], 1, 0)
+        start, end, at = e[j, a], e[j, a + 2], middle[i, a]
+        met = (start <= at) != (end <= at)
+        i, j, a, b, start, end, at = (v[met] for v in (i, j, a, b, start, end, at))
+        height = e[j, b] + (at - start) * (e[j, b + 2] - e[j, b]) / (end - start) - middle[i, b]
+        near = np.abs(height) <= 3 * snap
+        if not len(i):
+            continue
+        first = np.flatnonzero(np.concatenate([[True], (i[1:] != i[:-1]) | (polygon[j[1:]] != polygon[j[:-1]])]))
+        beyond, on = (np.add.reduceat(v.astype(np.int64), first) for v in (~near & (height > 0), near))
+        i, layer = i[first], layers[polygon[j[first]]]
+        for side, odd in enumerate((beyond % 2 == 1, (beyond + on) % 2 == 1)):
+            held[side, layer[odd], i[odd]] = True
+    inside = [KINDS[kind](held[side, 0], held[side, 1]) for side in (0, 1)]
+    # Beyond is above, on the left of a flat piece (which runs to the right); or right, on the right of a steep one that runs up.
+    far_left = np.where(flat, True, step[:, 1] < 0)
+    left, right = np.where(far_left, inside[0], inside[1]), np.where(far_left, inside[1], inside[0])
+    return np.concatenate([pieces[left & ~right], pieces[right & ~left][:, [0, 3, 4, 1, 2]]])
 
 
 def overlay(polygons: DataFrame, by: str, cell: float, kind: str = "union", snap: float = 1e-6) -> DataFrame:
@@ -142,16 +169,20 @@ def overlay(polygons: DataFrame, by: str, cell: float, kind: str = "union", snap
     over = lambda c: F.explode(F.sequence(F.floor((F.array_min(c) - 4 * snap) / cell), F.floor((F.array_max(c) + 4 * snap) / cell)))
     dealt = rings.withColumn("cx", over("xs")).withColumn("cy", over("ys"))
 
-    def work(pdf: pd.DataFrame) -> pd.DataFrame:
-        one = pdf.iloc[0]
-        found = _boundary(pdf, int(one["cx"]), int(one["cy"]), cell, snap, kind)
-        return pd.DataFrame(found, columns=["x", "y", "x2", "y2"]).assign(**{by: one[by]})[[by, "x", "y", "x2", "y2"]]
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for at in range(0, len(whole), _CELLS):
+                group, cx, cy, held = (c.slice(at, _CELLS) for c in whole.columns)
+                of = np.repeat(np.arange(len(held)), pc.list_value_length(held).to_numpy())
+                found = _boundary(held.flatten(), of, np.column_stack([cx.to_numpy(), cy.to_numpy()]), cell, snap, kind)
+                yield pa.RecordBatch.from_arrays([group.take(pa.array(found[:, 0])), *(pa.array(found[:, k]) for k in range(1, 5))], [by, "x", "y", "x2", "y2"])
 
-    sides = dealt.groupBy(by, "cx", "cy").applyInPandas(work, f"`{by}` {kinds[by]}, x long, y long, x2 long, y2 long")
+    held = dealt.groupBy(by, "cx", "cy").agg(F.collect_list(F.struct("id", "layer", "xs", "ys")).alias("held"))
+    sides = held.mapInArrow(work, f"`{by}` {kinds[by]}, x long, y long, x2 long, y2 long")
     # Cells may see a piece of almost no length apart; the id is the piece itself.
     sides = written(sides.distinct().withColumn("id", F.xxhash64(by, "x", "y", "x2", "y2")))
     chain = written(_followed(sides, by))
-    opened = chain.join(ranked(chain), "id")
+    opened = chain.join(ranked(chain, by), "id")
     scale = lambda c: (F.col(c) * snap).alias(c)
     return opened.select(by, "ring", (-F.col("left")).alias("i"), *map(scale, ("x", "y", "x2", "y2")))
 

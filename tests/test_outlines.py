@@ -102,3 +102,16 @@ def test_a_blob_is_an_extremum(spark):
     found = P.scale_extrema(df, "v", [0.6, 1.2, 2.0, 3.2, 5.0], 1.0).collect()
     best = max(found, key=lambda x: abs(x["response"]))
     assert (best["row"], best["col"]) == (8, 9) and best["response"] < 0
+
+
+def test_small_groups_close_without_joins(spark, monkeypatch):
+    """Rings of small groups are closed in tasks as the joins would; a large group goes by joins."""
+    links = [(g, g * 1000 + i, g * 1000 + (i + 1) % n if i < n else g * 1000 + n + (i + 1 - n) % 3) for g, n in ((1, 4), (2, 7), (3, 40)) for i in range(n + 3)]
+    chain = spark.createDataFrame(links, "g long, id long, next long")
+    want = {tuple(r) for r in O._doubled(chain).collect()}
+    assert len(want) == len(links)
+    monkeypatch.setattr(O, "SMALL", 20)
+    assert {tuple(r) for r in O.ranked(chain, "g").collect()} == want
+    monkeypatch.setattr(O, "SMALL", 512)
+    monkeypatch.setattr(O, "_doubled", None)
+    assert {tuple(r) for r in O.ranked(chain, "g").collect()} == want

@@ -92,3 +92,25 @@ def test_buffers_hold_what_is_near(spark, reach):
     assert n > 5
 
 
+
+
+@pytest.mark.parametrize("pairs", [50, 1 << 19])
+def test_cells_arranged_together_equal_cells_alone(monkeypatch, pairs):
+    """A call arranges many cells; polygons of one id in two cells stay apart, and parts of the pairs don't matter."""
+    import pyarrow as pa
+
+    monkeypatch.setattr(overlay, "_PAIRS", pairs)
+    rng = np.random.default_rng(3)
+    rings, of = [], []
+    for cell in range(6):
+        for i in range(cell % 4 + 1):
+            p = rng.integers(0, 9, (3, 2)).astype(float)
+            rings.append({"id": i, "layer": i % 2, "xs": [*p[:, 0], p[0, 0]], "ys": [*p[:, 1], p[0, 1]]})
+            of.append(cell)
+    of, corner = np.array(of), np.zeros((6, 2), np.int64)
+    kind = pa.struct([("id", pa.int64()), ("layer", pa.int32()), ("xs", pa.list_(pa.float64())), ("ys", pa.list_(pa.float64()))])
+    some = lambda at: pa.array([rings[k] for k in at], kind)
+    together = overlay._boundary(some(range(len(of))), of, corner, 9.0, 1e-6, "union")
+    alone = [overlay._boundary(some(np.flatnonzero(of == c)), of[of == c], corner, 9.0, 1e-6, "union") for c in range(6)]
+    ordered = lambda rows: sorted(map(tuple, rows.tolist()))
+    assert ordered(together) == ordered(np.concatenate(alone)) and len(together) > 12
