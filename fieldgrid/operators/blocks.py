@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 
+from .tables import written
+
 #: Vectors of a block.
 BLOCK = 1024
 #: Vectors of a block where only the nearest are kept.
@@ -30,21 +33,6 @@ def _dealt(left: DataFrame, right: DataFrame, group: str, row: str, vector: str,
     return placed.select("g", F.when(is_left, F.col("own")).otherwise(F.col("other")).alias("bl"), F.when(is_left, F.col("other")).otherwise(F.col("own")).alias("br"), "side", "id", "v")
 
 
-def _distances(pdf: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, Iterator[tuple[slice, np.ndarray]]]:
-    """Ids of both sides in order, and distances of some left vectors at a time to all right ones."""
-    l, r = (pdf[pdf["side"] == s].sort_values("id") for s in "lr")  # noqa: E741
-
-    def parts() -> Iterator[tuple[slice, np.ndarray]]:
-        if not len(l) or not len(r):
-            return
-        x, y = np.stack(l["v"].to_numpy()), np.stack(r["v"].to_numpy())
-        for at in range(0, len(x), 64):
-            d = x[at : at + 64, None, :] - y[None, :, :]
-            yield slice(at, at + 64), np.sqrt(np.einsum("ijk,ijk->ij", d, d))
-
-    return l["id"].to_numpy(), r["id"].to_numpy(), parts()
-
-
 def _two_of(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(row of x, row of y, distance to 9 places) of the two rows of ``y`` nearest to each row of ``x``, nearest first; ties: the first.
 
@@ -99,14 +87,38 @@ def two_nearest(left: DataFrame, right: DataFrame, row: str, vector: str, block:
 
 
 def distance_sums(points: DataFrame, group: str, row: str, vector: str, block: int = BLOCK) -> DataFrame:
-    """(group, row, cost): the sum of each point's distances to all points of its group."""
-
-    def sums(pdf: pd.DataFrame) -> pd.DataFrame:
-        lid, _, parts = _distances(pdf)
-        cost = np.concatenate([d.sum(axis=1) for _, d in parts])
-        return pd.DataFrame({"g": pdf["g"].iloc[0], "id": lid, "cost": cost})
+    """(group, row, cost): the sum of each point's distances to all points of its group.
 
+    Blocks are rows, and pairs of blocks stream through tasks: a task holds one pair and the sums of one block, and no
+    vector is shuffled or sorted more than once. Work grows with the square of a group.
+    """
     kinds = dict(points.dtypes)
-    dealt = _dealt(points, points, group, row, vector, block)
-    part = dealt.groupBy("g", "bl", "br").applyInPandas(sums, f"g {kinds[group]}, id {kinds[row]}, cost double")
+    plain = points.select(F.col(group).alias("g"), F.col(row).alias("id"), F.transform(F.col(vector), lambda x: x.cast("double")).alias("v"))
+    n = plain.groupBy("g").agg(F.ceil(F.count("*") / block).alias("n"))  # a row for each group
+    dealt = plain.join(n, "g").withColumn("b", F.pmod(F.xxhash64("id"), F.col("n")))
+
+    def packed(pdf: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame({"g": pdf["g"].iloc[:1], "b": pdf["b"].iloc[:1], "ids": [pdf["id"].to_numpy()], "v": [np.stack(pdf["v"].to_numpy()).tobytes()]})
+
+    blocks = written(dealt.groupBy("g", "b").applyInPandas(packed, f"g {kinds[group]}, b long, ids array<{kinds[row]}>, v binary"))
+    parts = max(1, blocks.count() // 8, min(4, blocks.count()))
+    one = blocks.repartition(parts, "g", "b")
+    other = blocks.repartition(parts, "g", "b").select(F.col("g").alias("h"), F.col("v").alias("w"))
+    # Not an equality, which would bring a group to one task.
+    met = one.join(other, (F.col("g") <= F.col("h")) & (F.col("g") >= F.col("h"))).select("g", "b", "ids", "v", "w")
+
+    def sums(rows: Iterator[Row]) -> Iterator[tuple]:
+        for (g, _), pairs in itertools.groupby(rows, lambda r: (r["g"], r["b"])):
+            x = cost = None
+            for r in pairs:
+                if x is None:
+                    ids, x = r["ids"], np.frombuffer(r["v"]).reshape(len(r["ids"]), -1)
+                    cost = np.zeros(len(ids))
+                y = np.frombuffer(r["w"]).reshape(-1, x.shape[1])
+                for at in range(0, len(x), 64):
+                    d = x[at : at + 64, None, :] - y[None, :, :]
+                    cost[at : at + 64] += np.sqrt(np.einsum("ijk,ijk->ij", d, d)).sum(axis=1)
+            yield from zip(itertools.repeat(g), ids, cost.tolist())
+
+    part = points.sparkSession.createDataFrame(met.rdd.mapPartitions(sums), f"g {kinds[group]}, id {kinds[row]}, cost double", verifySchema=False)
     return part.groupBy(F.col("g").alias(group), F.col("id").alias(row)).agg(F.sum("cost").alias("cost"))

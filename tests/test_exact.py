@@ -302,3 +302,15 @@ def test_two_nearest_measure_few_pairs():
     blocks._two_of(x, y)
     assert tracemalloc.get_traced_memory()[1] < 8 * len(x) * len(y)
     tracemalloc.stop()
+
+
+def test_distance_sums_deal_vectors_once(spark):
+    """Sums over several blocks equal plain ones, and the plan neither joins by equality nor copies vectors to each block."""
+    rng = np.random.default_rng(11)
+    v = rng.normal(size=(120, 5))
+    df = spark.createDataFrame([(i, "ab"[i % 3 == 0], v[i].tolist()) for i in range(120)], "id long, g string, v array<double>")
+    found = blocks.distance_sums(df, "g", "id", "v", 16)
+    for r in found.collect():
+        same = v[[j for j in range(120) if (j % 3 == 0) == (r.id % 3 == 0)]]
+        assert abs(r.cost - np.sqrt(((same - v[r.id]) ** 2).sum(1)).sum()) < 1e-9
+    assert found.count() == 120 and "explode" not in found._jdf.queryExecution().toString().lower()
