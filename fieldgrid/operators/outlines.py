@@ -5,16 +5,19 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from .groups import gathered, pairs_of, runs_within, whole_groups
 from .tables import written
 
 #: Links of a group whose rings are closed in one task, at most.
 SMALL = 512
+#: Sides of a cell that is covered together with others, at most, and pairs of sides that are held at a time.
+SIDES, PAIRS = 64, 1 << 20
 #: A pixel's sides in turn, clockwise on the screen: the neighbour beyond, and where the side starts and ends.
 _SIDES = [((-1, 0), (0, 0), (1, 0)), ((0, 1), (1, 0), (1, 1)), ((1, 0), (1, 1), (0, 1)), ((0, -1), (0, 1), (0, 0))]
 
@@ -116,22 +119,13 @@ def measured(corners: DataFrame, *by: str) -> DataFrame:
     return rings.select(*by, "component", "ring", area.alias("area"), length.alias("perimeter"))
 
 
-def _cell_cover(rings: pd.DataFrame, x0: float, y0: float, size: float, n: int) -> tuple[float, float]:
-    """Areas of a square cell that one polygon or more, and all ``n``, cover.
+def _cell_cover(e: np.ndarray, x0: float, y0: float, size: float, n: int) -> tuple[float, float]:
+    """Areas of a square cell that one polygon or more, and all ``n``, cover. ``e``: sides (x, y, x2, y2, polygon) from left to right.
 
     The cell is cut into slabs at all vertices and crossings; within a slab no sides cross, so the middle line of each
     polygon's intervals has the slab's mean length.
     """
     x1, y1 = x0 + size, y0 + size
-    parts = []
-    for code, xs, ys in zip(pd.factorize(rings["id"])[0], rings["xs"], rings["ys"], strict=True):
-        xs, ys = np.asarray(xs, float), np.asarray(ys, float)
-        parts.append(np.stack([xs[:-1], ys[:-1], xs[1:], ys[1:], np.full(len(xs) - 1, code, float)], axis=1))
-    e = np.concatenate(parts)
-    e = np.where((e[:, 0] > e[:, 2])[:, None], e[:, [2, 3, 0, 1, 4]], e)
-    e = e[(e[:, 0] < e[:, 2]) & (e[:, 2] > x0) & (e[:, 0] < x1)]
-    if not len(e):
-        return 0.0, 0.0
     e = e[np.argsort(e[:, 0], kind="stable")]
     ax, ay, bx = e[:, 0], e[:, 1], e[:, 2]
     rise = (e[:, 3] - ay) / (bx - ax)
@@ -159,25 +153,92 @@ def _cell_cover(rings: pd.DataFrame, x0: float, y0: float, size: float, n: int)
     return float(some), float(every)
 
 
+def _cells_cover(e: np.ndarray, sides: np.ndarray, x0: np.ndarray, y0: np.ndarray, size: float, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """``_cell_cover`` of many cells side by side: ``e`` has ``sides`` rows of each cell in turn."""
+    cell, (ax, ay, bx, by, polygon) = np.repeat(np.arange(len(sides)), sides), e.T
+    x1, y1, rise = x0 + size, y0 + size, (by - ay) / (bx - ax)
+    first = np.cumsum(sides) - sides
+    i, k = pairs_of((first + sides)[cell] - np.arange(len(e)) - 1)
+    j = i + 1 + k
+    met = np.maximum(ax[i], ax[j]) < np.minimum(bx[i], bx[j])
+    i, j = i[met], j[met]
+    with np.errstate(divide="ignore", invalid="ignore"):
+        level = [ax + (y[cell] - ay) / rise for y in (y0, y1)]
+        cross = (ay[j] - rise[j] * ax[j] - ay[i] + rise[i] * ax[i]) / (rise[i] - rise[j])
+        met = (cross > np.maximum(ax[i], ax[j])) & (cross < np.minimum(bx[i], bx[j]))
+        cuts, own = np.concatenate([x0, x1, ax, bx, *level, cross[met]]), np.concatenate([np.arange(len(sides))] * 2 + [cell] * 4 + [cell[i[met]]])
+        held = (cuts >= x0[own]) & (cuts <= x1[own])
+    cuts, own = cuts[held], own[held]
+    order = np.lexsort((cuts, own))
+    cuts, own = cuts[order], own[order]
+    slab = np.flatnonzero((own[1:] == own[:-1]) & (cuts[1:] > cuts[:-1]))
+    left, wide, own = cuts[slab], cuts[slab + 1] - cuts[slab], own[slab]
+    some, every = np.zeros(len(sides)), np.zeros(len(sides))
+    for run in runs_within(sides[own], PAIRS):
+        c, w, mid = own[run], wide[run], (left[run] + (left[run] + wide[run])) / 2
+        s, k = pairs_of(sides[c])
+        k += first[c][s]
+        on = (ax[k] < mid[s]) & (bx[k] > mid[s])
+        s, k = s[on], k[on]
+        y = ay[k] + rise[k] * (mid[s] - ax[k])
+        order = np.lexsort((y, polygon[k], s))
+        s, y = s[order], np.clip(y[order], y0[c][s[order]], y1[c][s[order]])
+        before = np.searchsorted(s, s)
+        step = np.where((np.arange(len(s)) - before) % 2 == 0, 1, -1)  # of each polygon in turn: enter, leave, ...
+        order = np.lexsort((y, s))
+        y, depth = y[order], np.cumsum(step[order])
+        depth -= np.concatenate([[0], depth])[before]
+        last = np.flatnonzero(s[1:] == s[:-1])
+        part = w[s[last]] * (y[last + 1] - y[last])
+        for out, enough in ((some, depth[last] > 0), (every, depth[last] >= n[c][s[last]])):
+            out += np.bincount(c[s[last]], part * enough, len(sides))
+    return some, every
+
+
+def _covers(batches: Iterator[pa.RecordBatch], cell: float) -> Iterator[pa.RecordBatch]:
+    """(by, m, some, every) of each cell's polygons: how many, and the areas that any and all of them cover there."""
+    for batch, starts in whole_groups(batches, 3):
+        by, cx, cy, ids, xs, ys = batch.columns
+        sizes = np.diff(starts, append=batch.num_rows)
+        group, code = np.repeat(np.arange(len(starts)), sizes), ids.dictionary_encode().indices.fill_null(-1).to_numpy(zero_copy_only=False).astype(np.int64) + 1
+        own = np.unique(group * (code.max() + 1) + code)
+        m = np.bincount(own // (code.max() + 1), minlength=len(starts))
+        ring = np.repeat(np.arange(batch.num_rows), pc.list_value_length(xs).to_numpy(zero_copy_only=False))
+        x, y = (c.flatten().to_numpy(zero_copy_only=False) for c in (xs, ys))
+        a = np.flatnonzero(ring[1:] == ring[:-1])
+        a, b = np.where(x[a] > x[a + 1], a + 1, a), np.where(x[a] > x[a + 1], a, a + 1)
+        x0, y0 = (c.to_numpy(zero_copy_only=False)[starts] * cell for c in (cx, cy))
+        of = group[ring[a]]
+        met = (x[a] < x[b]) & (x[b] > x0[of]) & (x[a] < x0[of] + cell)
+        a, b, of = a[met], b[met], of[met]
+        e = np.stack([x[a], y[a], x[b], y[b], code[ring[a]]], axis=1)
+        sides = np.bincount(of, minlength=len(starts))
+        first, some, every = np.cumsum(sides) - sides, np.zeros(len(starts)), np.zeros(len(starts))
+        few = np.flatnonzero((sides > 0) & (sides <= SIDES))
+        for run in runs_within(sides[few] ** 2, PAIRS):
+            g = few[run]
+            i, k = pairs_of(sides[g])
+            some[g], every[g] = _cells_cover(e[first[g][i] + k], sides[g], x0[g], y0[g], cell, m[g])
+        for g in np.flatnonzero(sides > SIDES):
+            some[g], every[g] = _cell_cover(e[first[g] : first[g] + sides[g]], x0[g], y0[g], cell, m[g])
+        yield pa.RecordBatch.from_arrays([by.take(pa.array(starts)), pa.array(m), pa.array(some), pa.array(every)], ["by", "m", "some", "every"])
+
+
 def coverage(polygons: DataFrame, by: str, cell: float) -> DataFrame:
     """(by, n, union_area, common_area): areas that any polygon, and that all polygons, of a group cover.
 
     ``polygons`` has by, id, xs, ys: closed rings of any shape; rings of one id are one polygon by the even-odd rule
     (holes). Rings are dealt to square cells that their boxes meet, so a large group is many tasks; a cell's share is
-    computed on its own. Rings with fewer than three corners, null or non-finite coordinates are left out.
+    computed on its own, those of few sides many at a time. Rings with fewer than three corners, null or non-finite coordinates are left out.
     """
     kind = dict(polygons.dtypes)[by]
     bad = lambda v: v.isNull() | F.isnan(v) | (F.abs(v) == F.lit(float("inf")))
-    fine = (F.size("xs") > 3) & (F.size("xs") == F.size("ys")) & ~F.exists("xs", bad) & ~F.exists("ys", bad)
+    fine = (F.size("xs") > 3) & (F.size("xs") == F.size("ys")) & ~F.exists("xs", bad) & ~F.exists("ys", bad) & F.col(by).isNotNull()
     rings = polygons.select(by, "id", F.col("xs").cast("array<double>").alias("xs"), F.col("ys").cast("array<double>").alias("ys")).where(fine)
     n = rings.select(by, "id").distinct().groupBy(by).agg(F.count("*").alias("n"))
     over = lambda c: F.explode(F.sequence(F.floor(F.array_min(c) / cell), F.floor(F.array_max(c) / cell)))
-    dealt = rings.withColumn("cx", over("xs")).withColumn("cy", over("ys")).join(n, by)
-
-    def share(pdf: pd.DataFrame) -> pd.DataFrame:
-        one = pdf.iloc[0]
-        some, every = _cell_cover(pdf, one["cx"] * cell, one["cy"] * cell, cell, int(one["n"]))
-        return pd.DataFrame({by: [one[by]], "n": [one["n"]], "some": [some], "every": [every]})
-
-    cells = dealt.groupBy(by, "cx", "cy").applyInPandas(share, f"`{by}` {kind}, n long, some double, every double")
-    return cells.groupBy(by).agg(F.max("n").alias("n"), F.sum("some").alias("union_area"), F.sum("every").alias("common_area"))
+    dealt = gathered(rings.withColumn("cx", over("xs")).withColumn("cy", over("ys")), by, "cx", "cy")
+    cells = dealt.mapInArrow(lambda batches: _covers(batches, cell), f"`{by}` {kind}, m long, some double, every double")
+    # Where all polygons of a group cover a place, its cell holds all of them.
+    common = F.sum(F.when(F.col("m") == F.col("n"), F.col("every")).otherwise(0.0))
+    return cells.join(n, by).groupBy(by).agg(F.max("n").alias("n"), F.sum("some").alias("union_area"), common.alias("common_area"))

@@ -115,3 +115,28 @@ def test_small_groups_close_without_joins(spark, monkeypatch):
     monkeypatch.setattr(O, "SMALL", 512)
     monkeypatch.setattr(O, "_doubled", None)
     assert {tuple(r) for r in O.ranked(chain, "g").collect()} == want
+
+
+def test_small_cells_are_covered_together(monkeypatch):
+    """Cells of few sides share a task's arrays and give what each gives alone, however batches part them."""
+    import pyarrow as pa
+
+    rng, rows = np.random.default_rng(5), []
+    for cell in range(60):
+        for k in range(rng.integers(1, 5)):
+            n = rng.integers(3, 8)
+            x, y = (rng.integers(-1, 4, n).astype(float) if cell % 2 else rng.uniform(-1, 4, n) for _ in range(2))
+            rows.append((cell // 2, cell % 2, 0, f"p{k % 3}" if k else None, [*x, x[0]], [*y, y[0]]))
+    table = pa.table({name: [r[i] for r in rows] for i, name in enumerate(("by", "cx", "cy", "id", "xs", "ys"))})
+
+    def found(rows_a_batch):
+        return np.concatenate([np.stack([b.column(k).to_numpy() for k in range(4)], axis=1) for b in O._covers(iter(table.to_batches(rows_a_batch)), 2.0)])
+
+    monkeypatch.setattr(O, "SIDES", 0)
+    alone = found(1000)
+    assert len(alone) == 60 and alone[:, 3].sum() > 1
+    monkeypatch.setattr(O, "SIDES", 64)
+    monkeypatch.setattr(O, "_cell_cover", None)
+    for rows_a_batch, pairs in ((1000, 1 << 20), (7, 1 << 20), (1000, 300)):
+        monkeypatch.setattr(O, "PAIRS", pairs)
+        assert np.allclose(found(rows_a_batch), alone, atol=1e-12)
