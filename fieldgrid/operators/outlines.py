@@ -16,6 +16,8 @@ from .tables import written
 
 #: Links of a group whose rings are closed in one task, at most.
 SMALL = 512
+#: Pixels of a region that is traced in a task together with others, at most, and what a row counts in the sides' numbers.
+PIXELS, WIDTH = 4096, 1 << 29
 #: Sides of a cell that is covered together with others, at most, and pairs of sides that are held at a time.
 SIDES, PAIRS = 64, 1 << 20
 #: A pixel's sides in turn, clockwise on the screen: the neighbour beyond, and where the side starts and ends.
@@ -27,13 +29,12 @@ def sides(labelled: DataFrame) -> DataFrame:
 
     The component is on the right hand. ``labelled`` has row, col and component; absent pixels are outside.
     """
-    width = 1 << 29
     p = labelled.select("component", F.col("row").cast("long").alias("row"), F.col("col").cast("long").alias("col"))
     out = None
     for k, ((dr, dc), (x, y), (x2, y2)) in enumerate(_SIDES):
         beyond = p.select("component", (F.col("row") - dr).alias("row"), (F.col("col") - dc).alias("col"))
         side = p.join(beyond, ["component", "row", "col"], "left_anti").select(
-            ((F.col("row") * width + F.col("col")) * 4 + k).alias("id"), "component", F.lit(k).alias("dir"),
+            ((F.col("row") * WIDTH + F.col("col")) * 4 + k).alias("id"), "component", F.lit(k).alias("dir"),
             (F.col("col") + x).alias("x"), (F.col("row") + y).alias("y"), (F.col("col") + x2).alias("x2"), (F.col("row") + y2).alias("y2"),
         )
         out = side if out is None else out.unionByName(side)
@@ -44,9 +45,21 @@ def outlines(labelled: DataFrame, eight: bool = False) -> DataFrame:
     """(component, ring, i, x, y): corners of the rings around each component, in order of ``i``; outer rings have positive area.
 
     Coordinates are pixel corners, y downwards. Where four sides meet, regions of four neighbours keep to their pixel
-    and regions of eight cross to the diagonal one. Rings are found and ranked by pointer doubling: in tasks for small regions,
-    else by a number of joins logarithmic in the longest ring, and no task holds a ring.
+    and regions of eight cross to the diagonal one. Small regions are traced in tasks, many at a time; rings of larger ones are
+    found and ranked by a number of joins logarithmic in the longest ring, and no task holds one.
     """
+    p = labelled.select("component", F.col("row").cast("long").alias("row"), F.col("col").cast("long").alias("col")).dropna()
+    p = written(p)
+    large = written(p.groupBy("component").agg(F.count("*").alias("_n")).where(F.col("_n") > PIXELS).select("component"))
+    kind = dict(p.dtypes)["component"]
+    trace = lambda q: gathered(q, "component").mapInArrow(lambda batches: _traced(batches, eight), f"component {kind}, ring long, i long, x long, y long")
+    if large.isEmpty():
+        return trace(p)
+    return trace(p.join(large, "component", "left_anti")).unionByName(_joined_rings(p.join(large, "component", "left_semi"), eight))
+
+
+def _joined_rings(labelled: DataFrame, eight: bool) -> DataFrame:
+    """``outlines`` by joins, for regions of any size."""
     s = written(sides(labelled))
     after = s.select("component", F.col("x").alias("x2"), F.col("y").alias("y2"), F.col("id").alias("next"), F.col("dir").alias("next_dir"))
     turn = F.pmod(F.col("next_dir") - F.col("dir") + F.lit(1), F.lit(4))  # left 0, straight 1, right 2
@@ -58,6 +71,45 @@ def outlines(labelled: DataFrame, eight: bool = False) -> DataFrame:
     return corners.select("component", "ring", (-F.col("left")).alias("i"), F.col("x2").alias("x"), F.col("y2").alias("y"))
 
 
+def _traced(batches: Iterator[pa.RecordBatch], eight: bool) -> Iterator[pa.RecordBatch]:
+    """``outlines`` of whole regions, a batch's side by side. Places are numbered by the ranks of their region, row and column."""
+    for batch, starts in whole_groups(batches, 1):
+        sizes = np.diff(starts, append=batch.num_rows)
+        group = np.repeat(np.arange(len(starts)), sizes)
+        row, col = (batch.column(k).to_numpy() for k in (1, 2))
+        rows, cols = (np.unique(np.concatenate([c - 1, c, c + 1])) for c in (row, col))
+        place = lambda g, r, c: (g * len(rows) + np.searchsorted(rows, r)) * len(cols) + np.searchsorted(cols, c)
+        pixels, once = np.unique(place(group, row, col), return_index=True)
+        group, row, col = group[once], row[once], col[once]
+        found = []
+        for k, ((dr, dc), (x, y), (x2, y2)) in enumerate(_SIDES):
+            beyond = place(group, row + dr, col + dc)
+            open_ = pixels[np.minimum(np.searchsorted(pixels, beyond), len(pixels) - 1)] != beyond
+            g, r, c = group[open_], row[open_], col[open_]
+            found.append((((r * WIDTH + c) * 4 + k), np.full(len(g), k), place(g, r + y, c + x), place(g, r + y2, c + x2), g, c + x2, r + y2))
+        ids, way, start, end, group, x, y = (np.concatenate(c) for c in zip(*found, strict=True))
+        order = np.argsort(start, kind="stable")
+        at = np.searchsorted(start[order], end)
+        one, two = order[at], order[np.minimum(at + 1, len(order) - 1)]  # two sides start where pixels touch at a corner
+        turn = lambda to: ((way[to] - way + 1) % 4) * (1 if eight else -1)  # left 0, straight 1, right 2
+        after = np.where((start[two] == end) & (two != one) & (turn(two) < turn(one)), two, one)
+        ring, left = _ranks(ids, after, int(np.bincount(group).max()))
+        corner = np.flatnonzero(way != way[after])
+        yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(starts[group[corner]])), *(pa.array(c[corner]) for c in (ring, -left, x, y))], ["component", "ring", "i", "x", "y"])
+
+
+def _ranks(ids: np.ndarray, after: np.ndarray, longest: int) -> tuple[np.ndarray, np.ndarray]:
+    """The least id of each link's ring, and the links to go until that; ``after`` are places of the next links, pointers are doubled."""
+    ring, to = np.minimum(ids, ids[after]), after
+    for _ in range(longest.bit_length()):
+        ring, to = np.minimum(ring, ring[to]), to[to]
+    closes = ids[after] == ring
+    left, to = np.where(closes, 0, 1), np.where(closes, np.arange(len(ids)), after)
+    for _ in range(longest.bit_length()):
+        left, to = left + left[to], to[to]
+    return ring, left
+
+
 def ranked(chain: DataFrame, by: str) -> DataFrame:
     """(id, ring, left) of the links (by, id, next) of closed rings: the least id of a link's ring, and the links to go until that.
 

@@ -5,6 +5,8 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -35,6 +37,33 @@ def class_area_in_polygons(pixels: DataFrame, polygons: DataFrame, key: str, val
     return out.withColumn("area", F.round(F.col("n") * abs(grid[1] * grid[3]) / unit, 4))
 
 
+def _rings(x: pa.Array, y: pa.Array, xs: pa.Array, ys: pa.Array) -> tuple[np.ndarray, ...]:
+    """Points beside the sides of their rings: (row, x, y, x1, y1, x2, y2)."""
+    a, b = (c.to_numpy(zero_copy_only=False).astype(float) for c in (xs.flatten(), ys.flatten()))
+    row = np.repeat(np.arange(len(xs)), xs.value_lengths().fill_null(0).to_numpy(zero_copy_only=False))
+    at = np.flatnonzero(row[1:] == row[:-1])
+    x, y = (c.to_numpy(zero_copy_only=False).astype(float)[row[at]] for c in (x, y))
+    return row[at], x, y, a[at], b[at], a[at + 1], b[at + 1]
+
+
+def _holds(n: int, sides: tuple[np.ndarray, ...]) -> np.ndarray:
+    """Whether rings hold their points: ``scalar.in_ring`` of many rows at a time."""
+    row, x, y, x1, y1, x2, y2 = sides
+    with np.errstate(divide="ignore", invalid="ignore"):
+        crosses = ((y1 > y) != (y2 > y)) & (x < (x2 - x1) * (y - y1) / (y2 - y1) + x1)
+    return np.bincount(row[crosses], minlength=n) % 2 == 1
+
+
+def inside(x: Column, y: Column, xs: Column, ys: Column) -> Column:
+    """``scalar.in_ring`` on arrays of a batch of rows, for many rows."""
+
+    @F.arrow_udf("boolean")
+    def held(x: pa.Array, y: pa.Array, xs: pa.Array, ys: pa.Array) -> pa.Array:
+        return pa.array(_holds(len(x), _rings(x, y, xs, ys)))
+
+    return held(x.cast("double"), y.cast("double"), xs.cast("array<double>"), ys.cast("array<double>"))
+
+
 def near_polygons(points: DataFrame, polygons: DataFrame, reach: float, cell: float, x: str = "x", y: str = "y") -> DataFrame:
     """Pairs of points and the polygons (closed rings ``xs``, ``ys``) that hold them or have a side within ``reach``."""
     padded = lambda c: F.array(F.array_min(c) - reach, F.array_max(c) + reach)
@@ -53,8 +82,9 @@ def united_outlines(polygons: DataFrame, by: str, rows: int) -> DataFrame:
     """
     band = rows + 1
     over = lambda c: F.explode(F.sequence(F.floor(F.array_min(c)), F.ceil(F.array_max(c)) - 1))
-    cells = polygons.where(F.size("xs") > 3).withColumn("row", over("ys")).withColumn("col", over("xs"))
-    covered = cells.where(scalar.in_ring(F.col("col") + 0.5, F.col("row") + 0.5, F.col("xs"), F.col("ys"))).select(by, (F.col(by) * band + F.col("row")).alias("row"), "col").distinct()
+    dealt = polygons.select(by, "xs", "ys").where(F.size("xs") > 3).repartition(by, "xs", "ys")  # small files are few tasks
+    cells = dealt.withColumn("row", over("ys")).withColumn("col", over("xs"))
+    covered = cells.where(inside(F.col("col") + 0.5, F.col("row") + 0.5, F.col("xs"), F.col("ys"))).select(by, (F.col(by) * band + F.col("row")).alias("row"), "col").distinct()
     corners = outlines(components(covered, by, False, None))
     group = F.floor(F.col("component") / (F.lit(1 << 31) * band))
     return corners.select(group.alias(by), "component", "ring", "i", "x", (F.col("y") - group * band).alias("y"))

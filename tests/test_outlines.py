@@ -140,3 +140,45 @@ def test_small_cells_are_covered_together(monkeypatch):
     for rows_a_batch, pairs in ((1000, 1 << 20), (7, 1 << 20), (1000, 300)):
         monkeypatch.setattr(O, "PAIRS", pairs)
         assert np.allclose(found(rows_a_batch), alone, atol=1e-12)
+
+
+@pytest.mark.parametrize("eight", [False, True])
+def test_small_regions_are_traced_without_joins(spark, monkeypatch, eight):
+    """Tasks trace small regions as joins trace large ones."""
+    rng = np.random.default_rng(7)
+    cells = [(r, c, int(1 + k)) for k in range(3) for r in range(k * 9, k * 9 + 8) for c in range(-4, 5) if rng.random() < 0.6]
+    df = spark.createDataFrame(cells, "row int, col int, component long")
+    want = {tuple(r) for r in O._joined_rings(df, eight).collect()}
+    monkeypatch.setattr(O, "PIXELS", 43)  # one region or two of three are larger
+    sizes = [sum(c[2] == k for c in cells) for k in (1, 2, 3)]
+    assert min(sizes) <= 43 < max(sizes)
+    assert {tuple(r) for r in O.outlines(df, eight).collect()} == want
+    monkeypatch.setattr(O, "PIXELS", 4096)
+    monkeypatch.setattr(O, "_joined_rings", None)
+    assert {tuple(r) for r in O.outlines(df, eight).collect()} == want
+
+
+@pytest.mark.parametrize("eight", [False, True])
+def test_only_links_between_tiles_spread(spark, monkeypatch, eight):
+    """Regions over several tiles are whole, and few links leave the tasks that label them."""
+    from fieldgrid.operators import regions as G
+
+    rng = np.random.default_rng(9)
+    value = {(r, c): float(rng.random() < 0.5) if (r + c) % 17 else math.nan for r in range(-20, 80) for c in range(50, 140)}
+    df = spark.createDataFrame([(*k, v) for k, v in value.items()], "row int, col long, v double")
+    linked, write = [], G.written
+    monkeypatch.setattr(G, "written", lambda t: (lambda w: linked.append(w.count()) or w if w.columns == ["u", "v"] else w)(write(t)))
+    got = {(r["row"], r["col"]): r["component"] for r in G.components(df, "v", eight, None).collect()}
+    steps = [(0, 1), (1, 0), (0, -1), (-1, 0)] + ([(1, 1), (-1, -1), (1, -1), (-1, 1)] if eight else [])
+    want = {}
+    for k in sorted(value):
+        todo = [] if k in want else [k]
+        want.setdefault(k, (k[0] << 31) + k[1])
+        while todo:
+            at = todo.pop()
+            for near in ((at[0] + a, at[1] + b) for a, b in steps):
+                if near in value and near not in want and (value[near] == value[at] or math.isnan(value[near]) and math.isnan(value[at])):
+                    want[near] = want[at]
+                    todo.append(near)
+    assert got == want and len(set(want.values())) > 50
+    assert 0 < linked[0] < len(value) / 10
