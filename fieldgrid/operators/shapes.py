@@ -64,12 +64,29 @@ def inside(x: Column, y: Column, xs: Column, ys: Column) -> Column:
     return held(x.cast("double"), y.cast("double"), xs.cast("array<double>"), ys.cast("array<double>"))
 
 
+def inside_or_near(x: Column, y: Column, xs: Column, ys: Column, reach: float) -> Column:
+    """Whether a closed ring holds a point or has a side within ``reach`` of it, on arrays of a batch of rows."""
+
+    @F.arrow_udf("boolean")
+    def held(x: pa.Array, y: pa.Array, xs: pa.Array, ys: pa.Array) -> pa.Array:
+        sides = _rings(x, y, xs, ys)
+        row, px, py, x1, y1, x2, y2 = sides
+        dx, dy = x2 - x1, y2 - y1
+        with np.errstate(divide="ignore", invalid="ignore"):
+            along = ((px - x1) * dx + (py - y1) * dy) / (dx * dx + dy * dy)
+        t = np.clip(np.where((dx == 0) & (dy == 0), 0.0, along), 0.0, 1.0)
+        ex, ey = px - x1 - t * dx, py - y1 - t * dy
+        near = np.bincount(row[ex * ex + ey * ey <= reach * reach], minlength=len(x)) > 0
+        return pa.array(_holds(len(x), sides) | near)
+
+    return held(x.cast("double"), y.cast("double"), xs.cast("array<double>"), ys.cast("array<double>"))
+
+
 def near_polygons(points: DataFrame, polygons: DataFrame, reach: float, cell: float, x: str = "x", y: str = "y") -> DataFrame:
     """Pairs of points and the polygons (closed rings ``xs``, ``ys``) that hold them or have a side within ``reach``."""
     padded = lambda c: F.array(F.array_min(c) - reach, F.array_max(c) + reach)
     boxes = polygons.withColumns({"_bx": padded(F.col("xs")), "_by": padded(F.col("ys"))})
-    ring = [F.col(c) for c in (x, y, "xs", "ys")]
-    near = scalar.in_ring(*ring) | (scalar.squared_distance_to_ring(*ring) <= reach * reach)
+    near = inside_or_near(F.col(x), F.col(y), F.col("xs"), F.col("ys"), reach)
     return points_in_boxes(points, boxes, cell, x, y, "_bx", "_by").where(near).drop("_bx", "_by")
 
 

@@ -153,3 +153,21 @@ def test_proximity_equals_all_pairs(spark):
     for r, c, _ in px:
         d = min((math.hypot(r - a, c - b) for a, b in on), default=math.inf)
         assert got[r, c] == (d if d <= 4 else None)
+
+
+def test_rings_on_arrays_equal_expressions(spark):
+    """Tests on arrays of a batch say what the expressions say of each row; rows without a ring hold nothing."""
+    from fieldgrid.functions import scalar
+
+    rng, rows = random.Random(4), []
+    for k in range(400):
+        n = rng.randrange(1, 8)
+        ring = [(rng.randrange(6), rng.randrange(6)) for _ in range(n)]
+        ring.append(ring[0])
+        rows.append((k, rng.randrange(13) / 2, rng.randrange(13) / 2, [float(p[0]) for p in ring], [float(p[1]) for p in ring]))
+    df = spark.createDataFrame([*rows, (400, 1.0, 1.0, None, None)], "k int, x double, y double, xs array<double>, ys array<double>")
+    c = [F.col(v) for v in ("x", "y", "xs", "ys")]
+    plain = scalar.in_ring(*c) | (scalar.squared_distance_to_ring(*c) <= 1.5625)
+    got = df.select("k", S.inside(*c).alias("i"), S.inside_or_near(*c, 1.25).alias("n"), F.coalesce(scalar.in_ring(*c), F.lit(False)).alias("pi"), F.coalesce(plain, F.lit(False)).alias("pn")).collect()
+    assert len(got) == 401 and all((r.i, r.n) == (r.pi, r.pn) for r in got)
+    assert 0 < sum(r.i for r in got) < sum(r.n for r in got) < 401
