@@ -6,8 +6,8 @@ more parts, as files have them.
 
 ``spark.read.format("shapes")`` reads a shapefile or all of a folder; its index gives each task a range of records.
 Comparisons of attributes are pushed down: records that fail them are not decoded, nor are those outside the option
-``bbox`` ("x0,y0,x1,y1"), which the records' own bounds answer. ``df.write.format("shapes")`` writes a shapefile a task, whole files only
-when the job commits. Attributes are numbers, texts of up to 254 bytes, dates and booleans.
+``bbox`` ("x0,y0,x1,y1"), which the records' own bounds answer. ``df.write.format("shapes")`` writes a shapefile a task, or several of
+``HELD`` bytes, whole files only when the job commits. Attributes are numbers, texts of up to 254 bytes, dates and booleans.
 """
 
 from __future__ import annotations
@@ -32,6 +32,8 @@ _GEOMETRY = T.StructType([T.StructField("kind", T.StringType()), T.StructField("
 GEOMETRY = "struct<kind:string,parts:array<array<struct<x:double,y:double>>>>"
 #: Records of a range that a task reads.
 RECORDS = 50_000
+#: Bytes of records that a writing task holds before it closes a shapefile.
+HELD = 16 << 20
 # Codes of shapes in shapefiles and in well-known bytes.
 _SHAPES = {1: "POINT", 3: "LINESTRING", 5: "POLYGON", 8: "MULTIPOINT"}
 _KINDS = {"POINT": 1, "LINESTRING": 2, "POLYGON": 3, "MULTIPOINT": 4, "MULTILINESTRING": 5}
@@ -295,8 +297,8 @@ def _ring_area(r: Sequence[Any]) -> float:
 
 
 class Written(WriterCommitMessage):
-    def __init__(self, stem: str | None) -> None:
-        self.stem = stem
+    def __init__(self, stems: list[str]) -> None:
+        self.stems = stems
 
 
 class ShapeWriter(DataSourceWriter):
@@ -334,34 +336,41 @@ class ShapeWriter(DataSourceWriter):
         return text.ljust(length) if kind == "C" else text.rjust(length)
 
     def write(self, rows: Iterator[Any]) -> Written:
-        """One shapefile under a hidden name. Its records are held until its bounds and length are known: deal a large layer to many tasks."""
+        """Shapefiles under hidden names. A file's records are held until its bounds and length are known, so a task starts a new one after ``HELD`` bytes."""
         fs, folder = _fs(self.path)
-        stem = f"{folder}/_{self.run}-{uuid.uuid4().hex}"
         fs.create_dir(folder, recursive=True)
-        shp, shx, dbf, n, words, code, box = [], [], [], 0, 50, 0, [float("inf"), float("inf"), float("-inf"), float("-inf")]
-        for row in rows:
-            body, own, bounds = _record(row["geometry"])
-            if own and code and own != code:
-                raise ValueError("a layer has one kind of shape")
-            code = own or code
-            if bounds:
-                box = [min(box[0], bounds[0]), min(box[1], bounds[1]), max(box[2], bounds[2]), max(box[3], bounds[3])]
-            n += 1
-            shp.append(struct.pack(">2i", n, len(body) // 2) + body)
-            shx.append(struct.pack(">2i", words, len(body) // 2))
-            words += 4 + len(body) // 2
-            dbf.append(b" " + b"".join(self._cell(row[name], kind, length) for name, kind, length, _ in self.fields))
-        if not n:
-            return Written(None)
+        stems, code, rows = [], 0, iter(rows)
+        while True:
+            shp, shx, dbf, words, held, box = [], [], [], 50, 0, [float("inf"), float("inf"), float("-inf"), float("-inf")]
+            for row in rows:
+                body, own, bounds = _record(row["geometry"])
+                if own and code and own != code:
+                    raise ValueError("a layer has one kind of shape")
+                code = own or code
+                if bounds:
+                    box = [min(box[0], bounds[0]), min(box[1], bounds[1]), max(box[2], bounds[2]), max(box[3], bounds[3])]
+                shp.append(struct.pack(">2i", len(shp) + 1, len(body) // 2) + body)
+                shx.append(struct.pack(">2i", words, len(body) // 2))
+                words += 4 + len(body) // 2
+                dbf.append(b" " + b"".join(self._cell(row[name], kind, length) for name, kind, length, _ in self.fields))
+                held += sum(len(c[-1]) for c in (shp, shx, dbf))
+                if held >= HELD:
+                    break
+            if not shp:
+                return Written(stems)
+            stems.append(f"{folder}/_{self.run}-{uuid.uuid4().hex}")
+            self._file(fs, stems[-1], (shp, shx, dbf), words, code, box)
+
+    def _file(self, fs: pafs.FileSystem, stem: str, records: tuple[list[bytes], ...], words: int, code: int, box: list[float]) -> None:
+        shp, shx, dbf = records
         head = lambda size: struct.pack(">7i", 9994, 0, 0, 0, 0, 0, size) + struct.pack("<2i", 1000, code) + struct.pack("<8d", *(box if box[0] <= box[2] else [0.0] * 4), 0, 0, 0, 0)
         names = b"".join(name.encode("ascii", "replace").ljust(11, b"\0") + kind.encode() + bytes(4) + bytes([length, decimals]) + bytes(14) for name, kind, length, decimals in self.fields)
         size = 33 + 32 * len(self.fields)
-        first = struct.pack("<4B", 3, 100, 1, 1) + struct.pack("<IHH", n, size, 1 + sum(f[2] for f in self.fields)) + bytes(20)
-        for end, parts in ((".shp", [head(words), *shp]), (".shx", [head(50 + 4 * n), *shx]), (".dbf", [first, names, b"\r", *dbf, b"\x1a"])):
+        first = struct.pack("<4B", 3, 100, 1, 1) + struct.pack("<IHH", len(shp), size, 1 + sum(f[2] for f in self.fields)) + bytes(20)
+        for end, parts in ((".shp", [head(words), *shp]), (".shx", [head(50 + 4 * len(shp)), *shx]), (".dbf", [first, names, b"\r", *dbf, b"\x1a"])):
             with fs.open_output_stream(stem + end) as f:
                 for p in parts:
                     f.write(p)
-        return Written(stem)
 
     def commit(self, messages: list[Written | None]) -> None:
         fs, folder = _fs(self.path)
@@ -370,9 +379,9 @@ class ShapeWriter(DataSourceWriter):
             for f in fs.get_file_info(pafs.FileSelector(folder)):
                 if f.type == pafs.FileType.File and not f.base_name.startswith("_"):
                     fs.delete_file(f.path)
-        for k, m in enumerate(sorted((m for m in messages if m and m.stem), key=lambda m: m.stem)):
+        for k, stem in enumerate(sorted(stem for m in messages if m for stem in m.stems)):
             for end in (".dbf", ".shx", ".shp"):
-                fs.move(m.stem + end, f"{folder}/part-{k:05d}-{self.run}{end}")
+                fs.move(stem + end, f"{folder}/part-{k:05d}-{self.run}{end}")
 
     def abort(self, messages: list[Written | None]) -> None:
         fs, folder = _fs(self.path)

@@ -93,3 +93,30 @@ def test_kinds_datasets_and_errors(spark, tmp_path):
     with pytest.raises(Exception, match="no shapefile"):
         (tmp_path / "none").mkdir()
         V.read_layer(spark, str(tmp_path / "none")).count()
+
+
+def test_a_task_writes_files_of_bounded_size(spark, tmp_path, monkeypatch):
+    """A task holds the records of one file only, whatever its rows; all are read back."""
+    df, rows = layer(spark, 300)
+    path = str(tmp_path / "layer")
+    monkeypatch.setattr(V, "HELD", 20_000)
+    writer = V.ShapeWriter(df.schema, path, False)
+    taken, written, file = 0, [], V.ShapeWriter._file
+
+    def seen(self, fs, stem, records, *rest):
+        written.append((taken, len(records[0]), sum(map(len, (r for c in records for r in c)))))
+        file(self, fs, stem, records, *rest)
+
+    def stream():
+        nonlocal taken
+        for row in df.coalesce(1).collect():
+            taken += 1
+            yield row
+
+    monkeypatch.setattr(V.ShapeWriter, "_file", seen)
+    writer.commit([writer.write(stream()), None])
+    assert len(written) > 5 and sum(n for _, n, _ in written) == 300 and all(size < 21_000 for _, _, size in written)
+    assert [t for t, _, _ in written] == [sum(n for _, n, _ in written[: k + 1]) for k in range(len(written))]
+    assert len(list((tmp_path / "layer").glob("*.shp"))) == len(written) and not list((tmp_path / "layer").glob("_*"))
+    got = sorted((r.id, r.name, r.size, r.day, r.even, plain(r.geometry)) for r in V.read_layer(spark, path).collect())
+    assert got == rows
