@@ -12,6 +12,8 @@ from pyspark.sql.window import Window
 from ..functions import scalar
 from . import forests
 from .blocks import distance_sums, two_nearest
+from .medoids import medoids as least_members
+from .medoids import sampled
 from .tables import written
 
 
@@ -84,19 +86,25 @@ def assign_medoids(points: DataFrame, medoids: DataFrame, row: str, vector: str)
 def pam(points: DataFrame, row: str, vector: str, k: int, rounds: int = 100) -> DataFrame:
     """(row, medoid, cost) after k-medoids; starts from the k smallest rows.
 
-    In each round every member of a cluster is tried as its medoid, until none is better: the sums of distances are
-    made in blocks. The driver holds the k medoids only. Costs are compared to 9 places; ties: the smallest row.
+    In each round every member of a cluster may become its medoid, until none is better: bounds of all members' sums of
+    distances leave few whose sums are made (``operators.medoids``). The driver holds the k medoids, some thousand vectors
+    and what bounds need; clusters with vectors that are not finite go pair by pair. Costs are compared to 9 places; ties: the smallest row.
     """
     medoids = points.orderBy(row).limit(k).select(F.col(row).alias("medoid"), F.col(vector).alias("centre")).collect()
     schema = points.select(F.col(row).alias("medoid"), F.col(vector).alias("centre")).schema
-    table = lambda: points.sparkSession.createDataFrame([(m["medoid"], list(m["centre"])) for m in medoids], schema)
+    table = lambda: points.sparkSession.createDataFrame([(m, list(v)) for m, v in medoids], schema)
+    plain, sample = points.select(F.col(row).alias("row"), F.col(vector).alias("v")), sampled(points, row, vector, k)
     before = None
-    while rounds and before != sorted(m["medoid"] for m in medoids):
-        before, rounds = sorted(m["medoid"] for m in medoids), rounds - 1
-        own = points.join(assign_medoids(points, table(), row, vector).select(row, "medoid"), row)
-        costs = distance_sums(own, "medoid", row, vector).withColumn("cost", F.round("cost", 9))
-        best = costs.groupBy("medoid").agg(F.min(F.struct("cost", row))[row].alias(row)).select(row)
-        medoids = points.join(F.broadcast(best), row).select(F.col(row).alias("medoid"), F.col(vector).alias("centre")).collect()
+    while medoids and rounds and before != [m for m, _ in medoids]:
+        before, rounds = [m for m, _ in medoids], rounds - 1
+        found, left = least_members(plain, [v for _, v in medoids], sample)
+        now = list(found.values())
+        if left:
+            own = points.join(assign_medoids(points, table(), row, vector).where(F.col("medoid").isin([before[g] for g in left])).select(row, "medoid"), row)
+            costs = distance_sums(own, "medoid", row, vector).withColumn("cost", F.round("cost", 9))
+            best = costs.groupBy("medoid").agg(F.min(F.struct("cost", row))[row].alias(row)).select(row)
+            now += points.join(F.broadcast(best), row).select(row, vector).collect()
+        medoids = sorted((tuple(m) for m in now), key=lambda m: m[0])
     return assign_medoids(points, table(), row, vector)
 
 
